@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from apexframe.llm.decontaminate import contamination
 from apexframe.llm.exact_dedup import exact_dedup
+from apexframe.llm.html_extract import extract_pages
 from apexframe.llm.mixing import mix_sources
 from apexframe.llm.sharding import shard_documents
 from apexframe.llm.tokens import count_tokens
@@ -43,6 +44,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -50,6 +55,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op10_html_extraction": op10_html_extraction,
 }
 
 ORACLES = {
