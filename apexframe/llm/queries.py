@@ -9,6 +9,7 @@ from apexframe.llm.decontaminate import contamination
 from apexframe.llm.exact_dedup import exact_dedup
 from apexframe.llm.html_extract import extract_pages
 from apexframe.llm.mixing import mix_sources
+from apexframe.llm.quality import fit_quality, score_documents
 from apexframe.llm.sharding import shard_documents
 from apexframe.llm.tokens import count_tokens
 from apexframe.llm.warc import warc_round_trip
@@ -44,6 +45,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return score_documents(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
@@ -55,6 +61,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
 }
 
