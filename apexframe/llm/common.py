@@ -85,3 +85,54 @@ def passing(df: DataFrame, key: str, filtered: DataFrame) -> DataFrame:
     tested = df.withColumn("__bit", bit).withColumn("__row", F.expr(f"__bit div {ROW_BITS}")).join(F.broadcast(filtered), "__row")
     byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__bit % {ROW_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     return tested.where(byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0).select(*names)
+
+
+def flagged(df: DataFrame, key: str, filtered: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column: false means that the key is surely not in the filter."""
+    names = df.columns
+    bit = _filter_bit(F.col(key))
+    tested = df.withColumn("__bit", bit).withColumn("__row", F.expr(f"__bit div {ROW_BITS}")).join(F.broadcast(filtered), "__row", "left")
+    byte = F.conv(F.hex(F.expr(f"substring(__bits, cast(__bit % {ROW_BITS} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return tested.select(*names, F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(__bit % 8 as int))")) != 0, F.lit(False)).alias(name))
+
+
+def text_key(text: Column) -> Column:
+    """128 bits of the SHA-256 of a text (null counts as empty): the identity of a distinct text."""
+    return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
+
+
+def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(texts, members): each distinct text once as (uid, id, text) with the smallest id that has it, and (uid, id) of all rows.
+
+    Both are written to the shared folder. Only rows whose text may recur are shuffled with
+    their text; a group of copies of any size is found by a combined aggregate. The id is null only
+    where all copies have none.
+    """
+    rows = docs.select(text_key(F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    members = stored(rows.select("uid", "id"), "members")
+    groups = stored(members.groupBy("uid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    marked = flagged(rows, "uid", key_filter(groups, "uid"), "maybe")
+    single = marked.where(~F.col("maybe")).select("uid", "id", "text")
+    shared = marked.where("maybe").join(groups, "uid", "left").where("n is null or id <=> first")
+    # Rows that repeat both id and text are one text as well.
+    chosen = shared.where("n is null").select("uid", "id", "text").unionByName(shared.where("n is not null").groupBy("uid", "id", "text").agg(F.count(F.lit(1)).alias("n")).select("uid", "id", "text"))
+    return stored(single.unionByName(chosen), "distinct-texts"), members
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for edges (a, b): alternating large-star and small-star joins; root is the smallest node."""
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    state = None
+    for _ in range(most_rounds):
+        both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a")
+        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        pairs = small.checkpoint()
+        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if tuple(now) == state:
+            break
+        state = tuple(now)
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -9,6 +9,7 @@ from apexframe.llm.decontaminate import contamination
 from apexframe.llm.exact_dedup import exact_dedup
 from apexframe.llm.html_extract import extract_pages
 from apexframe.llm.mixing import mix_sources
+from apexframe.llm.near_dup import near_classes
 from apexframe.llm.quality import fit_quality, score_documents
 from apexframe.llm.sharding import shard_documents
 from apexframe.llm.tokens import count_tokens
@@ -45,6 +46,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), repeats=2.0)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return score_documents(documents, fit_quality(documents, table(spark, sf_dir, "labels")))
@@ -61,6 +66,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
 }
