@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import stored
+from apexframe.llm.common import flagged, key_filter, stored, text_key
 from apexframe.llm.words import words_of
 
 SHINGLE = 3
@@ -158,6 +158,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     judged each by itself; an empty benchmark contaminates nothing. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    return _judged(rows, "long", benchmark, item_col, item_text_col, window, share).withColumnRenamed("id", id_col)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.05) -> DataFrame:
+    """``docs`` without the contaminated ones, all columns as they are; decided by text, so only doubtful rows are joined."""
+    rows = docs.select(text_key(F.col(text_col)).alias("id"), F.col(text_col).alias("text"))
+    judged = _judged(rows, "binary", benchmark, item_col, item_text_col, window, share)
+    bad = stored(judged.where("contaminated").select(F.col("id").alias("__uid")).distinct(), "contaminated")
+    names = docs.columns
+    marked = flagged(docs.withColumn("__uid", text_key(F.col(text_col))), "__uid", key_filter(bad, "__uid"), "__maybe")
+    return marked.where(~F.col("__maybe")).select(*names).unionByName(marked.where("__maybe").join(bad, "__uid", "left_anti").select(*names))
+
+
+def _judged(rows: DataFrame, id_type: str, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, share: float) -> DataFrame:
+    """:func:`contamination` of (id, text) rows."""
+    session = rows.sparkSession
     blocks = _blocks(benchmark, item_col, item_text_col, window)
     for block, counts in zip(blocks, _shingle_counts(rows, blocks), strict=True):
         block.index(counts)
@@ -165,9 +181,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     # Each block adds its hits (a packed bitmap of word positions) and items to what the blocks before found.
     state = rows.select("id", "text", F.lit(None).cast("binary").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
-    schema = "id long, text string, hits binary, items array<string>"
+    schema = f"id {id_type}, text string, hits binary, items array<string>"
     for number, block in enumerate(blocks):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+        shared = session.sparkContext.broadcast(block)
 
         def probe(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             block = shared.value
@@ -198,7 +214,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 hit = 0 if hits is None else int(np.unpackbits(np.frombuffer(hits, np.uint8)).sum())
                 items = [] if items is None else sorted(items)
                 out.append((n, total, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), items, hit > 0 and fraction * hit >= total))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"]).astype({"id": "Int64"} if id_type == "long" else {})
 
-    judged = state.mapInPandas(judge, "id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")
-    return judged.withColumnRenamed("id", id_col)
+    return state.mapInPandas(judge, f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")

@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from apexframe.llm.common import stored
 
-BUCKETS = 1024
 GRID = 16
 PASSES = 6
 
@@ -78,31 +77,19 @@ def find_exponent(sources: DataFrame, entropy: float | None = None, repeats: flo
     return low if entropy is not None else high
 
 
-def mix_sources(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-    entropy: float | None = None,
-    repeats: float | None = 2.0,
-    budget: int | None = None,
-    block_tokens: int = 1 << 20,
-    seed: int = 17,
-) -> DataFrame:
-    """The schedule: one row for each reading of a document.
+def _source_key(source_col: str) -> Column:
+    """Null is a source of its own."""
+    return F.concat(F.when(F.col(source_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
 
-    Returns id, source, epoch (from 0), n_tokens, block, slot (place in the block, from 0)
-    and weight (the source's q).
 
-    Edge cases: a null source is a source of its own; null and empty texts have no
-    tokens and are read once for each epoch that begins before them; a source
-    without tokens has weight 0 and is read once, in block 0 onwards. Rows that
-    repeat an id are separate readings. With a budget under one epoch a source's stream is cut where
-    its tokens are used up (the document that crosses the line is read). An empty
-    table gives an empty result. Other columns are ignored.
-    """
-    key = F.concat(F.when(F.col(source_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), word_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(F.col(text_col)).alias("body"))
+def _permuted(seed: int, row_id: Column, body: Column) -> Column:
+    """The place of a document in an epoch's permutation: a 63-bit hash; ``epoch`` is a column."""
+    return F.xxhash64(F.lit(seed), F.col("epoch"), row_id, body).bitwiseAND(F.lit((1 << 63) - 1))
+
+
+def _readings(docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float | None, repeats: float | None, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
+    """One row for each reading: id, source, key, epoch, h, tokens, block, q."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _source_key(source_col).alias("key"), word_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(F.col(text_col)).alias("body"))
     rows = stored(rows, "mix-rows")
     per = rows.groupBy("key").agg(F.sum("tokens").cast("double").alias("tokens"))
     total = per.agg(F.sum("tokens")).first()[0] or 0.0
@@ -120,8 +107,7 @@ def mix_sources(
     # One permutation of each source for each epoch it is read in.
     read = rows.join(plan.select("key", "q", "share", F.col("tokens").alias("whole"), "epochs"), "key")
     read = read.select("*", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
-    mixed = F.xxhash64(F.lit(seed), F.col("epoch"), F.col("id"), F.col("body"))
-    read = read.withColumn("h", mixed).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 40), F.lit(BUCKETS)).cast("int"))
+    read = read.withColumn("h", _permuted(seed, F.col("id"), F.col("body"))).withColumn("bucket", F.shiftright("h", 53).cast("int"))
     sums = read.groupBy("key", "epoch", "bucket").agg(F.sum("tokens").alias("m"))
     base = sums.withColumn("base", F.sum("m").over(Window.partitionBy("key", "epoch").orderBy("bucket")) - F.col("m")).drop("m")
     within = Window.partitionBy("key", "epoch", "bucket").orderBy("h", "id")
@@ -131,5 +117,50 @@ def mix_sources(
     placed = placed.where((F.col("begins") < F.col("share")) | (F.col("epoch") == 0) & (F.col("share") >= F.col("whole")))
     block = F.when(F.col("q") > 0, F.floor(F.col("begins") / (F.col("q") * F.lit(float(block_tokens))))).otherwise(0).cast("bigint")
     placed = placed.withColumn("block", block)
+    return placed
+
+
+def mix_sources(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    entropy: float | None = None,
+    repeats: float | None = 2.0,
+    budget: int | None = None,
+    block_tokens: int = 1 << 20,
+    seed: int = 17,
+) -> DataFrame:
+    """The schedule: one row for each reading of a document.
+
+    Returns id, source, epoch (from 0), n_tokens, block, slot (place in the block, from 0)
+    and weight (the source's q).
+
+    Edge cases: a null source is a source of its own; null and empty texts have no
+    tokens and are read once for each epoch that begins before them; a source
+    without tokens has weight 0 and is read once, in block 0 onwards. Rows that
+    repeat an id are separate readings. With a budget under one epoch a source's stream is cut where
+    its tokens are used up (the document that crosses the line is read). An empty
+    table gives an empty result. Other columns are ignored.
+    """
+    key = F.concat(F.when(F.col(source_col).isNull(), "-").otherwise("+"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
+    placed = _readings(docs, id_col, text_col, source_col, entropy, repeats, budget, block_tokens, seed)
     order = Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed + 1), F.col("h")), "h", "id")
     return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", F.col("tokens").alias("n_tokens"), "block", (F.row_number().over(order) - 1).cast("bigint").alias("slot"), F.col("q").alias("weight"))
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", entropy: float | None = None, repeats: float | None = 2.0, budget: int | None = None, seed: int = 17) -> DataFrame:
+    """``docs`` with each row as often as :func:`mix_sources` reads it, all columns as they are.
+
+    An epoch's permutation is cut at one hash for each source, so the texts need no shuffle:
+    a table of (source, epoch, cut) decides. Rows that repeat id and text share their place, so a cut keeps all of them.
+    """
+    placed = _readings(docs, id_col, text_col, source_col, entropy, repeats, budget, 1 << 20, seed)
+    cuts = placed.groupBy("key", "epoch").agg(F.max("h").alias("cut")).checkpoint()
+    names = docs.columns
+    cuts = cuts.withColumnsRenamed({"key": "__key", "cut": "__cut"})
+    keyed = docs.withColumn("__key", _source_key(source_col)).withColumn("__body", F.xxhash64(F.col(text_col)))
+    kept = [F.col(f"d.{n}") for n in names]
+    joined = keyed.alias("d").join(cuts.withColumnRenamed("epoch", "__epoch"), "__key")
+    place = F.xxhash64(F.lit(seed), F.col("__epoch"), F.col(f"d.{id_col}"), F.col("d.__body")).bitwiseAND(F.lit((1 << 63) - 1))
+    return joined.where(place <= F.col("__cut")).select(*kept)

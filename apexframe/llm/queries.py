@@ -16,6 +16,8 @@ from apexframe.llm.tokens import count_tokens
 from apexframe.llm.warc import warc_round_trip
 
 SHARDS = 24
+#: No source is read more than that many times as often as another.
+REPEATS = 2.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), repeats=2.0)
+    return mix_sources(table(spark, sf_dir, "documents"), repeats=REPEATS)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
