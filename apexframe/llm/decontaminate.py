@@ -157,8 +157,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     listed twice counts once; a null item id reads as "null"; repeated documents are
     judged each by itself; an empty benchmark contaminates nothing. Other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    return _judged(rows, "long", benchmark, item_col, item_text_col, window, share).withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))  # nulls would make pandas' integers floats
+    judged = _judged(rows, "string", benchmark, item_col, item_text_col, window, share)
+    return judged.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", id_col)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, share: float = 0.05) -> DataFrame:
@@ -214,6 +215,6 @@ def _judged(rows: DataFrame, id_type: str, benchmark: DataFrame, item_col: str,
                 hit = 0 if hits is None else int(np.unpackbits(np.frombuffer(hits, np.uint8)).sum())
                 items = [] if items is None else sorted(items)
                 out.append((n, total, hit, len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), items, hit > 0 and fraction * hit >= total))
-            yield pd.DataFrame(out, columns=["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"]).astype({"id": "Int64"} if id_type == "long" else {})
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "contaminated"])
 
     return state.mapInPandas(judge, f"id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>, contaminated boolean")

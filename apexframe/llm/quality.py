@@ -233,7 +233,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
             found = [views(*x) for x in zip(pdf["text"], pdf["source"], pdf["lang"], pdf["n_chars"], strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "content": [c.astype(np.float16).tobytes() for c, _ in found], "page": [p.tobytes() for _, p in found]})
 
-    got = picked.mapInPandas(featurise, "id long, y double, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
+    got = picked.withColumn("id", F.col("id").cast("string")).mapInPandas(featurise, "id string, y double, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
     if got.empty or got["y"].isna().all():
         return QualityModel(constant=0.5)
     content = np.frombuffer(b"".join(got["content"]), np.float16).reshape(len(got), TEXT_WIDTH).astype(np.float32)

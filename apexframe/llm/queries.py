@@ -12,6 +12,7 @@ from apexframe.llm.mixing import mix_sources
 from apexframe.llm.near_dup import near_classes
 from apexframe.llm.quality import fit_quality, score_documents
 from apexframe.llm.sharding import shard_documents
+from apexframe.llm.substring_dedup import dedup_substrings
 from apexframe.llm.tokens import count_tokens
 from apexframe.llm.warc import warc_round_trip
 
@@ -48,6 +49,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), repeats=REPEATS)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_mixing": op6_mixing,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
@@ -102,5 +108,20 @@ SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
 FROM q
+""",
+    "op7_substring_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, unnest(generate_series(0, n - 50)) AS x(i)),
+f AS (SELECT s, min(doc_id) AS m FROM g GROUP BY s),
+c AS (SELECT doc_id, i FROM g JOIN f USING (s) WHERE m < doc_id),
+o AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM c),
+r AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM o),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, k),
+cuts AS (SELECT doc_id, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS lo, a AS hi FROM sp
+         UNION ALL SELECT d.doc_id, coalesce(max(sp.b), 0), max(d.n) FROM d LEFT JOIN sp USING (doc_id) GROUP BY d.doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' ORDER BY lo) AS kept FROM cuts JOIN d USING (doc_id) GROUP BY doc_id),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM sp GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)
 """,
 }
