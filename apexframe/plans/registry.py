@@ -1,6 +1,255 @@
-"""Registry of the core queries and of their SQL twins."""
+"""Registry of the core queries; their SQL twins are in :mod:`apexframe.plans.oracles`.
+
+The number of the operator in the blueprint stands beside each query.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+import math
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from apexframe.contracts import key_set_difference
+from apexframe.operators import excursions as X
+from apexframe.operators import features as V
+from apexframe.operators import geometry as G
+from apexframe.operators import metrics as M
+from apexframe.operators import models as R
+from apexframe.operators import policy as P
+from apexframe.operators import pooling as L
+from apexframe.operators import timebase as T
+from apexframe.plans.oracles import ORACLES
+from apexframe.plans.surrogate import N_BINS, prob, scores, table, tele
+from apexframe.sources.integrity import unit_digests
+
+CONFIG = X.ExcursionConfig(gap_merge=12.0, min_depth=1.0, min_duration=6.0, min_lead_in=0.0, artifact=2.0, edge=12.0, exclude_truncated=False)
+POLICY = P.ProposalConfig(horizon=30.0, persistence=1, rearm=10.0)
+GRID_STEP = 6.0
+THRESHOLDS = [0.05, 0.1, 0.2, 0.4]
+LEADS = [1.0, 6.0, 12.0, 24.0]
+BUDGETS = [0.002, 0.005, 0.02, 0.1]
+DELAYS = [0.0, 2.0, 6.0]
+DRAWS = 200
+UNIT = T.UNIT
+
+
+def _events(spark, d):
+    return X.excursion_candidates(tele(spark, d), CONFIG)
+
+
+def _events_binned(spark, d):
+    """Events with bins of the surrogate scores' circle."""
+    return _events(spark, d).withColumn("segment_bin_at_onset", F.col("segment_bin_at_onset") % N_BINS)
+
+
+def _labels(spark, d):
+    return P.label_proposals(P.run_alerts(scores(spark, d), THRESHOLDS, POLICY), _events_binned(spark, d), POLICY.horizon)
+
+
+def _exposure(spark, d):
+    return X.interval_exposure(tele(spark, d), CONFIG.edge, CONFIG.artifact)
+
+
+def _units(spark, d):
+    return tele(spark, d).select(*UNIT).distinct()
+
+
+def _ledger(spark, d):
+    """One row for each car and lead at threshold 0.1."""
+    labels = _labels(spark, d).where("threshold = 0.1").withColumn("leads", F.array(*map(F.lit, LEADS))).withColumn("need", F.explode("leads"))
+    hit = F.when(F.col("localized_hit") & (F.col("lead") >= F.col("need") - 1e-12), F.col("matched_event_id"))
+    found = labels.groupBy(*UNIT, F.col("need").alias("lead")).agg(F.count_distinct(hit).alias("hits"), F.count_if("false_proposal").alias("false_proposals"), F.count_if("unresolved_censored").alias("unresolved"))
+    events = _events(spark, d).groupBy(*UNIT).agg(F.count_if("qualified").alias("events"))
+    base = _exposure(spark, d).select(*UNIT, F.col("prebuffer_seconds").alias("exposure"), F.explode(F.array(*map(F.lit, LEADS))).alias("lead"))
+    z = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return base.join(events, UNIT, "left").join(found, [*UNIT, "lead"], "left").select(*UNIT, "lead", z("events"), z("hits"), z("false_proposals"), z("unresolved"), "exposure")
+
+
+def _mass(spark, d):
+    """Long forecast mass from line items: a row for each order, side by return flag, bin by line number."""
+    li = table(spark, d, "lineitem")
+    side = F.when(F.col("l_returnflag") == "A", "left").when(F.col("l_returnflag") == "R", "right").otherwise("unknown")
+    return li.groupBy(F.col("l_orderkey").alias("row"), side.alias("side"), (F.col("l_linenumber") % 5).cast("long").alias("bin")).agg(F.round(F.sum(F.col("l_quantity").cast("double") / 100), 6).alias("mass")).withColumn("n_bins", F.lit(5).cast("long"))
+
+
+def _points(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), (F.element_at("embedding", 1).cast("double") * 30).alias("x"), (F.element_at("embedding", 2).cast("double") * 30).alias("y"), (F.element_at("embedding", 3).cast("double") * 30).alias("z"), (F.element_at("embedding", 4).cast("double") * 30).alias("w"))
+
+
+def _rings(spark):
+    return G.ring_segments(spark, G.square(10.0), "outer").unionByName(G.ring_segments(spark, G.square(5.0), "inner"))
+
+
+def _horizons(rows: DataFrame) -> DataFrame:
+    for h in (500, 1500, 3000):
+        rows = rows.withColumn(f"p{h}", F.col("n_chars") / (F.col("n_chars") + float(h)) * F.when(F.col("doc_id") % 7 == 0, h / 3000.0).otherwise(1.0))
+    return rows
+
+
+def _axis_rows(spark, d):
+    t = tele(spark, d)
+    return t.select(*UNIT, "frame_index", "lap_number", "current_lap_time", "last_lap_time", F.col("centerline_arclength_wrapped_m").alias("total_distance"), F.col("pit_status").alias("result_status"), (F.col("outside_depth_m") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+
+
+def _axis(spark, d):
+    a = T.reconstruct_axis(_axis_rows(spark, d), cadence_cap=24.0, gap_floor=24.0, reset_tolerance=0.05, jump=20.0, distance_reset=-900.0)
+    return a.select(*UNIT, "frame_index", F.round("cadence", 6).alias("cadence"), "lap_boundary", "clock_reset", "data_gap", "position_jump", "distance_reset", "status_transition", "hard_break", "artifact_seed", F.round("time_seconds", 5).alias("time_seconds"), "continuous_segment_id")
+
+
+def _loco(spark, d):
+    return V.loco_splits(_units(spark, d), 0.2, 20270927, "surrogate-v1")
+
+
+def _key_check(spark, d):
+    t = tele(spark, d)
+    return key_set_difference(t.select(*UNIT, "frame_index"), X.next_events(t, _events(spark, d)).where("next_event_id is not null").select(*UNIT, "frame_index"), [*UNIT, "frame_index"])
+
+
+def _ridge(spark, d):
+    pairs = V.residual_pairs(tele(spark, d), "outside_depth_m")
+    stats = R.sufficient_statistics(pairs, ["x", "dt"], "residual")
+    coef = R.ridge_fit(stats, ["x", "dt"], 1.0)
+    return R.predict_linear(pairs, ["x", "dt"], coef).select(*UNIT, "frame_index", F.round("prediction", 4).alias("prediction"))
+
+
+def _cohort(spark, d):
+    t = tele(spark, d).groupBy("circuit").agg(F.count_distinct("car_id").alias("cars"), F.count(F.lit(1)).alias("frames"))
+    e = _events(spark, d).groupBy("circuit").agg(F.count(F.lit(1)).alias("candidates"), F.count_if("qualified").alias("qualified"))
+    x = _exposure(spark, d).groupBy("circuit").agg(F.round(F.sum("prebuffer_seconds"), 4).alias("prebuffer_seconds"), F.round(F.sum("buffered_seconds"), 4).alias("buffered_seconds"))
+    return t.join(e, "circuit", "left").join(x, "circuit", "left")
+
+
+def _frontier(spark, d):
+    ledger = _ledger(spark, d).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS))))
+    return L.l_star(ledger, ["budget"], 0.1, F.col("budget"))
+
+
+def _states(spark, d):
+    return _points(spark, d).select("id", "x", "y", (F.abs("z") / 10).alias("speed"), (F.col("w") / 10).alias("heading"), (F.col("z") / 100).alias("turn"))
+
+
+def _robust(spark, d):
+    return V.robust_scaler(tele(spark, d), ["value", "outside_depth_m", "current_lap_time"], F.col("active"))
+
+
+def _projection(spark, d):
+    t = tele(spark, d)
+    return X.project_events(T.causal_grid(t, GRID_STEP), _events(spark, d))
+
+
+def _features(spark, d):
+    return V.causal_features(tele(spark, d), F.col("centerline_arclength_wrapped_m") / 100, F.col("value") / 10)
+
+
+def _bins(spark, d):
+    t = tele(spark, d)
+    b = V.hazard_bin(F.col("centerline_arclength_wrapped_m"), F.col("value"), 1.5, 1000.0, 25.0)
+    return t.select(*UNIT, "frame_index", b.alias("hazard_bin"), V.circular_distance(b, F.lit(3), F.lit(40)).alias("distance"))
+
+
+def _exposure_split(spark, d):
+    x = _exposure(spark, d).join(_loco(spark, d), UNIT)
+    return x.groupBy("fold_test_circuit", "partition").agg(F.count(F.lit(1)).alias("cars"), F.round(F.sum("prebuffer_seconds"), 4).alias("seconds"))
+
+
+def _partitions(spark, d):
+    n = X.next_events(tele(spark, d), _events(spark, d))
+    j = n.join(_loco(spark, d).where("fold_test_circuit = 'C0'"), UNIT, "left")
+    return j.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.count("next_event_id").alias("with_event"), F.round(F.sum("time_to_next"), 3).alias("total_time_to_next"))
+
+
+def _frame_target(spark, d):
+    t = tele(spark, d).select(*UNIT, "frame_index", "hard_break")
+    n = X.next_events(tele(spark, d), _events(spark, d)).select(*UNIT, "frame_index", "next_event_id", "time_to_next")
+    return t.join(n, [*UNIT, "frame_index"], "left")
+
+
+def _semi(spark, d):
+    calm = _loco(spark, d).where("fold_test_circuit = 'C1' and partition = 'calibration'").select(*UNIT)
+    return _events(spark, d).join(calm, UNIT, "left_semi").select(*UNIT, "candidate_event_id", "qualified")
+
+
+def _summary(spark, d):
+    hours = _exposure(spark, d).agg(F.round(F.sum("prebuffer_seconds"), 4).alias("hours"))
+    return P.detection_summary(_labels(spark, d), _events_binned(spark, d), hours, LEADS)
+
+
+def _calibrated(spark, d):
+    return prob(spark, d).select("doc_id", F.round(M.platt(F.col("p"), 1.25, -0.5), 6).alias("p_calibrated"))
+
+
+def _fitted(spark, d):
+    rows = prob(spark, d)
+    slope, intercept = M.fit_platt(rows)
+    return rows.groupBy("lang").agg(F.round(F.avg(M.platt(F.col("p"), slope, intercept)), 6).alias("mean_calibrated"), F.round(F.avg("y"), 6).alias("rate"))
+
+
+def _reliability_boot(spark, d):
+    p = prob(spark, d)
+    per = p.groupBy(F.col("lang").alias("circuit"), F.col("source").alias("car_id"), M.bin_of(F.col("p"), 5).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    w = L.hash_draws(per.select("circuit", "car_id").distinct(), 50, "r")
+    each = per.join(w, ["circuit", "car_id"]).groupBy("draw", "bin").agg((F.sum(F.col("events") * F.col("weight")) / F.sum(F.col("n") * F.col("weight"))).alias("f"))
+    q = F.percentile("f", F.array(F.lit(0.025), F.lit(0.975)))
+    return each.groupBy("bin").agg(F.count(F.lit(1)).alias("draws"), F.avg("f").alias("m"), q.alias("q")).select("bin", "draws", F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
+QUERIES = {
+    "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
+    "timebase_axis": _axis,  # 15, 17
+    "timing_diagnostics": lambda s, d: T.timing_diagnostics(tele(s, d)),  # 16
+    "causal_resample": lambda s, d: T.causal_resample(tele(s, d), GRID_STEP),  # 18, 20
+    "source_flags_forward": lambda s, d: T.flags_forward(tele(s, d), "artifact_seed", GRID_STEP),  # 19
+    "body_to_map": lambda s, d: G.body_to_map(_points(s, d), (1.0, 2.0, 3.0), (0.0, 0.0, math.sqrt(0.5), math.sqrt(0.5))),  # 21
+    "signed_area": lambda s, d: G.signed_area(_rings(s)).join(F.broadcast(_points(s, d).agg(F.count(F.lit(1)).alias("n_points")))),  # 22-24
+    "corridor_locate": lambda s, d: G.locate(_points(s, d), _rings(s)),  # 25-27
+    "segment_exit": lambda s, d: G.first_exit(_points(s, d).select("id", "x", "y", (F.col("x") + F.col("z")).alias("x2"), (F.col("y") + F.col("w")).alias("y2")), _rings(s)),  # 28
+    "track_features": lambda s, d: G.track_features(_points(s, d), G.ring_segments(s, G.square(7.5), "center")),  # 29, 55
+    "excursion_candidates": _events,  # 31-38
+    "excursion_frames": lambda s, d: X.label_frames(tele(s, d), _events(s, d), CONFIG),  # 34, 39
+    "interval_exposure": _exposure,  # 40
+    "frame_target_join": _frame_target,  # 41, 44, 47
+    "partition_attach": _partitions,  # 42, 43
+    "exposure_join": _exposure_split,  # 45
+    "events_semi_join": _semi,  # 46
+    "key_set_check": _key_check,  # 48
+    "next_event_targets": lambda s, d: X.next_events(tele(s, d), _events(s, d)),  # 49
+    "event_projection": _projection,  # 49
+    "causal_features": _features,  # 54, 56
+    "robust_scaler": _robust,  # 57, 67
+    "support_flags": lambda s, d: V.support_flags(tele(s, d), [6.0, 24.0]),  # 58
+    "residual_pairs": lambda s, d: V.residual_pairs(tele(s, d), "outside_depth_m"),  # 59, 62
+    "hazard_rows": lambda s, d: V.hazard_rows(tele(s, d), _events(s, d)),  # 63
+    "circular_bins": _bins,  # 64, 65
+    "loco_splits": _loco,  # 66
+    "cluster_sufficient_stats": lambda s, d: R.sufficient_statistics(V.residual_pairs(tele(s, d), "outside_depth_m"), ["x", "dt"], "residual"),  # 68
+    "ridge_fit": _ridge,  # 70, 71
+    "constant_turn_forecast": lambda s, d: R.constant_turn_forecast(_states(s, d), 1.5, 6),  # 61, 76
+    "neighborhood_candidates": lambda s, d: P.neighborhood_candidates(_mass(s, d)),  # 81
+    "platt_fit": _fitted,  # 85, 87
+    "apply_calibrator": _calibrated,  # 86, 89
+    "probability_metrics": lambda s, d: M.probability_metrics(prob(s, d), "lang", 0.8),  # 90, 95
+    "ece_bins": lambda s, d: M.expected_calibration_error(prob(s, d), "lang"),  # 91
+    "average_precision": lambda s, d: M.average_precision(prob(s, d), "lang"),  # 93
+    "monotonicity": lambda s, d: M.monotonicity(_horizons(prob(s, d)), ["p3000", "p1500", "p500"], "lang"),  # 96
+    "reference_prevalence": lambda s, d: M.reference_prevalence(prob(s, d), ["lang"]),  # 52, 88
+    "reliability_bins": lambda s, d: M.reliability_bins(prob(s, d), "lang"),  # 97
+    "reliability_clusters": lambda s, d: M.reliability_bins(prob(s, d), "source", 5),  # 98
+    "alert_state_machine": lambda s, d: P.run_alerts(scores(s, d), [0.1], POLICY).select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved"),  # 99, 100
+    "proposal_labels": _labels,  # 50, 51
+    "detection_summary": _summary,  # 101
+    "operating_points": lambda s, d: P.operating_points(_summary(s, d), BUDGETS),  # 102, 104
+    "threshold_grid": lambda s, d: P.threshold_grid(scores(s, d), "proposal_score"),  # 103
+    "synthetic_delay": lambda s, d: P.delayed(_labels(s, d).where("threshold = 0.1"), DELAYS),  # 106, 111
+    "car_contributions": _ledger,  # 105
+    "pooled_metrics": lambda s, d: L.pooled_metrics(_ledger(s, d), ["lead"]),  # 110, 120
+    "l_star": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1)),  # 108, 124
+    "l_star_least_favorable": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1), F.col("false_proposals") + F.col("unresolved")),  # 109
+    "warning_frontier": _frontier,  # 123
+    "cohort_summary": _cohort,  # 125, 129
+    "bootstrap_l_star": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1),  # 113-115
+    "bootstrap_two_stage": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.two_stage_draws(_units(s, d), DRAWS, "t"), 0.1, 0.1),  # 116
+    "reliability_bootstrap": _reliability_boot,  # 117
+    "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
+}
