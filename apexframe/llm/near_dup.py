@@ -118,10 +118,10 @@ def document_frequencies(texts: DataFrame) -> np.ndarray:
                 np.add.at(sums, (x >> np.uint64(44)).astype(np.int64), 1)
         # Packed by ranges of slots: few rows, whatever the text.
         parts = sums.reshape(256, -1)
-        yield pd.DataFrame({"part": range(256), "sums": [p.astype(np.int64).tobytes() for p in parts]})
+        yield pd.DataFrame({"part": range(256), "sums": [p.astype(np.int32).tobytes() for p in parts]})
 
     def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.int64) for b in pdf["sums"])
+        total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["sums"])
         return pd.DataFrame({"part": [key[0]], "sums": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
 
     counted = texts.select("text").mapInPandas(count, "part int, sums binary")
