@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from apexframe.llm.common import uniform
 
 #: At most about so many labelled rows fit the models, and so many unlabelled ones serve as the pool.
-LABELLED_ROWS = 4000
-POOL_ROWS = 3000
+LABELLED_ROWS = 2400
+POOL_ROWS = 1200
 HELD_OUT = 0.3
 ROUNDS = 3
 
@@ -108,7 +108,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Logistic:
-    """Logistic regression on standardised columns, fitted by accelerated gradient steps."""
+    """Logistic regression on standardised columns, fitted by accelerated gradient steps; ``fit`` overwrites its rows."""
 
     weights: np.ndarray
     bias: float
@@ -117,7 +117,9 @@ class Logistic:
     def fit(cls, x: np.ndarray, y: np.ndarray, l2: float = 1e-4, steps: int = 250) -> Logistic:
         mean, scale = x.mean(0), x.std(0)
         scale = np.where(scale > 1e-9, scale, np.inf).astype(np.float32)
-        z = (x - mean) / scale
+        z = x  # overwritten, so that the driver holds one copy
+        z -= mean
+        z /= scale
         # The bound on the curvature fixes the step: a quarter of the largest singular value squared.
         v = np.ones(z.shape[1], np.float32) / np.sqrt(max(1, z.shape[1]))
         for _ in range(15):
@@ -236,7 +238,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     got = picked.withColumn("id", F.col("id").cast("string")).mapInPandas(featurise, "id string, y double, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
     if got.empty or got["y"].isna().all():
         return QualityModel(constant=0.5)
-    content = np.frombuffer(b"".join(got["content"]), np.float16).reshape(len(got), TEXT_WIDTH).astype(np.float32)
+    content = np.empty((len(got), TEXT_WIDTH), np.float32)
+    for i, row in enumerate(got.pop("content")):
+        content[i] = np.frombuffer(row, np.float16)
     page = np.frombuffer(b"".join(got["page"]), np.float32).reshape(len(got), PAGE_WIDTH)
     held = np.array([xxhash.xxh3_64_intdigest(str(i), seed=9) / 2**64 < HELD_OUT for i in got["id"]])
     return co_train(content, page, got["y"].to_numpy(float), held)
