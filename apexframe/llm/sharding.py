@@ -24,6 +24,8 @@ from apexframe.llm.common import small_frame, stored, uniform
 #: Slices of a large group, and the group size from which a group is sliced in the final order.
 SLICES = 1024
 LARGE_GROUP = 1000
+#: Load that a shard may reach during the propagation, as a multiple of the even one.
+SLACK = 1.1
 #: Rows that a chunk of the final order holds on average.
 CHUNK_ROWS = 500_000
 
@@ -60,7 +62,7 @@ def _quotas(asked: dict[tuple[int, int, int], int], load: list[int], cap: int) -
     return share
 
 
-def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 8, settle: float = 0.001) -> DataFrame:
+def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, settle: float = 0.001) -> DataFrame:
     """Rounds of balanced label propagation over cells (hub, shard, n); returns the cells it ends with."""
     spark = cells.sparkSession
     cells = cells.checkpoint()
@@ -72,15 +74,21 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 8, set
         # Each group's shards, best first: by documents there, then by a hash that all its cells agree on.
         best = cells.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")), asc=False).alias("ranked"))
         full = [s for s in range(shards) if load[s] >= capacity]
-        # A full shard still swaps; only for groups that fill a shard by themselves is the next one taken.
-        ranked = F.filter("ranked", lambda r: (r.n < int(capacity * 0.9)) | ~r.shard.isin(full)) if full else F.col("ranked")
+        # Even rounds swap with full shards too; odd ones gather in the best shard that has room, leaving full shards for it.
+        full = F.array(*map(F.lit, [s for s in range(shards) if load[s] >= capacity] or [-1]))
+        closed = lambda c: F.array_contains(full, c) & F.lit(step % 2 == 1)
+        ranked = F.filter("ranked", lambda r: ~closed(r.shard) & ((r.n < int(capacity * 0.9)) | ~F.array_contains(full, r.shard)))
         joined = cells.join(best.select("hub", ranked.alias("ranked")), "hub").withColumn("goal", F.try_element_at("ranked", F.lit(1)))
-        joined = joined.withColumn("wants", F.coalesce((F.col("goal.shard") != F.col("shard")) & F.struct("goal.n", "goal.tie").__gt__(F.struct("n", F.xxhash64("hub", "shard"))), F.lit(False)))
+        ahead = F.struct("goal.n", "goal.tie") > F.struct("n", F.xxhash64("hub", "shard"))
+        leaves = closed(F.col("shard")) & (F.col("goal.n") >= F.col("n")) & (F.col("n") < int(capacity * 0.9))
+        joined = joined.withColumn("wants", F.coalesce((F.col("goal.shard") != F.col("shard")) & (ahead | leaves), F.lit(False)))
         joined = joined.withColumn("gain", F.when(F.col("wants"), F.floor(F.log2(F.col("goal.n") - F.col("n") + 1))).cast("int"))
         joined = joined.select("hub", "shard", "n", F.when(F.col("wants"), F.col("goal.shard")).alias("to"), "gain").checkpoint()
         asked = {(r.shard, r.to, r.gain): r.n for r in joined.where("to is not null").groupBy("shard", "to", "gain").agg(F.sum("n").alias("n")).collect()}
         if not asked:
-            break
+            if step % 2:
+                break
+            continue
         share = _quotas(asked, load, capacity)
         moved = sum(asked[k] * v for k, v in share.items())
         table = small_frame(spark, [{"shard": a, "to": b, "gain": g, "share": v} for (a, b, g), v in share.items() if v > 0], "shard int, `to` int, gain int, share double")
@@ -90,12 +98,12 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 8, set
         part = part.withColumn("go", F.when(F.col("to").isNull() | F.col("share").isNull(), F.lit(0)).when(F.col("share") >= 1, F.col("n")).otherwise(go))
         halves = F.array(F.struct("hub", "shard", (F.col("n") - F.col("go")).alias("n")), F.struct("hub", F.coalesce("to", "shard").alias("shard"), F.col("go").alias("n")))
         cells = part.select(F.explode(halves).alias("c")).select("c.*").where("n > 0").groupBy("hub", "shard").agg(F.sum("n").alias("n")).checkpoint()
-        if moved < settle * total:
+        if moved < settle * total and step % 2:
             break
     return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rounds: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12) -> DataFrame:
     """Deal documents out to ``shards`` shards whose row counts differ by one at most; equal texts are linked.
 
     Returns id, size, text_crc32, law ("rows"), shard, slot (gapless from 0 in each shard), grown_shard (null).
@@ -125,7 +133,8 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     turn = F.pmod(F.col("shard") - F.pmod("hub", F.lit(shards)), F.lit(shards))
     start = start.select("hub", "shard", F.expr("copies div {}".format(shards)).alias("each"), (F.expr(f"copies % {shards}") > turn).cast("bigint").alias("more"))
     cells = start.select("hub", F.col("shard").cast("int").alias("shard"), (F.col("each") + F.col("more")).alias("n")).where("n > 0")
-    cells = propagate(cells, shards, max(1, total // shards), rounds)
+    # Slack lets one-sided moves through; the cut below evens sizes exactly and keeps groups in one piece but for its own cuts.
+    cells = propagate(cells, shards, max(1, round(SLACK * total / shards)), rounds)
 
     upto = F.sum("n").over(Window.partitionBy("hub").orderBy("shard"))
     spans = cells.withColumn("upto", upto).groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans"))  # at most `shards` entries
