@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from apexframe.contracts import key_set_difference
 from apexframe.operators import excursions as X
 from apexframe.operators import features as V
+from apexframe.operators import forecast as C
 from apexframe.operators import geometry as G
+from apexframe.operators import hazard as H
 from apexframe.operators import metrics as M
 from apexframe.operators import models as R
 from apexframe.operators import policy as P
 from apexframe.operators import pooling as L
+from apexframe.operators import residual as D
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, prob, scores, table, tele
@@ -195,6 +198,56 @@ def _reliability_boot(spark, d):
     return each.groupBy("bin").agg(F.count(F.lit(1)).alias("draws"), F.avg("f").alias("m"), q.alias("q")).select("bin", "draws", F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
+CORRIDOR = C.Corridor(G.square(10.0), G.square(5.0), G.square(7.5))
+BODY = ["v_long", "v_lat", "yaw_rate"]
+ALPHAS = [0.0, 0.01, 0.1, 1.0, 10.0, 100.0]
+SEED = 20270927
+
+
+def _transitions(spark, d):
+    """Body states of the telemetry; a frame stands for one 20 Hz step."""
+    body = {"v_long": F.col("value") / 10, "v_lat": F.col("outside_depth_m") / 10, "yaw_rate": (F.col("k") - 50) / 500.0, "a_long": F.col("outside_depth_m") / 5, "a_lat": (F.col("k") - 50) / 50.0}
+    return D.transition_residuals(tele(spark, d).withColumns(body), F.lit(0.05))
+
+
+def _exit_states(spark, d):
+    """States at the embeddings' points; a vector is a frame of the one car of its label."""
+    p = _points(spark, d).select("id", "x", "y", F.abs("z").alias("v_long"), F.lit(0.0).alias("v_lat"), F.col("w").alias("yaw"), (F.col("z") / 20).alias("yaw_rate"), F.lit(0.5).alias("a_long"), F.lit(0.0).alias("a_lat"), F.lit("C0").alias("circuit"), F.lit("car_0").alias("car_id"), F.col("id").alias("frame_index"))
+    return p.withColumn("identity", C.row_identity(SEED, "C0", "bayesian"))
+
+
+def _exits(spark, d, states, model=None):
+    out = C.forecast_exits(states, CORRIDOR, [0.25, 0.5, 1.0, 1.5], segment=2.5, model=model)
+    return out.withColumn("mass", F.round("mass", 6))
+
+
+def _bayesian(spark, d):
+    return D.fit_bayesian(_transitions(spark, d), BODY, 1.0, 256, SEED)
+
+
+def _forecast_candidates(spark, d):
+    rows = _exits(spark, d, _exit_states(spark, d), _bayesian(spark, d)).where("horizon = 1.5 and bin is not null")
+    return P.neighborhood_candidates(rows.select(F.col("id").alias("row"), "side", "bin", "mass", F.lit(24).cast("long").alias("n_bins")))
+
+
+def _rounded_scores(rows, *cols):
+    return rows.withColumns({c: F.round(c, 6) for c in cols})
+
+
+def _side_hazard(spark, d):
+    key = [*UNIT, "frame_index"]
+    t = tele(spark, d).select(*key, (F.col("value") / 100).alias("level"), (F.col("k") / 100.0).alias("place"))
+    rows = V.hazard_rows(tele(spark, d), _events(spark, d)).join(t, key)
+    w = H.fit_side_hazard(rows, ["level", "place"], l2=0.01)
+    out = H.horizon_probabilities(H.step_probabilities(rows, ["level", "place"], w), {6.0: 1, 24.0: 4})
+    return _rounded_scores(out.select(*key, "label", "horizon", "h_no_exit", "h_left", "h_right"), "h_no_exit", "h_left", "h_right")
+
+
+def _rate_upper(spark, d):
+    found = _ledger(spark, d).groupBy("circuit", "lead").agg(F.sum("false_proposals").alias("false_proposals"), F.sum("exposure").alias("exposure"))
+    return _rounded_scores(H.rate_upper(found, "false_proposals", "exposure"), "exposure", "rate_upper")
+
+
 QUERIES = {
     "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
     "timebase_axis": _axis,  # 15, 17
@@ -226,6 +279,16 @@ QUERIES = {
     "cluster_sufficient_stats": lambda s, d: R.sufficient_statistics(V.residual_pairs(tele(s, d), "outside_depth_m"), ["x", "dt"], "residual"),  # 68
     "ridge_fit": _ridge,  # 70, 71
     "constant_turn_forecast": lambda s, d: R.constant_turn_forecast(_states(s, d), 1.5, 6),  # 61, 76
+    "transition_residuals": lambda s, d: _rounded_scores(_transitions(s, d), *D.TARGETS),  # 60, 62
+    "ridge_loco": lambda s, d: _rounded_scores(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
+    "ridge_tuned": lambda s, d: _rounded_scores(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
+    "side_hazard": _side_hazard,  # 75
+    "constant_velocity_exits": lambda s, d: _exits(s, d, C.constant_velocity(_exit_states(s, d))),  # 76
+    "constant_turn_exits": lambda s, d: _exits(s, d, C.constant_turn_rate(_exit_states(s, d))),  # 76
+    "particle_forecast": lambda s, d: _exits(s, d, _exit_states(s, d), _bayesian(s, d)),  # 69, 72, 77-79
+    "twin_forecast": lambda s, d: _exits(s, d, _exit_states(s, d), _bayesian(s, d).twin()),  # 72
+    "forecast_candidates": _forecast_candidates,  # 81, 82
+    "rate_upper": _rate_upper,  # 94
     "neighborhood_candidates": lambda s, d: P.neighborhood_candidates(_mass(s, d)),  # 81
     "platt_fit": _fitted,  # 85, 87
     "apply_calibrator": _calibrated,  # 86, 89
