@@ -29,6 +29,8 @@ from apexframe.llm.common import stored
 
 GRID = 16
 PASSES = 6
+#: Parts of a source that meet its weight apart.
+SALTS = 64
 
 
 def word_tokens(text: Column) -> Column:
@@ -90,8 +92,10 @@ def _permuted(seed: int, row_id: Column, body: Column) -> Column:
 def _readings(docs: DataFrame, id_col: str, text_col: str, source_col: str, entropy: float | None, repeats: float | None, budget: int | None, block_tokens: int, seed: int) -> DataFrame:
     """One row for each reading: id, source, key, epoch, h, tokens, block, q."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), _source_key(source_col).alias("key"), word_tokens(F.col(text_col)).alias("tokens"), F.xxhash64(F.col(text_col)).alias("body"))
-    rows = stored(rows, "mix-rows")
-    per = rows.groupBy("key").agg(F.sum("tokens").cast("double").alias("tokens"))
+    rows = stored(rows.withColumn("salt", F.pmod(F.xxhash64("id", "body"), F.lit(SALTS)).cast("int")), "mix-rows")
+    # A source may hold a third of all rows: it meets its weight in SALTS parts, those that it has.
+    parts = rows.groupBy("key", "salt").agg(F.sum("tokens").alias("tokens")).checkpoint()
+    per = parts.groupBy("key").agg(F.sum("tokens").cast("double").alias("tokens"))
     total = per.agg(F.sum("tokens")).first()[0] or 0.0
     sources = per.withColumn("p", F.col("tokens") / F.lit(max(total, 1.0))).checkpoint()
     a = find_exponent(sources, entropy=entropy, repeats=repeats)
@@ -105,7 +109,8 @@ def _readings(docs: DataFrame, id_col: str, text_col: str, source_col: str, entr
     plan = weighted.withColumn("epochs", epochs).checkpoint()
 
     # One permutation of each source for each epoch it is read in.
-    read = rows.join(plan.select("key", "q", "share", F.col("tokens").alias("whole"), "epochs"), "key")
+    weights = parts.select("key", "salt").join(plan.select("key", "q", "share", F.col("tokens").alias("whole"), "epochs"), "key")
+    read = rows.join(weights, ["key", "salt"]).drop("salt")
     read = read.select("*", F.explode(F.sequence(F.lit(0), F.col("epochs") - 1)).alias("epoch"))
     read = read.withColumn("h", _permuted(seed, F.col("id"), F.col("body"))).withColumn("bucket", F.shiftright("h", 53).cast("int"))
     sums = read.groupBy("key", "epoch", "bucket").agg(F.sum("tokens").alias("m"))
