@@ -1,7 +1,7 @@
 """Particle forecasts of the first exit from a corridor.
 
 Each row carries its own random numbers, seeded by its identity, so a result depends neither on
-batches nor on partitions, and a lost task gives the same rows again. No shuffle: Arrow batches of states go in,
+batches nor on partitions, and a lost task gives the same rows again. States are dealt evenly: Arrow batches of them go in,
 long rows of exit mass come out.
 """
 
@@ -193,7 +193,10 @@ def forecast_exits(states: DataFrame, corridor: Corridor, horizons: list[float],
                 yield out.astype({"bin": "Int64", "mass": "float64"})
 
     d = states.select(F.col(id_col).cast("long").alias("id"), F.col(identity_col).alias("identity"), *(F.col(c).cast("double").alias(c) for c in STATE))
-    return d.where("id is not null").mapInPandas(run, "id long, horizon double, side string, bin long, mass double").withColumnRenamed("id", id_col)
+    d = d.where("id is not null")
+    if count > 1:  # the work on a row outweighs its shuffle by far, and small files make few tasks
+        d = d.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return d.mapInPandas(run, "id long, horizon double, side string, bin long, mass double").withColumnRenamed("id", id_col)
 
 
 def constant_velocity(states: DataFrame) -> DataFrame:
