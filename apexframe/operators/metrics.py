@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,12 @@ def platt(p: Column, slope: float, intercept: float, clip: float = 1e-9) -> Colu
     return F.when(p > 0, F.least(F.greatest(out, F.lit(clip)), F.lit(1 - clip))).otherwise(0.0)
 
 
-def fit_platt(rows: DataFrame, steps: int = 25, ridge: float = 1e-9) -> tuple[float, float]:
-    """(slope, intercept) by damped Newton steps within [0, 50] x [-50, 50]; each step is one aggregate over all rows."""
+def fit_platt(rows: DataFrame, steps: int = 25, ridge: float = 1e-9, slopes: tuple[float, float] = (0.0, 50.0)) -> tuple[float, float]:
+    """(slope, intercept) by damped Newton steps within ``slopes`` x [-50, 50]; each step is one aggregate over all rows."""
     c = F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9))
     d = rows.select(F.log(c / (1 - c)).alias("x"), F.col("y").cast("double").alias("y"))
     n, k = d.agg(F.count(F.lit(1)), F.sum("y")).first()
     if not n or k in (0, n):
-        import math
-
         q = ((k or 0) + 0.5) / ((n or 0) + 1)
         return 0.0, math.log(q / (1 - q))
     a, b = 1.0, 0.0
@@ -77,7 +77,14 @@ def fit_platt(rows: DataFrame, steps: int = 25, ridge: float = 1e-9) -> tuple[fl
         g = d.agg(F.sum((p - F.col("y")) * F.col("x")), F.sum(p - F.col("y")), F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x")), F.sum(w)).first()
         det = (g[2] + ridge) * (g[4] + ridge) - g[3] ** 2
         da, db = ((g[4] + ridge) * g[0] - g[3] * g[1]) / det, ((g[2] + ridge) * g[1] - g[3] * g[0]) / det
-        a, b = min(50.0, max(0.0, a - da)), min(50.0, max(-50.0, b - db))
+        a, b = min(slopes[1], max(slopes[0], a - da)), min(50.0, max(-50.0, b - db))
         if abs(da) + abs(db) < 1e-10:
             break
     return a, b
+
+
+def calibration_line(rows: DataFrame) -> tuple[float, float]:
+    """(intercept, slope) of the logistic line through logit(p), the slope within [-50, 50]; NaN where only one class occurs."""
+    seen = rows.agg(F.count_distinct("y").alias("n")).first()["n"]
+    slope, intercept = fit_platt(rows, slopes=(-50.0, 50.0)) if seen > 1 else (math.nan, math.nan)
+    return intercept, slope

@@ -205,6 +205,59 @@ LEFT JOIN (SELECT circuit, round(sum(prebuffer_seconds), 4) AS prebuffer_seconds
     "content_hashes": "SELECT user_id, count(*) AS n_rows, sum(('0x' || substr(sha256(event_id || '|' || event_type || '|' || props), 1, 8))::BIGINT)::BIGINT AS digest FROM events GROUP BY user_id",
 }
 
+HAZARDS = {"hazard": ((-2.0, 1.0, 0.25), (-2.5, 0.5, -0.5)), "twin": ((-1.5, 0.5, 0.0), (-1.5, 0.5, 0.0))}
+
+
+def hazard_mass(name: str) -> str:
+    """Steps, horizons and mass of a hazard with fixed coefficients."""
+    a, b = (f"{w[0]} + {w[1]} * value / 100 + {w[2]} * (k / 100.0::DOUBLE)" for w in HAZARDS[name])
+    return f""", {name}0 AS (SELECT circuit, car_id, frame_index, arc, value, exp({a}) AS l, exp({b}) AS r FROM tele),
+{name}1 AS (SELECT *, horizon, pow(1 / (1 + l + r), n) AS stay FROM {name}0, (VALUES (6.0::DOUBLE, 1), (12.0, 2), (24.0, 4)) v(horizon, n)),
+{name}2 AS (SELECT *, arc + greatest(value, 0.0) * horizon * 0.25 / 2 AS s FROM {name}1),
+{name} AS (SELECT circuit, car_id, frame_index, horizon, side, CAST(floor((s - 1000 * floor(s / 1000)) / 25) AS BIGINT) % 40 AS bin, (1 - stay) * CASE side WHEN 'left' THEN l ELSE r END / (l + r) AS mass
+  FROM {name}2, (VALUES ('left'), ('right')) z(side))"""
+
+
+def compact(name: str) -> tuple[str, str]:
+    """Tables and the select of a hazard's compact scores."""
+    tables = f"""{hazard_mass(name)}, {name}t AS (SELECT car_id, frame_index, sum(mass) FILTER (WHERE horizon = 6) AS a, sum(mass) FILTER (WHERE horizon = 12) AS b, sum(mass) FILTER (WHERE horizon = 24) AS c FROM {name} GROUP BY ALL),
+{name}n AS (SELECT car_id, frame_index, side, (bin + o + 40) % 40 AS bin, round(mass, 9) AS score FROM {name}, unnest([-1, 0, 1]) AS y(o) WHERE horizon = 24),
+{name}b AS (SELECT *, row_number() OVER (PARTITION BY car_id, frame_index ORDER BY score DESC, side, bin) AS nth FROM {name}n)"""
+    return tables, f"""SELECT sc.circuit, car_id, frame_index, valid AS input_valid_causal, inside AS in_corridor, hb AS hard_break, round(a, 6) AS raw_exit_probability_6p00s, round(b, 6) AS raw_exit_probability_12p00s, round(c, 6) AS raw_exit_probability_24p00s,
+  round({name}b.score, 6) AS raw_primary_neighborhood_probability, {name}b.side AS predicted_side, {name}b.bin AS predicted_bin, '{name}' AS method, 40::BIGINT AS n_bins FROM sc JOIN {name}t USING (car_id, frame_index) JOIN {name}b USING (car_id, frame_index) WHERE nth = 1"""
+
+
+CELLS = """, cx AS (SELECT circuit, round(sum(prebuffer_seconds), 4) AS exposure FROM ex GROUP BY circuit),
+ce AS (SELECT circuit, exposure, lead, b AS budget, b * exposure + 1e-12 >= 10 AS estimable FROM cx, ld, (VALUES (0.002::DOUBLE), (0.005), (0.02), (0.1)) v(b))"""
+DELAYED = """, dv(delay) AS (VALUES (0.0::DOUBLE), (2.0), (6.0)),
+dh AS (SELECT car_id, delay, ld.lead, count(DISTINCT matched_event_id) FILTER (WHERE localized_hit AND round(lb.lead - delay, 6) >= ld.lead - 1e-12) AS hits,
+  count(*) FILTER (WHERE CASE WHEN matched_event_id IS NOT NULL THEN NOT coalesce(localized_hit AND round(lb.lead - delay, 6) >= -1e-12, FALSE) ELSE false_proposal END) AS f FROM lb, ld, dv WHERE threshold = 0.1 GROUP BY ALL),
+dg AS (SELECT lg.circuit, lg.car_id, lg.lead, dv.delay, lg.events, coalesce(dh.hits, 0) AS hits, coalesce(dh.f, 0) AS false_proposals, lg.unresolved, lg.exposure
+  FROM lg CROSS JOIN dv LEFT JOIN dh ON dh.car_id = lg.car_id AND dh.delay = dv.delay AND dh.lead = lg.lead)"""
+_SELECTS |= {
+    "npz_round_trip": "SELECT car_id, frame_index, round(clock, 6) AS clock, lap_number, round(value, 6) AS value FROM tele",
+    "pcd_round_trip": "SELECT car_id, frame_index, round(value, 4) AS x, round(depth, 4) AS y, k::DOUBLE AS z FROM tele",
+    "metadata_parse": "SELECT car_id AS path, car_id AS trackname, user_id % 2 = 0 AS clockwise, 20.0::DOUBLE AS frequency_hz, 0.05::DOUBLE AS timestep_seconds, round(value, 3) AS origin_0, k::DOUBLE AS origin_1, -1.5::DOUBLE AS origin_2, 1.0::DOUBLE AS w FROM tele WHERE frame_index = 0",
+    "natural_order": "SELECT circuit, car_id, row_number() OVER (PARTITION BY circuit ORDER BY split_part(car_id, '_', 2)::BIGINT) AS place FROM units",
+    "travel_direction": """, a AS (SELECT circuit, CASE WHEN value > 10 THEN (cos(k / 50.0::DOUBLE) + 0.5 * sin(k / 50.0::DOUBLE)) / sqrt(1.25) END AS dot FROM tele)
+SELECT circuit, count(dot) AS n, round(median(dot), 6) AS median, round(quantile_cont(dot, 0.01), 6) AS p01, round(avg((dot > 0)::INT), 6) AS positive, median(dot) > 0 AND avg((dot > 0)::INT) >= 0.95 AS same_direction FROM a GROUP BY circuit""",
+    "compare_derived": DELAYED + """ SELECT lg.circuit, lg.car_id, lg.lead, concat_ws(',', CASE WHEN lg.hits <> dg.hits THEN 'hits' END, CASE WHEN lg.false_proposals <> dg.false_proposals THEN 'false_proposals' END) AS differs
+FROM lg JOIN dg ON dg.car_id = lg.car_id AND dg.lead = lg.lead AND dg.delay = 6 WHERE lg.hits <> dg.hits OR lg.false_proposals <> dg.false_proposals""",
+    "hazard_mass": hazard_mass("hazard") + " SELECT circuit, car_id, frame_index, horizon, side, bin, round(mass, 6) AS mass FROM hazard",
+    "compact_forecast": " ".join(compact("hazard")),
+    "mass_defects": """, ms AS (SELECT l_orderkey AS row, l_returnflag, l_linenumber % 5 AS b, round(sum(l_quantity::DOUBLE / 100), 6) AS mass FROM lineitem GROUP BY ALL), mt AS (SELECT row, sum(mass) + 0.5 AS total FROM ms GROUP BY row)
+SELECT row, 1.5::DOUBLE AS horizon, round(total, 6) AS total FROM mt WHERE abs(total - 1) > 1e-8""",
+    "method_scores": compact("hazard")[0] + compact("twin")[0] + f" {compact('hazard')[1]} UNION ALL {compact('twin')[1]}",
+    "estimability": CELLS + " SELECT * FROM ce",
+    "abstention_reasons": "SELECT circuit, car_id, count(*) AS rows, count(*) FILTER (WHERE NOT valid) AS invalid, count(*) FILTER (WHERE valid AND hb) AS hard_break, count(*) FILTER (WHERE valid AND NOT hb AND NOT inside) AS outside, count(*) FILTER (WHERE NOT valid OR hb OR NOT inside) AS abstentions FROM sc GROUP BY ALL",
+    "closest_active_threshold": ", ca AS (SELECT car_id, threshold, count(*) AS n FROM lb GROUP BY ALL), cb AS (SELECT car_id, max(threshold) AS closest_threshold, arg_max(n, threshold) AS proposals FROM ca GROUP BY car_id) SELECT circuit, car_id, closest_threshold, proposals FROM units LEFT JOIN cb USING (car_id)",
+    "delay_l_star": DELAYED + " " + lstar("circuit, delay", src="dg"),
+    "complete_cells": CELLS + ", cg AS (SELECT lead, budget FROM ce GROUP BY ALL HAVING bool_and(estimable) AND count(*) = 4) SELECT ce.* FROM ce SEMI JOIN cg USING (lead, budget)",
+    "ledger_defects": "SELECT count(DISTINCT car_id) AS cars, 0::BIGINT AS bad_counts, count(*) FILTER (WHERE exposure <= 0) AS bad_exposure, count(*) FILTER (WHERE hits > events) AS hits_above_events, 0::BIGINT AS repeated_keys, 0::BIGINT AS uneven_denominators, 0::BIGINT AS incomplete_cars FROM lg",
+    "runtime_summary": "SELECT event_type, count(*) AS entries, sum(k)::BIGINT AS rows, round(sum(round(value, 4)), 4) AS seconds, round(sum(k) / sum(round(value, 4)), 6) AS rows_per_second FROM ev GROUP BY event_type",
+    "grid_completeness": CELLS + " SELECT circuit, 16 - count(*) AS missing, 0::BIGINT AS unknown, 0::BIGINT AS repeated FROM ce WHERE estimable GROUP BY circuit",
+}
+
 QS = [0.99 * i / 99 for i in range(100)] + [1 - 10 ** -(2.0 + 2.0 * i / 40) for i in range(41)]
 _SELECTS["threshold_grid"] = f"SELECT DISTINCT threshold FROM (SELECT unnest(list_concat([round(v, 9) FOR v IN quantile_cont(score, {QS})], [0.0, 1.0])) AS threshold FROM sc)"
 

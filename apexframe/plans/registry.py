@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexframe.contracts import key_set_difference
@@ -20,11 +21,14 @@ from apexframe.operators import metrics as M
 from apexframe.operators import models as R
 from apexframe.operators import policy as P
 from apexframe.operators import pooling as L
+from apexframe.operators import release as E
 from apexframe.operators import residual as D
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, prob, scores, table, tele
+from apexframe.sources import compact, maps
 from apexframe.sources.integrity import unit_digests
+from apexframe.sources.tables import natural_key
 
 CONFIG = X.ExcursionConfig(gap_merge=12.0, min_depth=1.0, min_duration=6.0, min_lead_in=0.0, artifact=2.0, edge=12.0, exclude_truncated=False)
 POLICY = P.ProposalConfig(horizon=30.0, persistence=1, rearm=10.0)
@@ -248,6 +252,95 @@ def _rate_upper(spark, d):
     return _rounded_scores(H.rate_upper(found, "false_proposals", "exposure"), "exposure", "rate_upper")
 
 
+KEY = [*UNIT, "frame_index"]
+#: Fixed coefficients (intercept, level, place) of the sides of two hazards; a fitted one has no SQL twin.
+HAZARDS = {"hazard": [[-2.0, -2.5], [1.0, 0.5], [0.25, -0.5]], "twin": [[-1.5, -1.5], [0.5, 0.5], [0.0, 0.0]]}
+HORIZON_STEPS = {6.0: 1, 12.0: 2, 24.0: 4}
+
+
+def _hazard_rows_at(spark, d, weights):
+    t = tele(spark, d).select(*KEY, "centerline_arclength_wrapped_m", "value", (F.col("value") / 100).alias("level"), (F.col("k") / 100.0).alias("place"))
+    return H.horizon_probabilities(H.step_probabilities(t, ["level", "place"], np.array(weights)), HORIZON_STEPS)
+
+
+def _hazard_mass(spark, d, weights=HAZARDS["hazard"]):
+    return E.hazard_mass(_hazard_rows_at(spark, d, weights), KEY, "centerline_arclength_wrapped_m", "value", list(HORIZON_STEPS), 1000.0, 25.0, 0.25)
+
+
+def _compact(spark, d, method="hazard"):
+    keys = scores(spark, d).select(*KEY, "input_valid_causal", "in_corridor", "hard_break")
+    out = E.compact_forecast(_hazard_mass(spark, d, HAZARDS[method]), keys, KEY, list(HORIZON_STEPS), 24.0, 40, method)
+    return _rounded_scores(out, *(c for c in out.columns if c.startswith("raw_")))
+
+
+def _mass_defects(spark, d):
+    """Mass that isn't one: line items whose forecast stands for too much, against a stay of 0.5."""
+    m = _mass(spark, d).select("row", F.lit(1.5).alias("horizon"), "mass")
+    stay = m.select("row", "horizon").distinct().withColumn("h_no_exit", F.lit(0.5))
+    return E.mass_defects(m, stay, ["row"]).withColumn("total", F.round("total", 6))
+
+
+def _delay_ledger(spark, d):
+    labels = _labels(spark, d).where("threshold = 0.1").select("*", F.explode(F.array(*map(F.lit, DELAYS))).alias("delay"))
+    labels = labels.select("*", F.explode(F.array(*map(F.lit, LEADS))).alias("need"))
+    left = F.round(F.col("lead") - F.col("delay"), 6)
+    hit = F.when(F.col("localized_hit") & (left >= F.col("need") - 1e-12), F.col("matched_event_id"))
+    wrong = F.when(F.col("matched_event_id").isNotNull(), ~F.coalesce(F.col("localized_hit") & (left >= -1e-12), F.lit(False))).otherwise(F.col("false_proposal"))
+    found = labels.groupBy(*UNIT, "delay", F.col("need").alias("lead")).agg(F.count_distinct(hit).alias("hits"), F.count_if(wrong).alias("false_proposals"))
+    base = _ledger(spark, d).drop("hits", "false_proposals").withColumn("delay", F.explode(F.array(*map(F.lit, DELAYS))))
+    return base.join(found, [*UNIT, "delay", "lead"], "left").fillna(0, ["hits", "false_proposals"])
+
+
+def _cells(spark, d):
+    """A cell for each circuit, lead and budget, with whether its exposure allows one false alert."""
+    x = _exposure(spark, d).groupBy("circuit").agg(F.round(F.sum("prebuffer_seconds"), 4).alias("exposure"))
+    cells = x.withColumn("lead", F.explode(F.array(*map(F.lit, LEADS)))).withColumn("budget", F.explode(F.array(*map(F.lit, BUDGETS))))
+    return cells.withColumn("estimable", E.estimable(F.col("budget"), F.col("exposure"), 10.0))
+
+
+def _recomputed(spark, d):
+    """Cars whose false proposals of the longest and shortest lead, recomputed from the labels with a delay, differ from the ledger."""
+    late = _delay_ledger(spark, d).where("delay = 6").select(*UNIT, "lead", "hits", "false_proposals")
+    return E.compare_derived(_ledger(spark, d), late, [*UNIT, "lead"], ["hits", "false_proposals"]).withColumn("differs", F.concat_ws(",", "differs"))
+
+
+def _npz(spark, d):
+    t = tele(spark, d)
+    files = compact.pack_arrays(t, F.concat(F.lit("cars/"), "car_id", F.lit("/lap_data.npz")), "frame_index", ["current_lap_time", "lap_number", "value"])
+    back = compact.array_rows(compact.read_arrays(files), {"clock": ("current_lap_time", 0), "lap_number": ("lap_number", 0), "value": ("value", 0)})
+    return back.select(F.element_at(F.split("path", "/"), -2).alias("car_id"), F.col("sample").alias("frame_index"), F.round("clock", 6).alias("clock"), F.col("lap_number").cast("long").alias("lap_number"), F.round("value", 6).alias("value"))
+
+
+def _pcd(spark, d):
+    t = tele(spark, d).select("car_id", "frame_index", F.round("value", 4).alias("x"), F.round("outside_depth_m", 4).alias("y"), F.col("k").cast("double").alias("z"))
+    clouds = maps.read_clouds(maps.cloud_text(t, ["car_id"], "frame_index").withColumnRenamed("car_id", "path"))
+    return maps.cloud_points(clouds).withColumnsRenamed({"path": "car_id", "point": "frame_index"})
+
+
+def _metadata(spark, d):
+    first = tele(spark, d).where("frame_index = 0").select("car_id", "user_id", F.round("value", 3).alias("v"), "k")
+    line = lambda *parts: F.concat(*(F.lit(p) if p not in ("v", "k", "car_id") else F.col(p).cast("string") for p in parts))
+    turn = F.concat(F.lit("clockwise: "), F.when(F.col("user_id") % 2 == 0, "true").otherwise("false"))
+    text = F.concat_ws("\n", line("# pose"), line("trackname: ", "car_id"), turn, line("frequency_history: 20"), line("timestep_history: 0.05"), line("starting_pose_origin:"), line("- ", "v"), line("- ", "k"), line("- -1.5e0"), line("starting_pose_quaternion:"), *(line(f"- {q}") for q in ("0", "0.0", "0", "1")))
+    got = maps.require_clean(maps.read_metadata(first.select(F.col("car_id").alias("path"), text.alias("text"))))
+    return got.select("path", "trackname", "clockwise", "frequency_hz", "timestep_seconds", *(F.col("origin")[i].alias(f"origin_{i}") for i in range(3)), F.col("quaternion")[3].alias("w"))
+
+
+def _direction(spark, d):
+    turn = F.col("k") / 50.0
+    return E.travel_direction(tele(spark, d), ["circuit"], (F.cos(turn), F.sin(turn)), (F.lit(1.0), F.lit(0.5)), F.col("value"))
+
+
+def _calibration_line(spark, d):
+    intercept, slope = M.calibration_line(prob(spark, d))
+    return prob(spark, d).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(round(intercept, 5)).alias("intercept"), F.lit(round(slope, 5)).alias("slope"))
+
+
+def _runtime(spark, d):
+    log = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("rows"), F.round("value", 4).alias("seconds"))
+    return E.runtime_summary(log, "event_type", "rows", "seconds")
+
+
 QUERIES = {
     "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
     "timebase_axis": _axis,  # 15, 17
@@ -314,5 +407,24 @@ QUERIES = {
     "bootstrap_l_star": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1),  # 113-115
     "bootstrap_two_stage": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.two_stage_draws(_units(s, d), DRAWS, "t"), 0.1, 0.1),  # 116
     "reliability_bootstrap": _reliability_boot,  # 117
+    "npz_round_trip": _npz,  # 1, 2, 10
+    "pcd_round_trip": _pcd,  # 5
+    "metadata_parse": _metadata,  # 4
+    "natural_order": lambda s, d: _units(s, d).select(*UNIT, F.row_number().over(Window.partitionBy("circuit").orderBy(natural_key(F.col("car_id")))).alias("place")),  # 14
+    "travel_direction": _direction,  # 30
+    "compare_derived": _recomputed,  # 53, 120
+    "hazard_mass": lambda s, d: _rounded_scores(_hazard_mass(s, d), "mass"),  # 80
+    "compact_forecast": _compact,  # 82
+    "mass_defects": _mass_defects,  # 82
+    "method_scores": lambda s, d: E.score_methods([_compact(s, d, m) for m in HAZARDS]),  # 83
+    "calibration_line": _calibration_line,  # 92
+    "estimability": _cells,  # 104
+    "abstention_reasons": lambda s, d: E.abstention_reasons(scores(s, d), UNIT),  # 105
+    "closest_active_threshold": lambda s, d: E.closest_active(_units(s, d), _labels(s, d), UNIT),  # 107
+    "delay_l_star": lambda s, d: L.l_star(_delay_ledger(s, d), ["circuit", "delay"], 0.1, F.lit(0.1)),  # 111, 121
+    "complete_cells": lambda s, d: E.complete_cells(_cells(s, d), "circuit", ["lead", "budget"], 4),  # 112
+    "ledger_defects": lambda s, d: E.ledger_defects(_ledger(s, d), ["lead"]),  # 118
+    "runtime_summary": _runtime,  # 126
+    "grid_completeness": lambda s, d: E.grid_completeness(_cells(s, d).where("estimable"), "circuit", {"lead": LEADS, "budget": BUDGETS}),  # 132
     "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
 }
