@@ -6,13 +6,20 @@ of character kinds, how far the text compresses. Both are logistic regressions.
 from the labelled rows; in each round either classifier labels the unlabelled documents that it is
 most sure of, and these become training rows of the *other* view. Each view is then
 calibrated (Platt) on labelled rows held out from training, and a last
-logistic regression on the two calibrated log-odds gives the score. Spark computes the
+logistic regression on the two calibrated log-odds gives the probability of good quality. Spark computes the
 features of the sample and scores all documents; only weights are broadcast.
+
+Toxicity is a label of its own, which pairs of characters hardly show. A second pair of co-trained
+views learns it: which words of a lexicon the text has, and the same page view. The lexicon holds the
+words whose shares among toxic and other training rows differ beyond chance. A document is as good as
+the worse of its quality and its freedom from toxicity.
 """
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -31,6 +38,11 @@ LABELLED_ROWS = 2400
 POOL_ROWS = 1200
 HELD_OUT = 0.3
 ROUNDS = 3
+#: Words of the toxicity view at most, and the deviations from chance that a word needs.
+LEXICON = 256
+DEVIATIONS = 4.5
+
+_WORD = re.compile(r"[^\W\d_]+")
 
 _LETTERS, _DIGIT, _SPACE, _NEWLINE, _WIDE, _CONTROL = 0, 26, 27, 28, 29, 30
 
@@ -102,6 +114,36 @@ def views(text: str | None, source: str | None, lang: str | None, n_chars: int |
     return content, page
 
 
+def words_of(text: str | None) -> set[str]:
+    """Distinct words (runs of letters, without case) of a text."""
+    return set(_WORD.findall((text or "").lower()))
+
+
+def lexicon(words: list[str], y: np.ndarray, most: int = LEXICON) -> list[str]:
+    """Words whose share of the rows of class 1 differs most from that of class 0; ``words`` has the distinct words of each row, joined by spaces."""
+    counts = Counter(), Counter()
+    for row, label in zip(words, y, strict=True):
+        counts[int(label)].update(row.split())
+    n, n1 = len(y), int(y.sum())
+    found = []
+    for word in counts[1].keys() | counts[0].keys():
+        a, both = counts[1][word], counts[1][word] + counts[0][word]
+        spread = both * n1 / n * (1 - n1 / n) * (1 - both / n)
+        z = abs(a - both * n1 / n) / np.sqrt(spread) if both >= 4 and spread > 0 else 0
+        if z >= DEVIATIONS:
+            found.append((-z, word))
+    return [w for _, w in sorted(found)[:most]]
+
+
+def present(rows: list[set[str]], place: dict[str, int]) -> np.ndarray:
+    """Which words of a lexicon each row has."""
+    out = np.zeros((len(rows), len(place)), np.float32)
+    for i, row in enumerate(rows):
+        for w in place.keys() & row:
+            out[i, place[w]] = 1
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
@@ -166,6 +208,8 @@ class QualityModel:
     page: Logistic | None = None
     calibration: tuple[np.ndarray, np.ndarray] | None = None
     combine: np.ndarray | None = None
+    toxic: QualityModel | None = None
+    words: dict[str, int] | None = None
 
     def score(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, page view, combined) probabilities of good quality."""
@@ -175,6 +219,14 @@ class QualityModel:
         a, b = (np.clip(m.odds(x) * c[0] + c[1], -12, 12) for m, x, c in ((self.text, content, self.calibration[0]), (self.page, page, self.calibration[1])))
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.combine)
 
+    def toxicity(self, texts: list[str | None], page: np.ndarray) -> np.ndarray:
+        """Probability that a text is toxic; 0 without a toxic label to learn from."""
+        if self.toxic is None:
+            return np.zeros(len(texts))
+        if self.toxic.constant is not None:
+            return np.full(len(texts), self.toxic.constant)
+        return self.toxic.score(present([words_of(t) for t in texts], self.words), page)[2]
+
 
 def co_train(content: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = 0.95, share: float = 0.1) -> QualityModel:
     """Co-train on rows with labels ``y`` (NaN: unlabelled); rows in ``held`` only calibrate.
@@ -220,30 +272,41 @@ def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     return [plain(id_col, "long").alias("id"), plain(text_col, "string").alias("text"), plain(source_col, "string").alias("source"), plain(lang_col, "string").alias("lang"), plain(chars_col, "long").alias("n_chars")]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS) -> QualityModel:
-    """Fit on about ``labelled_rows`` labelled documents and ``pool_rows`` others, chosen by a hash of the id."""
-    marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).cast("double").alias("y"))
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, toxic_col: str = "toxic") -> QualityModel:
+    """Fit quality and, where ``labels`` has that column, toxicity on about ``labelled_rows`` labelled documents and ``pool_rows`` others, chosen by a hash of the id."""
+    toxic = F.col(toxic_col) if toxic_col in labels.columns else F.lit(None)
+    marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"), toxic.cast("double").alias("toxic"))
+    marks = marks.where((F.col("y").isNotNull() | F.col("toxic").isNotNull()) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"), F.max("toxic").alias("toxic"))
     marks = marks.checkpoint()
     n_labels, n_docs = marks.count(), docs.count()
     chosen = marks.where(uniform(F.col("id"), F.lit(3)) < labelled_rows / max(1, n_labels))
     rows = docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
     in_pool = uniform(F.col("id"), F.lit(5)) < pool_rows / max(1, n_docs)
-    picked = rows.join(F.broadcast(chosen), "id", "left").where(F.col("y").isNotNull() | in_pool)  # `chosen` is bounded by labelled_rows
+    picked = rows.join(F.broadcast(chosen), "id", "left").where(F.col("y").isNotNull() | F.col("toxic").isNotNull() | in_pool)  # `chosen` is bounded by labelled_rows
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [views(*x) for x in zip(pdf["text"], pdf["source"], pdf["lang"], pdf["n_chars"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "content": [c.astype(np.float16).tobytes() for c, _ in found], "page": [p.tobytes() for _, p in found]})
+            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "toxic": pdf["toxic"], "words": [" ".join(sorted(words_of(t))) for t in pdf["text"]], "content": [c.astype(np.float16).tobytes() for c, _ in found], "page": [p.tobytes() for _, p in found]})
 
-    got = picked.withColumn("id", F.col("id").cast("string")).mapInPandas(featurise, "id string, y double, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
-    if got.empty or got["y"].isna().all():
+    got = picked.withColumn("id", F.col("id").cast("string")).mapInPandas(featurise, "id string, y double, toxic double, words string, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
+    if got.empty or got[["y", "toxic"]].isna().all(axis=None):
         return QualityModel(constant=0.5)
     content = np.empty((len(got), TEXT_WIDTH), np.float32)
     for i, row in enumerate(got.pop("content")):
         content[i] = np.frombuffer(row, np.float16)
     page = np.frombuffer(b"".join(got["page"]), np.float32).reshape(len(got), PAGE_WIDTH)
     held = np.array([xxhash.xxh3_64_intdigest(str(i), seed=9) / 2**64 < HELD_OUT for i in got["id"]])
-    return co_train(content, page, got["y"].to_numpy(float), held)
+    y = got["y"].to_numpy(float)
+    model = QualityModel(constant=0.5) if np.isnan(y).all() else co_train(content, page, y, held)
+    del content
+    y = got["toxic"].to_numpy(float)
+    if (y == 1).any():
+        fit = ~np.isnan(y) & ~held
+        fit = fit if len(np.unique(y[fit])) == 2 else ~np.isnan(y)
+        model.words = {w: i for i, w in enumerate(lexicon(got["words"][fit].tolist(), y[fit]))}
+        model.toxic = co_train(present([set(w.split()) for w in got["words"]], model.words), page, y, held)
+    return model
 
 
 def _scored(batch: pa.RecordBatch, names: list[str], model: QualityModel, size: int = 256) -> Iterator[tuple[int, int, tuple]]:
@@ -253,26 +316,31 @@ def _scored(batch: pa.RecordBatch, names: list[str], model: QualityModel, size:
         n = min(size, batch.num_rows - at)
         lists = [[None] * n if c is None else c.slice(at, n).to_pylist() for c in columns]
         found = [views(*x) for x in zip(*lists, strict=True)]
-        yield at, n, model.score(np.stack([c for c, _ in found]), np.stack([p for _, p in found]))
+        page = np.stack([p for _, p in found])
+        a, b, good = model.score(np.stack([c for c, _ in found]), page)
+        toxic = model.toxicity(lists[0], page)
+        yield at, n, (a, b, toxic, np.minimum(good, 1 - toxic))
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
-    """Scores of all documents: id, text_score, page_score, score, rejected (score < threshold).
+    """Scores of all documents: id, text_score, page_score (quality), toxic_score, score, rejected (score < threshold).
+
+    The score is the lesser of the probability of good quality and that of not being toxic.
 
     Edge cases: null or empty texts are scored by what they have (no characters); null
     metadata is a value of its own; with no labels every score is 0.5 and nothing is
-    rejected; with labels of one class the score is that class's smoothed share. Repeated rows score alike; an
+    rejected; with labels of one class the score is that class's smoothed share; without toxic labels toxic_score is 0. Repeated rows score alike; an
     empty table gives an empty result; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, (a, b, c) in _scored(batch, ["text", "source", "lang", "n_chars"], shared.value):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(np.asarray(x, np.float64)) for x in (a, b, c)), pa.array(c < threshold)], names=["id", "text_score", "page_score", "score", "rejected"])
+            for at, n, (a, b, t, c) in _scored(batch, ["text", "source", "lang", "n_chars"], shared.value):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(np.asarray(x, np.float64)) for x in (a, b, t, c)), pa.array(c < threshold)], names=["id", "text_score", "page_score", "toxic_score", "score", "rejected"])
 
     rows = docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
-    found = rows.mapInArrow(run, "id long, text_score double, page_score double, score double, rejected boolean")
+    found = rows.mapInArrow(run, "id long, text_score double, page_score double, toxic_score double, score double, rejected boolean")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -282,7 +350,7 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", sour
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, n, (_, _, c) in _scored(batch, [text_col, source_col, lang_col, chars_col], shared.value):
+            for at, n, (_, _, _, c) in _scored(batch, [text_col, source_col, lang_col, chars_col], shared.value):
                 yield batch.slice(at, n).filter(pa.array(c >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -184,6 +184,19 @@ def test_quality(docs, empty, labels):
     assert score_documents(empty, fit_quality(empty, labels)).count() == 0
 
 
+def test_toxic_documents_are_rejected_whatever_their_quality(spark):
+    fill = ["lorem", "ipsum", "dolor", "sit", "amet", "magna", "aliqua", "erat"]
+    text = lambda i: " ".join(fill[(i * 7 + k * k) % 8] + fill[(i + k) % 8] for k in range(20)) + (" Vilest word" if i % 5 == 0 else " kind word")
+    docs = spark.createDataFrame([(i, text(i), "en", "s", 200) for i in range(600)], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    model = fit_quality(docs, labels)
+    got = {r.doc_id: r for r in score_documents(docs, model).collect()}
+    unseen = range(300, 600)
+    assert all(got[i].rejected == (i % 5 == 0) and (got[i].toxic_score > 0.5) == (i % 5 == 0) for i in unseen)
+    assert {r.doc_id for r in keep_good(docs, model).collect()} == {i for i in got if i % 5}
+    assert score_documents(docs, fit_quality(docs, labels.drop("toxic"))).where("rejected or toxic_score > 0").count() == 0
+
+
 def test_extraction(spark):
     rows = [
         (1, "http://h/a", "<body><nav>menu</nav><article><h1>T &amp; U</h1><p>one<p>two <b>bo</b>ld<br>x</p><script>no</script></article><footer>foot"),
