@@ -40,6 +40,9 @@ ROLES = frozenset("alert banner complementary contentinfo dialog form menu menub
 COVERS = 0.6
 SEMANTIC_BONUS = 1.5
 
+#: A marked element with that part of the page's plain text may be the article's wrapper.
+WRAPS = 0.75
+
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*))>?|<[!?][^>]*>?", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -52,21 +55,27 @@ class Page:
     def __init__(self, source: str):
         self.parts: list[str] = []
         self.containers: list[list] = [["", "", 0, 0, 0, -1]]  # path, tag, first part, end, plain characters, parent
-        self._parse(source)
-
-    def _parse(self, source: str) -> None:
+        wrappers: set[int] = set()
+        while found := self._parse(source, wrappers):
+            wrappers |= found
+            del self.parts[:], self.containers[1:]
+            self.containers[0][4] = 0
+
+    def _parse(self, source: str, wrappers: set[int]) -> set[int]:
+        """Fill parts and containers; the result is marked elements (by position) that wrap the article, so that the page must be parsed anew."""
         parts, boxes = self.parts, self.containers
-        stack: list[tuple[str, int, bool, bool]] = []  # tag, its container or -1, dropped, in a link
-        box, dropped, linked, at = 0, False, False, 0
+        stack: list[tuple[str, int, int, bool, int]] = []  # tag, its container or -1, and what held outside: dropped, in a link, mark
+        marks: list[list] = []  # position, part, plain characters, parent, whether a whole name marks it, whether it holds an article
+        box, dropped, linked, at, mark = 0, 0, False, 0, -1  # dropped: 1 by a mark, 2 by a tag
 
         def close(depth: int) -> None:
-            nonlocal box, dropped, linked
+            nonlocal box, dropped, linked, mark
             while len(stack) > depth:
-                tag, own, was_dropped, was_linked = stack.pop()
+                tag, own, was_dropped, was_linked, was_mark = stack.pop()
                 if own >= 0:
                     boxes[own][3] = len(parts)
                     box = boxes[own][5]
-                dropped, linked = was_dropped, was_linked
+                dropped, linked, mark = was_dropped, was_linked, was_mark
                 if tag not in INLINE and not dropped:
                     parts.append(" ")
 
@@ -75,6 +84,8 @@ class Page:
                 parts.append(entities.unescape(piece) if "&" in piece else piece)
                 if not linked:
                     boxes[box][4] += len(piece.strip())
+            elif piece and dropped == 1 and not linked:
+                marks[mark][2] += len(piece.strip())
 
         n = len(source)
         while at < n:
@@ -109,12 +120,13 @@ class Page:
                         close(i)
                         if tag != "tr":
                             break
-            words, classes = (), ""
+            classes, whole = "", False
             if m[3]:
                 found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(m[3])}
                 classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").split()} - {""}))
                 words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))} if found else ()
-                marked = found.get("role", "").lower() in ROLES or not MARKS.isdisjoint(words)
+                whole = found.get("role", "").lower() in ROLES or not MARKS.isdisjoint(re.sub(r"\d+", "", f"{found.get('class', '')} {found.get('id', '')}").lower().split())
+                marked = whole or not MARKS.isdisjoint(words)
             else:
                 marked = False
             if tag in RAW:
@@ -124,19 +136,40 @@ class Page:
             if tag not in INLINE and not dropped:
                 parts.append(" ")
             own = -1
-            goes = dropped or tag in DROPPED or (marked and tag not in ("html", "body", "article", "main"))
+            outer, goes = mark, 2 if dropped == 2 or tag in DROPPED else dropped
+            if marked and goes < 2 and tag not in ("html", "body", "article", "main") and m.start() not in wrappers:
+                goes, mark = 1, len(marks)
+                marks.append([m.start(), len(parts), 0, outer, whole, False])
+            elif goes == 1 and tag in SEMANTIC:
+                marks[mark][5] = True
             if tag in CONTAINERS and not goes:
                 own = len(boxes)
                 up = boxes[box][0]
                 name = tag + ("." + classes if classes else "")
                 boxes.append([f"{up}>{name}" if up else name, tag, len(parts), -1, 0, box])
                 box = own
-            stack.append((tag, own, dropped, linked))
+            stack.append((tag, own, dropped, linked, outer))
             dropped, linked = goes, linked or tag == "a"
         close(0)
         boxes[0][3] = len(parts)
         for b in reversed(boxes[1:]):
             boxes[b[5]][4] += b[4]
+        for k in reversed(marks):
+            if k[3] >= 0:
+                marks[k[3]][2] += k[2]
+                marks[k[3]][5] |= k[5]
+        total = boxes[0][4] + sum(k[2] for k in marks if k[3] < 0)
+        big = next((i for i, k in enumerate(marks) if k[3] < 0 and k[2] and k[2] >= WRAPS * total), -1)
+        # A name that as a whole is a mark needs an article inside; no wrapper stands beside an article with text.
+        if big < 0 or any(b[1] in SEMANTIC and b[4] and not b[2] <= marks[big][1] <= b[3] for b in boxes):
+            return set()
+        found: set[int] = set()
+        for i in range(big, len(marks)):
+            k = marks[i]
+            if (i != big and (k[3] != i - 1 or k[2] != marks[big][2])) or (k[4] and not k[5]):
+                break
+            found.add(k[0])
+        return found
 
     def best(self) -> tuple[int, float]:
         """The container that the page votes for, and the part of the page's text that it covers."""

@@ -209,6 +209,20 @@ def test_extraction(spark):
     assert extract_pages(pages.limit(0)).count() == 0
 
 
+def test_extraction_keeps_articles_in_wrappers_with_marked_names(spark):
+    body = "<h1>Title</h1><p>" + "plain words of the article " * 20 + "</p>"
+    text = "Title " + ("plain words of the article " * 20).strip()
+    rows = [
+        (1, "http://a/1", f"<body><div class='layout has-sidebar'><article>{body}</article><div class='sidebar'>aside</div></div></body>"),
+        (2, "http://b/1", f"<body><div class='wrapper header-fixed'><div class='post comments-open'>{body}<div class='ad'>buy</div></div></div></body>"),
+        (3, "http://c/1", f"<body><div class='comments-area'>{body}</div><article>short article</article></body>"),
+        (4, "http://d/1", f"<body><div class='ad'>{body}</div></body>"),
+        (5, "http://e/1", f"<body><div id='header'><main>{body}</main></div><div class='share-box'>share this</div></body>"),
+    ]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: text, 2: text, 3: "short article", 4: "", 5: text}
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, empty, labels, benchmark, tmp_path):
     d = spark.createDataFrame(ROWS, DOCS)
     labels.write.parquet(str(tmp_path / "labels.parquet"))
