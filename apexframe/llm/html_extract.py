@@ -1,12 +1,12 @@
 """Main text of web pages by consensus of each host's pages.
 
-Pass 1 parses every page and scores its containers: starting at the root it descends
-while one container still covers most of the page's text outside links and
-boilerplate. The generalised path of the container found (tags and classes, numbers
+Pass 1 parses every page and scores its containers by their plain text, which is that outside links and
+boilerplate: the best is an article or main that covers most of it, else the innermost
+container that has all of it. The generalised path of the container found (tags and classes, numbers
 removed) is the page's vote. Spark sums the votes by host and path, combining them in
 each task before the shuffle, and picks each host's winner. Pass 2 parses the pages again
-and extracts the containers with the winning path; a page that has none of them, or no text in them,
-uses its own best container.
+and extracts the containers with the winning path; a page that has none of them, or clearly less text in them than
+in its own best container, uses that.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ MARKS = frozenset(
 )
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 
-#: A container is descended into while it covers that part of the page's text.
+#: An article or main is the page's own best if it covers that part of the page's plain text.
 COVERS = 0.6
+#: The host's path must cover that part of the plain text in the page's own best.
+KEEPS = 0.9
 SEMANTIC_BONUS = 1.5
 
 #: A marked element with that part of the page's plain text may be the article's wrapper.
@@ -173,32 +175,41 @@ class Page:
 
     def best(self) -> tuple[int, float]:
         """The container that the page votes for, and the part of the page's text that it covers."""
-        total = self.containers[0][4]
+        boxes = self.containers
+        total = boxes[0][4]
         if not total:
             return 0, 0.0
-        children: dict[int, list[int]] = {}
-        for i, b in enumerate(self.containers[1:], 1):
-            children.setdefault(b[5], []).append(i)
+        # Outermost articles whose containers all cover the page's text: what stands outside them isn't the article.
+        open_to, articles = [True], []
+        for i, (_, tag, _, _, n, up) in enumerate(boxes[1:], 1):
+            covers = open_to[up] and n * (SEMANTIC_BONUS if tag in SEMANTIC else 1.0) >= COVERS * total
+            if covers and tag in SEMANTIC:
+                articles.append(i)
+            open_to.append(covers and tag not in SEMANTIC)
+        if articles:
+            at = max(articles, key=lambda i: (boxes[i][4], -i))
+            return at, boxes[at][4] / total
+        # Else down to the innermost container that still has all plain text.
         at = 0
-        while True:
-            weigh = lambda i: self.containers[i][4] * (SEMANTIC_BONUS if self.containers[i][1] in SEMANTIC else 1.0)
-            down = max(children.get(at, ()), key=lambda i: (weigh(i), -i), default=None)
-            if down is None or weigh(down) < COVERS * total:
-                return at, self.containers[at][4] / total
-            at = down
+        for i, b in enumerate(boxes[1:], 1):
+            if b[5] == at and b[4] == total:
+                at = i
+        return at, 1.0
 
     def text(self, path: str | None) -> str:
         """Text of the containers with that path, else of the page's own best."""
+        own = self.containers[self.best()[0]]
         spans, end = [], -1
         for b in self.containers:
             if b[0] == path and b[2] >= end:
                 spans.append(b)
                 end = b[3]
+        if sum(b[4] for b in spans) < KEEPS * own[4]:
+            spans = [own]
         found = " ".join(" ".join("".join(self.parts[b[2] : b[3]]).split()) for b in spans).strip()
         if found:
             return " ".join(found.split())
-        b = self.containers[self.best()[0]]
-        return " ".join("".join(self.parts[b[2] : b[3]]).split())
+        return " ".join("".join(self.parts[own[2] : own[3]]).split())
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

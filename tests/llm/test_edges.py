@@ -223,6 +223,20 @@ def test_extraction_keeps_articles_in_wrappers_with_marked_names(spark):
     assert got == {1: text, 2: text, 3: "short article", 4: "", 5: text}
 
 
+def test_extraction_keeps_what_stands_beside_a_large_child(spark):
+    large = "<div class='body'><p>" + "most of the text " * 20 + "</p></div>"
+    inner = ("most of the text " * 20).strip()
+    rows = [(i, f"http://h/{i}", f"<body><div><a href='/'>all pages</a></div><article><h1>Head</h1><p>lead</p>{large}<p>end</p></article></body>") for i in range(3)]
+    rows += [(10 + i, f"http://g/{i}", f"<body><div class='menu'>menu</div><div class='page'>{large}</div></body>") for i in range(3)]
+    # Pages unlike the others of their host keep all of their own text.
+    rows += [(20, "http://g/20", f"<body><div class='page'><h1>Head</h1>{large}<p>{'an end of some length ' * 5}</p></div></body>")]
+    rows += [(21, "http://g/21", f"<body><div class='page'><div class='body'>little</div><p>{'an end of some length ' * 5}</p></div></body>")]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    end = ("an end of some length " * 5).strip()
+    assert all(got[i] == f"Head lead {inner} end" for i in range(3)) and all(got[10 + i] == inner for i in range(3))
+    assert got[20] == f"Head {inner} {end}" and got[21] == f"little {end}"
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, empty, labels, benchmark, tmp_path):
     d = spark.createDataFrame(ROWS, DOCS)
     labels.write.parquet(str(tmp_path / "labels.parquet"))
