@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns: each operator has a defined result."""
 
 import hashlib
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from apexframe.llm import substring_dedup
 from apexframe.llm.decontaminate import contamination, drop_contaminated
 from apexframe.llm.exact_dedup import exact_dedup
 from apexframe.llm.html_extract import extract_pages
@@ -162,6 +164,24 @@ def test_substrings(docs, empty):
     assert got[3].n_bytes == 0 and got[None].n_removed == 0 and dedup_substrings(empty).count() == 0
 
 
+def test_substrings_of_crowded_anchors_spread_over_buckets(spark):
+    line = "this line of forty-odd bytes is in all of them"
+    passage = "a passage that every document has, longer than one window of fifty bytes by far"
+    own = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    docs = spark.createDataFrame([(i, f"{own(i)} {line} {own(-i)} {passage} {own(i * i + 7)}") for i in range(1, 400)], "doc_id long, text string")
+    rows = lambda crowd: sorted(dedup_substrings(docs, crowd=crowd).collect())
+    assert rows(20) == rows(1 << 40)
+    # One chunk: after the cut no bucket has most of a crowded anchor's windows.
+    body = [r.text.encode() for r in docs.orderBy("doc_id").collect()]
+    sizes = np.array([len(b) for b in body], np.int64)
+    row = SimpleNamespace(ids=np.arange(len(body)).tobytes(), sizes=sizes.tobytes(), uids=b"", body=substring_dedup._squeeze(b"".join(body)))
+    h, shared, count = substring_dedup.Chunk(row).anchors()
+    crowded = h[count > 20]
+    before = np.array([len(i) for _, i in substring_dedup._by_bucket(substring_dedup.Chunk(row).repeated(h[shared], crowded[:0])[1], 64)])
+    after = np.array([len(i) for _, i in substring_dedup._by_bucket(substring_dedup.Chunk(row).repeated(h[shared], crowded)[1], 64)])
+    assert len(crowded) and before.max() > 0.2 * before.sum() and after.max() < 0.05 * after.sum()
+
+
 def test_near_duplicates(docs, empty):
     got = {}
     for r in near_classes(docs).collect():
