@@ -3,11 +3,14 @@
 The text view sees content: frequencies of neighbouring character pairs and how words
 repeat. The page view sees metadata and layout: source, language, lengths, lines, shares
 of character kinds, how far the text compresses. Both are logistic regressions. They start
-from the labelled rows; in each round either classifier labels the unlabelled documents that it is
-most sure of, and these become training rows of the *other* view. Each view is then
+from a bounded sample of the labelled rows; in each round Spark scores *all* documents outside
+that sample with both views, and of each class the distinct texts that a view is most sure of
+become training rows of the *other* view. Each view is then
 calibrated (Platt) on labelled rows held out from training, and a last
-logistic regression on the two calibrated log-odds gives the probability of good quality. Spark computes the
-features of the sample and scores all documents; only weights are broadcast.
+logistic regression on the two calibrated log-odds gives the probability of good quality.
+
+Training rows are featurised where they are and stored in the shared folder; one task fits the
+bounded table of them, and the driver sees nothing but the weights.
 
 Toxicity is a label of its own, which pairs of characters hardly show. A second pair of co-trained
 views learns it: which words of a lexicon the text has, and the same page view. The lexicon holds the
@@ -17,6 +20,7 @@ the worse of its quality and its freedom from toxicity.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -28,16 +32,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import uniform
+from apexframe.llm.common import spread, stored, text_key, uniform
 
-#: At most about so many labelled rows fit the models, and so many unlabelled ones serve as the pool.
+#: About so many labelled rows fit the models, and a view hands over so many pseudo-labelled texts in a round at most.
 LABELLED_ROWS = 2400
-POOL_ROWS = 1200
+PSEUDO_ROWS = 200
 HELD_OUT = 0.3
-ROUNDS = 3
+ROUNDS = 2
+#: A view hands over only what it is that sure of by its calibrated odds, and would be had the classes been of equal size.
+SURE = 0.95
 #: Words of the toxicity view at most, and the deviations from chance that a word needs.
 LEXICON = 256
 DEVIATIONS = 4.5
@@ -162,23 +168,37 @@ class Logistic:
         z = x  # overwritten, so that the driver holds one copy
         z -= mean
         z /= scale
+        if z.shape[0] < z.shape[1]:
+            # The weights stay in the span of the rows: the same steps on one number a row, over inner products.
+            alpha, b = cls._descend(z @ z.T, y, l2, steps, own=True)
+            w = z.T @ alpha
+        else:
+            w, b = cls._descend(z, y, l2, steps)
+        weights = (w / scale).astype(np.float32)
+        return cls(weights, float(b - mean @ weights))
+
+    @staticmethod
+    def _descend(z: np.ndarray, y: np.ndarray, l2: float, steps: int, own: bool = False) -> tuple[np.ndarray, float]:
+        """Accelerated gradient steps; ``own``: z holds inner products of rows and the result is a number for each row."""
+        n = len(z)
+        back = (lambda miss: miss) if own else (lambda miss: z.T @ miss)
         # The bound on the curvature fixes the step: a quarter of the largest singular value squared.
         v = np.ones(z.shape[1], np.float32) / np.sqrt(max(1, z.shape[1]))
+        top = 0.0
         for _ in range(15):
-            u = z.T @ (z @ v)
-            v = u / max(1e-12, float(np.linalg.norm(u)))
-        top = float(np.linalg.norm(z @ v) ** 2) / len(z)
-        step = 1 / (0.25 * (top + 1) * 1.1 + l2)
-        w, b = np.zeros(z.shape[1], np.float32), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+            u = z @ v if own else z.T @ (z @ v)
+            top = float(np.linalg.norm(u))
+            v = u / max(1e-12, top)
+        step = 1 / (0.25 * (top / n + 1) * 1.1 + l2)
+        w, b = np.zeros(z.shape[1], np.float32), float(np.log((y.sum() + 0.5) / (n - y.sum() + 0.5)))
         w0, b0 = w, b
         for t in range(steps):
             k = t / (t + 3)
             wa, ba = w + k * (w - w0), b + k * (b - b0)
             miss = (_sigmoid(z @ wa + ba) - y).astype(np.float32)
             w0, b0 = w, b
-            w, b = wa - step * (z.T @ miss / len(z) + l2 * wa), ba - step * float(miss.mean())
-        weights = (w / scale).astype(np.float32)
-        return cls(weights, float(b - mean @ weights))
+            w, b = wa - step * (back(miss) / n + l2 * wa), ba - step * float(miss.mean())
+        return w, b
 
     def odds(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights + self.bias
@@ -208,15 +228,21 @@ class QualityModel:
     page: Logistic | None = None
     calibration: tuple[np.ndarray, np.ndarray] | None = None
     combine: np.ndarray | None = None
+    prior: float = 0.5
     toxic: QualityModel | None = None
     words: dict[str, int] | None = None
 
+    def odds(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Calibrated log-odds of the text view and of the page view."""
+        a, b = (np.clip(m.odds(x) * c[0] + c[1], -12, 12) for m, x, c in ((self.text, content, self.calibration[0]), (self.page, page, self.calibration[1])))
+        return a, b
+
     def score(self, content: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text view, page view, combined) probabilities of good quality."""
         if self.constant is not None:
             same = np.full(len(content), self.constant)
             return same, same, same
-        a, b = (np.clip(m.odds(x) * c[0] + c[1], -12, 12) for m, x, c in ((self.text, content, self.calibration[0]), (self.page, page, self.calibration[1])))
+        a, b = self.odds(content, page)
         return _sigmoid(a), _sigmoid(b), _sigmoid(np.column_stack([a, b, np.ones(len(a))]) @ self.combine)
 
     def toxicity(self, texts: list[str | None], page: np.ndarray) -> np.ndarray:
@@ -228,84 +254,164 @@ class QualityModel:
         return self.toxic.score(present([words_of(t) for t in texts], self.words), page)[2]
 
 
-def co_train(content: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, rounds: int = ROUNDS, sure: float = 0.95, share: float = 0.1) -> QualityModel:
-    """Co-train on rows with labels ``y`` (NaN: unlabelled); rows in ``held`` only calibrate.
+def fit_views(content: np.ndarray, page: np.ndarray, y: np.ndarray, held: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> QualityModel:
+    """Both views of one label, calibrated and combined.
 
-    In a round each view hands over at most ``share`` of the pool, in the classes' proportions, and
-    only rows that it gives at least ``sure``.
+    ``y`` holds labels (NaN: none), ``told`` the pseudo-labels that each view has from the other (NaN: none);
+    rows in ``held`` only calibrate, unless one of the two parts would lack a class.
     """
     known = ~np.isnan(y)
-    fit, pool = known & ~held, ~known
-    classes = np.unique(y[known])
-    if len(classes) < 2 or len(np.unique(y[fit])) < 2 or len(np.unique(y[known & held])) < 2:
-        if len(classes) < 2:
-            return QualityModel(constant=float((y[known].sum() + 0.5) / (known.sum() + 1)))
-        fit, held = known, known
-    else:
-        held = known & held
-    prior = y[fit].mean()
-    guess = [np.full(len(y), np.nan), np.full(len(y), np.nan)]  # labels that a view has from the other
-    both = (content, page)
-    for turn in range(rounds + 1):
-        models = []
-        for v, x in enumerate(both):
-            rows = fit | ~np.isnan(guess[v])
-            labels = np.where(fit, y, guess[v])[rows]
-            models.append(Logistic.fit(x[rows], labels))
-        if turn == rounds or not pool.any():
-            break
-        for v, x in enumerate(both):
-            open_rows = np.flatnonzero(pool & np.isnan(guess[1 - v]))
-            p = _sigmoid(models[v].odds(x[open_rows]))
-            for label, part, value in ((1.0, p, prior), (0.0, 1 - p, 1 - prior)):
-                most = max(1, round(share * pool.sum() * value))
-                chosen = np.argsort(-part, kind="stable")[:most]
-                guess[1 - v][open_rows[chosen[part[chosen] >= sure]]] = label
-    odds = [m.odds(x[held]) for m, x in zip(models, both, strict=True)]
-    calibration = tuple(_platt(o, y[held]) for o in odds)
+    if len(np.unique(y[known])) < 2:
+        return QualityModel(constant=float((y[known].sum() + 0.5) / (known.sum() + 1)))
+    fit, calibrates = known & ~held, known & held
+    if len(np.unique(y[fit])) < 2 or len(np.unique(y[calibrates])) < 2:
+        fit = calibrates = known
+    models = []
+    for x, guess in zip((content, page), told, strict=True):
+        rows = fit | (~known & ~np.isnan(guess))
+        models.append(Logistic.fit(x[rows], np.where(known, y, guess)[rows]))
+    odds = [m.odds(x[calibrates]) for m, x in zip(models, (content, page), strict=True)]
+    calibration = tuple(_platt(o, y[calibrates]) for o in odds)
     joint = np.column_stack([np.clip(o * c[0] + c[1], -12, 12) for o, c in zip(odds, calibration, strict=True)])
-    return QualityModel(None, models[0], models[1], calibration, _platt(joint, y[held], ridge=0.1))
+    return QualityModel(None, models[0], models[1], calibration, _platt(joint, y[calibrates], ridge=0.1), float(y[fit].mean()))
+
+
+#: A training row: its label and toxicity (null: none), what the views were told, and its features.
+_TOLD = ("text_told", "page_told", "toxic_text_told", "toxic_page_told")
+TRAINING_SCHEMA = "key binary, y double, toxic double, " + ", ".join(f"{c} double" for c in _TOLD) + ", words string, content binary, page binary"
+
+
+def _featurised(rows: DataFrame) -> DataFrame:
+    """(key, y, toxic, told..., text, source, lang, n_chars) rows to training rows."""
+    carried = ["key", "y", "toxic", *_TOLD]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                found = [views(*x) for x in zip(texts, *(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+                out = [pa.array([" ".join(sorted(words_of(t))) for t in texts], pa.string()), pa.array([c.astype(np.float16).tobytes() for c, _ in found], pa.binary()), pa.array([p.tobytes() for _, p in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), *out], names=[*carried, "words", "content", "page"])
+
+    return rows.select(*carried, "text", "source", "lang", "n_chars").mapInArrow(run, TRAINING_SCHEMA)
 
-def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> list:
-    plain = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind)
+
+def _fit_rows(rows: pd.DataFrame) -> QualityModel:
+    """The model of a table of training rows (see TRAINING_SCHEMA), whose order doesn't matter."""
+    rows = rows.sort_values(["key", "content"], kind="stable", ignore_index=True)
+    if rows[["y", "toxic"]].isna().all(axis=None):
+        return QualityModel(constant=0.5)
+    content = np.empty((len(rows), TEXT_WIDTH), np.float32)
+    for i, row in enumerate(rows.pop("content")):
+        content[i] = np.frombuffer(row, np.float16)
+    page = np.frombuffer(b"".join(rows["page"]), np.float32).reshape(len(rows), PAGE_WIDTH)
+    held = np.array([xxhash.xxh3_64_intdigest(k, seed=9) / 2**64 < HELD_OUT for k in rows["key"]])
+    told = [rows[c].to_numpy(float) for c in _TOLD]
+    y, toxic = rows["y"].to_numpy(float), rows["toxic"].to_numpy(float)
+    model = QualityModel(constant=0.5) if np.isnan(y).all() else fit_views(content, page, y, held, (told[0], told[1]))
+    del content
+    if (toxic == 1).any():
+        fit = ~np.isnan(toxic) & ~held
+        fit = fit if len(np.unique(toxic[fit])) == 2 else ~np.isnan(toxic)
+        model.words = {w: i for i, w in enumerate(lexicon(rows["words"][fit].tolist(), toxic[fit]))}
+        model.toxic = fit_views(present([set(w.split()) for w in rows["words"]], model.words), page, toxic, held, (told[2], told[3]))
+    return model
+
+
+def _fitted(training: DataFrame) -> QualityModel:
+    """One task fits the bounded training table; its weights (some 30 KB) come back."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = list(batches)
+        model = _fit_rows(pd.concat(held, ignore_index=True)) if held else QualityModel(constant=0.5)
+        yield pd.DataFrame({"model": [pickle.dumps(model)]})
+
+    row = training.repartition(1).mapInPandas(run, "model binary").first()
+    return pickle.loads(row.model) if row is not None else QualityModel(constant=0.5)
+
+
+def _columns(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str, chars_col: str) -> list[Column]:
+    plain = lambda c, kind: (F.col(f"`{c}`") if c in docs.columns else F.lit(None)).cast(kind)
     return [plain(id_col, "long").alias("id"), plain(text_col, "string").alias("text"), plain(source_col, "string").alias("source"), plain(lang_col, "string").alias("lang"), plain(chars_col, "long").alias("n_chars")]
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, pool_rows: int = POOL_ROWS, toxic_col: str = "toxic") -> QualityModel:
-    """Fit quality and, where ``labels`` has that column, toxicity on about ``labelled_rows`` labelled documents and ``pool_rows`` others, chosen by a hash of the id."""
+def _surest(rows: DataFrame, model: QualityModel, used: DataFrame, most: int) -> DataFrame | None:
+    """Training rows with pseudo-labels: of each label, view and class the distinct texts outside ``used`` that the view is most sure of.
+
+    All of ``rows`` is scored. The classes share ``most`` as the labelled rows do. Copies of a text count once, with the metadata of one of them.
+    """
+    heads = [(name, m) for name, m in (("", model), ("toxic_", model.toxic)) if m is not None and m.constant is None]
+    if not heads:
+        return None
+    names = [f"{name}{view}" for name, _ in heads for view in ("text", "page")]
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                texts = part.column("text").to_pylist()
+                found = [views(*x) for x in zip(texts, *(part.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)]
+                page, odds = np.stack([p for _, p in found]), []
+                if model.constant is None:
+                    odds += model.odds(np.stack([c for c, _ in found]), page)
+                if model.toxic is not None and model.toxic.constant is None:
+                    odds += model.toxic.odds(present([words_of(t) for t in texts], model.words), page)
+                yield pa.RecordBatch.from_arrays([part.column("key"), part.column("pick"), *(pa.array(o.astype(np.float32)) for o in odds)], names=["key", "pick", *names])
+
+    schema = "key binary, pick long, " + ", ".join(f"{n} float" for n in names)
+    # Copies of a text leave one row: the one with the smallest hash of its metadata.
+    one = rows.mapInArrow(score, schema).groupBy("key").agg(F.min(F.struct("pick", *names)).alias("best")).select("key", "best.*")
+    scored = stored(one.join(F.broadcast(used), "key", "left_anti"), "view-odds")  # `used` is a bounded training table
+    logit, chosen = (lambda p: float(np.log(p / (1 - p)))), []
+    for name, m in heads:
+        for view, other in (("text", "page"), ("page", "text")):
+            odds = F.col(f"{name}{view}")
+            for label, way, part in ((1.0, odds, m.prior), (0.0, -odds, 1 - m.prior)):
+                best = scored.where(way >= logit(SURE) + max(0.0, logit(part))).orderBy(F.desc(way), "key").limit(max(1, round(most * part)))
+                told = [F.lit(label if c == f"{name}{other}_told" else None).cast("double").alias(c) for c in _TOLD]
+                chosen.append(best.select("key", "pick", *told))
+    every = chosen[0]
+    for c in chosen[1:]:
+        every = every.unionByName(c)
+    # Two heads or views may choose one text; a bounded table, at most 4 x `most` rows.
+    every = stored(every.groupBy("key", "pick").agg(*(F.max(c).alias(c) for c in _TOLD)), "pseudo-labels")
+    found = rows.join(F.broadcast(every), ["key", "pick"]).groupBy("key", "pick", *_TOLD).agg(F.first(F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    return _featurised(found.select("key", F.lit(None).cast("double").alias("y"), F.lit(None).cast("double").alias("toxic"), *_TOLD, "r.*"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", label_col: str = "quality", labelled_rows: int = LABELLED_ROWS, toxic_col: str = "toxic", rounds: int = ROUNDS, pseudo_rows: int = PSEUDO_ROWS) -> QualityModel:
+    """Fit quality and, where ``labels`` has that column, toxicity by co-training.
+
+    About ``labelled_rows`` labelled ids, chosen by a hash, give one row each (of rows that repeat an id the one with
+    the smallest hash). In each of ``rounds`` rounds a view hands over at most ``pseudo_rows`` texts of each label.
+
+    Edge cases: labels without an id or without any mark, and ids without a document, are left out; of
+    labels that repeat an id the largest counts; without a label of one class the model is constant; an empty table too.
+    """
     toxic = F.col(toxic_col) if toxic_col in labels.columns else F.lit(None)
     marks = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y"), toxic.cast("double").alias("toxic"))
     marks = marks.where((F.col("y").isNotNull() | F.col("toxic").isNotNull()) & F.col("id").isNotNull()).groupBy("id").agg(F.max("y").alias("y"), F.max("toxic").alias("toxic"))
-    marks = marks.checkpoint()
-    n_labels, n_docs = marks.count(), docs.count()
-    chosen = marks.where(uniform(F.col("id"), F.lit(3)) < labelled_rows / max(1, n_labels))
-    rows = docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
-    in_pool = uniform(F.col("id"), F.lit(5)) < pool_rows / max(1, n_docs)
-    picked = rows.join(F.broadcast(chosen), "id", "left").where(F.col("y").isNotNull() | F.col("toxic").isNotNull() | in_pool)  # `chosen` is bounded by labelled_rows
-
-    def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [views(*x) for x in zip(pdf["text"], pdf["source"], pdf["lang"], pdf["n_chars"], strict=True)]
-            yield pd.DataFrame({"id": pdf["id"], "y": pdf["y"], "toxic": pdf["toxic"], "words": [" ".join(sorted(words_of(t))) for t in pdf["text"]], "content": [c.astype(np.float16).tobytes() for c, _ in found], "page": [p.tobytes() for _, p in found]})
-
-    got = picked.withColumn("id", F.col("id").cast("string")).mapInPandas(featurise, "id string, y double, toxic double, words string, content binary, page binary").toPandas().sort_values(["id", "content"], kind="stable")
-    if got.empty or got[["y", "toxic"]].isna().all(axis=None):
-        return QualityModel(constant=0.5)
-    content = np.empty((len(got), TEXT_WIDTH), np.float32)
-    for i, row in enumerate(got.pop("content")):
-        content[i] = np.frombuffer(row, np.float16)
-    page = np.frombuffer(b"".join(got["page"]), np.float32).reshape(len(got), PAGE_WIDTH)
-    held = np.array([xxhash.xxh3_64_intdigest(str(i), seed=9) / 2**64 < HELD_OUT for i in got["id"]])
-    y = got["y"].to_numpy(float)
-    model = QualityModel(constant=0.5) if np.isnan(y).all() else co_train(content, page, y, held)
-    del content
-    y = got["toxic"].to_numpy(float)
-    if (y == 1).any():
-        fit = ~np.isnan(y) & ~held
-        fit = fit if len(np.unique(y[fit])) == 2 else ~np.isnan(y)
-        model.words = {w: i for i, w in enumerate(lexicon(got["words"][fit].tolist(), y[fit]))}
-        model.toxic = co_train(present([set(w.split()) for w in got["words"]], model.words), page, y, held)
+    marks = stored(marks, "quality-labels")
+    chosen = marks.where(uniform(F.col("id"), F.lit(3)) < labelled_rows / max(1, marks.count()))
+    meta = F.xxhash64("id", "source", "lang", "n_chars")
+    rows = spread(docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col))).select("*", text_key(F.col("text")).alias("key"), meta.alias("pick"))
+    picked = rows.join(F.broadcast(chosen), "id").groupBy("id", "y", "toxic").agg(F.min(F.struct("pick", "key")).alias("best"))  # `chosen` is bounded by labelled_rows
+    picked = stored(picked.select("y", "toxic", "best.*"), "labelled-keys")
+    # Labelled texts that are copies of each other stay rows of their own; the join brings each key its text once.
+    texts = rows.join(F.broadcast(picked.select("key", "pick").distinct()), ["key", "pick"]).groupBy("key", "pick").agg(F.first(F.struct("text", "source", "lang", "n_chars")).alias("r"))
+    none = [F.lit(None).cast("double").alias(c) for c in _TOLD]
+    labelled = texts.join(F.broadcast(picked), ["key", "pick"]).select("key", "y", "toxic", *none, "r.*")
+    training = stored(_featurised(labelled), "training-0")
+    model = _fitted(training)
+    for turn in range(rounds):
+        more = _surest(rows, model, training.select("key").distinct(), pseudo_rows)
+        if more is None:
+            break
+        training = stored(training.unionByName(more), f"training-{turn + 1}")
+        model = _fitted(training)
     return model
 
 
@@ -339,13 +445,17 @@ def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id"
             for at, n, (a, b, t, c) in _scored(batch, ["text", "source", "lang", "n_chars"], shared.value):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), *(pa.array(np.asarray(x, np.float64)) for x in (a, b, t, c)), pa.array(c < threshold)], names=["id", "text_score", "page_score", "toxic_score", "score", "rejected"])
 
-    rows = docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col))
+    rows = spread(docs.select(*_columns(docs, id_col, text_col, source_col, lang_col, chars_col)))
     found = rows.mapInArrow(run, "id long, text_score double, page_score double, toxic_score double, score double, rejected boolean")
     return found.withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", chars_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
-    """The documents that the model doesn't reject, with all their columns as they are."""
+    """The documents that the model doesn't reject, with all their columns as they are.
+
+    Edge cases: as in :func:`score_documents`; with no labels every document stays, rows that repeat stay or go together, and
+    columns of any name (dots included) pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,4 +463,4 @@ def keep_good(docs: DataFrame, model: QualityModel, text_col: str = "text", sour
             for at, n, (_, _, _, c) in _scored(batch, [text_col, source_col, lang_col, chars_col], shared.value):
                 yield batch.slice(at, n).filter(pa.array(c >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)
