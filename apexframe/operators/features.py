@@ -29,13 +29,20 @@ def wrap_angle(a: Column) -> Column:
     return F.pmod(a + math.pi, F.lit(2 * math.pi)) - math.pi
 
 
-def causal_features(frames: DataFrame, heading: Column, speed: Column) -> DataFrame:
-    """Heading, its rate inside a segment (0 at a segment's first row), and speed along and across it."""
+def causal_features(frames: DataFrame) -> DataFrame:
+    """Features of the present and the past from map yaw, velocity (vx, vy) and the track's heading.
+
+    Yaw in [-pi, pi); its rate against the row before, 0 at a segment's first row and at any hard break; the velocity turned into the
+    body's frame (along, and to the left); the heading error. Time that doesn't rise inside a segment is an error.
+    """
     w = Window.partitionBy(*SEGMENT).orderBy("frame_index")
-    d = frames.withColumn("yaw", wrap_angle(heading)).withColumn("speed", speed)
+    d = frames.withColumn("yaw", wrap_angle(F.col("yaw")))
     dt = F.col("time_seconds") - F.lag("time_seconds").over(w)
-    rate = F.coalesce(F.when(dt > 0, wrap_angle(F.col("yaw") - F.lag("yaw").over(w)) / dt), F.lit(0.0))
-    return d.select(*SEGMENT, "frame_index", F.round("yaw", 6).alias("yaw"), F.round(rate, 6).alias("yaw_rate"), F.round(F.col("speed") * F.cos("yaw"), 6).alias("longitudinal"), F.round(F.col("speed") * F.sin("yaw"), 6).alias("lateral"))
+    rate = F.when(F.col("dt").isNull() | F.col("hard_break"), 0.0).when(F.col("dt") > 0, wrap_angle(F.col("yaw") - F.col("before")) / F.col("dt")).otherwise(F.raise_error(F.lit("time must rise inside a segment")).cast("double"))
+    d = d.withColumns({"dt": dt, "before": F.lag("yaw").over(w)})
+    along = F.col("vx") * F.cos("yaw") + F.col("vy") * F.sin("yaw")
+    left = F.col("vy") * F.cos("yaw") - F.col("vx") * F.sin("yaw")
+    return d.select(*SEGMENT, "frame_index", "yaw", rate.alias("yaw_rate"), along.alias("v_long"), left.alias("v_lat"), wrap_angle(F.col("yaw") - F.col("track_heading")).alias("heading_error"))
 
 
 def robust_scaler(rows: DataFrame, columns: list[str], fit: Column, guard: float = 1e-12) -> DataFrame:
@@ -54,7 +61,7 @@ def residual_pairs(frames: DataFrame, value: str) -> DataFrame:
     d = frames.withColumn("ok", usable)
     d = d.select(*SEGMENT, "frame_index", F.col(value).alias("x"), F.lead(value).over(w).alias("x_next"), (F.lead("time_seconds").over(w) - F.col("time_seconds")).alias("dt"), "ok", F.lead("ok").over(w).alias("ok_next"))
     d = d.where("ok and ok_next and dt > 0")
-    return d.select(*SEGMENT, "frame_index", "x", "x_next", F.round("dt", 6).alias("dt"), F.round(F.col("x_next") - F.col("x"), 6).alias("residual"))
+    return d.select(*SEGMENT, "frame_index", "x", "x_next", "dt", (F.col("x_next") - F.col("x")).alias("residual"))
 
 
 def hazard_rows(frames: DataFrame, onsets: DataFrame) -> DataFrame:

@@ -1,27 +1,17 @@
-"""Particle forecasts of the first exit from a corridor.
+"""Exits of states that move on by a kinematic rule: row identities, paths, and the first exit by horizon.
 
-Each row carries its own random numbers, seeded by its identity, so a result depends neither on
-batches nor on partitions, and a lost task gives the same rows again. States are dealt evenly: Arrow batches of them go in,
-long rows of exit mass come out.
+A state becomes one row for each step of its path; positions are running sums over the steps, moves pass the
+corridor's first-exit rule, and the earliest exit of a state is its outcome. All of it is column work.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-from dataclasses import dataclass
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.operators.residual import STATE, ResidualModel, midpoint_velocity
+from apexframe.operators.geometry import first_exit, locate
 
-SIDES = np.array(["left", "right", "unknown"])
-NO_EXIT = "none"
-#: So many point-side pairs are held at once.
-PAIRS = 1 << 20
+STEP = 0.05
 
 
 def row_identity(seed: int, fold: str, method: str, prefix: str = "row-seed-v1:") -> Column:
@@ -30,180 +20,40 @@ def row_identity(seed: int, fold: str, method: str, prefix: str = "row-seed-v1:"
     return F.concat(F.lit(prefix), F.to_json(fields))
 
 
-def row_seed(identity: str) -> int:
-    return int.from_bytes(hashlib.sha256(identity.encode()).digest()[:8], "little")
-
-
-def _ring(vertices) -> np.ndarray:
-    """Sides (ax, ay, bx, by) of a closed ring."""
-    v = np.asarray(vertices, float)
-    return np.hstack([v, np.roll(v, -1, axis=0)])
-
-
-@dataclass(frozen=True)
-class Corridor:
-    """Rings of one circuit's map; their size is the map's."""
-
-    outer: list[tuple[float, float]]
-    inner: list[tuple[float, float]]
-    center: list[tuple[float, float]]
-
-    def length(self) -> float:
-        c = _ring(self.center)
-        return float(np.hypot(c[:, 2] - c[:, 0], c[:, 3] - c[:, 1]).sum())
-
-
-def _projected(points: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distance from each point to each side, and the place of the nearest point along it (0 to 1)."""
-    d = sides[:, 2:] - sides[:, :2]
-    rel = points[:, None, :] - sides[None, :, :2]
-    u = np.clip((rel * d).sum(-1) / np.maximum((d * d).sum(-1), 1e-300), 0, 1)
-    return np.linalg.norm(rel - u[..., None] * d, axis=-1), u
-
-
-def _within(points: np.ndarray, sides: np.ndarray) -> np.ndarray:
-    x, y = points[:, :1], points[:, 1:]
-    ax, ay, bx, by = sides.T
-    straddles = (ay > y) != (by > y)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        right = x < ax + (y - ay) * (bx - ax) / (by - ay)
-    return (straddles & right).sum(1) % 2 == 1
-
-
-def _blocks(n: int, sides: int) -> Iterator[slice]:
-    size = max(1, PAIRS // max(1, sides))
-    return (slice(i, i + size) for i in range(0, n, size))
-
+def row_seed(identity: Column) -> Column:
+    """The first eight bytes of the identity's SHA-256 as a little-endian number."""
+    digest = F.sha2(identity, 256)
+    swapped = F.concat(*(F.substring(digest, 2 * i + 1, 2) for i in reversed(range(8))))
+    return F.conv(swapped, 16, 10).cast("decimal(20,0)")
 
-def contains(points: np.ndarray, corridor: Corridor, tolerance: float = 1e-7) -> np.ndarray:
-    """In the outer ring and not in the hole, or on a boundary."""
-    outer, inner = _ring(corridor.outer), _ring(corridor.inner)
-    both, out = np.vstack([outer, inner]), np.zeros(len(points), bool)
-    for s in _blocks(len(points), len(both)):
-        p = points[s]
-        out[s] = (_within(p, outer) & ~_within(p, inner)) | (_projected(p, both)[0].min(1) <= tolerance)
-    return out
 
+def constant_paths(states: DataFrame, horizon: float, turns: bool, dt: float = STEP) -> DataFrame:
+    """(id, step, x, y, x2, y2): the moves of states (id, x, y, v_long, v_lat, yaw, yaw_rate) whose body velocity stays.
 
-def exit_fraction(start: np.ndarray, end: np.ndarray, corridor: Corridor) -> np.ndarray:
-    """Fraction of the move to its first boundary hit; NaN without one, or where the move ends inside and only touches its start."""
-    sides = np.vstack([_ring(corridor.outer), _ring(corridor.inner)])
-    out, ends_inside = np.full(len(start), np.nan), contains(end, corridor)
-    for s in _blocks(len(start), len(sides)):
-        r, d = end[s, None, :] - start[s, None, :], (sides[:, 2:] - sides[:, :2])[None]
-        rel = sides[None, :, :2] - start[s, None, :]
-        cross = r[..., 0] * d[..., 1] - r[..., 1] * d[..., 0]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = (rel[..., 0] * d[..., 1] - rel[..., 1] * d[..., 0]) / cross
-            u = (rel[..., 0] * r[..., 1] - rel[..., 1] * r[..., 0]) / cross
-        least = np.where(ends_inside[s], 1e-9, -1e-12)[:, None]
-        hit = (t >= least) & (t <= 1 + 1e-12) & (u >= -1e-12) & (u <= 1 + 1e-12)
-        first = np.where(hit, t, np.inf).min(1)
-        out[s] = np.where(np.isfinite(first), np.clip(first, 0, 1), np.nan)
-    return out
-
-
-def side_and_arc(points: np.ndarray, corridor: Corridor) -> tuple[np.ndarray, np.ndarray]:
-    """Index into SIDES and arc length at the nearest place of the centre line."""
-    c = _ring(corridor.center)
-    lengths = np.hypot(c[:, 2] - c[:, 0], c[:, 3] - c[:, 1])
-    starts, side, arc = np.cumsum(lengths) - lengths, np.empty(len(points), int), np.empty(len(points))
-    for s in _blocks(len(points), len(c)):
-        gap, u = _projected(points[s], c)
-        at = gap.argmin(1)
-        row = np.arange(len(at))
-        cross = (c[at, 2] - c[at, 0]) * (points[s, 1] - c[at, 1]) - (c[at, 3] - c[at, 1]) * (points[s, 0] - c[at, 0])
-        side[s] = np.where(cross > 0, 0, np.where(cross < 0, 1, 2))
-        arc[s] = starts[at] + u[row, at] * lengths[at]
-    return side, arc
-
-
-def _first_exits(state: np.ndarray, identities: list[str], corridor: Corridor, steps: int, dt: float, particles: int, model: ResidualModel | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Time (infinite: none), side and arc length of each particle's first exit, each (rows, particles)."""
-    n = len(state)
-    rngs = [np.random.default_rng(row_seed(i)) for i in identities]
-    p = np.repeat(state[:, None, :], particles, axis=1)
-    time, side, arc = np.full((n, particles), np.inf), np.zeros((n, particles), int), np.zeros((n, particles))
-    inside = np.repeat(contains(state[:, :2], corridor)[:, None], particles, axis=1)
-    if model is not None:
-        pick = np.stack([r.integers(0, len(model.coefficients), size=particles) for r in rngs])
-        weights, roots = model.coefficients[pick], _roots(model.covariance)[pick]
-        inputs = [STATE.index(c) for c in model.inputs]
-    for step in range(steps):
-        before = p[..., :2].copy()
-        x, y, v_long, v_lat, yaw, rate, a_long, a_lat = np.moveaxis(p, -1, 0)
-        next_long, next_lat, half_long, half_lat = midpoint_velocity(v_long, v_lat, rate, a_long, a_lat, dt)
-        turn = yaw + 0.5 * rate * dt
-        moved = [x + (half_long * np.cos(turn) - half_lat * np.sin(turn)) * dt, y + (half_long * np.sin(turn) + half_lat * np.cos(turn)) * dt]
-        body = np.stack([next_long, next_lat, rate, a_long, a_lat], axis=-1)
-        if model is not None:
-            z = np.concatenate([np.ones((n, particles, 1)), (p[..., inputs] - model.center) / model.scale], axis=-1)
-            noise = np.stack([r.standard_normal((particles, 5)) for r in rngs])
-            body = body + np.einsum("npi,npio->npo", z, weights) + np.einsum("npij,npj->npi", roots, noise)
-        heading = (yaw + rate * dt + np.pi) % (2 * np.pi) - np.pi
-        p = np.stack([*moved, body[..., 0], body[..., 1], heading, body[..., 2], body[..., 3], body[..., 4]], axis=-1)
-        open_ones = ~np.isfinite(time)
-        row, col = np.nonzero(open_ones & inside)
-        fraction = exit_fraction(before[row, col], p[row, col, :2], corridor)
-        out = np.isfinite(fraction)
-        row, col, fraction = row[out], col[out], fraction[out]
-        hit = before[row, col] + fraction[:, None] * (p[row, col, :2] - before[row, col])
-        time[row, col] = (step + fraction) * dt
-        side[row, col], arc[row, col] = side_and_arc(hit, corridor)
-        row, col = np.nonzero(~np.isfinite(time))
-        inside[row, col] = contains(p[row, col, :2], corridor)
-    return time, side, arc
-
-
-def _roots(covariances: np.ndarray) -> np.ndarray:
-    """Lower Cholesky factors; a zero matrix has the root zero."""
-    return np.stack([np.linalg.cholesky(c) if c.any() else c for c in covariances])
-
-
-def forecast_exits(states: DataFrame, corridor: Corridor, horizons: list[float], dt: float = 0.05, particles: int = 256, segment: float = 25.0, model: ResidualModel | None = None, id_col: str = "id", identity_col: str = "identity", rows_at_once: int = 16) -> DataFrame:
-    """(id, horizon, side, bin, mass): share of particles that left by the horizon at a side and bin; side ``none`` has the rest.
-
-    ``states`` has an id (long), the identity string and the eight state columns. Without a model, or with a deterministic one, all particles agree, so one is moved. A null or
-    non-finite state, or a null identity, gives one row for each horizon with null side, bin and mass. The masses of a row and horizon add up to one.
+    ``turns``: the yaw rate stays too, and a step goes along the heading at its middle; otherwise the heading stays. States with a null are left out.
     """
-    steps = [round(h / dt) for h in horizons]
-    if any(s <= 0 or abs(s * dt - h) > 1e-10 for s, h in zip(steps, horizons, strict=True)):
-        raise ValueError("horizons must be positive multiples of dt")
-    bins, count = int(np.ceil(corridor.length() / segment)), 1 if model is None or (len(model.coefficients) == 1 and not model.covariance.any()) else particles
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), rows_at_once):
-                part = pdf.iloc[at : at + rows_at_once]
-                state = part[STATE].to_numpy(float)
-                good = np.isfinite(state).all(1) & part["identity"].notna().to_numpy()
-                ids, found = part["id"].to_numpy(), []
-                for i in ids[~good]:
-                    found += [(i, h, None, None, None) for h in horizons]
-                if good.any():
-                    time, side, arc = _first_exits(state[good], list(part["identity"][good]), corridor, max(steps), dt, count, model)
-                    cell = side * bins + np.floor(arc / segment).astype(int) % bins
-                    for i, t, c in zip(ids[good], time, cell, strict=True):
-                        for h in horizons:
-                            gone = c[t <= h + 1e-12]
-                            kinds, sizes = np.unique(gone, return_counts=True)
-                            found.append((i, h, NO_EXIT, None, 1 - len(gone) / count))
-                            found += [(i, h, SIDES[k // bins], int(k % bins), m / count) for k, m in zip(kinds, sizes, strict=True)]
-                out = pd.DataFrame(found, columns=["id", "horizon", "side", "bin", "mass"])
-                yield out.astype({"bin": "Int64", "mass": "float64"})
+    steps = round(horizon / dt)
+    rate = F.col("yaw_rate") if turns else F.lit(0.0)
+    d = states.na.drop(subset=["x", "y", "v_long", "v_lat", "yaw", "yaw_rate"]).select("id", "x", "y", "v_long", "v_lat", "yaw", rate.alias("rate"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
+    mid = F.col("yaw") + F.col("rate") * ((F.col("step") - 0.5) * dt)
+    d = d.withColumns({"mx": (F.col("v_long") * F.cos(mid) - F.col("v_lat") * F.sin(mid)) * dt, "my": (F.col("v_long") * F.sin(mid) + F.col("v_lat") * F.cos(mid)) * dt})
+    upto = Window.partitionBy("id").orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumns({"x2": F.col("x") + F.sum("mx").over(upto), "y2": F.col("y") + F.sum("my").over(upto)})
+    return d.select("id", "step", (F.col("x2") - F.col("mx")).alias("x"), (F.col("y2") - F.col("my")).alias("y"), "x2", "y2")
 
-    d = states.select(F.col(id_col).cast("long").alias("id"), F.col(identity_col).alias("identity"), *(F.col(c).cast("double").alias(c) for c in STATE))
-    d = d.where("id is not null")
-    if count > 1:  # the work on a row outweighs its shuffle by far, and small files make few tasks
-        d = d.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
-    return d.mapInPandas(run, "id long, horizon double, side string, bin long, mass double").withColumnRenamed("id", id_col)
 
+def path_exits(states: DataFrame, paths: DataFrame, segments: DataFrame, horizons: list[float], segment: float, dt: float = STEP) -> DataFrame:
+    """(id, horizon, side, bin, exit_time): where each state has left by the horizon; side ``none`` and nulls where it hasn't.
 
-def constant_velocity(states: DataFrame) -> DataFrame:
-    """States whose turn rate and acceleration are zero."""
-    return states.withColumns({c: F.lit(0.0) for c in STATE[5:]})
-
-
-def constant_turn_rate(states: DataFrame) -> DataFrame:
-    """States whose body velocity and turn rate stay: the accelerations cancel the rotation of the frame."""
-    return states.withColumns({"a_long": -F.col("yaw_rate") * F.col("v_lat"), "a_lat": F.col("yaw_rate") * F.col("v_long")})
+    The side and the bin (of ``segment`` metres along the centre line) are those of the exit point. States without a path have null in all but the horizon.
+    """
+    moves = paths.withColumn("id", F.struct("id", "step"))
+    found = first_exit(moves, segments).select(F.col("id.id").alias("id"), ((F.col("id.step") - 1 + F.col("fraction")) * dt).alias("exit_time"), F.col("hit_x").alias("x"), F.col("hit_y").alias("y"))
+    first = found.groupBy("id").agg(F.min(F.struct("exit_time", "x", "y")).alias("e")).select("id", "e.*")
+    placed = locate(first.withColumn("id", F.struct("id", "exit_time")), segments)
+    side = F.when(F.col("local_side") == "center", "unknown").otherwise(F.col("local_side"))
+    exits = placed.select(F.col("id.id").alias("id"), F.col("id.exit_time").alias("exit_time"), side.alias("exit_side"), F.floor(F.col("arclength_wrapped") / segment).alias("exit_bin"))
+    has_path = paths.select("id").distinct().withColumn("moves", F.lit(True))
+    d = states.select("id").join(has_path, "id", "left").join(exits, "id", "left").select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
+    gone = F.col("exit_time") <= F.col("horizon") + 1e-12
+    return d.select("id", "horizon", F.when(gone, F.col("exit_side")).when(F.col("moves"), "none").alias("side"), F.when(gone, F.col("exit_bin")).alias("bin"), F.when(gone, F.col("exit_time")).alias("exit_time"))

@@ -13,8 +13,8 @@ def sufficient_statistics(rows: DataFrame, inputs: list[str], target: str, keys:
     """Mean products of (1, inputs) with themselves and with the target, for each car; every car weighs the same later."""
     d = rows.withColumn("one", F.lit(1.0))
     names = ["one", *inputs]
-    aggs = [F.round(F.avg(F.col(a) * F.col(b)), 4).alias(f"g_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
-    aggs += [F.round(F.avg(F.col(a) * F.col(target)), 4).alias(f"m_{a}") for a in names]
+    aggs = [F.avg(F.col(a) * F.col(b)).alias(f"g_{a}_{b}") for i, a in enumerate(names) for b in names[i:]]
+    aggs += [F.avg(F.col(a) * F.col(target)).alias(f"m_{a}") for a in names]
     return d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *aggs)
 
 

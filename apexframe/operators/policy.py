@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,94 +24,130 @@ class ProposalConfig:
     rearm: float = 1.0
 
 
-@dataclass
-class Automaton:
-    """State of one car at one threshold; ``feed`` takes the rows in time order and yields closed proposals."""
+class Row(NamedTuple):
+    """A score row as the watch takes it, in time order within a car."""
 
-    config: ProposalConfig
-    threshold: float
-    mode: str = "armed"
-    streak: int = 0
-    key: tuple | None = None
-    since: float | None = None  # when the quiet spell began that ends the rearming
-    opened: tuple | None = None  # (number, time, side, bin, bins)
+    time: float
+    score: float
+    side: str
+    bin: int
+    bins: int
+    valid: bool
+    inside: bool
+    broken: bool
+
+    def sight(self, threshold: float) -> str:
+        """What the row shows, the gravest first."""
+        if self.broken:
+            return "break"
+        if not self.inside:
+            return "outside"
+        if not self.valid:
+            return "blind"
+        return "loud" if self.score + 1e-15 >= threshold else "quiet"
+
+
+class Watch(NamedTuple):
+    """State of one car at one threshold.
+
+    ``phase`` is watching, open or resting. ``run`` is (side, bin, length) of the row of loud sights so far, ``proposal`` the
+    open one as (number, time, side, bin, bins), ``rested_since`` the begin of the quiet spell that ends the rest.
+    """
+
+    phase: str = "watching"
     number: int = 0
-    last_time: float | None = None
-    closed: list = field(default_factory=list)
-
-    def _close(self, at: float, kind: str, unresolved: bool) -> None:
-        self.closed.append((*self.opened, at, kind, unresolved))
-        self.opened, self.mode, self.since = None, "rearm", None
-
-    def feed(self, t: float, score: float, side: str, bin_: int, bins: int, valid: bool, inside: bool, broken: bool) -> None:
-        if self.last_time is not None and t < self.last_time:
-            raise DataValidationError("rows of a car must come in time order")
-        self.last_time = t
-        fresh = False
-        if broken:
-            needs = self.mode != "armed" or not inside
-            if self.mode == "open":
-                self._close(t, "hard_break", True)
-            self.mode = "rearm" if needs else "armed"
-            self.since = t if needs and valid and inside else None
-            self.streak, self.key = 0, None
-            return
-        if self.mode == "open":
-            expiry = self.opened[1] + self.config.horizon
-            if not inside:
-                self._close(t, "outside_observed", False)
-            elif t + 1e-12 >= expiry:
-                self._close(expiry, "horizon_elapsed", False)
-                self.since = expiry
-            return
-        if self.mode == "rearm":
-            if not (valid and inside):
-                self.since, self.streak, self.key = None, 0, None
-                return
-            if self.since is None:
-                self.since = t
-                return
-            if t - self.since + 1e-12 < self.config.rearm:
-                return
-            self.mode, fresh = "armed", True
-        if fresh or not (valid and inside):
-            self.streak, self.key = 0, None
-        if not inside:
-            self.mode, self.since = "rearm", None
-        if not (valid and inside):
-            return
-        if score + 1e-15 < self.threshold:
-            self.streak, self.key = 0, None
-            return
-        self.streak = self.streak + 1 if (side, bin_) == self.key else 1
-        self.key = (side, bin_)
-        if self.streak >= self.config.persistence:
-            self.number += 1
-            self.opened = (self.number, t, side, bin_, bins)
-            self.mode, self.streak, self.key = "open", 0, None
-
-    def finish(self) -> None:
-        if self.mode == "open":
-            self._close(self.last_time, "stream_end", True)
+    run: tuple | None = None
+    proposal: tuple | None = None
+    rested_since: float | None = None
+
+    def closed(self, at: float, kind: str, unresolved: bool) -> tuple | None:
+        return None if self.proposal is None else (*self.proposal, at, kind, unresolved)
+
+
+def advance(watch: Watch, row: Row, threshold: float, config: ProposalConfig) -> tuple[Watch, tuple | None]:
+    """The state after ``row``, and the proposal that it closes: a table of (phase, sight)."""
+    resting = Watch("resting", watch.number)
+    idle = Watch("watching", watch.number)
+    match watch.phase, row.sight(threshold):
+        case phase, "break":
+            stays = phase == "watching" and row.inside
+            after = idle if stays else resting._replace(rested_since=row.time if row.inside and row.valid else None)
+            return after, watch.closed(row.time, "hard_break", True)
+        case "open", "outside":
+            return resting, watch.closed(row.time, "outside_observed", False)
+        case "open", _:
+            ends = watch.proposal[1] + config.horizon
+            if row.time + 1e-12 < ends:
+                return watch, None
+            return resting._replace(rested_since=ends), watch.closed(ends, "horizon_elapsed", False)
+        case _, "outside":
+            return resting, None
+        case "resting", "blind":
+            return resting, None
+        case "resting", _ if watch.rested_since is None:
+            return resting._replace(rested_since=row.time), None
+        case "resting", _ if row.time - watch.rested_since + 1e-12 < config.rearm:
+            return watch, None
+        case _, "blind" | "quiet":
+            return idle, None
+    # Loud, while watching or at the end of a rest.
+    place = (row.side, row.bin)
+    length = 1 + (watch.run[2] if watch.run is not None and watch.run[:2] == place else 0)
+    if length < config.persistence:
+        return idle._replace(run=(*place, length)), None
+    return Watch("open", watch.number + 1, proposal=(watch.number + 1, row.time, *place, row.bins)), None
+
+
+class Car:
+    """The watches of one car at several thresholds; time must rise with every row."""
+
+    def __init__(self, thresholds: list[float], config: ProposalConfig):
+        self.thresholds, self.config = thresholds, config
+        self.watches = [Watch() for _ in thresholds]
+        self.time: float | None = None
+
+    def feed(self, row: Row) -> list[tuple]:
+        """Proposals that the row closes, each after its threshold."""
+        if self.time is not None and not row.time > self.time:
+            raise DataValidationError("rows of a car must come in strictly increasing time")
+        self.time, out = row.time, []
+        for i, threshold in enumerate(self.thresholds):
+            self.watches[i], done = advance(self.watches[i], row, threshold, self.config)
+            if done is not None:
+                out.append((threshold, *done))
+        return out
+
+    def finish(self) -> list[tuple]:
+        """Proposals that are open when the stream ends."""
+        return [(t, *w.closed(self.time, "stream_end", True)) for t, w in zip(self.thresholds, self.watches, strict=True) if w.proposal is not None]
+
+
+#: Columns of a score row in the order of :class:`Row`.
+ROW = ["time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_bins", "input_valid_causal", "in_corridor", "hard_break"]
 
 
 def run_alerts(scores: DataFrame, thresholds: list[float], config: ProposalConfig) -> DataFrame:
-    """Proposals of every car at every threshold; a car's rows are shipped once for all thresholds."""
+    """Proposals of every car at every threshold.
+
+    Cars are partitioned and sorted once; a task streams its rows and holds one car's state, so a car may have any number of rows.
+    """
+    names = [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
 
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index")
-        rows = list(iter_rows(pdf))
-        out = []
-        for threshold in thresholds:
-            a = Automaton(config, threshold)
-            for r in rows:
-                a.feed(*r)
-            a.finish()
-            out += [(pdf["circuit"].iloc[0], pdf["car_id"].iloc[0], threshold, *c) for c in a.closed]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")])
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, car = None, Car(thresholds, config)
+        for pdf in batches:
+            out = []
+            for circuit, car_id, *row in pdf[[*UNIT, *ROW]].itertuples(index=False, name=None):
+                if (circuit, car_id) != key:
+                    out += [(*key, *p) for p in car.finish()] if key else []
+                    key, car = (circuit, car_id), Car(thresholds, config)
+                out += [(*key, *p) for p in car.feed(Row(*row))]
+            yield pd.DataFrame(out, columns=names)
+        if key:
+            yield pd.DataFrame([(*key, *p) for p in car.finish()], columns=names)
 
-    names = [*UNIT, "frame_index", "time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_bins", "input_valid_causal", "in_corridor", "hard_break"]
-    return scores.select(*names).groupBy(*UNIT).applyInPandas(replay, PROPOSAL_SCHEMA)
+    rows = scores.select(*UNIT, "frame_index", *ROW).repartition(*UNIT).sortWithinPartitions(*UNIT, "frame_index")
+    return rows.mapInPandas(replay, PROPOSAL_SCHEMA)
 
 
 def label_proposals(proposals: DataFrame, events: DataFrame, horizon: float, tolerance: int = 1) -> DataFrame:
@@ -126,8 +163,8 @@ def label_proposals(proposals: DataFrame, events: DataFrame, horizon: float, tol
     j = j.withColumn("correct_side", F.coalesce(F.col("predicted_side") == F.col("side_at_onset"), F.lit(False))).withColumn("within_tolerance", F.coalesce(distance <= tolerance, F.lit(False))).withColumn("exact_segment", F.coalesce(F.col("correct_side") & (distance == 0), F.lit(False)))
     j = j.withColumn("localized_hit", F.col("correct_side") & F.col("within_tolerance"))
     return j.select(
-        *UNIT, "threshold", "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "resolution_type", F.col("candidate_event_id").alias("matched_event_id"),
-        F.round(F.col("event_time") - F.col("proposal_time"), 6).alias("lead"), "correct_side", "exact_segment", "within_tolerance", "localized_hit",
+        *UNIT, "threshold", "proposal_number", "proposal_time", "resolution_type", F.col("candidate_event_id").alias("matched_event_id"),
+        (F.col("event_time") - F.col("proposal_time")).alias("lead"), "correct_side", "exact_segment", "within_tolerance", "localized_hit",
         (~matched & F.col("unresolved")).alias("unresolved_censored"), F.when(matched, ~F.col("localized_hit")).otherwise(~F.col("unresolved")).alias("false_proposal"),
     )
 
@@ -137,7 +174,7 @@ def delayed(labels: DataFrame, delays: list[float]) -> DataFrame:
     d = labels.select("*", F.explode(F.array(*map(F.lit, delays))).alias("delay"))
     left = F.col("lead") - F.col("delay")
     hit = F.col("localized_hit") & (left >= -1e-12)
-    return d.select(*UNIT, "threshold", "proposal_number", "delay", F.round(left, 6).alias("effective_lead"), F.coalesce(hit, F.lit(False)).alias("localized_hit"), "unresolved_censored", F.when(F.col("matched_event_id").isNotNull(), ~F.coalesce(hit, F.lit(False))).otherwise(F.col("false_proposal")).alias("false_proposal"))
+    return d.select(*UNIT, "threshold", "proposal_number", "delay", left.alias("effective_lead"), F.coalesce(hit, F.lit(False)).alias("localized_hit"), "unresolved_censored", F.when(F.col("matched_event_id").isNotNull(), ~F.coalesce(hit, F.lit(False))).otherwise(F.col("false_proposal")).alias("false_proposal"))
 
 
 def detection_summary(labels: DataFrame, events: DataFrame, exposure_hours: DataFrame, leads: list[float]) -> DataFrame:
@@ -147,14 +184,14 @@ def detection_summary(labels: DataFrame, events: DataFrame, exposure_hours: Data
     sums = d.groupBy("threshold", "required_lead").agg(F.count_distinct(timely).alias("hits"), F.count_if("false_proposal").alias("false_proposals"), F.count_if("unresolved_censored").alias("unresolved"))
     one = events.where("qualified").agg(F.count(F.lit(1)).alias("events")).join(F.broadcast(exposure_hours.select("hours")))
     s = sums.join(F.broadcast(one))
-    return s.select("threshold", "required_lead", "events", "hits", "false_proposals", "unresolved", F.round(F.try_divide(F.col("hits"), F.col("events")), 6).alias("recall"), F.round(F.try_divide(F.col("false_proposals"), F.col("hours")), 6).alias("false_per_hour"))
+    return s.select("threshold", "required_lead", "events", "hits", "false_proposals", "unresolved", F.try_divide(F.col("hits"), F.col("events")).alias("recall"), F.try_divide(F.col("false_proposals"), F.col("hours")).alias("false_per_hour"))
 
 
-def threshold_grid(scores: DataFrame, column: str, bulk: int = 100, tail: int = 41, low: float = 2.0, high: float = 4.0) -> DataFrame:
+def threshold_grid(scores: DataFrame, column: str, bulk: int = 100, tail: int = 401, low: float = 2.0, high: float = 6.0) -> DataFrame:
     """Distinct candidate thresholds: bulk quantiles, tail quantiles 1 - 10^-x, and 0 and 1."""
     qs = [0.99 * i / (bulk - 1) for i in range(bulk)] + [1 - 10 ** -(low + (high - low) * i / (tail - 1)) for i in range(tail)]
     found = scores.agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("q"))
-    both = F.concat(F.transform("q", lambda x: F.round(x, 9)), F.array(F.lit(0.0), F.lit(1.0)))
+    both = F.concat("q", F.array(F.lit(0.0), F.lit(1.0)))
     return found.select(F.explode(F.array_distinct(both)).alias("threshold"))
 
 
@@ -171,11 +208,6 @@ def neighborhood_candidates(mass: DataFrame, radius: int = 1) -> DataFrame:
     ``mass``: (row, side, bin, n_bins, mass) in long form; side unknown is no candidate.
     """
     d = mass.where(F.col("side") != "unknown").select("row", "side", "n_bins", "mass", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("o"), "bin")
-    d = d.groupBy("row", "side", F.pmod(F.col("bin") + F.col("o"), F.col("n_bins")).alias("bin")).agg(F.round(F.sum("mass"), 9).alias("score"))
+    d = d.groupBy("row", "side", F.pmod(F.col("bin") + F.col("o"), F.col("n_bins")).alias("bin")).agg(F.round(F.sum("mass"), 9).alias("score"))  # so that sums tie whatever their order
     w = Window.partitionBy("row").orderBy(F.desc("score"), "side", "bin")
     return d.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")
-
-
-def iter_rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-    """Rows of a score frame as the automaton takes them."""
-    return pdf[["time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_bins", "input_valid_causal", "in_corridor", "hard_break"]].itertuples(index=False, name=None)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MEASURES = ["events", "hits", "false_proposals", "unresolved", "exposure"]
@@ -10,7 +10,7 @@ MEASURES = ["events", "hits", "false_proposals", "unresolved", "exposure"]
 
 def pooled_metrics(ledger: DataFrame, keys: list[str]) -> DataFrame:
     d = ledger.groupBy(*keys).agg(*(F.sum(m).alias(m) for m in MEASURES), F.count_distinct("circuit").alias("circuits"), F.count_distinct("circuit", "car_id").alias("cars"))
-    return d.select(*keys, "events", "hits", "false_proposals", "unresolved", F.round("exposure", 6).alias("exposure"), "circuits", "cars", F.round(F.try_divide(F.col("hits"), F.col("events")), 6).alias("recall"), F.round(F.try_divide(F.col("false_proposals"), F.col("exposure")), 6).alias("false_per_hour"))
+    return d.select(*keys, "events", "hits", "false_proposals", "unresolved", "exposure", "circuits", "cars", F.try_divide(F.col("hits"), F.col("events")).alias("recall"), F.try_divide(F.col("false_proposals"), F.col("exposure")).alias("false_per_hour"))
 
 
 def l_star(ledger: DataFrame, keys: list[str], recall: float, budget: Column, false_count: Column | None = None) -> DataFrame:
@@ -21,29 +21,42 @@ def l_star(ledger: DataFrame, keys: list[str], recall: float, budget: Column, fa
     return d.groupBy(*keys).agg(F.coalesce(F.max(F.when(passes, F.col("lead"))), F.lit(0.0)).alias("l_star"))
 
 
+def _number(*parts) -> Column:
+    """32 bits of a hash of the parts."""
+    return F.conv(F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 8), 16, 10).cast("long")
+
+
+def _numbered(units: DataFrame) -> DataFrame:
+    """(circuit, car_id, place, cars): cars numbered from 0 in their circuit."""
+    w = Window.partitionBy("circuit")
+    return units.select("circuit", "car_id").distinct().select("circuit", "car_id", (F.row_number().over(w.orderBy("car_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("cars"))
+
+
 def hash_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
     """Weights of cars drawn with replacement inside their circuit, by a hash of (seed, draw, circuit, place).
 
-    Returns (draw, circuit, car_id, weight > 0). The places of a circuit are its cars, so a draw keeps the circuit's size.
+    Returns (draw, circuit, car_id, weight > 0). The places of a circuit are its cars, so a draw keeps the circuit's size; a place draws a
+    car's number, and numbers become cars by a join.
     """
-    sized = units.groupBy("circuit").agg(F.sort_array(F.collect_list("car_id")).alias("cars"))  # one circuit's cars, a cohort's size
-    places = sized.select("circuit", "cars", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("circuit", "cars", "draw", F.explode(F.sequence(F.lit(0), F.size("cars") - 1)).alias("place"))
-    key = F.concat_ws("|", F.lit(seed), "draw", "circuit", "place")
-    index = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % F.size("cars")
-    picked = places.select("draw", "circuit", F.element_at("cars", (index + 1).cast("int")).alias("car_id"))
-    return picked.groupBy("draw", "circuit", "car_id").agg(F.count(F.lit(1)).alias("weight"))
+    numbered = _numbered(units)
+    places = numbered.select("circuit", "place", "cars", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = places.select("draw", "circuit", (_number(F.lit(seed), "draw", "circuit", "place") % F.col("cars")).alias("place"))
+    counted = drawn.groupBy("draw", "circuit", "place").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.join(numbered.select("circuit", "place", "car_id"), ["circuit", "place"]).select("draw", "circuit", "car_id", "weight")
 
 
 def two_stage_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
-    """Circuits drawn with replacement, then cars inside each drawn circuit; weights add up over the circuit's places."""
-    circuits = units.select("circuit").distinct().agg(F.sort_array(F.collect_list("circuit")).alias("all"))
-    sized = units.groupBy("circuit").agg(F.sort_array(F.collect_list("car_id")).alias("cars"))
-    number = lambda c: F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("long")
-    first = circuits.select("all", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select("all", "draw", F.explode(F.sequence(F.lit(0), F.size("all") - 1)).alias("slot"))
-    first = first.select("draw", "slot", F.element_at("all", (number(F.concat_ws("|", F.lit(seed), F.lit("c"), "draw", "slot")) % F.size("all") + 1).cast("int")).alias("circuit"))
-    second = first.join(sized, "circuit").select("draw", "slot", "circuit", "cars", F.explode(F.sequence(F.lit(0), F.size("cars") - 1)).alias("place"))
-    car = F.element_at("cars", (number(F.concat_ws("|", F.lit(seed), "draw", "slot", "circuit", "place")) % F.size("cars") + 1).cast("int"))
-    return second.groupBy("draw", "circuit", car.alias("car_id")).agg(F.count(F.lit(1)).alias("weight"))
+    """Circuits drawn with replacement, then cars inside each drawn circuit; weights add up over the circuit's slots."""
+    numbered = _numbered(units)
+    circuits = numbered.select("circuit").distinct()
+    circuits = circuits.select("circuit", (F.row_number().over(Window.orderBy("circuit")) - 1).cast("long").alias("slot"), F.count(F.lit(1)).over(Window.partitionBy()).alias("n"))  # one row a circuit
+    slots = circuits.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    picked = slots.select("draw", "slot", (_number(F.lit(seed), F.lit("c"), "draw", "slot") % F.col("n")).alias("number"))
+    picked = picked.join(circuits.select(F.col("slot").alias("number"), "circuit"), "number").select("draw", "slot", "circuit")
+    places = picked.join(numbered.select("circuit", "place", "cars"), "circuit")
+    drawn = places.select("draw", "circuit", (_number(F.lit(seed), "draw", "slot", "circuit", "place") % F.col("cars")).alias("place"))
+    counted = drawn.groupBy("draw", "circuit", "place").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.join(numbered.select("circuit", "place", "car_id"), ["circuit", "place"]).select("draw", "circuit", "car_id", "weight")
 
 
 def bootstrap_l_star(ledger: DataFrame, weights: DataFrame, recall: float, budget: float) -> DataFrame:

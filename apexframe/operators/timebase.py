@@ -85,7 +85,7 @@ def causal_resample(frames: DataFrame, step: float) -> DataFrame:
     right = grid.select(*keys, F.col("target_time").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("source"), F.lit(None).cast("double").alias("source_time"), "grid_index")
     w = running(Window.partitionBy(*keys).orderBy("at", "kind", "source", "grid_index"))
     held = left.unionByName(right).withColumn("source_index", F.last("source", ignorenulls=True).over(w)).withColumn("held_time", F.last("source_time", ignorenulls=True).over(w))
-    return held.where("kind = 1").select(*keys, "grid_index", F.round("at", 6).alias("target_time"), "source_index", F.round(F.col("at") - F.col("held_time"), 6).alias("source_age"))
+    return held.where("kind = 1").select(*keys, "grid_index", F.col("at").alias("target_time"), "source_index", (F.col("at") - F.col("held_time")).alias("source_age"))
 
 
 def flags_forward(frames: DataFrame, flag: str, step: float) -> DataFrame:

@@ -77,7 +77,7 @@ pp AS (SELECT circuit, car_id, th, c_n AS n, c_t AS pt, c_s AS side, c_b AS bin,
 lb0 AS (SELECT pp.*, q.st, q.id, q.side AS eside, q.bin % 3 AS ebin, row_number() OVER (PARTITION BY pp.car_id, th, n ORDER BY q.st NULLS LAST, q.id) AS nth
   FROM pp LEFT JOIN q ON q.car_id = pp.car_id AND q.st >= pt - 1e-12 AND q.st <= least(pt + 30, rt) + 1e-12),
 lb1 AS (SELECT *, coalesce(side = eside, FALSE) AS cs, coalesce(least(abs(bin - ebin), 3 - abs(bin - ebin)), 9) AS dist FROM lb0 WHERE nth = 1),
-lb AS (SELECT circuit, car_id, th AS threshold, n AS proposal_number, round(pt, 6) AS proposal_time, kind AS resolution_type, id AS matched_event_id, round(st - pt, 6) AS lead, cs AS correct_side,
+lb AS (SELECT circuit, car_id, th AS threshold, n AS proposal_number, pt AS proposal_time, kind AS resolution_type, id AS matched_event_id, st - pt AS lead, cs AS correct_side,
   cs AND dist = 0 AS exact_segment, dist <= 1 AS within_tolerance, cs AND dist <= 1 AS localized_hit, id IS NULL AND unres AS unresolved_censored,
   CASE WHEN id IS NOT NULL THEN NOT (cs AND dist <= 1) ELSE NOT unres END AS false_proposal FROM lb1),
 ld(lead) AS (VALUES (1.0::DOUBLE), (6.0), (12.0), (24.0)),
@@ -87,15 +87,15 @@ lg AS (SELECT ex.circuit, ex.car_id, ld.lead, coalesce(e.n, 0) AS events, coales
     FROM lb, ld WHERE threshold = 0.1 GROUP BY ALL) h ON h.car_id = ex.car_id AND h.lead = ld.lead),
 su AS (SELECT threshold, ld.lead AS required_lead, (SELECT count(*) FROM q) AS events, count(DISTINCT matched_event_id) FILTER (WHERE localized_hit AND lb.lead >= ld.lead - 1e-12) AS hits,
   count(*) FILTER (WHERE false_proposal) AS false_proposals, count(*) FILTER (WHERE unresolved_censored) AS unresolved FROM lb, ld GROUP BY ALL),
-ds AS (SELECT threshold, required_lead, events, hits, false_proposals, unresolved, round(hits / nullif(events, 0)::DOUBLE, 6) AS recall,
-  round(false_proposals / (SELECT round(sum(prebuffer_seconds), 4) FROM ex), 6) AS false_per_hour FROM su),
+ds AS (SELECT threshold, required_lead, events, hits, false_proposals, unresolved, hits / nullif(events, 0)::DOUBLE AS recall,
+  false_proposals / (SELECT round(sum(prebuffer_seconds), 4) FROM ex) AS false_per_hour FROM su),
 pb AS (SELECT l.doc_id, d.lang, d.source, l.quality::DOUBLE AS y, d.n_chars, d.n_chars / (d.n_chars + 1500.0::DOUBLE) AS p FROM labels l JOIN documents d USING (doc_id)),
-pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 30 AS x, embedding[2]::DOUBLE * 30 AS y, embedding[3]::DOUBLE * 30 AS z, embedding[4]::DOUBLE * 30 AS w FROM embeddings),
+pts AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 30 AS x, embedding[2]::DOUBLE * 30 AS y, embedding[3]::DOUBLE * 30 AS z, embedding[4]::DOUBLE * 30 AS w, label::BIGINT AS label, embedding[4]::DOUBLE AS e4, embedding[5]::DOUBLE AS e5, embedding[6]::DOUBLE AS e6, embedding[7]::DOUBLE AS e7, embedding[8]::DOUBLE AS e8, embedding[9]::DOUBLE AS e9, embedding[10]::DOUBLE AS e10, embedding[11]::DOUBLE AS e11, embedding[12]::DOUBLE AS e12, embedding[13]::DOUBLE AS e13, embedding[14]::DOUBLE AS e14 FROM embeddings),
 sqr(role, h) AS (VALUES ('outer', 10.0::DOUBLE), ('inner', 5.0), ('center', 7.5)),
 rg0 AS (SELECT role, i::INT AS idx, h, CASE WHEN i IN (0, 3) THEN -h ELSE h END AS ax, CASE WHEN i IN (0, 1) THEN -h ELSE h END AS ay, CASE WHEN i IN (2, 3) THEN -h ELSE h END AS bx, CASE WHEN i IN (0, 3) THEN -h ELSE h END AS by2 FROM sqr, unnest(generate_series(0, 3)) AS g(i)),
 rg AS (SELECT role, idx, ax, ay, bx, by2, 2 * h AS len, 2 * h * idx AS start FROM rg0),
 rp0 AS (SELECT *, lead(depth) OVER w AS nxt, lead(t) OVER w - t AS dt, active AND pit = 0 AND in_corridor AS okk, lead(active AND pit = 0 AND in_corridor) OVER w AS okn FROM tele WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index)),
-rp AS (SELECT circuit, car_id, seg, frame_index, depth AS x, nxt AS x_next, round(dt, 6) AS dt, round(nxt - depth, 6) AS residual FROM rp0 WHERE okk AND okn AND dt > 0)
+rp AS (SELECT circuit, car_id, seg, frame_index, depth AS x, nxt AS x_next, dt, nxt - depth AS residual FROM rp0 WHERE okk AND okn AND dt > 0)
 """
 
 
@@ -122,6 +122,66 @@ ts AS (SELECT draw, circuit, cars[1 + (('0x' || substr(sha256('t|' || draw || '|
 PROJECT = "greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (by2 - ay)) / (len * len)))"
 GAP = "sqrt((x - ax - u * (bx - ax)) ** 2 + (y - ay - u * (by2 - ay)) ** 2)"
 
+
+def covered(px: str, py: str) -> str:
+    """Whether a point lies in the corridor of the lists ``o`` and ``h`` (sides of outer ring and hole)."""
+    odd = lambda ring: f"len(list_filter({ring}, lambda s: (s.ay > {py}) <> (s.by2 > {py}) AND {px} < s.ax + ({py} - s.ay) * (s.bx - s.ax) / nullif(s.by2 - s.ay, 0))) % 2"
+    u = f"greatest(0.0, least(1.0, (({px} - s.ax) * (s.bx - s.ax) + ({py} - s.ay) * (s.by2 - s.ay)) / (s.len * s.len)))"
+    near = f"len(list_filter(list_concat(o, h), lambda s: sqrt(({px} - s.ax - {u} * (s.bx - s.ax)) ** 2 + ({py} - s.ay - {u} * (s.by2 - s.ay)) ** 2) <= 1e-7)) > 0"
+    return f"(({odd('o')} = 1 AND {odd('h')} = 0) OR {near})"
+
+
+#: From moves mv(id, x, y, x2, y2) to first exits fx(id, x, y, x2, y2, t).
+EXITS = f""", rl AS (SELECT list({{'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2, 'len': len}} ORDER BY idx) FILTER (WHERE role = 'outer') AS o, list({{'ax': ax, 'ay': ay, 'bx': bx, 'by2': by2, 'len': len}} ORDER BY idx) FILTER (WHERE role = 'inner') AS h FROM rg),
+ms0 AS (SELECT mv.* FROM mv, rl WHERE (x <> x2 OR y <> y2) AND {covered("x", "y")}),
+mh0 AS (SELECT ms0.*, ax, ay, bx, by2, (x2 - x) * (by2 - ay) - (y2 - y) * (bx - ax) AS c, (ax - x) * (y2 - y) - (ay - y) * (x2 - x) AS off FROM ms0, rg WHERE role <> 'center'),
+mh1 AS (SELECT *, ((ax - x) * (by2 - ay) - (ay - y) * (bx - ax)) / nullif(c, 0) AS tt, off / nullif(c, 0) AS uu, ((ax - x) * (x2 - x) + (ay - y) * (y2 - y)) / ((x2 - x) ** 2 + (y2 - y) ** 2) AS ta, ((bx - x) * (x2 - x) + (by2 - y) * (y2 - y)) / ((x2 - x) ** 2 + (y2 - y) ** 2) AS tb FROM mh0),
+mh2 AS (SELECT id, tt FROM mh1 WHERE tt BETWEEN -1e-12 AND 1 + 1e-12 AND uu BETWEEN -1e-12 AND 1 + 1e-12
+  UNION ALL SELECT id, unnest([greatest(0.0, least(ta, tb)), least(1.0, greatest(ta, tb))]) FROM mh1 WHERE c = 0 AND off = 0 AND greatest(0.0, least(ta, tb)) <= least(1.0, greatest(ta, tb))),
+mh AS (SELECT id, list_sort(list_distinct(list(greatest(0.0, least(1.0, tt))))) AS hits FROM mh2 GROUP BY id),
+mp0 AS (SELECT ms0.*, hits, list_sort(list_distinct(list_concat(hits, [0.0::DOUBLE, 1.0::DOUBLE]))) AS cuts FROM ms0 JOIN mh USING (id)),
+mp1 AS (SELECT *, unnest(generate_series(1, len(cuts) - 1)) AS piece FROM mp0),
+mp AS (SELECT *, x + (cuts[piece] + cuts[piece + 1]) / 2 * (x2 - x) AS px, y + (cuts[piece] + cuts[piece + 1]) / 2 * (y2 - y) AS py FROM mp1),
+fx AS (SELECT id, x, y, x2, y2, hits[1] AS t FROM mp, rl WHERE NOT {covered("px", "py")} GROUP BY ALL)"""
+
+
+def path_exits(rate: str) -> str:
+    """Exits of constant body velocity with a yaw rate, over 30 steps of 0.05."""
+    return f""", st AS (SELECT id AS sid, x AS x0, y AS y0, abs(z) AS v, w AS yaw, {rate} AS rate, i AS step FROM pts, unnest(generate_series(1, 30)) AS g(i)),
+sv AS (SELECT *, v * cos(yaw + rate * ((step - 0.5::DOUBLE) * 0.05::DOUBLE)) * 0.05::DOUBLE AS mx, v * sin(yaw + rate * ((step - 0.5::DOUBLE) * 0.05::DOUBLE)) * 0.05::DOUBLE AS my FROM st),
+sp AS (SELECT *, x0 + sum(mx) OVER w AS ex, y0 + sum(my) OVER w AS ey FROM sv WINDOW w AS (PARTITION BY sid ORDER BY step ROWS UNBOUNDED PRECEDING)),
+mv AS (SELECT {{'i': sid, 's': step}} AS id, ex - mx AS x, ey - my AS y, ex AS x2, ey AS y2 FROM sp){EXITS},
+fe0 AS (SELECT id.i AS sid, (id.s - 1 + t) * 0.05::DOUBLE AS et, x + t * (x2 - x) AS x, y + t * (y2 - y) AS y FROM fx),
+fe1 AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY et) AS nth FROM fe0),
+fa AS (SELECT *, {PROJECT} AS u FROM fe1, rg WHERE role = 'center' AND nth = 1), fb AS (SELECT *, {GAP} AS gap, ((bx - ax) * (y - ay) - (by2 - ay) * (x - ax)) / len AS cr FROM fa),
+fd AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY round(gap, 9), idx) AS pick FROM fb),
+fo AS (SELECT sid, et, CASE WHEN cr > 1e-7 THEN 'left' WHEN cr < -1e-7 THEN 'right' ELSE 'unknown' END AS side, floor(CASE WHEN start + u * len >= 60 THEN start + u * len - 60 ELSE start + u * len END / 2.5)::BIGINT AS bin FROM fd WHERE pick = 1)
+SELECT p.id, hz AS horizon, CASE WHEN et <= hz + 1e-12 THEN side ELSE 'none' END AS side, CASE WHEN et <= hz + 1e-12 THEN bin END AS bin, round(CASE WHEN et <= hz + 1e-12 THEN et END, 6) AS exit_time
+FROM pts p LEFT JOIN fo ON fo.sid = p.id, (VALUES (0.25::DOUBLE), (0.5), (1.0), (1.5)) q(hz)"""
+
+
+def _rotation_sql(x: str, y: str, z: str, w: str) -> list[list[str]]:
+    return [
+        [f"(1 - 2 * ({y} * {y} + {z} * {z}))", f"(2 * ({x} * {y} - {z} * {w}))", f"(2 * ({x} * {z} + {y} * {w}))"],
+        [f"(2 * ({x} * {y} + {z} * {w}))", f"(1 - 2 * ({x} * {x} + {z} * {z}))", f"(2 * ({y} * {z} - {x} * {w}))"],
+        [f"(2 * ({x} * {z} - {y} * {w}))", f"(2 * ({y} * {z} + {x} * {w}))", f"(1 - 2 * ({x} * {x} + {y} * {y}))"],
+    ]
+
+
+def kinematics() -> str:
+    m, v = _rotation_sql("0.0::DOUBLE", "0.0::DOUBLE", "0.6::DOUBLE", "0.8::DOUBLE"), _rotation_sql("qx", "qy", "qz", "qw")
+    dot = lambda a, b: " + ".join(f"({i}) * {j}" for i, j in zip(a, b, strict=True))
+    to_map = lambda a: [dot(a, [m[i][j] for i in range(3)]) for j in range(3)]
+    cols = dict(zip(("map_x", "map_y", "map_z"), to_map(["x - 1", "y - 2", "z - 3"]), strict=True)) | dict(zip(("map_vx", "map_vy", "map_vz"), to_map(["e4", "e5", "e6"]), strict=True))
+    cols |= dict(zip(("map_ax", "map_ay", "map_az"), to_map([dot(v[i], ["e7", "e8", "e9"]) for i in range(3)]), strict=True)) | dict(zip(("forward_x", "forward_y", "forward_z"), to_map([v[i][0] for i in range(3)]), strict=True))
+    return f""", kn AS (SELECT *, sqrt(e10 * e10 + e11 * e11 + e12 * e12 + e13 * e13) AS nq FROM pts), kq AS (SELECT *, e10 / nq AS qx, e11 / nq AS qy, e12 / nq AS qz, e13 / nq AS qw FROM kn),
+km AS (SELECT label, id, {", ".join(f"{e} AS {n}" for n, e in cols.items())} FROM kq), ky AS (SELECT *, atan2(forward_y, forward_x) AS a FROM km),
+ks AS (SELECT *, coalesce(a - lag(a) OVER (PARTITION BY label ORDER BY id), 0.0) AS d FROM ky)
+SELECT label, id, {", ".join(f"round({n}, 6) AS {n}" for n in cols)}, round(a + 2 * pi() * sum(CASE WHEN d > pi() THEN -1.0 WHEN d < -pi() THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY label ORDER BY id), 6) AS yaw FROM ks"""
+
+
+KINEMATICS = kinematics()
+
 _SELECTS = {
     "tele_frames": "SELECT circuit, car_id, frame_index, round(t, 6) AS time_seconds, lap_number, in_corridor, round(depth, 6) AS outside_depth_m, active, pit AS pit_status, side AS local_side, hb AS hard_break, seed AS artifact_seed, seg AS continuous_segment_id FROM tele",
     "timebase_axis": """, ax0 AS (SELECT *, row_number() OVER w = 1 AS fr, lap_number - lag(lap_number) OVER w AS dl, clock - lag(clock) OVER w AS dc, arc - lag(arc) OVER w AS dd, abs(depth - lag(depth) OVER w) AS stp, lag(clock) OVER w AS wc,
@@ -135,18 +195,29 @@ SELECT circuit, car_id, frame_index, round(cadence, 6) AS cadence, lb AS lap_bou
     "timing_diagnostics": "SELECT circuit, car_id, count(*) AS n_frames, count(*) FILTER (WHERE hb) - 1 AS n_hard_breaks, count(*) FILTER (WHERE seed) AS n_artifact_seeds, count(*) FILTER (WHERE active) AS n_active, count(*) FILTER (WHERE pit <> 0) AS n_pit, round(max(t) - min(t), 6) AS span_seconds FROM tele GROUP BY ALL",
     "causal_resample": "SELECT g.circuit, g.car_id, g.seg AS continuous_segment_id, grid_index, round(target, 6) AS target_time, f.frame_index AS source_index, round(target - f.t, 6) AS source_age FROM gr g ASOF JOIN tele f ON f.car_id = g.car_id AND f.seg = g.seg AND f.t <= g.target",
     "source_flags_forward": "SELECT f.circuit, f.car_id, f.seg AS continuous_segment_id, g.grid_index, count(*) AS n_flags FROM (SELECT * FROM tele WHERE seed) f ASOF JOIN gr g ON f.car_id = g.car_id AND f.seg = g.seg AND f.t <= g.target GROUP BY ALL",
-    "body_to_map": ", o AS (SELECT id, x - 1 AS x, y - 2 AS y, z - 3 AS z FROM pts) SELECT id, round(y, 6) AS map_x, round(-x, 6) AS map_y, round(z, 6) AS map_z FROM o",
-    "signed_area": "SELECT role, round(sum(ax * by2 - bx * ay) / 2, 6) AS area, role = 'outer' AS is_outer, (SELECT count(*) FROM pts) AS n_points FROM rg WHERE role <> 'center' GROUP BY role",
-    "corridor_locate": f""", a AS (SELECT *, {PROJECT} AS u FROM pts, rg WHERE role <> 'center'),
+    "signed_area": """, ra AS (SELECT label, x, y, coalesce(lead(x) OVER w, first(x) OVER w) AS nx, coalesce(lead(y) OVER w, first(y) OVER w) AS ny FROM pts WINDOW w AS (PARTITION BY label ORDER BY id))
+SELECT label, round(sum(x * ny - nx * y) / 2, 6) AS area FROM ra GROUP BY label""",
+    "corridor_locate": f""", a AS (SELECT *, {PROJECT} AS u FROM pts, rg),
 b AS (SELECT *, {GAP} AS gap, CASE WHEN (ay > y) <> (by2 > y) AND x < ax + (y - ay) * (bx - ax) / nullif(by2 - ay, 0) THEN 1 ELSE 0 END AS c FROM a),
-g AS (SELECT id, sum(c) FILTER (WHERE role = 'outer') % 2 = 1 AS io, sum(c) FILTER (WHERE role = 'inner') % 2 = 1 AS ih, min(gap) FILTER (WHERE role = 'outer') AS go, min(gap) FILTER (WHERE role = 'inner') AS gi FROM b GROUP BY id)
-SELECT id, (io AND NOT ih) OR least(go, gi) <= 1e-7 AS in_corridor, ih AS in_hole, CASE WHEN go <= gi THEN 'outer' ELSE 'inner' END AS nearest_boundary, round(least(go, gi), 6) AS boundary_distance,
-  round(CASE WHEN (io AND NOT ih) OR least(go, gi) <= 1e-7 THEN 0.0 ELSE least(go, gi) END, 6) AS outside_depth FROM g""",
-    "segment_exit": """, m AS (SELECT *, x + z AS x2, y + w AS y2 FROM pts), a AS (SELECT *, z * (by2 - ay) - w * (bx - ax) AS c FROM m, rg WHERE role <> 'center'),
-b AS (SELECT *, ((ax - x) * (by2 - ay) - (ay - y) * (bx - ax)) / nullif(c, 0) AS tt, ((ax - x) * w - (ay - y) * z) / nullif(c, 0) AS uu FROM (SELECT * REPLACE (x2 - x AS z, y2 - y AS w) FROM a) a2)
-SELECT id, round(min(tt), 6) AS fraction, round(x + min(tt) * (x2 - x), 6) AS hit_x, round(y + min(tt) * (y2 - y), 6) AS hit_y FROM b WHERE tt BETWEEN 0 AND 1 AND uu BETWEEN 0 AND 1 GROUP BY id, x, y, x2, y2""",
+g AS (SELECT id, sum(c) FILTER (WHERE role = 'outer') % 2 = 1 AS io, sum(c) FILTER (WHERE role = 'inner') % 2 = 1 AS ih, min(gap) FILTER (WHERE role = 'outer') AS go, min(gap) FILTER (WHERE role = 'inner') AS gi FROM b GROUP BY id),
+n AS (SELECT *, ((bx - ax) * (y - ay) - (by2 - ay) * (x - ax)) / len AS cr, row_number() OVER (PARTITION BY id ORDER BY round(gap, 9), idx) AS nth FROM b WHERE role = 'center'),
+h AS (SELECT *, (io AND NOT ih) OR least(go, gi) <= 1e-7 AS inside, least(go, gi) AS near FROM g)
+SELECT id, inside AS in_corridor, ih AS in_hole, CASE WHEN go <= gi THEN 'outer' ELSE 'inner' END AS nearest_boundary, round(CASE WHEN inside THEN near ELSE -near END, 6) AS clearance, round(CASE WHEN inside THEN 0.0 ELSE near END, 6) AS outside_depth,
+  CASE WHEN cr > 1e-7 THEN 'left' WHEN cr < -1e-7 THEN 'right' ELSE 'center' END AS local_side, idx AS centerline_segment, round(start + u * len, 6) AS arclength, round(CASE WHEN start + u * len >= 60 THEN start + u * len - 60 ELSE start + u * len END, 6) AS arclength_wrapped
+FROM h JOIN n USING (id) WHERE nth = 1""",
+    "segment_exit": ", mv AS (SELECT id, x * 1.2 AS x, y * 1.2 AS y, x + z AS x2, y + w AS y2 FROM pts)" + EXITS + " SELECT id, round(t, 6) AS fraction, round(x + t * (x2 - x), 6) AS hit_x, round(y + t * (y2 - y), 6) AS hit_y FROM fx",
     "track_features": f""", a AS (SELECT *, {PROJECT} AS u FROM pts, rg WHERE role = 'center'), b AS (SELECT *, {GAP} AS gap FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(gap, 9), idx) AS nth FROM b)
-SELECT id, idx AS segment, round(((bx - ax) * (y - ay) - (by2 - ay) * (x - ax)) / len, 6) AS "offset", round(atan2(by2 - ay, bx - ax), 6) AS heading, round(start + u * len, 6) AS arclength FROM c WHERE nth = 1""",
+SELECT id, idx AS segment, round(((bx - ax) * (y - ay) - (by2 - ay) * (x - ax)) / len, 6) AS "offset", round(atan2(by2 - ay, bx - ax), 6) AS heading, round(pi() / 2 / 15, 6) AS curvature, round(start + u * len, 6) AS arclength FROM c WHERE nth = 1""",
+    "track_reference": """SELECT id, idx AS segment, round(((bx - ax) * (y - ay) - (by2 - ay) * (x - ax)) / len, 6) AS "offset", round(atan2(by2 - ay, bx - ax), 6) AS heading, round(pi() / 2 / 15, 6) AS curvature FROM pts JOIN rg ON role = 'center' AND idx = id % 4""",
+    "quaternion_yaw": "SELECT id, round(atan2(2 * (e13 * e12 + e10 * e11) / n, 1 - 2 * (e11 * e11 + e12 * e12) / n), 6) AS yaw FROM (SELECT *, e10 * e10 + e11 * e11 + e12 * e12 + e13 * e13 AS n FROM pts)",
+    "row_identities": """, ri AS (SELECT circuit, car_id, frame_index, 'row-seed-v1:{"base_seed":20270927,"car":"' || car_id || '","circuit":"' || circuit || '","frame_index":' || frame_index || ',"method":"bayesian","outer_fold":"C0"}' AS identity FROM tele),
+rh AS (SELECT *, sha256(identity) AS h FROM ri)
+SELECT circuit, car_id, frame_index, identity, (('0x' || substr(h, 15, 2) || substr(h, 13, 2) || substr(h, 11, 2) || substr(h, 9, 2) || substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2))::UBIGINT)::VARCHAR AS seed FROM rh""",
+    "grid_acceleration": """, ga AS (SELECT g.circuit, g.car_id, g.seg, grid_index, target, f.value AS v, f.depth AS d FROM gr g ASOF JOIN tele f ON f.car_id = g.car_id AND f.seg = g.seg AND f.t <= g.target)
+SELECT circuit, car_id, seg AS continuous_segment_id, grid_index, round((v - lag(v) OVER w) / (target - lag(target) OVER w), 6) AS value_rate, round((d - lag(d) OVER w) / (target - lag(target) OVER w), 6) AS outside_depth_m_rate FROM ga WINDOW w AS (PARTITION BY car_id, seg ORDER BY grid_index)""",
+    "map_kinematics": KINEMATICS,
+    "constant_velocity_exits": path_exits("0.0"),
+    "constant_turn_exits": path_exits("z / 20"),
     "excursion_candidates": "SELECT circuit, car_id, id AS candidate_event_id, seg AS continuous_segment_id, sf AS start_frame, ef AS end_frame, st AS start_time, et AS end_time, round(duration, 6) AS duration, round(md, 6) AS max_depth, mf AS max_depth_frame, n_out AS n_outside, ef - sf + 1 - n_out AS n_gap, side AS side_at_onset, bin AS segment_bin_at_onset, sf = seg_first AS start_truncated, ef = seg_last AS end_truncated, po AS pit_overlap, an AS artifact_near, round(lead_in, 6) AS lead_in, reason AS rejection_reason, reason = '' AS qualified FROM cd",
     "excursion_frames": "SELECT f.circuit, f.car_id, f.frame_index, cd.id AS candidate_event_id, CASE WHEN reason = '' THEN cd.id END AS qualifying_event_id, coalesce(reason = '' AND f.frame_index = sf, FALSE) AS onset, f.active AND f.pit = 0 AND NOT f.near_art AS eligible_exposure FROM pr f LEFT JOIN cd ON cd.car_id = f.car_id AND f.frame_index BETWEEN sf AND ef",
     "interval_exposure": "SELECT * FROM ex",
@@ -154,15 +225,19 @@ SELECT id, idx AS segment, round(((bx - ax) * (y - ay) - (by2 - ay) * (x - ax))
     "partition_attach": "SELECT part AS partition, count(*) AS rows, count(next_id) AS with_event, round(sum(round(ttn, 6)), 3) AS total_time_to_next FROM nx LEFT JOIN (SELECT * FROM lo WHERE fold_test_circuit = 'C0') l USING (car_id) GROUP BY part",
     "exposure_join": "SELECT fold_test_circuit, part AS partition, count(*) AS cars, round(sum(prebuffer_seconds), 4) AS seconds FROM ex JOIN lo USING (car_id) GROUP BY ALL",
     "events_semi_join": "SELECT circuit, car_id, id AS candidate_event_id, reason = '' AS qualified FROM cd WHERE car_id IN (SELECT car_id FROM lo WHERE fold_test_circuit = 'C1' AND part = 'calibration')",
-    "key_set_check": "SELECT count(*) FILTER (WHERE next_id IS NULL) AS left_only, 0::BIGINT AS right_only, count(next_id) AS shared, 0::BIGINT AS repeated FROM nx",
+    "key_set_check": """, kr AS (SELECT car_id, frame_index FROM nx WHERE next_id IS NOT NULL UNION ALL SELECT car_id, frame_index FROM nx WHERE next_id IS NOT NULL AND frame_index % 7 = 0 UNION ALL SELECT car_id, frame_index + 1000000 FROM tele WHERE frame_index % 11 = 0),
+ka AS (SELECT car_id, frame_index, count(*) AS a FROM tele GROUP BY ALL), kb AS (SELECT car_id, frame_index, count(*) AS b FROM kr GROUP BY ALL)
+SELECT count(*) FILTER (WHERE b IS NULL) AS left_only, count(*) FILTER (WHERE a IS NULL) AS right_only, count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS shared, count(*) FILTER (WHERE a > 1 OR b > 1) AS repeated FROM ka FULL JOIN kb USING (car_id, frame_index)""",
     "next_event_targets": "SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, next_id AS next_event_id, round(ttn, 6) AS time_to_next, nside AS next_side, nbin AS next_bin FROM nx",
     "event_projection": "SELECT q.id AS candidate_event_id, g.grid_index, round(g.target - q.st, 6) AS projection_delay FROM q ASOF LEFT JOIN gr g ON q.car_id = g.car_id AND q.seg = g.seg AND q.st <= g.target",
-    "causal_features": """, a AS (SELECT *, ((arc / 100 + pi()) - 2 * pi() * floor((arc / 100 + pi()) / (2 * pi()))) - pi() AS yaw FROM tele), b AS (SELECT *, yaw - lag(yaw) OVER w AS dy, t - lag(t) OVER w AS dt FROM a WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index))
-SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, round(yaw, 6) AS yaw, round(coalesce(CASE WHEN dt > 0 THEN (((dy + pi()) - 2 * pi() * floor((dy + pi()) / (2 * pi()))) - pi()) / dt END, 0.0), 6) AS yaw_rate, round(value / 10 * cos(yaw), 6) AS longitudinal, round(value / 10 * sin(yaw), 6) AS lateral FROM b""",
+    "causal_features": """, a AS (SELECT *, ((arc / 100 + pi()) - 2 * pi() * floor((arc / 100 + pi()) / (2 * pi()))) - pi() AS yaw, value / 10 AS vx, depth AS vy FROM tele),
+b AS (SELECT *, yaw - lag(yaw) OVER w AS dy, t - lag(t) OVER w AS dt, yaw - k / 20.0::DOUBLE AS he FROM a WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index))
+SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, round(yaw, 6) AS yaw, round(CASE WHEN dt IS NULL OR hb THEN 0.0 ELSE (((dy + pi()) - 2 * pi() * floor((dy + pi()) / (2 * pi()))) - pi()) / dt END, 6) AS yaw_rate,
+  round(vx * cos(yaw) + vy * sin(yaw), 6) AS v_long, round(vy * cos(yaw) - vx * sin(yaw), 6) AS v_lat, round(((he + pi()) - 2 * pi() * floor((he + pi()) / (2 * pi()))) - pi(), 6) AS heading_error FROM b""",
     "robust_scaler": """, a AS (SELECT value, depth, clock FROM tele WHERE active), b AS (SELECT 'value' AS feature, value AS v FROM a UNION ALL SELECT 'outside_depth_m', depth FROM a UNION ALL SELECT 'current_lap_time', clock FROM a),
 c AS (SELECT feature, median(v) AS m, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS r FROM b GROUP BY feature) SELECT feature, round(m, 6) AS center, round(CASE WHEN r > 1e-12 THEN r ELSE 1.0 END, 6) AS scale FROM c""",
     "support_flags": "SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, active AND pit = 0 AND NOT hb AS input_valid_causal, max(t) OVER s - t + 1e-12 >= 6 AS outcome_evaluable_6p00s, max(t) OVER s - t + 1e-12 >= 24 AS outcome_evaluable_24p00s FROM tele WINDOW s AS (PARTITION BY car_id, seg)",
-    "residual_pairs": "SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, x, x_next, dt, residual FROM rp",
+    "residual_pairs": "SELECT circuit, car_id, seg AS continuous_segment_id, frame_index, x, x_next, round(dt, 6) AS dt, round(residual, 6) AS residual FROM rp",
     "hazard_rows": """, a AS (SELECT tele.*, q.id IS NOT NULL AS onset FROM tele LEFT JOIN q ON q.car_id = tele.car_id AND q.sf = tele.frame_index), b AS (SELECT *, lead(active AND pit = 0) OVER w AS okn, lead(onset) OVER w AS on_next FROM a WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index))
 SELECT circuit, car_id, frame_index, CASE WHEN on_next THEN side ELSE 'no_exit' END AS label FROM b WHERE active AND pit = 0 AND in_corridor AND okn""",
     "circular_bins": """, a AS (SELECT *, arc + greatest(value, 0.0) * 0.75 AS s FROM tele), b AS (SELECT *, CAST(floor((s - 1000 * floor(s / 1000)) / 25) AS BIGINT) % 40 AS hb2 FROM a)
@@ -185,11 +260,10 @@ d AS (SELECT lang, (b < a - 1e-12)::BIGINT + (c < b - 1e-12)::BIGINT AS f FROM a
     "reliability_bins": ", a AS (SELECT lang, least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM pb GROUP BY ALL), g AS (SELECT DISTINCT lang, b::INT AS bin FROM pb, unnest(generate_series(0, 9)) AS z(b)) SELECT lang, bin, coalesce(n, 0) AS n, round(mp, 6) AS mean_probability, round(my, 6) AS event_frequency FROM g LEFT JOIN a USING (lang, bin)",
     "reliability_clusters": ", a AS (SELECT source, least(CAST(floor(p * 5) AS INT), 4) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM pb GROUP BY ALL), g AS (SELECT DISTINCT source, b::INT AS bin FROM pb, unnest(generate_series(0, 4)) AS z(b)) SELECT source, bin, coalesce(n, 0) AS n, round(mp, 6) AS mean_probability, round(my, 6) AS event_frequency FROM g LEFT JOIN a USING (source, bin)",
     "alert_state_machine": "SELECT circuit, car_id, n AS proposal_number, round(pt, 6) AS proposal_time, side AS predicted_side, bin AS predicted_bin, round(rt, 6) AS resolution_time, kind AS resolution_type, unres AS unresolved FROM pp WHERE th = 0.1",
-    "proposal_labels": "SELECT * FROM lb",
-    "detection_summary": "SELECT * FROM ds",
+    "proposal_labels": "SELECT * REPLACE (round(proposal_time, 6) AS proposal_time, round(lead, 6) AS lead) FROM lb",
+    "detection_summary": "SELECT * REPLACE (round(recall, 6) AS recall, round(false_per_hour, 6) AS false_per_hour) FROM ds",
     "operating_points": """, a AS (SELECT ds.*, b AS budget, row_number() OVER (PARTITION BY required_lead, b ORDER BY recall DESC NULLS LAST, threshold DESC) AS nth FROM ds, (VALUES (0.002::DOUBLE), (0.005), (0.02), (0.1)) v(b) WHERE false_per_hour <= b + 1e-12)
-SELECT required_lead, budget, threshold, recall, false_per_hour FROM a WHERE nth = 1""",
-    "threshold_grid": """, a AS (SELECT round(quantile_cont(score, 0.99 * i / 99.0), 9) AS threshold FROM sc, (SELECT 1) GROUP BY 1) SELECT 1""",
+SELECT required_lead, budget, threshold, round(recall, 6) AS recall, round(false_per_hour, 6) AS false_per_hour FROM a WHERE nth = 1""",
     "synthetic_delay": "SELECT circuit, car_id, threshold, proposal_number, d AS delay, round(lead - d, 6) AS effective_lead, coalesce(localized_hit AND lead - d >= -1e-12, FALSE) AS localized_hit, unresolved_censored, CASE WHEN matched_event_id IS NOT NULL THEN NOT coalesce(localized_hit AND lead - d >= -1e-12, FALSE) ELSE false_proposal END AS false_proposal FROM lb, (VALUES (0.0::DOUBLE), (2.0), (6.0)) v(d) WHERE threshold = 0.1",
     "car_contributions": "SELECT * FROM lg",
     "pooled_metrics": "SELECT lead, sum(events)::BIGINT AS events, sum(hits)::BIGINT AS hits, sum(false_proposals)::BIGINT AS false_proposals, sum(unresolved)::BIGINT AS unresolved, round(sum(exposure), 6) AS exposure, count(DISTINCT circuit) AS circuits, count(DISTINCT car_id) AS cars, round(sum(hits) / nullif(sum(events), 0)::DOUBLE, 6) AS recall, round(sum(false_proposals) / sum(exposure), 6) AS false_per_hour FROM lg GROUP BY lead",
@@ -202,7 +276,8 @@ LEFT JOIN (SELECT circuit, round(sum(prebuffer_seconds), 4) AS prebuffer_seconds
     "bootstrap_two_stage": TWO_STAGE + " " + BOOT.format(lstar("draw", src="lg JOIN ts USING (circuit, car_id)", w="* weight")),
     "reliability_bootstrap": ", per AS (SELECT lang AS circuit, source AS car_id, least(CAST(floor(p * 5) AS INT), 4) AS bin, count(*) AS n, sum(y) AS e FROM pb GROUP BY ALL), pu AS (SELECT DISTINCT circuit, car_id FROM per)" + draws("rw", "pu", 50, "r")
     + ", ech AS (SELECT draw, bin, sum(e * weight) / sum(n * weight) AS f FROM per JOIN rw USING (circuit, car_id) GROUP BY ALL) SELECT bin, count(*) AS draws, round(avg(f), 6) AS mean, round(quantile_cont(f, 0.025), 6) AS low, round(quantile_cont(f, 0.975), 6) AS high FROM ech GROUP BY bin",
-    "content_hashes": "SELECT user_id, count(*) AS n_rows, sum(('0x' || substr(sha256(event_id || '|' || event_type || '|' || props), 1, 8))::BIGINT)::BIGINT AS digest FROM events GROUP BY user_id",
+    "content_hashes": """, ch AS (SELECT user_id, sha256(length(event_id::VARCHAR) || ':' || event_id || strlen(event_type) || ':' || event_type || strlen(props) || ':' || props) AS h FROM events)
+SELECT user_id, count(*) AS n_rows, sha256(concat_ws('|', count(*), sum(('0x' || substr(h, 1, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 17, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 33, 16))::UBIGINT::HUGEINT), sum(('0x' || substr(h, 49, 16))::UBIGINT::HUGEINT))) AS digest FROM ch GROUP BY user_id""",
 }
 
 HAZARDS = {"hazard": ((-2.0, 1.0, 0.25), (-2.5, 0.5, -0.5)), "twin": ((-1.5, 0.5, 0.0), (-1.5, 0.5, 0.0))}
@@ -253,12 +328,20 @@ SELECT row, 1.5::DOUBLE AS horizon, round(total, 6) AS total FROM mt WHERE abs(t
     "closest_active_threshold": ", ca AS (SELECT car_id, threshold, count(*) AS n FROM lb GROUP BY ALL), cb AS (SELECT car_id, max(threshold) AS closest_threshold, arg_max(n, threshold) AS proposals FROM ca GROUP BY car_id) SELECT circuit, car_id, closest_threshold, proposals FROM units LEFT JOIN cb USING (car_id)",
     "delay_l_star": DELAYED + " " + lstar("circuit, delay", src="dg"),
     "complete_cells": CELLS + ", cg AS (SELECT lead, budget FROM ce GROUP BY ALL HAVING bool_and(estimable) AND count(*) = 4) SELECT ce.* FROM ce SEMI JOIN cg USING (lead, budget)",
-    "ledger_defects": "SELECT count(DISTINCT car_id) AS cars, 0::BIGINT AS bad_counts, count(*) FILTER (WHERE exposure <= 0) AS bad_exposure, count(*) FILTER (WHERE hits > events) AS hits_above_events, 0::BIGINT AS repeated_keys, 0::BIGINT AS uneven_denominators, 0::BIGINT AS incomplete_cars FROM lg",
+    "ledger_defects": """, fl0 AS (SELECT *, split_part(car_id, '_', 2)::BIGINT % 13 AS n FROM lg),
+fl1 AS (SELECT car_id, n, lead, events, CASE WHEN n = 1 AND lead = 1 THEN -1 WHEN n = 2 THEN events + 1 ELSE hits END AS hits, false_proposals AS f, CASE WHEN n = 3 AND lead = 1 THEN NULL ELSE unresolved END AS u,
+  CASE WHEN n = 4 THEN 0.0 WHEN n = 5 AND lead = 1 THEN exposure + 1 ELSE exposure END AS x FROM fl0 WHERE NOT (n = 6 AND lead = 1)),
+fl AS (SELECT * FROM fl1 UNION ALL SELECT * FROM fl1 WHERE n = 7),
+fk AS (SELECT car_id, lead, count(*) AS c, count(*) FILTER (WHERE events < 0 OR hits < 0 OR f < 0 OR u IS NULL OR u < 0) AS bad, count(*) FILTER (WHERE NOT x > 0) AS dark, count(*) FILTER (WHERE hits > events) AS over, min(events) AS e0, max(events) AS e1, min(x) AS x0, max(x) AS x1 FROM fl GROUP BY ALL),
+fc AS (SELECT car_id, sum(bad) AS bad, sum(dark) AS dark, sum(over) AS over, count(*) FILTER (WHERE c > 1) AS rep, count(*) AS cells, min(e0) <> max(e1) OR min(x0) <> max(x1) AS uneven FROM fk GROUP BY car_id)
+SELECT count(*) AS cars, sum(bad)::BIGINT AS bad_counts, sum(dark)::BIGINT AS bad_exposure, sum(over)::BIGINT AS hits_above_events, sum(rep)::BIGINT AS repeated_keys, count(*) FILTER (WHERE uneven) AS uneven_denominators, count(*) FILTER (WHERE cells < (SELECT max(cells) FROM fc)) AS incomplete_cars FROM fc""",
     "runtime_summary": "SELECT event_type, count(*) AS entries, sum(k)::BIGINT AS rows, round(sum(round(value, 4)), 4) AS seconds, round(sum(k) / sum(round(value, 4)), 6) AS rows_per_second FROM ev GROUP BY event_type",
-    "grid_completeness": CELLS + " SELECT circuit, 16 - count(*) AS missing, 0::BIGINT AS unknown, 0::BIGINT AS repeated FROM ce WHERE estimable GROUP BY circuit",
+    "grid_completeness": CELLS + """, gf AS (SELECT circuit, lead, budget FROM ce WHERE estimable UNION ALL SELECT circuit, lead, budget FROM ce WHERE estimable AND lead = 6 UNION ALL SELECT circuit, 99, budget FROM ce WHERE estimable AND lead = 12),
+gk AS (SELECT circuit, lead, budget, count(*) AS n FROM gf GROUP BY ALL)
+SELECT circuit, 16 - count(*) FILTER (WHERE lead <> 99) AS missing, count(*) FILTER (WHERE lead = 99) AS unknown, count(*) FILTER (WHERE n > 1) AS repeated FROM gk GROUP BY circuit""",
 }
 
-QS = [0.99 * i / 99 for i in range(100)] + [1 - 10 ** -(2.0 + 2.0 * i / 40) for i in range(41)]
+QS = [0.99 * i / 99 for i in range(100)] + [1 - 10 ** -(2.0 + 4.0 * i / 400) for i in range(401)]
 _SELECTS["threshold_grid"] = f"SELECT DISTINCT threshold FROM (SELECT unnest(list_concat([round(v, 9) FOR v IN quantile_cont(score, {QS})], [0.0, 1.0])) AS threshold FROM sc)"
 
 #: A select that begins with a comma goes on with the common table expressions.

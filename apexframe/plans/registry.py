@@ -5,8 +5,6 @@ The number of the operator in the blueprint stands beside each query.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +23,7 @@ from apexframe.operators import release as E
 from apexframe.operators import residual as D
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
-from apexframe.plans.surrogate import N_BINS, prob, scores, table, tele
+from apexframe.plans.surrogate import N_BINS, materialising, once, prob, scores, table, tele
 from apexframe.sources import compact, maps
 from apexframe.sources.integrity import unit_digests
 from apexframe.sources.tables import natural_key
@@ -41,6 +39,7 @@ DRAWS = 200
 UNIT = T.UNIT
 
 
+@once
 def _events(spark, d):
     return X.excursion_candidates(tele(spark, d), CONFIG)
 
@@ -50,10 +49,17 @@ def _events_binned(spark, d):
     return _events(spark, d).withColumn("segment_bin_at_onset", F.col("segment_bin_at_onset") % N_BINS)
 
 
+def _rounded(rows: DataFrame, *cols: str) -> DataFrame:
+    """Six digits, for comparison with a twin; operators don't round."""
+    return rows.withColumns({c: F.round(c, 6) for c in cols})
+
+
+@once
 def _labels(spark, d):
     return P.label_proposals(P.run_alerts(scores(spark, d), THRESHOLDS, POLICY), _events_binned(spark, d), POLICY.horizon)
 
 
+@once
 def _exposure(spark, d):
     return X.interval_exposure(tele(spark, d), CONFIG.edge, CONFIG.artifact)
 
@@ -81,12 +87,37 @@ def _mass(spark, d):
 
 
 def _points(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.select(F.col("vec_id").alias("id"), (F.element_at("embedding", 1).cast("double") * 30).alias("x"), (F.element_at("embedding", 2).cast("double") * 30).alias("y"), (F.element_at("embedding", 3).cast("double") * 30).alias("z"), (F.element_at("embedding", 4).cast("double") * 30).alias("w"))
+    at = lambda i, scale=1.0: F.element_at("embedding", i).cast("double") * scale
+    more = {f"e{i}": at(i) for i in range(4, 15)}
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("long").alias("label"), at(1, 30).alias("x"), at(2, 30).alias("y"), at(3, 30).alias("z"), at(4, 30).alias("w"), *(c.alias(n) for n, c in more.items()))
 
 
 def _rings(spark):
-    return G.ring_segments(spark, G.square(10.0), "outer").unionByName(G.ring_segments(spark, G.square(5.0), "inner"))
+    """The map: two boundaries and a centre line, as a circuit's files would give them."""
+    return G.ring_segments(spark, G.square(10.0), "outer").unionByName(G.ring_segments(spark, G.square(5.0), "inner")).unionByName(G.ring_segments(spark, G.square(7.5), "center"))
+
+
+def _kinematics(spark, d):
+    p = _points(spark, d)
+    norm = F.sqrt(F.col("e10") * F.col("e10") + F.col("e11") * F.col("e11") + F.col("e12") * F.col("e12") + F.col("e13") * F.col("e13"))
+    frames = p.select("label", "id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *(F.col(f"e{i}").alias(n) for i, n in zip(range(4, 10), ("vx", "vy", "vz", "ax", "ay", "az"), strict=True)), *((F.col(f"e{10 + i}") / norm).alias(f"q{c}") for i, c in enumerate("xyzw")))
+    k = G.map_kinematics(frames, (1.0, 2.0, 3.0), (0.0, 0.0, 0.6, 0.8), ["label"], "id")
+    return _rounded(k, *(c for c in k.columns if c not in ("label", "id")))
+
+
+def _exits(spark, d, turns):
+    p = _points(spark, d)
+    states = p.select("id", "x", "y", F.abs("z").alias("v_long"), F.lit(0.0).alias("v_lat"), F.col("w").alias("yaw"), (F.col("z") / 20).alias("yaw_rate"))
+    return _rounded(C.path_exits(states, C.constant_paths(states, 1.5, turns), _rings(spark), [0.25, 0.5, 1.0, 1.5], 2.5), "exit_time")
+
+
+def _acceleration(spark, d):
+    t = tele(spark, d)
+    grid = T.causal_resample(t, GRID_STEP)
+    source = t.select(*UNIT, F.col("frame_index").alias("source_index"), "value", "outside_depth_m")
+    grid = grid.join(source, [*UNIT, "source_index"])
+    out = G.grid_acceleration(grid, UNIT, "continuous_segment_id", "grid_index", "target_time", ["value", "outside_depth_m"])
+    return _rounded(out.select(*UNIT, "continuous_segment_id", "grid_index", "value_rate", "outside_depth_m_rate"), "value_rate", "outside_depth_m_rate")
 
 
 def _horizons(rows: DataFrame) -> DataFrame:
@@ -110,8 +141,17 @@ def _loco(spark, d):
 
 
 def _key_check(spark, d):
+    """Frames against those with a next event, with strangers added on the right and some keys repeated."""
     t = tele(spark, d)
-    return key_set_difference(t.select(*UNIT, "frame_index"), X.next_events(t, _events(spark, d)).where("next_event_id is not null").select(*UNIT, "frame_index"), [*UNIT, "frame_index"])
+    right = X.next_events(t, _events(spark, d)).where("next_event_id is not null").select(*UNIT, "frame_index")
+    strangers = t.where("frame_index % 11 = 0").select(*UNIT, (F.col("frame_index") + 1_000_000).alias("frame_index"))
+    again = right.where("frame_index % 7 = 0")
+    return key_set_difference(t.select(*UNIT, "frame_index"), right.unionByName(strangers).unionByName(again), [*UNIT, "frame_index"])
+
+
+def _moments(spark, d):
+    m = R.sufficient_statistics(V.residual_pairs(tele(spark, d), "outside_depth_m"), ["x", "dt"], "residual")
+    return m.withColumns({c: F.round(c, 4) for c in m.columns if c[:2] in ("g_", "m_")})
 
 
 def _ridge(spark, d):
@@ -147,7 +187,9 @@ def _projection(spark, d):
 
 
 def _features(spark, d):
-    return V.causal_features(tele(spark, d), F.col("centerline_arclength_wrapped_m") / 100, F.col("value") / 10)
+    t = tele(spark, d).withColumns({"yaw": F.col("centerline_arclength_wrapped_m") / 100, "vx": F.col("value") / 10, "vy": F.col("outside_depth_m"), "track_heading": F.col("k") / 20.0})
+    out = V.causal_features(t)
+    return _rounded(out, "yaw", "yaw_rate", "v_long", "v_lat", "heading_error")
 
 
 def _bins(spark, d):
@@ -180,7 +222,7 @@ def _semi(spark, d):
 
 def _summary(spark, d):
     hours = _exposure(spark, d).agg(F.round(F.sum("prebuffer_seconds"), 4).alias("hours"))
-    return P.detection_summary(_labels(spark, d), _events_binned(spark, d), hours, LEADS)
+    return _rounded(P.detection_summary(_labels(spark, d), _events_binned(spark, d), hours, LEADS), "recall", "false_per_hour")
 
 
 def _calibrated(spark, d):
@@ -202,7 +244,6 @@ def _reliability_boot(spark, d):
     return each.groupBy("bin").agg(F.count(F.lit(1)).alias("draws"), F.avg("f").alias("m"), q.alias("q")).select("bin", "draws", F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
 
 
-CORRIDOR = C.Corridor(G.square(10.0), G.square(5.0), G.square(7.5))
 BODY = ["v_long", "v_lat", "yaw_rate"]
 ALPHAS = [0.0, 0.01, 0.1, 1.0, 10.0, 100.0]
 SEED = 20270927
@@ -214,28 +255,12 @@ def _transitions(spark, d):
     return D.transition_residuals(tele(spark, d).withColumns(body), F.lit(0.05))
 
 
-def _exit_states(spark, d):
-    """States at the embeddings' points; a vector is a frame of the one car of its label."""
-    p = _points(spark, d).select("id", "x", "y", F.abs("z").alias("v_long"), F.lit(0.0).alias("v_lat"), F.col("w").alias("yaw"), (F.col("z") / 20).alias("yaw_rate"), F.lit(0.5).alias("a_long"), F.lit(0.0).alias("a_lat"), F.lit("C0").alias("circuit"), F.lit("car_0").alias("car_id"), F.col("id").alias("frame_index"))
-    return p.withColumn("identity", C.row_identity(SEED, "C0", "bayesian"))
-
-
-def _exits(spark, d, states, model=None):
-    out = C.forecast_exits(states, CORRIDOR, [0.25, 0.5, 1.0, 1.5], segment=2.5, model=model)
-    return out.withColumn("mass", F.round("mass", 6))
-
-
-def _bayesian(spark, d):
-    return D.fit_bayesian(_transitions(spark, d), BODY, 1.0, 256, SEED)
-
-
-def _forecast_candidates(spark, d):
-    rows = _exits(spark, d, _exit_states(spark, d), _bayesian(spark, d)).where("horizon = 1.5 and bin is not null")
-    return P.neighborhood_candidates(rows.select(F.col("id").alias("row"), "side", "bin", "mass", F.lit(24).cast("long").alias("n_bins")))
-
-
-def _rounded_scores(rows, *cols):
-    return rows.withColumns({c: F.round(c, 6) for c in cols})
+def _bayesian_mean(spark, d):
+    """Spread of the bootstrapped coefficients, by input and target."""
+    m = D.fit_bayesian(_transitions(spark, d), BODY, 1.0, 256, SEED)
+    mean, sd, names = m.coefficients.mean(0), m.coefficients.std(0), ["intercept", *BODY]
+    rows = [(a, b, float(mean[i, j]), float(sd[i, j])) for i, a in enumerate(names) for j, b in enumerate(D.TARGETS)]
+    return _rounded(spark.createDataFrame(rows, "input string, target string, mean double, spread double"), "mean", "spread")
 
 
 def _side_hazard(spark, d):
@@ -244,12 +269,12 @@ def _side_hazard(spark, d):
     rows = V.hazard_rows(tele(spark, d), _events(spark, d)).join(t, key)
     w = H.fit_side_hazard(rows, ["level", "place"], l2=0.01)
     out = H.horizon_probabilities(H.step_probabilities(rows, ["level", "place"], w), {6.0: 1, 24.0: 4})
-    return _rounded_scores(out.select(*key, "label", "horizon", "h_no_exit", "h_left", "h_right"), "h_no_exit", "h_left", "h_right")
+    return _rounded(out.select(*key, "label", "horizon", "h_no_exit", "h_left", "h_right"), "h_no_exit", "h_left", "h_right")
 
 
 def _rate_upper(spark, d):
     found = _ledger(spark, d).groupBy("circuit", "lead").agg(F.sum("false_proposals").alias("false_proposals"), F.sum("exposure").alias("exposure"))
-    return _rounded_scores(H.rate_upper(found, "false_proposals", "exposure"), "exposure", "rate_upper")
+    return _rounded(H.rate_upper(found, "false_proposals", "exposure"), "exposure", "rate_upper")
 
 
 KEY = [*UNIT, "frame_index"]
@@ -270,7 +295,7 @@ def _hazard_mass(spark, d, weights=HAZARDS["hazard"]):
 def _compact(spark, d, method="hazard"):
     keys = scores(spark, d).select(*KEY, "input_valid_causal", "in_corridor", "hard_break")
     out = E.compact_forecast(_hazard_mass(spark, d, HAZARDS[method]), keys, KEY, list(HORIZON_STEPS), 24.0, 40, method)
-    return _rounded_scores(out, *(c for c in out.columns if c.startswith("raw_")))
+    return _rounded(out, *(c for c in out.columns if c.startswith("raw_")))
 
 
 def _mass_defects(spark, d):
@@ -298,6 +323,25 @@ def _cells(spark, d):
     return cells.withColumn("estimable", E.estimable(F.col("budget"), F.col("exposure"), 10.0))
 
 
+def _flawed_ledger(spark, d):
+    """The ledger with defects by rule of the car's number: negative and missing counts, no exposure, too many hits, repeated and missing rows, changing denominators."""
+    n = F.substring_index("car_id", "_", -1).cast("long")
+    x = _ledger(spark, d).withColumn("n", n)
+    first = F.col("lead") == LEADS[0]
+    x = x.withColumns({
+        "hits": F.when((F.col("n") % 13 == 1) & first, -1).when(F.col("n") % 13 == 2, F.col("events") + 1).otherwise(F.col("hits")),
+        "unresolved": F.when((F.col("n") % 13 == 3) & first, None).otherwise(F.col("unresolved")),
+        "exposure": F.when(F.col("n") % 13 == 4, 0.0).when((F.col("n") % 13 == 5) & first, F.col("exposure") + 1.0).otherwise(F.col("exposure")),
+    }).where(~((F.col("n") % 13 == 6) & first))
+    return x.unionByName(x.where("n % 13 = 7")).drop("n")
+
+
+def _flawed_cells(spark, d):
+    """Estimable cells, with some repeated and some of an unknown lead added."""
+    c = _cells(spark, d).where("estimable")
+    return c.unionByName(c.where(F.col("lead") == LEADS[1])).unionByName(c.where(F.col("lead") == LEADS[2]).withColumn("lead", F.lit(99.0)))
+
+
 def _recomputed(spark, d):
     """Cars whose false proposals of the longest and shortest lead, recomputed from the labels with a delay, differ from the ledger."""
     late = _delay_ledger(spark, d).where("delay = 6").select(*UNIT, "lead", "hits", "false_proposals")
@@ -345,13 +389,17 @@ QUERIES = {
     "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
     "timebase_axis": _axis,  # 15, 17
     "timing_diagnostics": lambda s, d: T.timing_diagnostics(tele(s, d)),  # 16
-    "causal_resample": lambda s, d: T.causal_resample(tele(s, d), GRID_STEP),  # 18, 20
+    "causal_resample": lambda s, d: _rounded(T.causal_resample(tele(s, d), GRID_STEP), "target_time", "source_age"),  # 18
     "source_flags_forward": lambda s, d: T.flags_forward(tele(s, d), "artifact_seed", GRID_STEP),  # 19
-    "body_to_map": lambda s, d: G.body_to_map(_points(s, d), (1.0, 2.0, 3.0), (0.0, 0.0, math.sqrt(0.5), math.sqrt(0.5))),  # 21
-    "signed_area": lambda s, d: G.signed_area(_rings(s)).join(F.broadcast(_points(s, d).agg(F.count(F.lit(1)).alias("n_points")))),  # 22-24
-    "corridor_locate": lambda s, d: G.locate(_points(s, d), _rings(s)),  # 25-27
-    "segment_exit": lambda s, d: G.first_exit(_points(s, d).select("id", "x", "y", (F.col("x") + F.col("z")).alias("x2"), (F.col("y") + F.col("w")).alias("y2")), _rings(s)),  # 28
-    "track_features": lambda s, d: G.track_features(_points(s, d), G.ring_segments(s, G.square(7.5), "center")),  # 29, 55
+    "map_kinematics": _kinematics,  # 21
+    "grid_acceleration": _acceleration,  # 20
+    "signed_area": lambda s, d: _rounded(G.signed_area(G.rings_of(_points(s, d), "label", "id"), "label"), "area"),  # 22
+    "corridor_locate": lambda s, d: _rounded(G.locate(_points(s, d), _rings(s)), "clearance", "outside_depth", "arclength", "arclength_wrapped"),  # 25-27
+    "segment_exit": lambda s, d: _rounded(G.first_exit(_points(s, d).select("id", (F.col("x") * 1.2).alias("x"), (F.col("y") * 1.2).alias("y"), (F.col("x") + F.col("z")).alias("x2"), (F.col("y") + F.col("w")).alias("y2")), _rings(s)), "fraction", "hit_x", "hit_y"),  # 28
+    "track_features": lambda s, d: _rounded(G.track_features(_points(s, d), _rings(s).where("role = 'center'")), "offset", "heading", "curvature", "arclength"),  # 29
+    "track_reference": lambda s, d: _rounded(G.sample_segment(_points(s, d), _rings(s), (F.col("id") % 4).cast("int")), "offset", "heading", "curvature"),  # 24, 55
+    "quaternion_yaw": lambda s, d: _points(s, d).select("id", F.round(G.yaw_of([F.col(f"e{i}") for i in range(10, 14)]), 6).alias("yaw")),  # 54
+    "row_identities": lambda s, d: tele(s, d).select(*KEY, C.row_identity(SEED, "C0", "bayesian").alias("identity")).withColumn("seed", C.row_seed(F.col("identity")).cast("string")),  # 79
     "excursion_candidates": _events,  # 31-38
     "excursion_frames": lambda s, d: X.label_frames(tele(s, d), _events(s, d), CONFIG),  # 34, 39
     "interval_exposure": _exposure,  # 40
@@ -362,29 +410,27 @@ QUERIES = {
     "key_set_check": _key_check,  # 48
     "next_event_targets": lambda s, d: X.next_events(tele(s, d), _events(s, d)),  # 49
     "event_projection": _projection,  # 49
-    "causal_features": _features,  # 54, 56
+    "causal_features": _features,  # 56
     "robust_scaler": _robust,  # 57, 67
     "support_flags": lambda s, d: V.support_flags(tele(s, d), [6.0, 24.0]),  # 58
-    "residual_pairs": lambda s, d: V.residual_pairs(tele(s, d), "outside_depth_m"),  # 59, 62
+    "residual_pairs": lambda s, d: _rounded(V.residual_pairs(tele(s, d), "outside_depth_m"), "dt", "residual"),  # 59, 62
     "hazard_rows": lambda s, d: V.hazard_rows(tele(s, d), _events(s, d)),  # 63
     "circular_bins": _bins,  # 64, 65
     "loco_splits": _loco,  # 66
-    "cluster_sufficient_stats": lambda s, d: R.sufficient_statistics(V.residual_pairs(tele(s, d), "outside_depth_m"), ["x", "dt"], "residual"),  # 68
+    "cluster_sufficient_stats": _moments,  # 68
     "ridge_fit": _ridge,  # 70, 71
     "constant_turn_forecast": lambda s, d: R.constant_turn_forecast(_states(s, d), 1.5, 6),  # 61, 76
-    "transition_residuals": lambda s, d: _rounded_scores(_transitions(s, d), *D.TARGETS),  # 60, 62
-    "ridge_loco": lambda s, d: _rounded_scores(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
-    "ridge_tuned": lambda s, d: _rounded_scores(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
+    "transition_residuals": lambda s, d: _rounded(_transitions(s, d), *D.TARGETS),  # 60, 62
+    "ridge_loco": lambda s, d: _rounded(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
+    "ridge_tuned": lambda s, d: _rounded(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
     "side_hazard": _side_hazard,  # 75
-    "constant_velocity_exits": lambda s, d: _exits(s, d, C.constant_velocity(_exit_states(s, d))),  # 76
-    "constant_turn_exits": lambda s, d: _exits(s, d, C.constant_turn_rate(_exit_states(s, d))),  # 76
-    "particle_forecast": lambda s, d: _exits(s, d, _exit_states(s, d), _bayesian(s, d)),  # 69, 72, 77-79
-    "twin_forecast": lambda s, d: _exits(s, d, _exit_states(s, d), _bayesian(s, d).twin()),  # 72
-    "forecast_candidates": _forecast_candidates,  # 81, 82
+    "constant_velocity_exits": lambda s, d: _exits(s, d, False),  # 76
+    "constant_turn_exits": lambda s, d: _exits(s, d, True),  # 76
+    "bayesian_residual": _bayesian_mean,  # 69, 72
     "rate_upper": _rate_upper,  # 94
-    "neighborhood_candidates": lambda s, d: P.neighborhood_candidates(_mass(s, d)),  # 81
+    "neighborhood_candidates": lambda s, d: _rounded(P.neighborhood_candidates(_mass(s, d)), "score"),  # 81
     "platt_fit": _fitted,  # 85, 87
-    "apply_calibrator": _calibrated,  # 86, 89
+    "apply_calibrator": _calibrated,  # 89
     "probability_metrics": lambda s, d: M.probability_metrics(prob(s, d), "lang", 0.8),  # 90, 95
     "ece_bins": lambda s, d: M.expected_calibration_error(prob(s, d), "lang"),  # 91
     "average_precision": lambda s, d: M.average_precision(prob(s, d), "lang"),  # 93
@@ -393,13 +439,13 @@ QUERIES = {
     "reliability_bins": lambda s, d: M.reliability_bins(prob(s, d), "lang"),  # 97
     "reliability_clusters": lambda s, d: M.reliability_bins(prob(s, d), "source", 5),  # 98
     "alert_state_machine": lambda s, d: P.run_alerts(scores(s, d), [0.1], POLICY).select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved"),  # 99, 100
-    "proposal_labels": _labels,  # 50, 51
+    "proposal_labels": lambda s, d: _rounded(_labels(s, d), "proposal_time", "lead"),  # 50, 51
     "detection_summary": _summary,  # 101
-    "operating_points": lambda s, d: P.operating_points(_summary(s, d), BUDGETS),  # 102, 104
-    "threshold_grid": lambda s, d: P.threshold_grid(scores(s, d), "proposal_score"),  # 103
-    "synthetic_delay": lambda s, d: P.delayed(_labels(s, d).where("threshold = 0.1"), DELAYS),  # 106, 111
+    "operating_points": lambda s, d: _rounded(P.operating_points(_summary(s, d), BUDGETS), "recall", "false_per_hour"),  # 102, 104
+    "threshold_grid": lambda s, d: P.threshold_grid(scores(s, d), "proposal_score").select(F.round("threshold", 9).alias("threshold")).distinct(),  # 103
+    "synthetic_delay": lambda s, d: _rounded(P.delayed(_labels(s, d).where("threshold = 0.1"), DELAYS), "effective_lead"),  # 106, 111
     "car_contributions": _ledger,  # 105
-    "pooled_metrics": lambda s, d: L.pooled_metrics(_ledger(s, d), ["lead"]),  # 110, 120
+    "pooled_metrics": lambda s, d: _rounded(L.pooled_metrics(_ledger(s, d), ["lead"]), "exposure", "recall", "false_per_hour"),  # 110, 120
     "l_star": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1)),  # 108, 124
     "l_star_least_favorable": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1), F.col("false_proposals") + F.col("unresolved")),  # 109
     "warning_frontier": _frontier,  # 123
@@ -413,7 +459,7 @@ QUERIES = {
     "natural_order": lambda s, d: _units(s, d).select(*UNIT, F.row_number().over(Window.partitionBy("circuit").orderBy(natural_key(F.col("car_id")))).alias("place")),  # 14
     "travel_direction": _direction,  # 30
     "compare_derived": _recomputed,  # 53, 120
-    "hazard_mass": lambda s, d: _rounded_scores(_hazard_mass(s, d), "mass"),  # 80
+    "hazard_mass": lambda s, d: _rounded(_hazard_mass(s, d), "mass"),  # 80
     "compact_forecast": _compact,  # 82
     "mass_defects": _mass_defects,  # 82
     "method_scores": lambda s, d: E.score_methods([_compact(s, d, m) for m in HAZARDS]),  # 83
@@ -423,8 +469,15 @@ QUERIES = {
     "closest_active_threshold": lambda s, d: E.closest_active(_units(s, d), _labels(s, d), UNIT),  # 107
     "delay_l_star": lambda s, d: L.l_star(_delay_ledger(s, d), ["circuit", "delay"], 0.1, F.lit(0.1)),  # 111, 121
     "complete_cells": lambda s, d: E.complete_cells(_cells(s, d), "circuit", ["lead", "budget"], 4),  # 112
-    "ledger_defects": lambda s, d: E.ledger_defects(_ledger(s, d), ["lead"]),  # 118
+    "ledger_defects": lambda s, d: E.ledger_defects(_flawed_ledger(s, d), ["lead"]),  # 118
     "runtime_summary": _runtime,  # 126
-    "grid_completeness": lambda s, d: E.grid_completeness(_cells(s, d).where("estimable"), "circuit", {"lead": LEADS, "budget": BUDGETS}),  # 132
+    "grid_completeness": lambda s, d: E.grid_completeness(_flawed_cells(s, d), "circuit", {"lead": LEADS, "budget": BUDGETS}),  # 132
     "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
 }
+
+#: Queries that use telemetry, events, labels or exposure several times write each once.
+SEVERAL = (
+    "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary bootstrap_l_star bootstrap_two_stage "
+    "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames"
+).split()
+QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}

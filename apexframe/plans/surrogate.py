@@ -2,19 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apexframe.operators.timebase import segment_ids
+from apexframe.scratch import stored
 
 LAP = 24.0
 N_BINS = 3
 
 
+#: Tables that the running query has written, by name; None outside of such a query.
+_written: ContextVar[dict[str, DataFrame] | None] = ContextVar("written", default=None)
+
+View = Callable[[SparkSession, str], DataFrame]
+
+
+def once(view: View) -> View:
+    """A view that a query using it several times writes to the shared folder and reads from there (see :func:`materialising`)."""
+
+    @wraps(view)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        tables = _written.get()
+        if tables is None:
+            return view(spark, sf_dir)
+        if view.__name__ not in tables:
+            tables[view.__name__] = stored(view(spark, sf_dir), view.__name__.strip("_"))
+        return tables[view.__name__]
+
+    return get
+
+
+def materialising(query: View) -> View:
+    """A query whose shared views are computed once; nothing is kept for the next query."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _written.set({})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _written.reset(token)
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@once
 def tele(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames of cars (users) on circuits (user_id % 4); see each column's rule below."""
     e = table(spark, sf_dir, "events")

@@ -22,7 +22,15 @@ def validate_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def unit_digests(rows: DataFrame, keys: list[str], record: list[str]) -> DataFrame:
-    """A digest of each unit's rows: the sum of each row's hash, so rows are combined before the shuffle and order doesn't matter."""
-    line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in record))
-    number = F.conv(F.substring(F.sha2(line, 256), 1, 8), 16, 10).cast("long")
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number).alias("digest"))
+    """An identity of each unit's rows that doesn't depend on their order: how many, and the 256-bit digests summed in four lanes of 64 bits.
+
+    Each field stands with its length before it, and a null is "-", so no two records read alike. Sums are
+    exact (decimal), combined before the shuffle; the unit's digest is the SHA-256 of its count and lanes.
+    """
+    text = lambda c: F.col(c).cast("string")
+    field = lambda c: F.when(text(c).isNull(), "-").otherwise(F.concat(F.octet_length(text(c)).cast("string"), F.lit(":"), text(c)))
+    digest = F.sha2(F.concat(*map(field, record)), 256)
+    lane = lambda i: F.conv(F.substring("digest", 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = [F.sum(lane(i)).alias(f"lane_{i}") for i in range(4)]
+    d = rows.select(*keys, digest.alias("digest")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+    return d.select(*keys, "n_rows", F.sha2(F.concat_ws("|", "n_rows", *(F.col(f"lane_{i}").cast("string") for i in range(4))), 256).alias("digest"))

@@ -1,4 +1,4 @@
-"""The alert automaton as a stateful stream: the same transitions as the batch replay."""
+"""The alert policy as a stateful stream: the same transitions as the batch replay."""
 
 from __future__ import annotations
 
@@ -9,25 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from apexframe.operators.policy import PROPOSAL_SCHEMA, Automaton, ProposalConfig, iter_rows
+from apexframe.operators.policy import PROPOSAL_SCHEMA, ROW, Car, ProposalConfig, Row
 from apexframe.operators.timebase import UNIT
 
 
 def stream_alerts(scores: DataFrame, threshold: float, config: ProposalConfig) -> DataFrame:
-    """Closed proposals of a stream of score rows; each car's automaton is the state.
+    """Closed proposals of a stream of score rows; each car's watch is the state.
 
-    Rows of a batch are sorted by car and time; a row older than the car's last one is an error, as in batch. A proposal
+    Rows of a batch are sorted by car and time; a row that isn't later than the car's last one is an error, as in batch. A proposal
     still open when the stream ends isn't emitted: only the end of a batch replay can call that "stream_end".
     """
+    names = [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        a = pickle.loads(state.get[0]) if state.exists else Automaton(config, threshold)
-        pdf = pd.concat(list(frames)).sort_values("frame_index")
-        for row in iter_rows(pdf):
-            a.feed(*row)
-        out = pd.DataFrame([(*key, threshold, *c) for c in a.closed], columns=[c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")])
-        a.closed = []
-        state.update((pickle.dumps(a),))
-        yield out
-
-    return scores.groupBy(*UNIT).applyInPandasWithState(advance, PROPOSAL_SCHEMA, "automaton binary", "append", GroupStateTimeout.NoTimeout)
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        car = pickle.loads(state.get[0]) if state.exists else Car([threshold], config)
+        rows = pd.concat(list(frames)).sort_values("frame_index")[ROW]
+        out = [(*key, *p) for row in rows.itertuples(index=False, name=None) for p in car.feed(Row(*row))]
+        state.update((pickle.dumps(car),))
+        yield pd.DataFrame(out, columns=names)
+
+    return scores.groupBy(*UNIT).applyInPandasWithState(step, PROPOSAL_SCHEMA, "watch binary", "append", GroupStateTimeout.NoTimeout)

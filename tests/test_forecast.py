@@ -1,23 +1,17 @@
-"""Residual models, hazard, forecasts and Poisson limits against plain computations."""
+"""Residual models, hazard, forecasts, corridor geometry and Poisson limits against plain computations."""
 
+import hashlib
 import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from apexframe.operators import forecast as C
+from apexframe.operators import geometry as G
 from apexframe.operators import hazard as H
 from apexframe.operators import residual as D
-from apexframe.operators.geometry import square
-
-RING = C.Corridor(square(10.0), square(5.0), square(7.5))
-STATES = "id long, identity string, x double, y double, v_long double, v_lat double, yaw double, yaw_rate double, a_long double, a_lat double"
-
-
-def _state(spark, *rows):
-    return spark.createDataFrame([(i, f"row {i}", *map(float, r)) if r is not None else (i, f"row {i}", *[None] * 8) for i, r in enumerate(rows)], STATES)
-
 
 def test_poisson_limits():
     assert H.poisson_upper(0, 0.95) == pytest.approx(-math.log(0.05), abs=1e-9)
@@ -33,34 +27,70 @@ def test_rate_upper_edges(spark):
     assert got[0] == pytest.approx(-math.log(0.05) / 2) and got[1:] == [None, None]
 
 
-def test_straight_exit_and_edges(spark):
+@pytest.fixture(scope="module")
+def ring(spark):
+    """A square track between half-widths 5 and 10, its centre line at 7.5."""
+    parts = [G.ring_segments(spark, G.square(h), role) for h, role in ((10.0, "outer"), (5.0, "inner"), (7.5, "center"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def test_straight_exit_and_edges(spark, ring):
     # From (7.5, 0) outwards at 5: the wall at x = 10 is hit after 0.5, on the right of a centre line that runs against the clock.
-    rows = _state(spark, (7.5, 0, 5, 0, 0, 0, 0, 0), (7.5, 0, 0, 0, 0, 0, 0, 0), None, (0, 0, 5, 0, 0, 0, 0, 0))
-    got = C.forecast_exits(rows, RING, [0.25, 0.5, 1.0], segment=2.5).collect()
-    at = {(r["id"], r["horizon"], r["side"]): r["mass"] for r in got}
-    assert at[(0, 0.25, "none")] == 1 and at[(0, 0.5, "right")] == 1 and at[(0, 1.0, "none")] == 0
-    assert at[(1, 1.0, "none")] == 1 and at[(2, 1.0, None)] is None
-    assert next(r["bin"] for r in got if r["id"] == 0 and r["side"] == "right") == 9  # 15 + 7.5 along the centre line
-    assert C.forecast_exits(rows.limit(0), RING, [0.5]).count() == 0
-
-
-def test_forecast_does_not_depend_on_batches(spark):
-    rng = np.random.default_rng(1)
-    model = D.ResidualModel(("v_long", "yaw_rate"), np.zeros(2), np.ones(2), rng.normal(size=(7, 3, 5)) * 0.05, np.stack([np.eye(5) * 0.2] * 7))
-    rows = _state(spark, *[(7.5, y, 3, 0.1, 1.0, 0.2, 0.1, 0) for y in range(-6, 7)])
-    run = lambda d, n: sorted(map(tuple, C.forecast_exits(d, RING, [0.5, 1.5], particles=32, model=model, rows_at_once=n).collect()), key=str)
-    one = run(rows, 16)
-    assert one == run(rows.repartition(5), 3)
-    mass = {}
-    for i, h, _, _, m in one:
-        mass[i, h] = mass.get((i, h), 0) + m
-    assert all(m == pytest.approx(1) for m in mass.values())
-    assert any(s in ("left", "right") for _, _, s, _, _ in one)
+    rows = spark.createDataFrame([(0, 7.5, 0.0, 5.0, 0.0, 0.0, 0.0), (1, 7.5, 0.0, 0.0, 0.0, 0.0, 0.0), (2, None, 0.0, 5.0, 0.0, 0.0, 0.0), (3, 0.0, 0.0, 5.0, 0.0, 0.0, 0.0)], "id long, x double, y double, v_long double, v_lat double, yaw double, yaw_rate double")
+    at = {(r.id, r.horizon): r for r in C.path_exits(rows, C.constant_paths(rows, 1.0, True), ring, [0.25, 0.5, 1.0], 2.5).collect()}
+    assert at[0, 0.25].side == "none" and (at[0, 0.5].side, at[0, 0.5].bin, at[0, 1.0].exit_time) == ("right", 9, pytest.approx(0.5))  # 15 + 7.5 along the centre line
+    assert at[1, 1.0].side == "none" and at[2, 1.0].side is None and at[3, 1.0].side == "none"
+    assert C.path_exits(rows.limit(0), C.constant_paths(rows.limit(0), 1.0, False), ring, [0.5], 2.5).count() == 0
+
+
+def test_turning_path_is_a_circle(spark):
+    rows = spark.createDataFrame([(0, 0.0, 0.0, 2.0, 0.0, 0.0, 0.5)], "id long, x double, y double, v_long double, v_lat double, yaw double, yaw_rate double")
+    last = C.constant_paths(rows, 1.5, True).orderBy(F.desc("step")).first()
+    assert (last.step, last.x2, last.y2) == (30, pytest.approx(4 * math.sin(0.75), abs=1e-3), pytest.approx(4 * (1 - math.cos(0.75)), abs=1e-3))
+
+
+def test_exits_need_a_start_inside_and_an_uncovered_move(spark, ring):
+    moves = [(0, -7.5, 0.0, 7.5, 0.0), (1, 0.0, 0.0, 7.5, 0.0), (2, 6.0, 0.0, 9.0, 0.0), (3, 7.5, -9.0, 7.5, 12.0), (4, 10.0, 0.0, 8.0, 0.0), (5, 10.0, -5.0, 10.0, 5.0), (6, 7.0, 0.0, 7.0, 0.0), (7, 5.0, -4.0, 5.0, 12.0)]
+    got = {r.id: r for r in G.first_exit(spark.createDataFrame(moves, "id long, x double, y double, x2 double, y2 double"), ring).collect()}
+    assert set(got) == {0, 3, 7}
+    assert (got[0].fraction, got[0].hit_x, got[0].hit_y) == (pytest.approx(2.5 / 15), pytest.approx(-5), 0)
+    assert got[3].fraction == pytest.approx(19 / 21)
+
+
+def test_location_reference_features_and_roles(spark, ring):
+    points = spark.createDataFrame([(0, 0.0, -6.0), (1, 0.0, -9.0), (2, 0.0, 0.0), (3, 7.5, -1.0), (0, 0.0, -6.0)], "id long, x double, y double")
+    got = {r.id: r for r in G.locate(points, ring).collect()}
+    assert [(got[i].local_side, got[i].centerline_segment, got[i].clearance, got[i].nearest_boundary) for i in range(4)] == [("left", 0, 1.0, "inner"), ("right", 0, 1.0, "outer"), ("left", 0, -5.0, "inner"), ("center", 1, 2.5, "outer")]
+    assert got[0].arclength == got[0].arclength_wrapped == 7.5 and got[2].outside_depth == 5.0 and G.locate(points, ring).count() == 5
+    (r,) = G.sample_segment(points.where("id = 3"), ring, F.lit(0)).collect()
+    assert (r.segment, r.offset, r.heading) == (0, 6.5, 0.0) and r.curvature == pytest.approx(math.pi / 2 / 15)
+    with pytest.raises(PySparkException, match="no such side"):
+        G.sample_segment(points, ring, F.lit(9)).collect()
+    with pytest.raises(PySparkException, match="finite"):
+        G.locate(spark.createDataFrame([(0, math.nan, 0.0)], "id long, x double, y double"), ring).collect()
+    assert {r.role: r.is_outer for r in G.corridor_roles(ring.where("role != 'center'")).collect()} == {"outer": True, "inner": False}
+    with pytest.raises(PySparkException, match="different area"):
+        G.corridor_roles(G.ring_segments(spark, G.square(3.0), "a").unionByName(G.ring_segments(spark, G.square(3.0), "b"))).collect()
+
+
+def test_kinematics_turn_into_the_map(spark):
+    half = math.sqrt(0.5)
+    cols = "car string, k long, px double, py double, pz double, vx double, vy double, vz double, ax double, ay double, az double, qx double, qy double, qz double, qw double"
+    # The vehicle turns by 90 degrees a frame about z; the map lies turned by 90 degrees too.
+    rows = [("c", k, 2.0, 3.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, math.sin(k * math.pi / 4), math.cos(k * math.pi / 4)) for k in range(6)]
+    got = G.map_kinematics(spark.createDataFrame(rows, cols), (1.0, 1.0, 0.0), (0.0, 0.0, half, half), ["car"], "k").orderBy("k").collect()
+    assert (got[0].map_x, got[0].map_y) == (pytest.approx(2), pytest.approx(-1)) and (got[0].map_vx, got[0].map_vy) == (pytest.approx(0), pytest.approx(-1))
+    assert (got[1].map_ax, got[1].map_ay) == (pytest.approx(1), pytest.approx(0)) and (got[1].forward_x, got[1].forward_y) == (pytest.approx(1), pytest.approx(0))
+    assert [r.yaw for r in got] == pytest.approx([(k - 1) * math.pi / 2 for k in range(6)])
+    with pytest.raises(PySparkException, match="unit"):
+        G.map_kinematics(spark.createDataFrame([(*rows[0][:-1], 2.0)], cols), (0.0, 0.0, 0.0), (0.0, 0.0, 0.0, 1.0), ["car"], "k").collect()
 
 
 def test_row_identity(spark):
     row = spark.createDataFrame([("C1", 'a"b', 7)], "circuit string, car_id string, frame_index long")
-    assert row.select(C.row_identity(5, "C0", "m")).first()[0] == 'row-seed-v1:{"base_seed":5,"car":"a\\"b","circuit":"C1","frame_index":7,"method":"m","outer_fold":"C0"}'
+    identity = row.select(C.row_identity(5, "C0", "m")).first()[0]
+    assert row.select(C.row_seed(C.row_identity(5, "C0", "m"))).first()[0] == int.from_bytes(hashlib.sha256(identity.encode()).digest()[:8], "little")
+    assert identity == 'row-seed-v1:{"base_seed":5,"car":"a\\"b","circuit":"C1","frame_index":7,"method":"m","outer_fold":"C0"}'
 
 
 def _pairs(spark, seed=3):

@@ -94,11 +94,9 @@ def test_exposure_drops_edges(spark):
 
 
 def replay(rows, threshold=0.8, **config):
-    a = P.Automaton(P.ProposalConfig(**config), threshold)
-    for r in rows:
-        a.feed(*r)
-    a.finish()
-    return a.closed
+    car = P.Car([threshold], P.ProposalConfig(**config))
+    closed = [p for r in rows for p in car.feed(P.Row(*r))] + car.finish()
+    return [p[1:] for p in closed]
 
 
 def score_rows(n, invalid=(), outside=(), broken=()):
@@ -122,6 +120,8 @@ def test_automaton_rearms_after_quiet_time():
 def test_automaton_rejects_late_rows():
     with pytest.raises(DataValidationError):
         replay([*score_rows(3), score_rows(1)[0]])
+    with pytest.raises(DataValidationError):
+        replay([*score_rows(3), score_rows(3)[2]])
 
 
 @settings(max_examples=60, deadline=None)
