@@ -14,6 +14,9 @@ __all__ = ["scratch_path", "stored"]
 #: Bits of one bitmap row (4 KiB) and of a whole key filter (8 MiB at most, whatever the input).
 ROW_BITS = 32_768
 FILTER_BITS = 1 << 26
+#: Rows of a table that may be broadcast, and the most keys that count as hot.
+BROADCAST_ROWS = 200_000
+HOT_KEYS = 4096
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -80,6 +83,33 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")), 256), 1, 32))
 
 
+def packed_rows(df: DataFrame, **extra: Column) -> DataFrame:
+    """``df`` as one struct column ``row`` beside computed columns, so that no name of its own can clash; ``select("row.*")`` undoes it."""
+    row = F.struct(*(F.col(f"`{n}`") for n in df.columns)).alias("row")
+    return df.select(row, *(c.alias(n) for n, c in extra.items()))
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, by: list[str]) -> DataFrame:
+    """Left join of ``rows`` with a written table of unique keys, whose column ``count`` says how many of the rows have the key.
+
+    A table of at most BROADCAST_ROWS (counted here) is broadcast: the rows stay where they are. Of a larger one, rows that a bitmap
+    rules out stay too; keys with over a HOT_KEYS-th of the counted rows, so HOT_KEYS of them at most, are broadcast with a
+    number of parts, and their rows meet the table in parts, by a hash of the columns ``by``.
+    """
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("rows")).first()
+    if size.n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table.drop(count)), key, "left")
+    most = max(100_000, (size.rows or 0) // HOT_KEYS)
+    marked = flagged(rows, key, key_filter(table, key), "__maybe")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in (key, count)]
+    alone = marked.where(~F.col("__maybe") | F.col(key).isNull()).select(*rows.columns, *none)
+    hot = table.where(F.col(count) > most).select(key, F.ceil(F.col(count) / most).cast("int").alias("__parts"))
+    salted = marked.where(F.col("__maybe") & F.col(key).isNotNull()).drop("__maybe").join(F.broadcast(hot), key, "left")
+    salted = salted.withColumn("__part", F.pmod(F.xxhash64(*by), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
+    copies = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col(count) / most)).cast("int") - 1))).drop(count)
+    return alone.unionByName(salted.join(copies, [key, "__part"], "left").drop("__part"))
+
+
 def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(texts, members): each distinct text once as (uid, id, text) with the smallest id that has it, and (uid, id) of all rows.
 
@@ -89,29 +119,37 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     """
     rows = docs.select(text_key(F.col(text_col)).alias("uid"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     members = stored(rows.select("uid", "id"), "members")
-    groups = stored(members.groupBy("uid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "copies")
+    groups = stored(members.groupBy("uid").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("copied", F.lit(True)), "copies")
     marked = flagged(rows, "uid", key_filter(groups, "uid"), "maybe")
     single = marked.where(~F.col("maybe")).select("uid", "id", "text")
-    shared = marked.where("maybe").join(groups, "uid", "left").where("n is null or id <=> first")
-    # Rows that repeat both id and text are one text as well.
-    chosen = shared.where("n is null").select("uid", "id", "text").unionByName(shared.where("n is not null").groupBy("uid", "id", "text").agg(F.count(F.lit(1)).alias("n")).select("uid", "id", "text"))
+    shared = lookup(marked.where("maybe").drop("maybe"), groups, "uid", "n", ["id"])
+    # Rows that repeat both id and text are one text as well; a text without copies has no first id.
+    chosen = shared.where("not copied or copied is null or id <=> first").groupBy("uid", "id", "text").agg(F.count(F.lit(1)).alias("n")).select("uid", "id", "text")
     return stored(single.unionByName(chosen), "distinct-texts"), members
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for edges (a, b): alternating large-star and small-star joins; root is the smallest node."""
+    """(node, root) for edges (a, b): alternating large-star and small-star joins; root is the smallest node.
+
+    Raises if the rounds don't suffice (they grow with the logarithm of the longest path). A node of any degree is joined in parts (:func:`lookup`).
+    """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
-    state = None
+    signature = lambda p: tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    state = signature(pairs)
+
+    def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+        if 2 * state[0] <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(least.drop("n")), "a")  # two nodes an edge at most
+        return lookup(rows, least.checkpoint(), "a", "n", ["b"])
+
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        pairs = small.checkpoint()
-        now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            break
-        state = tuple(now)
-    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
+        large = with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_least(large, low).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        pairs = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        before, state = state, signature(pairs)
+        if state == before:
+            return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    raise RuntimeError(f"connected components did not settle in {most_rounds} rounds")

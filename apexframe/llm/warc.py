@@ -1,7 +1,8 @@
 """WARC archives: a writer and a sequential reader, both spread over tasks by Spark.
 
-Writer: pages with equal payloads are found by a Spark aggregate; one of them is
-the response, the others become revisit records that name it. Each task streams its rows into
+Writer: pages with equal payloads are found by a Spark aggregate over digests; one of them is
+the response, the others become revisit records that name it. Payloads stay where they are, unless a table
+of copies is too large to broadcast. Each task streams its rows into
 archives of bounded size in the shared folder, one gzip member for each record. A
 file is written under an attempt's name and then moved, so a task that runs again
 leaves no half file behind.
@@ -26,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import scratch_path
+from apexframe.llm.common import lookup, scratch_path, stored
 
 ARCHIVE_BYTES = 256 << 20
 READ_BYTES = 1 << 18
@@ -190,9 +191,10 @@ def archive_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.when(F.octet_length("payload") >= revisit_bytes, F.sha2("payload", 256)))
-    first = rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
+    first = rows.where("digest is not null").groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = stored(first, "warc-copies")
     urn = lambda c: F.concat(F.lit("urn:x-page:"), F.coalesce(c.cast("string"), F.lit("null")))
-    marked = rows.join(first, "digest", "left").withColumn("revisits", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
+    marked = lookup(rows, first, "digest", "n", ["id"]).withColumn("revisits", F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")))
     records = marked.select(urn(F.col("id")).alias("record_id"), "uri", "payload", F.when(F.col("revisits"), urn(F.col("first"))).alias("refers_to_id"))
     written = scratch_path(spark, "warc-index")
     write_archives(records, folder).write.parquet(written)
