@@ -1,9 +1,9 @@
 """Near duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 1. Equal texts collapse to one (a combined aggregate on digests).
-2. Document frequencies of five-word shingles are counted over all distinct texts in a
-   table of fixed size (hash buckets), so it can be broadcast at any input size.
-3. Each text is a set of shingles weighted by flattened TF-IDF. Improved consistent weighted
+2. Document frequencies of five-word shingles are counted over all distinct texts in
+   tables of fixed size, so they can be broadcast at any input size (:class:`Frequencies`).
+3. Each text is a set of shingles weighted by TF-IDF. Improved consistent weighted
    sampling (Ioffe 2010) draws 64 samples; two texts agree in a sample with the probability of
    their weighted Jaccard similarity. 16 bands of 4 samples are the keys of buckets.
 4. Within a bucket, texts whose samples agree well enough are chained (a forest, never all pairs).
@@ -13,10 +13,10 @@
    larger than a block is verified for every pair of its blocks.
 6. Connected components of the verified links are the classes.
 
-Why the weights are flattened: a shingle that thousands of near copies share has a
-high document frequency *because* they are copies. Plain TF-IDF would give what the copies have in common
-little weight, and what an edit changed a lot, so large groups would fall apart. The
-power FLATTEN keeps the order of the weights and bounds their spread to 7 % for IDF.
+A shingle that thousands of near copies share has a high document frequency *because* they are copies;
+by plain TF-IDF it would weigh little, what an edit changed would weigh a lot, and large groups would fall apart. So
+frequencies count kinds of text, not copies: texts with the same smallest shingle hash are of one kind (copies mostly
+are, others hardly ever), and each text of a kind counts as one over the kind's size.
 """
 
 from __future__ import annotations
@@ -29,16 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import connected_components, distinct_texts, flagged, key_filter, stored, text_key
+from apexframe.llm.common import connected_components, distinct_texts, flagged, key_filter, lookup, packed_rows, spread, stored, text_key
 from apexframe.llm.words import WordHashes, words_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
-#: Slots of the table of document frequencies (4 bytes each).
+#: Slots of a table of document frequencies (4 bytes each), and tables.
 DF_SLOTS = 1 << 20
-FLATTEN = 0.1
+DF_TABLES = 3
 #: Samples that must agree for two texts to be of one family: 3.6 standard deviations below the threshold.
 AGREE = 40
 #: Text bytes in a block of a family, and rows of a bucket that are compared at once.
@@ -78,11 +78,30 @@ def shingles(words: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.nda
     return np.unique(_avalanche(h), return_counts=True)
 
 
-def weights(x: np.ndarray, tf: np.ndarray, df: np.ndarray, texts: int) -> np.ndarray:
-    """Flattened TF-IDF: ((1 + ln tf) (1 + ln(N / df) / ln N)) ^ FLATTEN."""
-    n = max(2, texts)
-    seen = np.clip(df[(x >> np.uint64(44)).astype(np.int64)], 1, n)
-    return (((1 + np.log(tf)) * (1 + np.log(n / seen) / np.log(n))) ** FLATTEN).astype(np.float32)
+class Frequencies:
+    """Document frequencies of shingles over all texts, in tables of fixed size.
+
+    A shingle's slot of a table sums it with others; what the others bring on average is subtracted, and the middle of the
+    tables is taken. A frequency is 1 at least.
+    """
+
+    def __init__(self, tables: np.ndarray, texts: float):
+        size = tables.shape[1]
+        noise = (tables.sum(1, keepdims=True) - tables) / (size - 1)
+        self.tables = np.maximum(tables - noise, 1).astype(np.float32)
+        self.texts = max(2.0, texts)
+
+    @staticmethod
+    def slots(x: np.ndarray, table: int) -> np.ndarray:
+        return ((x >> np.uint64(4 + 20 * table)) & np.uint64(DF_SLOTS - 1)).astype(np.int64)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        a, b, c = (t[self.slots(x, i)] for i, t in enumerate(self.tables))
+        return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
+
+    def weights(self, x: np.ndarray, tf: np.ndarray) -> np.ndarray:
+        """TF-IDF: (1 + ln tf) (1 + ln((1 + N) / (1 + df)))."""
+        return ((1 + np.log(tf)) * (1 + np.log((1 + self.texts) / (1 + np.minimum(self.of(x), self.texts))))).astype(np.float32)
 
 
 def sample(x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -108,29 +127,55 @@ def _hashed(hashes: WordHashes, texts) -> Iterator[tuple[np.ndarray, np.ndarray]
         yield shingles(hashes.of(words_of(text)))
 
 
-def document_frequencies(texts: DataFrame) -> np.ndarray:
-    """How many texts have a shingle of each hash slot; tasks send sparse counts, the result is DF_SLOTS numbers at most."""
+def _summed(texts: DataFrame, tables: int, add: Callable[[np.ndarray, np.ndarray], None]) -> np.ndarray:
+    """``add(sums, shingles)`` over all texts into (tables, DF_SLOTS) numbers; each task sends its sums in packed ranges, the result is 4 MiB a table."""
+    parts = 256
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, sums = WordHashes(), np.zeros(DF_SLOTS, np.int64)
+        hashes, sums = WordHashes(), np.zeros((tables, DF_SLOTS), np.float32)
         for pdf in batches:
             for x, _ in _hashed(hashes, pdf["text"]):
-                np.add.at(sums, (x >> np.uint64(44)).astype(np.int64), 1)
-        # Packed by ranges of slots: few rows, whatever the text.
-        parts = sums.reshape(256, -1)
-        yield pd.DataFrame({"part": range(256), "sums": [p.astype(np.int32).tobytes() for p in parts]})
+                if len(x):
+                    add(sums, x)
+        rows = [(t * parts + i, p.tobytes()) for t in range(tables) for i, p in enumerate(sums[t].reshape(parts, -1)) if p.any()]
+        yield pd.DataFrame(rows, columns=["part", "sums"])
 
-    def add(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(b, np.int32).astype(np.int64) for b in pdf["sums"])
-        return pd.DataFrame({"part": [key[0]], "sums": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]})
+    def merge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(DF_SLOTS // parts, np.float64)
+        for b in pdf["sums"]:
+            total += np.frombuffer(b, np.float32)
+        return pd.DataFrame({"part": [key[0]], "sums": [total.astype(np.float32).tobytes()]})
 
     counted = texts.select("text").mapInPandas(count, "part int, sums binary")
-    merged = counted.groupBy("part").applyInPandas(add, "part int, sums binary").toPandas()  # 4 MiB in all
-    df = np.zeros(DF_SLOTS, np.int32)
-    for part, sums in zip(merged["part"], merged["sums"], strict=True):
-        width = DF_SLOTS // 256
-        df[part * width : (part + 1) * width] = np.frombuffer(sums, np.int32)
-    return df
+    merged = counted.groupBy("part").applyInPandas(merge, "part int, sums binary").collect()
+    out = np.zeros((tables, parts, DF_SLOTS // parts), np.float32)
+    for r in merged:
+        out[r.part // parts, r.part % parts] = np.frombuffer(r.sums, np.float32)
+    return out.reshape(tables, DF_SLOTS)
+
+
+def kind_sizes(texts: DataFrame) -> np.ndarray:
+    """How many texts have their smallest shingle hash in each slot."""
+
+    def add(sums: np.ndarray, x: np.ndarray) -> None:
+        sums[0, Frequencies.slots(x[:1], 1)] += 1  # shingles are in order
+
+    return _summed(texts, 1, add)[0]
+
+
+def document_frequencies(texts: DataFrame) -> Frequencies:
+    """Frequencies over all texts, each counted as one over the size of its kind."""
+    sizes = kind_sizes(texts)
+    mean = sizes.sum() / DF_SLOTS
+    # Texts of other kinds in the slot don't make a kind: their usual number is subtracted.
+    share = texts.sparkSession.sparkContext.broadcast((1 / np.maximum(sizes - mean - 3 * np.sqrt(mean), 1)).astype(np.float32))
+
+    def add(sums: np.ndarray, x: np.ndarray) -> None:
+        own = share.value[Frequencies.slots(x[:1], 1)]
+        for t in range(DF_TABLES):
+            np.add.at(sums[t], Frequencies.slots(x, t), own[0])
+
+    return Frequencies(_summed(texts, DF_TABLES, add), float((sizes * share.value).sum()))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -186,16 +231,16 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def weighted_jaccard_links(texts: list[str], df: np.ndarray, n_texts: int, threshold: float, hashes: WordHashes | None = None) -> list[tuple[int, int]]:
+def weighted_jaccard_links(texts: list[str], df: Frequencies, threshold: float, hashes: WordHashes | None = None) -> list[tuple[int, int]]:
     """A forest over the texts whose exact weighted Jaccard similarity is at least ``threshold``."""
     hashes = WordHashes() if hashes is None else hashes
     found = list(_hashed(hashes, texts))
     lengths = np.array([len(x) for x, _ in found])
-    if len(texts) == 2 and min(lengths) < 0.7 * threshold * max(lengths):
-        return []
-    w = [weights(x, tf, df, n_texts).astype(np.float64) for x, tf in found]
+    w = [df.weights(x, tf).astype(np.float64) for x, tf in found]
     total = np.array([v.sum() for v in w])
     if len(texts) == 2:
+        if not min(lengths) or min(total) < 0.99 * threshold * max(total):
+            return []
         (x, _), (y, _) = found
         _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
         shared = np.minimum(w[0][i], w[1][j]).sum()
@@ -225,12 +270,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(classes, rows): (uid, root) of distinct texts that are near another, and (uid, id) of all rows; see :func:`near_classes`."""
     spark = docs.sparkSession
     texts, members = distinct_texts(docs, id_col, text_col)
-    n_texts = texts.count()
-    df = document_frequencies(texts)
-    shared = spark.sparkContext.broadcast((df, n_texts))
+    texts = spread(texts)
+    shared = spark.sparkContext.broadcast(document_frequencies(texts))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = shared.value
+        df = shared.value
         hashes = WordHashes()
         for batch in batches:
             uids, keys, sigs = [], [], []
@@ -250,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 x, tf = shingles(hashes.of(words_of(text.as_py())))
                 if not len(x):
                     continue
-                held.append((x, weights(x, tf, df, n)))
+                held.append((x, df.weights(x, tf)))
                 held_uids.append(uid.as_py())
                 size += len(x)
                 if size >= 40_000:
@@ -279,11 +323,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gathered = hit.select("uid", "text").join(families.withColumnRenamed("node", "uid"), "uid")
     lengths = families.join(texts.select(F.col("uid").alias("node"), F.octet_length("text").alias("bytes")), "node").groupBy("root").agg(F.sum("bytes").alias("bytes"))
     lengths = lengths.select("root", F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(BLOCK_BYTES // 2))).cast("int").alias("blocks")).where("blocks > 2")
-    gathered = gathered.join(lengths, "root", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    lengths = stored(lengths.withColumn("n", F.lit(1)), "large-families")
+    gathered = lookup(gathered, lengths, "root", "n", ["uid"]).withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     gathered = gathered.select("root", F.explode(pair).alias("part"), "uid", "text").repartition("root", "part").sortWithinPartitions("root", "part", "uid")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, n = shared.value
+        df = shared.value
         hashes = WordHashes()
         for pdf in _runs(batches, ["root", "part"]):
             root, part = pdf["root"].to_numpy(), pdf["part"].to_numpy()
@@ -292,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for s, e in zip(starts.tolist(), np.r_[starts[1:], len(pdf)].tolist(), strict=True):
                 if e - s > 1:
                     uids = pdf["uid"].to_numpy()[s:e]
-                    for x, y in weighted_jaccard_links(pdf["text"].iloc[s:e].tolist(), df, n, threshold, hashes):
+                    for x, y in weighted_jaccard_links(pdf["text"].iloc[s:e].tolist(), df, threshold, hashes):
                         a.append(uids[x])
                         b.append(uids[y])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
@@ -313,25 +358,36 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the mark; an empty table gives an empty result; other columns are ignored.
     """
     classes, members = near_duplicates(docs, id_col, text_col, threshold)
-    rows = members.join(classes, "uid", "left").select("id", F.coalesce("root", "uid").alias("root"))
-    sizes = rows.groupBy("root").agg(F.min("id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    found = rows.join(sizes, "root")
-    return found.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
+    grouped = _grouped(classes, members)
+    found = lookup(members, grouped.select("uid", "class_id", "class_size", "n"), "uid", "n", ["id"])
+    class_id = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id"))
+    return found.select(F.col("id").alias(id_col), class_id.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.col("id").eqNullSafe(class_id).alias("kept"))
+
+
+def _grouped(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """(uid, n, class_id, class_size, stays) of the texts that share a class or have copies: rows of the text, and the class's first id, size and the text it has.
+
+    Rows are combined by text before anything joins, so a text of any number of copies is one row.
+    """
+    by_text = members.groupBy("uid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    by_text = by_text.join(classes, "uid", "left").where("root is not null or n > 1").withColumn("root", F.coalesce("root", "uid"))
+    by_text = stored(by_text, "class-texts")
+    best = by_text.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("best"), F.sum("n").alias("class_size"), F.count(F.lit(1)).alias("texts"))
+    best = stored(best.select("root", F.col("best.id").alias("class_id"), F.col("best.uid").alias("stays"), "class_size", "texts"), "class-sizes")
+    return stored(lookup(by_text.select("uid", "n", "root"), best, "root", "texts", ["uid"]).drop("root"), "grouped-texts")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each near-duplicate class, all columns as they are; the smallest id stays."""
+    """``docs`` with one row of each near-duplicate class, all columns as they are; the smallest id stays.
+
+    Edge cases: as in :func:`near_classes`. A null id stays only where its class has no other; of rows that repeat the id and
+    the text that stay, one does; columns of any name, dots included, pass through.
+    """
     classes, members = near_duplicates(docs, id_col, text_col, threshold)
-    rows = members.join(classes, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    # By class and text, the smallest id (a null id only where there is no other); then the class's best text.
-    by_text = rows.groupBy("root", "uid").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
-    best = by_text.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("best"), F.sum("n").alias("size")).where("size > 1")
-    # Texts of classes with more than one row: only these rows are looked at again.
-    grouped = stored(by_text.join(best, "root").select("uid", F.col("best.uid").alias("stays"), F.col("best.id").alias("first")), "grouped-texts")
-    names = docs.columns
-    marked = flagged(docs.withColumn("__uid", text_key(F.col(text_col))), "__uid", key_filter(grouped, "uid"), "__maybe")
-    plain = marked.where(~F.col("__maybe")).select(*names)
-    joined = marked.where("__maybe").join(grouped.withColumnsRenamed({"uid": "__uid", "stays": "__stays", "first": "__first"}), "__uid", "left")
-    apart = joined.where("__stays is null").select(*names)
-    chosen = joined.where((F.col("__uid") == F.col("__stays")) & F.col(id_col).cast("long").eqNullSafe(F.col("__first"))).dropDuplicates(["__uid"]).select(*names)
-    return plain.unionByName(apart).unionByName(chosen)
+    grouped = _grouped(classes, members).select("uid", "n", "stays", "class_id")
+    rows = packed_rows(docs, uid=text_key(F.col(f"`{text_col}`")), id=F.col(f"`{id_col}`").cast("long"))
+    found = lookup(rows, grouped, "uid", "n", ["id"])
+    alone = found.where("stays is null").select("row.*")
+    chosen = found.where((F.col("uid") == F.col("stays")) & F.col("id").eqNullSafe(F.col("class_id")))
+    # Rows that repeat a chosen id and text: any of them, combined before the shuffle.
+    return alone.unionByName(chosen.groupBy("uid").agg(F.first("row").alias("row")).select("row.*"))

@@ -9,7 +9,8 @@ import pytest
 from tokenizers import Tokenizer
 
 from apexframe.llm.induced import DEPTH, long_prefix, packed, suffix_array
-from apexframe.llm.near_dup import DF_SLOTS, near_classes, shingles, weights
+from apexframe.llm.common import distinct_texts
+from apexframe.llm.near_dup import document_frequencies, near_classes, shingles
 from apexframe.llm.queries import ORACLES, QUERIES
 from apexframe.llm.substring_dedup import dedup_substrings
 from apexframe.llm.tokens import PrefixCounter
@@ -65,15 +66,39 @@ def test_substrings_against_all_windows(spark):
         assert (r.n_removed, r.kept_sha256) == (int(gone.sum()), hashlib.sha256(kept).hexdigest())
 
 
+def _documents(spark):
+    return spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+
+
+def _shingle_sets(texts):
+    hashes = WordHashes()
+    return {t: shingles(hashes.of(words_of(t))) for t in texts}
+
+
+def test_document_frequencies_are_near_the_exact_ones(spark):
+    docs = _documents(spark)
+    sets = _shingle_sets({r.text or "" for r in docs.collect()})
+    exact, kinds = {}, {}
+    for x, _ in sets.values():
+        if len(x):
+            kinds.setdefault(int(x[0]), []).append(x)
+    for group in kinds.values():
+        for x in group:
+            for h in x.tolist():
+                exact[h] = exact.get(h, 0) + 1 / len(group)
+    found = document_frequencies(distinct_texts(docs, "doc_id", "text")[0])
+    names = np.array(sorted(exact), np.uint64)
+    right = np.maximum([exact[h] for h in names.tolist()], 1)
+    assert np.median(np.abs(found.of(names) - right)) < 0.3 and np.quantile(np.abs(found.of(names) / right - 1), 0.99) < 1.1
+    assert abs(found.texts / len(kinds) - 1) < 0.05
+
+
 def test_near_classes_against_all_pairs(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = _documents(spark)
     texts = sorted((r.doc_id, r.text or "") for r in docs.collect())
-    hashes, distinct = WordHashes(), {t for _, t in texts}
-    sets = {t: shingles(hashes.of(words_of(t))) for t in distinct}
-    df = np.zeros(DF_SLOTS, np.int64)
-    for x, _ in sets.values():
-        np.add.at(df, (x >> np.uint64(44)).astype(np.int64), 1)
-    w = {t: dict(zip(x.tolist(), weights(x, tf, df, len(distinct)).tolist(), strict=True)) for t, (x, tf) in sets.items()}
+    distinct = {t for _, t in texts}
+    df = document_frequencies(distinct_texts(docs, "doc_id", "text")[0])
+    w = {t: dict(zip(x.tolist(), df.weights(x, tf).astype(float).tolist(), strict=True)) for t, (x, tf) in _shingle_sets(distinct).items()}
     total = {t: sum(v.values()) for t, v in w.items()}
     root = {t: t for t in distinct}
 
@@ -96,3 +121,27 @@ def test_near_classes_against_all_pairs(spark):
         least.setdefault(find(t), i)
     expected = {i: least[find(t)] for i, t in texts}
     assert {r.doc_id: r.class_id for r in near_classes(docs).collect()} == expected
+
+
+def test_recall_of_planted_copies_by_plain_similarity(spark):
+    """Pairs whose plain Jaccard similarity is 0.8 or more, one pair alone or hundreds of copies of one text, are found; strangers aren't."""
+    rng, vocabulary = random.Random(5), [f"word{i}" for i in range(3000)]
+    rows, groups = [], []
+    for size in [2] * 150 + [20] * 10 + [600]:
+        base = [rng.choice(vocabulary) for _ in range(rng.randrange(150, 400))]
+        ids = []
+        for k in range(size):
+            text = list(base)
+            for _ in range(0 if k == 0 else rng.randrange(1, 3)):
+                text[rng.randrange(len(text))] = rng.choice(vocabulary)
+            ids.append(len(rows))
+            rows.append((len(rows), " ".join(text)))
+        groups.append(ids)
+    rows += [(len(rows) + i, " ".join(rng.choice(vocabulary) for _ in range(200))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in near_classes(docs).collect()}
+    sets = {i: set(shingles(WordHashes().of(words_of(t)))[0].tolist()) for i, t in rows}
+    pairs = [(a, b) for ids in groups for a, b in zip(ids, ids[1:], strict=False) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(pairs) > 500 and sum(found[a] == found[b] for a, b in pairs) >= 0.98 * len(pairs)
+    group_of = {i: g for g, ids in enumerate(groups) for i in ids}
+    assert all(group_of.get(i, i) == group_of.get(c, c) for i, c in found.items())
