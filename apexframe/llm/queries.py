@@ -17,8 +17,8 @@ from apexframe.llm.tokens import count_tokens
 from apexframe.llm.warc import warc_round_trip
 
 SHARDS = 24
-#: No source is read more than that many times as often as another.
-REPEATS = 2.0
+#: The entropy of the sources' weights lies half the way from that of their shares to the largest one.
+EVEN = 0.5
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(table(spark, sf_dir, "documents"), repeats=REPEATS)
+    return mix_sources(table(spark, sf_dir, "documents"), even=EVEN)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,7 +142,7 @@ def test_mixing(docs, empty):
     assert {r.doc_id for r in got.select("doc_id").distinct().collect()} == {r[0] for r in ROWS}
     again = mixed_documents(docs, repeats=2.0)
     assert again.columns == docs.columns and again.count() >= len(ROWS)
-    assert mix_sources(empty).count() == 0 and mixed_documents(empty).count() == 0
+    assert mix_sources(empty, even=0.5).count() == 0 and mixed_documents(empty, even=0.5).count() == 0
 
 
 def test_mixing_meets_the_repetition_limit(spark):
