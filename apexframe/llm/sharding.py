@@ -8,18 +8,19 @@ at most shards x shards x gain classes sums what is asked; quotas that keep
 each shard's load under its capacity (swaps count) are solved on it, best gains
 first, and each cell moves its admitted part. Unlinked documents fill what is left.
 
-The last step orders the documents by (label, linked first, group) and cuts that order
-at exact quantiles, so shard sizes differ by one row at most whatever the propagation
-did. The order's offsets come from counts of bounded chunks, and huge groups are
-spread over slices: no window holds more than a slice of a chunk.
+The propagation leaves each group a home, the shard with most of it. Groups then settle whole: a table of how many
+groups of each size have each home says how many stay, how many move to another shard with room, and how many fit
+nowhere. Only the last, and groups larger than a shard, are cut. Unlinked documents fill each shard to its exact size by
+their rank, so sizes differ by one row at most. Ranks are prefix sums over bounded chunks, and huge groups are spread
+over slices: no window holds more than a slice or a chunk.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.llm.common import small_frame, stored, uniform
+from apexframe.llm.common import lookup, small_frame, stored, uniform
 
 #: Slices of a large group, and the group size from which a group is sliced in the final order.
 SLICES = 1024
@@ -103,6 +104,74 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, se
     return cells
 
 
+def settle(classes: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """Where the groups of each (home, size) go: a list of (shard, groups), the rest fit nowhere whole.
+
+    Large groups first: as many as fit stay at home, then the others go where most room is. ``room`` is used up.
+    """
+    goes: dict[tuple[int, int], list[tuple[int, int]]] = {k: [] for k in classes}
+    left = dict(classes)
+    for (home, size), n in sorted(classes.items(), key=lambda x: (-x[0][1], x[0][0])):
+        stay = min(n, room[home] // size)
+        if stay:
+            goes[home, size].append((home, stay))
+            room[home] -= stay * size
+            left[home, size] -= stay
+    for home, size in sorted(left, key=lambda x: (-x[1], x[0])):
+        for shard in sorted(range(len(room)), key=lambda s: (-room[s], s)):
+            move = min(left[home, size], room[shard] // size)
+            if not move:
+                break  # the others have less room
+            goes[home, size].append((shard, move))
+            room[shard] -= move * size
+            left[home, size] -= move
+    return goes
+
+
+def _ranked(rows: DataFrame, keys: list[str], chunk: Column, order: list[str], name: str) -> DataFrame:
+    """``rows`` with their rank (from 0) among those of equal ``keys``, in an order by chunk, then ``order``; ``chunk`` takes a bounded number of values."""
+    rows = rows.withColumn("__chunk", chunk)
+    counts = rows.groupBy(*keys, "__chunk").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy(*keys).orderBy("__chunk")) - F.col("m")
+    base = counts.select(*keys, "__chunk", before.alias("__before"))
+    within = F.row_number().over(Window.partitionBy(*keys, "__chunk").orderBy(*order))
+    return rows.join(base, [*keys, "__chunk"]).withColumn(name, F.col("__before") + within - 1).drop("__chunk", "__before")
+
+
+def group_labels(groups: DataFrame, cells: DataFrame, sizes: list[int]) -> tuple[DataFrame, list[int]]:
+    """((hub, copies, piece_rows, labels), the room that is left in each shard).
+
+    A group no larger than a shard is one piece. A larger one is cut into pieces of a shard's rows and a rest, whose homes are its
+    shards, best first. ``labels`` has the shard of each piece, -1 for one that fits nowhere whole.
+    """
+    shards, limit = len(sizes), max(1, min(s for s in sizes if s) if any(sizes) else 1)
+    ranked = cells.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")), asc=False).alias("ranked"))  # at most `shards` entries
+    homes = groups.join(ranked, "hub").withColumn("pieces", F.ceil(F.col("copies") / limit).cast("int"))
+    one = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece")
+    pieces = homes.select("hub", "copies", "pieces", "ranked", one)
+    size = F.when(F.col("piece") < F.col("pieces") - 1, F.lit(limit)).otherwise(F.col("copies") - F.col("piece") * limit)
+    # Pieces beyond the shards that the group has go on with the next ones.
+    home = F.pmod(F.get("ranked", F.pmod(F.col("piece"), F.size("ranked"))).shard + F.floor(F.col("piece") / F.size("ranked")), F.lit(shards))
+    pieces = stored(pieces.select("hub", "copies", "piece", size.cast("bigint").alias("n"), home.cast("int").alias("home")), "shard-pieces")
+    # One row for each home and size: at most shards x sqrt(2 x rows).
+    classes = {(r.home, r.n): r.k for r in pieces.groupBy("home", "n").agg(F.count(F.lit(1)).alias("k")).collect()}
+    room = list(sizes)
+    goes = settle(classes, room)
+    table, upto = [], 0
+    for (home, size), moves in goes.items():
+        upto = 0
+        for shard, k in moves:
+            table.append({"home": home, "n": size, "first": upto, "last": upto + k - 1, "label": shard})
+            upto += k
+    spans = small_frame(cells.sparkSession, table, "home int, n bigint, first bigint, last bigint, label int")
+    spans = spans.groupBy("home", "n").agg(F.collect_list(F.struct("first", "last", "label")).alias("spans"))  # at most a shard each
+    ranked = _ranked(pieces, ["home", "n"], F.pmod(F.xxhash64("hub", F.lit(3)), F.lit(SLICES)).cast("int"), ["hub", "piece"], "rank")
+    label = F.get(F.filter("spans", lambda x: (x.first <= F.col("rank")) & (F.col("rank") <= x.last)), F.lit(0)).label
+    placed = ranked.join(F.broadcast(spans), ["home", "n"], "left").select("hub", "copies", "piece", F.coalesce(label, F.lit(-1)).alias("label"))
+    labels = placed.groupBy("hub", "copies").agg(F.array_sort(F.collect_list(F.struct("piece", "label"))).alias("labels"))
+    return stored(labels.select("hub", "copies", F.lit(limit).cast("bigint").alias("piece_rows"), F.col("labels.label").alias("labels"), F.col("copies").alias("n")), "shard-groups"), room
+
+
 def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: str = "text", rounds: int = 12) -> DataFrame:
     """Deal documents out to ``shards`` shards whose row counts differ by one at most; equal texts are linked.
 
@@ -118,59 +187,53 @@ def shard_documents(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + 8).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("crc"), F.xxhash64(text, F.octet_length(text)).alias("hub"))
     rows = stored(rows, "shard-rows")
     total = rows.count()
-    groups = rows.where("size > 8").groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-
-    # Rank of a linked document in its group, by slices: a group of any size is ranked in parallel.
-    cut = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SLICES)).cast("int")
-    sliced = rows.withColumn("slice", cut)
-    counts = sliced.where("size > 8").groupBy("hub", "slice").agg(F.count(F.lit(1)).alias("m"))
-    by_hub = Window.partitionBy("hub")
-    offsets = counts.withColumn("copies", F.sum("m").over(by_hub)).where("copies > 1")
-    offsets = offsets.withColumn("before", F.sum("m").over(by_hub.orderBy("slice")) - F.col("m"))
+    sizes = [total // shards + (s < total % shards) for s in range(shards)]
+    groups = stored(rows.where("size > 8").groupBy("hub").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1"), "shard-links")
 
-    start = groups.select("hub", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "copies")
     # A group starts spread evenly: document r of it in shard (hash + r) mod shards.
+    start = groups.select("hub", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "copies")
     turn = F.pmod(F.col("shard") - F.pmod("hub", F.lit(shards)), F.lit(shards))
-    start = start.select("hub", "shard", F.expr("copies div {}".format(shards)).alias("each"), (F.expr(f"copies % {shards}") > turn).cast("bigint").alias("more"))
+    start = start.select("hub", "shard", F.expr(f"copies div {shards}").alias("each"), (F.expr(f"copies % {shards}") > turn).cast("bigint").alias("more"))
     cells = start.select("hub", F.col("shard").cast("int").alias("shard"), (F.col("each") + F.col("more")).alias("n")).where("n > 0")
-    # Slack lets one-sided moves through; the cut below evens sizes exactly and keeps groups in one piece but for its own cuts.
     cells = propagate(cells, shards, max(1, round(SLACK * total / shards)), rounds)
-
-    upto = F.sum("n").over(Window.partitionBy("hub").orderBy("shard"))
-    spans = cells.withColumn("upto", upto).groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("upto", "shard"))).alias("spans"))  # at most `shards` entries
-    placed = sliced.join(offsets.join(spans, "hub"), ["hub", "slice"], "left")
-    rank = F.row_number().over(Window.partitionBy("hub", "slice").orderBy("id")) + F.col("before")
-    linked = placed.where("copies is not null").withColumn("rank", rank)
-    linked = linked.withColumn("label", F.filter("spans", lambda s: s.upto >= F.col("rank"))[0].shard)
+    labels, room = group_labels(groups, cells, sizes)
+
+    # Empty texts have a hub too, but no group.
+    known = lookup(rows, labels, "hub", "n", ["id"])
+    slices = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(SLICES)).cast("int")
+    small = known.where("copies is null or size(labels) = 1").withColumn("piece", F.lit(0).cast("bigint"))
+    wide = _ranked(known.where("size(labels) > 1"), ["hub"], slices, ["id"], "rank").withColumn("piece", F.expr("rank div piece_rows")).drop("rank")
+    label = F.coalesce(F.get("labels", F.col("piece").cast("int")), F.lit(-1))
+    linked = F.col("copies").isNotNull()
+    large = F.coalesce(F.col("copies") >= LARGE_GROUP, F.lit(False))
     chunks = int(min(4096, max(32, total // CHUNK_ROWS // max(1, shards // 8))))
-    large = F.col("copies") >= LARGE_GROUP
-    linked = linked.select("id", "size", "crc", "hub", "label", F.when(large, 0).otherwise(1).alias("class"), F.when(large, F.pmod("hub", F.lit(64))).otherwise(F.pmod("hub", F.lit(chunks))).cast("int").alias("c1"), F.when(large, F.pmod("slice", F.lit(64))).otherwise(0).alias("c2"))
-    single = placed.where("copies is null")
-    own = F.xxhash64("id", "hub", F.lit(11))
-    single = single.select("id", "size", "crc", "hub", F.lit(-1).alias("label"), F.lit(2).alias("class"), F.pmod(own, F.lit(chunks)).cast("int").alias("c1"), F.lit(0).alias("c2"))
-
-    # Unlinked documents fill the shards up: where each chunk of them goes follows from the loads.
-    chunked = stored(linked.unionByName(single), "shard-labels")
-    load = {r.label: r.n for r in chunked.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each shard
-    size = lambda s: total // shards + (s < total % shards)
-    room = [max(0, size(s) - load.get(s, 0)) for s in range(shards)]
-    free = max(1, sum(room))
-    bounds, upto_room = [], 0
-    for s in range(shards):
-        upto_room += room[s]
-        bounds.append(upto_room / free)
-    share = uniform(F.col("id"), F.col("hub"), F.lit(13))
+    own = F.when(linked, F.col("hub")).otherwise(F.xxhash64("id", "hub", F.lit(11)))
+    keyed = small.unionByName(wide).select(
+        "id", "size", "crc", "hub", label.alias("label"), F.when(large, 0).when(linked, 1).otherwise(2).alias("class"),
+        F.when(large, F.pmod("hub", F.lit(64))).otherwise(F.pmod(own, F.lit(chunks))).cast("int").alias("c1"), F.when(large, F.pmod(slices, F.lit(64))).otherwise(0).alias("c2"),
+    )
+    keyed = stored(keyed, "shard-labels")
+    # What has no shard yet fills the shards up in one order, groups that had to be cut before single documents.
+    order = ["class", "c1", "c2"]
+    open_rows = keyed.where("label < 0")
+    upto_room = [sum(room[: s + 1]) for s in range(shards)]
+
+    def numbered(d: DataFrame, keys: list[str]) -> DataFrame:
+        """``d`` with ``at``, its place from 0 by ``keys`` and the order above; the table of counts is bounded (keys x classes x chunks)."""
+        sums = d.groupBy(*keys, *order).agg(F.count(F.lit(1)).alias("m"))
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select(*keys, *order, F.coalesce(F.sum("m").over(w), F.lit(0)).alias("base"))
+        return d.join(base, [*keys, *order]).withColumn("at", F.col("base") + F.row_number().over(Window.partitionBy(*keys, *order).orderBy("hub", "id")) - 1).drop("base")
+
     fill = F.lit(shards - 1)
     for s in reversed(range(shards)):
-        fill = F.when(share < bounds[s], s).otherwise(fill)
-    keyed = chunked.withColumn("label", F.when(F.col("label") < 0, fill).otherwise(F.col("label")).cast("int"))
-    order = ["label", "class", "c1", "c2"]
-    sums = keyed.groupBy(*order).agg(F.count(F.lit(1)).alias("m"))
-    # A bounded table (labels x classes x chunks), whatever the input.
-    base = sums.withColumn("base", F.sum("m").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))).select(*order, F.coalesce("base", F.lit(0)).alias("base"))
-    final = keyed.join(base, order).withColumn("at", F.col("base") + F.row_number().over(Window.partitionBy(*order).orderBy("hub", "id")) - 1)
-    low, extra = total // shards, total % shards
-    wide = extra * (low + 1)
-    shard = F.when(F.col("at") < wide, F.expr(f"`at` div {low + 1}")).otherwise(extra + F.expr(f"(`at` - {wide}) div {max(1, low)}")).cast("int")
-    slot = F.when(F.col("at") < wide, F.expr(f"`at` % {low + 1}")).otherwise(F.expr(f"(`at` - {wide}) % {max(1, low)}")).cast("bigint")
-    return final.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+        fill = F.when(F.col("at") < upto_room[s], s).otherwise(fill)
+    filled = numbered(open_rows, []).withColumn("label", fill.cast("int")).drop("at")
+    final = numbered(keyed.where("label >= 0").unionByName(filled), ["label"])
+    return final.select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), F.lit("rows").alias("law"), F.col("label").alias("shard"), F.col("at").cast("bigint").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def cut_groups(sharded: DataFrame, group: Column) -> DataFrame:
+    """One row: groups of more than one row, how many of them lie in several shards, and the links cut (shards of a group but one, summed)."""
+    per = sharded.groupBy(group.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("k")).where("n > 1")
+    return per.agg(F.count(F.lit(1)).alias("groups"), F.count_if(F.col("k") > 1).alias("cut"), F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("links"))
