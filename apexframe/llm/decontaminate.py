@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -206,8 +207,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = spread(rows).withColumn("key", _key(F.col("text")))
     judged = judged_texts(rows, benchmark, item_col, item_text_col, window)
-    words = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
-    found = lookup(rows.select("id", "key", words.alias("n_words")), judged, "key", "copies", ["id"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(words_of(t.as_py())) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(n, pa.int64())], names=["id", "key", "n_words"])
+
+    sized = rows.mapInArrow(counted, "id long, key struct<a: long, b: long>, n_words long")
+    found = lookup(sized, judged, "key", "copies", ["id"])
     n_hit, items = F.coalesce("n_hit", F.lit(0)).cast("long"), F.coalesce("items", F.array().cast("array<string>"))
     found = found.select("id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), items.alias("items"))
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (max(1, round(1 / share)) * F.col("n_hit") >= F.col("n_words"))).withColumnRenamed("id", id_col)
@@ -221,7 +228,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """
     column = F.col(f"`{text_col}`")
     judged = judged_texts(spread(docs.select(column.alias("text"))).withColumn("key", _key(F.col("text"))), benchmark, item_col, item_text_col, window)
-    words = F.coalesce(F.regexp_count(column, F.lit(WORDS)), F.lit(0)).cast("long")
-    rows = packed_rows(docs, key=_key(column), n_words=words)
-    found = lookup(rows, judged.select("key", "n_hit", "copies"), "key", "copies", ["n_words"])
-    return found.where(F.col("n_hit").isNull() | (max(1, round(1 / share)) * F.col("n_hit") < F.col("n_words"))).select("row.*")
+    found = lookup(packed_rows(docs, key=_key(column)), judged.select("key", "n_hit", "copies"), "key", "copies", ["row"])
+    # Words are counted only where there are hits.
+    words = F.regexp_count(F.col("row").getField(text_col), F.lit(WORDS))
+    return found.where(F.col("n_hit").isNull() | (max(1, round(1 / share)) * F.col("n_hit") < words)).select("row.*")
