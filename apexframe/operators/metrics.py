@@ -43,6 +43,50 @@ def average_precision(rows: DataFrame, group: str) -> DataFrame:
     return s.groupBy(group).agg(F.sum("hits").cast("long").alias("positives"), F.round(F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")), 6).alias("average_precision"))
 
 
+def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, score_ranges: int = 1024) -> DataFrame:
+    """Held-out evaluation for each of ``keys`` (such as method and horizon), by ``unit`` and pooled.
+
+    ``rows`` are actionable: p, y, reference (the rate known beforehand) and evaluable. Rows that aren't evaluable count only as
+    unresolved. Returns scope (unit or pooled), the unit (null when pooled), n, unresolved, events, brier, reference_brier, skill (null
+    without reference error), log_score, ece, average_precision (null without events); scopes with no evaluable row are left out.
+
+    Rows shrink to distinct scores first, and everything follows from those. Precision needs running sums over scores: they
+    are taken inside ``score_ranges`` ranges of the score, on top of the totals of the ranges above, so no window holds a scope whole.
+    """
+    ok, q = F.col("evaluable"), F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
+    square = lambda c: F.sum(F.when(ok, F.pow(F.col(c) - F.col("y"), 2)))
+    at = rows.groupBy(*keys, unit, "p").agg(
+        F.count_if(ok).alias("n"), F.count_if(~ok).alias("unresolved"), F.sum(F.when(ok, F.col("y"))).alias("events"), square("p").alias("brier"), square("reference").alias("reference_brier"),
+        F.sum(F.when(ok, -(F.col("y") * F.log(q) + (1 - F.col("y")) * F.log(1 - q)))).alias("log_score"),
+    )
+    sums = ["n", "unresolved", "events", "brier", "reference_brier", "log_score"]
+    both = F.array(F.struct(F.lit("unit").alias("scope"), F.col(unit).alias("of")), F.struct(F.lit("pooled").alias("scope"), F.lit(None).cast(at.schema[unit].dataType).alias("of")))
+    at = at.select(*keys, F.explode(both).alias("s"), "p", *sums).select(*keys, "s.scope", F.col("s.of").alias(unit), "p", *sums)
+    by = [*keys, "scope", unit]
+    at = at.groupBy(*by, "p").agg(*(F.sum(c).alias(c) for c in sums))
+
+    bins = at.groupBy(*by, bin_of(F.col("p"), n_bins).alias("bin")).agg(*(F.sum(c).alias(c) for c in sums), F.sum(F.col("n") * F.col("p")).alias("expected"))
+    gap = F.coalesce(F.abs(F.col("expected") - F.col("events")), F.lit(0.0))
+    out = bins.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), F.sum(gap).alias("gap")).where("n > 0")
+
+    hits = at.where("n > 0").select(*by, "p", "n", "events", bin_of(F.col("p"), score_ranges).alias("range"))
+    totals = hits.groupBy(*by, "range").agg(F.sum("n").alias("n_above"), F.sum("events").alias("events_above"))
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("n_above", "events_above")))
+    inside = Window.partitionBy(*by, "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = hits.withColumn("n_to", F.sum("n").over(inside)).withColumn("events_to", F.sum("events").over(inside)).alias("h")
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "range"]]
+    hits = hits.join(totals.alias("t"), same).select(*(f"h.{c}" for c in by), "events", ((F.col("events_above") + F.col("events_to")) / (F.col("n_above") + F.col("n_to"))).alias("precision"))
+    ap = hits.groupBy(*by).agg(F.try_divide(F.sum(F.col("events") * F.col("precision")), F.sum("events")).alias("average_precision")).alias("a")
+
+    out = out.alias("o").join(ap, [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by])
+    n = F.col("n")
+    return out.select(
+        *(f"o.{c}" for c in by), "n", "unresolved", F.col("events").cast("long").alias("events"), (F.col("brier") / n).alias("brier"), (F.col("reference_brier") / n).alias("reference_brier"),
+        F.when(F.col("reference_brier") > 0, 1 - F.col("brier") / F.col("reference_brier")).alias("skill"), (F.col("log_score") / n).alias("log_score"), (F.col("gap") / n).alias("ece"), "average_precision",
+    )
+
+
 def monotonicity(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
     """Rows and adjacent pairs whose probability falls as the horizon grows, by group and pooled."""
     falls = [(F.col(b) < F.col(a) - 1e-12).cast("long") for a, b in zip(columns, columns[1:], strict=False)]

@@ -66,3 +66,20 @@ def bootstrap_l_star(ledger: DataFrame, weights: DataFrame, recall: float, budge
     each = l_star(scaled, ["draw"], recall, F.lit(budget))
     q = F.percentile("l_star", F.array(F.lit(0.025), F.lit(0.975)))
     return each.agg(F.count(F.lit(1)).alias("draws"), F.avg("l_star").alias("m"), q.alias("q")).select("draws", F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+
+
+def paired_bootstrap(ledger: DataFrame, weights: DataFrame, method: str, first: object, second: object, recall: float, budget: float) -> DataFrame:
+    """L* of two methods on the same draws, and of their difference (first less second), one row.
+
+    The ledger has a row for each car, lead and value of ``method``; the weights are joined to both methods, so a draw takes the same cars
+    for each. Returns draws, the mean of the difference, the share of draws in which the first is longer, and 2.5 / 97.5
+    percentiles of first, second and difference. A draw without a row of one method counts as 0 for it.
+    """
+    two = ledger.where(F.col(method).isin(first, second)).join(weights, ["circuit", "car_id"])
+    scaled = two.select("draw", method, "lead", *((F.col(m) * F.col("weight")).alias(m) for m in MEASURES))
+    of = lambda v: F.coalesce(F.max(F.when(F.col(method) == F.lit(v), F.col("l_star"))), F.lit(0.0))
+    each = l_star(scaled, ["draw", method], recall, F.lit(budget)).groupBy("draw").agg(of(first).alias("first"), of(second).alias("second"))
+    each = each.withColumn("delta", F.col("first") - F.col("second"))
+    cut = lambda c, i: F.percentile(c, F.array(F.lit(0.025), F.lit(0.975)))[i]
+    ends = [cut(c, i).alias(f"{c}_{end}") for c in ("first", "second", "delta") for i, end in enumerate(("low", "high"))]
+    return each.agg(F.count(F.lit(1)).alias("draws"), F.avg("delta").alias("delta_mean"), F.avg((F.col("delta") > 0).cast("int")).alias("first_longer"), *ends)

@@ -70,6 +70,13 @@ def timing_diagnostics(frames: DataFrame) -> DataFrame:
     )
 
 
+def axis_diagnostics(axis: DataFrame) -> DataFrame:
+    """What :func:`reconstruct_axis` met in each car: samples, cadence and its rate, and a count of every kind of break; the first row's break isn't counted."""
+    counts = {f"{c}_count": F.count_if(c) for c in ("lap_boundary", "clock_reset", "data_gap", "position_jump", "distance_reset", "status_transition")}
+    d = axis.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("sample_count"), F.max("cadence").alias("median_source_dt"), *(c.alias(n) for n, c in counts.items()), (F.count_if("hard_break") - 1).alias("hard_break_count"))
+    return d.withColumn("estimated_source_hz", F.try_divide(F.lit(1.0), "median_source_dt"))
+
+
 def causal_grid(frames: DataFrame, step: float) -> DataFrame:
     """Grid points start + i * step of each segment: (unit, segment, i, target_time)."""
     ends = frames.groupBy(*UNIT, "continuous_segment_id").agg(F.min("time_seconds").alias("start"), F.max("time_seconds").alias("stop"))

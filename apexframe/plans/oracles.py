@@ -344,5 +344,26 @@ SELECT circuit, 16 - count(*) FILTER (WHERE lead <> 99) AS missing, count(*) FIL
 QS = [0.99 * i / 99 for i in range(100)] + [1 - 10 ** -(2.0 + 4.0 * i / 400) for i in range(401)]
 _SELECTS["threshold_grid"] = f"SELECT DISTINCT threshold FROM (SELECT unnest(list_concat([round(v, 9) FOR v IN quantile_cont(score, {QS})], [0.0, 1.0])) AS threshold FROM sc)"
 
+HORIZON_P = "n_chars / (n_chars + {0}::DOUBLE) * CASE WHEN doc_id % 7 = 0 THEN {0} / 3000.0::DOUBLE ELSE 1.0 END"
+_SELECTS["performance_evaluation"] = f""", ev_rt AS (SELECT lang, round(avg(y), 9) AS reference FROM pb GROUP BY lang),
+ev_hz AS ({" UNION ALL ".join(f"SELECT {h} AS horizon, lang, doc_id, y, {HORIZON_P.format(f'{h}.0')} AS p FROM pb" for h in (500, 1500, 3000))}),
+ev_sc2 AS (SELECT ev_hz.*, reference, doc_id % 11 <> 0 AS ok, s.scope, CASE WHEN s.scope = 'unit' THEN lang END AS u FROM ev_hz JOIN ev_rt USING (lang), (VALUES ('unit'), ('pooled')) s(scope)),
+ev_ag AS (SELECT horizon, scope, u, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS unresolved, sum(y) FILTER (WHERE ok)::BIGINT AS events, avg((p - y) ** 2) FILTER (WHERE ok) AS b, avg((reference - y) ** 2) FILTER (WHERE ok) AS r,
+  avg(-(y * ln(p) + (1 - y) * ln(1 - p))) FILTER (WHERE ok) AS g FROM ev_sc2 GROUP BY ALL),
+ev_eb AS (SELECT horizon, scope, u, least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, avg(p) AS mp, avg(y) AS my FROM ev_sc2 WHERE ok GROUP BY ALL),
+ev_ec AS (SELECT horizon, scope, u, sum(n * abs(mp - my)) / sum(n) AS ece FROM ev_eb GROUP BY ALL),
+ev_ps AS (SELECT horizon, scope, u, p, sum(y) AS h, count(*) AS n FROM ev_sc2 WHERE ok GROUP BY ALL),
+ev_pr AS (SELECT *, sum(h) OVER w / sum(n) OVER w AS pr FROM ev_ps WINDOW w AS (PARTITION BY horizon, scope, u ORDER BY p DESC)),
+ev_ap AS (SELECT horizon, scope, u, sum(h * pr) / nullif(sum(h), 0) AS ap FROM ev_pr GROUP BY ALL)
+SELECT ev_ag.horizon, ev_ag.scope, ev_ag.u AS lang, n, unresolved, events, round(b, 6) AS brier, round(r, 6) AS reference_brier, round(CASE WHEN r > 0 THEN 1 - b / r END, 6) AS skill, round(g, 6) AS log_score, round(ece, 6) AS ece, round(ap, 6) AS average_precision
+FROM ev_ag JOIN ev_ec ON ev_ec.horizon = ev_ag.horizon AND ev_ec.scope = ev_ag.scope AND ev_ec.u IS NOT DISTINCT FROM ev_ag.u JOIN ev_ap ON ev_ap.horizon = ev_ag.horizon AND ev_ap.scope = ev_ag.scope AND ev_ap.u IS NOT DISTINCT FROM ev_ag.u WHERE n > 0"""
+_SELECTS["paired_bootstrap"] = DELAYED + draws("pw", "units", 200, "p") + f""", pb_l AS ({lstar("draw, delay", src="dg JOIN pw USING (circuit, car_id)", w="* weight")}),
+pb_d AS (SELECT draw, coalesce(max(l_star) FILTER (WHERE delay = 0), 0.0) AS a, coalesce(max(l_star) FILTER (WHERE delay = 6), 0.0) AS b FROM pb_l WHERE delay IN (0, 6) GROUP BY draw)
+SELECT count(*) AS draws, round(avg(a - b), 6) AS delta_mean, round(avg((a > b)::INT), 6) AS first_longer, {", ".join(f"round(quantile_cont({x}, {q}), 6) AS {n}_{e}" for x, n in (("a", "first"), ("b", "second"), ("a - b", "delta")) for q, e in ((0.025, "low"), (0.975, "high")))} FROM pb_d"""
+_AXIS = _SELECTS["timebase_axis"].rpartition("\nSELECT ")[0]
+_KINDS = {"lap_boundary": "lb", "clock_reset": "cr", "data_gap": "dg", "position_jump": "pj", "distance_reset": "dr", "status_transition": "stt"}
+_SELECTS["axis_diagnostics"] = f"""{_AXIS} SELECT circuit, car_id, count(*) AS sample_count, round(max(cadence), 6) AS median_source_dt, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}_count" for n, c in _KINDS.items())},
+  count(*) FILTER (WHERE brk) - 1 AS hard_break_count, round(1 / max(cadence), 6) AS estimated_source_hz FROM ax3 GROUP BY circuit, car_id"""
+
 #: A select that begins with a comma goes on with the common table expressions.
 ORACLES = {name: CTES + ("" if sql.startswith(",") else " ") + sql for name, sql in _SELECTS.items()}

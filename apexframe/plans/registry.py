@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.contracts import key_set_difference
+from apexframe.contracts import attach_partition, join_frames_targets, key_set_difference
 from apexframe.operators import excursions as X
 from apexframe.operators import features as V
 from apexframe.operators import forecast as C
@@ -131,8 +131,12 @@ def _axis_rows(spark, d):
     return t.select(*UNIT, "frame_index", "lap_number", "current_lap_time", "last_lap_time", F.col("centerline_arclength_wrapped_m").alias("total_distance"), F.col("pit_status").alias("result_status"), (F.col("outside_depth_m") * 1.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
 
 
+def _axis_of(spark, d):
+    return T.reconstruct_axis(_axis_rows(spark, d), cadence_cap=24.0, gap_floor=24.0, reset_tolerance=0.05, jump=20.0, distance_reset=-900.0)
+
+
 def _axis(spark, d):
-    a = T.reconstruct_axis(_axis_rows(spark, d), cadence_cap=24.0, gap_floor=24.0, reset_tolerance=0.05, jump=20.0, distance_reset=-900.0)
+    a = _axis_of(spark, d)
     return a.select(*UNIT, "frame_index", F.round("cadence", 6).alias("cadence"), "lap_boundary", "clock_reset", "data_gap", "position_jump", "distance_reset", "status_transition", "hard_break", "artifact_seed", F.round("time_seconds", 5).alias("time_seconds"), "continuous_segment_id")
 
 
@@ -205,14 +209,14 @@ def _exposure_split(spark, d):
 
 def _partitions(spark, d):
     n = X.next_events(tele(spark, d), _events(spark, d))
-    j = n.join(_loco(spark, d).where("fold_test_circuit = 'C0'"), UNIT, "left")
+    j = attach_partition(n, _loco(spark, d), "C0", UNIT)
     return j.groupBy("partition").agg(F.count(F.lit(1)).alias("rows"), F.count("next_event_id").alias("with_event"), F.round(F.sum("time_to_next"), 3).alias("total_time_to_next"))
 
 
 def _frame_target(spark, d):
     t = tele(spark, d).select(*UNIT, "frame_index", "hard_break")
     n = X.next_events(tele(spark, d), _events(spark, d)).select(*UNIT, "frame_index", "next_event_id", "time_to_next")
-    return t.join(n, [*UNIT, "frame_index"], "left")
+    return join_frames_targets(t, n, [*UNIT, "frame_index"])
 
 
 def _semi(spark, d):
@@ -380,6 +384,21 @@ def _calibration_line(spark, d):
     return prob(spark, d).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(round(intercept, 5)).alias("intercept"), F.lit(round(slope, 5)).alias("slope"))
 
 
+def _evaluation(spark, d):
+    """Three horizons against the language's own rate; every eleventh document is unresolved."""
+    rows = _horizons(prob(spark, d))
+    rates = M.reference_prevalence(prob(spark, d), ["lang"]).select("lang", F.col("prevalence").alias("reference"))
+    stacked = rows.select("lang", "y", (F.col("doc_id") % 11 != 0).alias("evaluable"), F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"p{h}").alias("p")) for h in (500, 1500, 3000)))).alias("s"))
+    out = M.evaluate(stacked.select("lang", "y", "evaluable", "s.*").join(F.broadcast(rates), "lang"), ["horizon"], "lang")
+    return _rounded(out, "brier", "reference_brier", "skill", "log_score", "ece", "average_precision")
+
+
+def _paired(spark, d):
+    """Alerts as they come against alerts six seconds late, on the same draws."""
+    out = L.paired_bootstrap(_delay_ledger(spark, d), L.hash_draws(_units(spark, d), DRAWS, "p"), "delay", 0.0, 6.0, 0.1, 0.1)
+    return _rounded(out, *(c for c in out.columns if c != "draws"))
+
+
 def _runtime(spark, d):
     log = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("rows"), F.round("value", 4).alias("seconds"))
     return E.runtime_summary(log, "event_type", "rows", "seconds")
@@ -388,6 +407,7 @@ def _runtime(spark, d):
 QUERIES = {
     "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
     "timebase_axis": _axis,  # 15, 17
+    "axis_diagnostics": lambda s, d: _rounded(T.axis_diagnostics(_axis_of(s, d)), "median_source_dt", "estimated_source_hz"),  # 16
     "timing_diagnostics": lambda s, d: T.timing_diagnostics(tele(s, d)),  # 16
     "causal_resample": lambda s, d: _rounded(T.causal_resample(tele(s, d), GRID_STEP), "target_time", "source_age"),  # 18
     "source_flags_forward": lambda s, d: T.flags_forward(tele(s, d), "artifact_seed", GRID_STEP),  # 19
@@ -432,6 +452,7 @@ QUERIES = {
     "platt_fit": _fitted,  # 85, 87
     "apply_calibrator": _calibrated,  # 89
     "probability_metrics": lambda s, d: M.probability_metrics(prob(s, d), "lang", 0.8),  # 90, 95
+    "performance_evaluation": _evaluation,  # 95
     "ece_bins": lambda s, d: M.expected_calibration_error(prob(s, d), "lang"),  # 91
     "average_precision": lambda s, d: M.average_precision(prob(s, d), "lang"),  # 93
     "monotonicity": lambda s, d: M.monotonicity(_horizons(prob(s, d)), ["p3000", "p1500", "p500"], "lang"),  # 96
@@ -450,7 +471,8 @@ QUERIES = {
     "l_star_least_favorable": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1), F.col("false_proposals") + F.col("unresolved")),  # 109
     "warning_frontier": _frontier,  # 123
     "cohort_summary": _cohort,  # 125, 129
-    "bootstrap_l_star": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1),  # 113-115
+    "bootstrap_l_star": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1),  # 113, 114
+    "paired_bootstrap": _paired,  # 115
     "bootstrap_two_stage": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.two_stage_draws(_units(s, d), DRAWS, "t"), 0.1, 0.1),  # 116
     "reliability_bootstrap": _reliability_boot,  # 117
     "npz_round_trip": _npz,  # 1, 2, 10
@@ -477,7 +499,7 @@ QUERIES = {
 
 #: Queries that use telemetry, events, labels or exposure several times write each once.
 SEVERAL = (
-    "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary bootstrap_l_star bootstrap_two_stage "
+    "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
