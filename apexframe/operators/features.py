@@ -51,7 +51,7 @@ def robust_scaler(rows: DataFrame, columns: list[str], fit: Column, guard: float
     wide = rows.where(fit).agg(*(q(c).alias(c) for c in columns))
     long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns))).alias("x")).select("x.*")
     iqr = F.col("q")[2] - F.col("q")[0]
-    return long.select("feature", F.round(F.col("q")[1], 6).alias("center"), F.round(F.when(iqr > guard, iqr).otherwise(1.0), 6).alias("scale"))
+    return long.select("feature", F.col("q")[1].alias("center"), F.when(iqr > guard, iqr).otherwise(1.0).alias("scale"))
 
 
 def residual_pairs(frames: DataFrame, value: str) -> DataFrame:

@@ -20,19 +20,19 @@ def probability_metrics(rows: DataFrame, group: str, reference: float) -> DataFr
         F.grouping(group).alias("pooled"), F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"),
         F.avg(F.pow(F.lit(reference) - F.col("y"), 2)).alias("ref"), F.avg(-(F.col("y") * F.log(p) + (1 - F.col("y")) * F.log(1 - p))).alias("log_score"),
     )
-    return m.select(group, F.col("pooled").cast("int").alias("pooled"), "n", F.round("brier", 6).alias("brier"), F.round("ref", 6).alias("reference_brier"), F.round(F.when(F.col("ref") > 0, 1 - F.col("brier") / F.col("ref")), 6).alias("skill"), F.round("log_score", 6).alias("log_score"))
+    return m.select(group, F.col("pooled").cast("int").alias("pooled"), "n", "brier", F.col("ref").alias("reference_brier"), F.when(F.col("ref") > 0, 1 - F.col("brier") / F.col("ref")).alias("skill"), "log_score")
 
 
 def reliability_bins(rows: DataFrame, group: str, n_bins: int = 10) -> DataFrame:
     """Dense (group, bin) table: count, mean probability, event frequency; empty bins stay, with nulls."""
     sums = rows.groupBy(group, bin_of(F.col("p"), n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mp"), F.avg("y").alias("my"))
     grid = rows.select(group).distinct().select(group, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return grid.join(sums, [group, "bin"], "left").select(group, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("mp", 6).alias("mean_probability"), F.round("my", 6).alias("event_frequency"))
+    return grid.join(sums, [group, "bin"], "left").select(group, "bin", F.coalesce("n", F.lit(0)).alias("n"), F.col("mp").alias("mean_probability"), F.col("my").alias("event_frequency"))
 
 
 def expected_calibration_error(rows: DataFrame, group: str, n_bins: int = 10) -> DataFrame:
     b = rows.groupBy(group, bin_of(F.col("p"), n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mp"), F.avg("y").alias("my"))
-    return b.groupBy(group).agg(F.sum("n").alias("n"), F.round(F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n"), 6).alias("ece"))
+    return b.groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n")).alias("ece"))
 
 
 def average_precision(rows: DataFrame, group: str) -> DataFrame:
@@ -40,7 +40,7 @@ def average_precision(rows: DataFrame, group: str) -> DataFrame:
     s = rows.groupBy(group, "p").agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
     w = Window.partitionBy(group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     s = s.withColumn("precision", F.sum("hits").over(w) / F.sum("n").over(w))
-    return s.groupBy(group).agg(F.sum("hits").cast("long").alias("positives"), F.round(F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")), 6).alias("average_precision"))
+    return s.groupBy(group).agg(F.sum("hits").cast("long").alias("positives"), F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")).alias("average_precision"))
 
 
 def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, score_ranges: int = 1024) -> DataFrame:
@@ -96,7 +96,7 @@ def monotonicity(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
 
 
 def reference_prevalence(rows: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("events"), F.round(F.avg("y"), 9).alias("prevalence"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("events"), F.avg("y").alias("prevalence"))
 
 
 def platt(p: Column, slope: float, intercept: float, clip: float = 1e-9) -> Column:

@@ -44,4 +44,4 @@ def constant_turn_forecast(states: DataFrame, horizon: float, steps: int) -> Dat
     for i in range(steps):
         mid = F.col("heading") + F.col("turn") * F.lit((i + 0.5) * dt)
         x, y = x + F.col("speed") * F.cos(mid) * F.lit(dt), y + F.col("speed") * F.sin(mid) * F.lit(dt)
-    return states.select("id", F.round(x, 6).alias("x"), F.round(y, 6).alias("y"), F.round(F.col("heading") + F.col("turn") * F.lit(horizon), 6).alias("heading"))
+    return states.select("id", x.alias("x"), y.alias("y"), (F.col("heading") + F.col("turn") * F.lit(horizon)).alias("heading"))

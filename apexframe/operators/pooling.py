@@ -65,7 +65,7 @@ def bootstrap_l_star(ledger: DataFrame, weights: DataFrame, recall: float, budge
     scaled = w.select("draw", "lead", *((F.col(m) * F.col("weight")).alias(m) for m in MEASURES))
     each = l_star(scaled, ["draw"], recall, F.lit(budget))
     q = F.percentile("l_star", F.array(F.lit(0.025), F.lit(0.975)))
-    return each.agg(F.count(F.lit(1)).alias("draws"), F.avg("l_star").alias("m"), q.alias("q")).select("draws", F.round("m", 6).alias("mean"), F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"))
+    return each.agg(F.count(F.lit(1)).alias("draws"), F.avg("l_star").alias("m"), q.alias("q")).select("draws", F.col("m").alias("mean"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
 def paired_bootstrap(ledger: DataFrame, weights: DataFrame, method: str, first: object, second: object, recall: float, budget: float) -> DataFrame:

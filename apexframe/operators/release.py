@@ -112,7 +112,7 @@ def closest_active(thresholds: DataFrame, proposals: DataFrame, keys: list[str])
 def runtime_summary(log: DataFrame, stage: str, rows: str, seconds: str) -> DataFrame:
     """Rows, seconds and rows a second of each stage of a log."""
     d = log.groupBy(stage).agg(F.count(F.lit(1)).alias("entries"), F.sum(rows).alias("rows"), F.sum(seconds).alias("seconds"))
-    return d.select(stage, "entries", "rows", F.round("seconds", 4).alias("seconds"), F.round(F.try_divide("rows", "seconds"), 6).alias("rows_per_second"))
+    return d.select(stage, "entries", "rows", "seconds", F.try_divide("rows", "seconds").alias("rows_per_second"))
 
 
 def travel_direction(frames: DataFrame, keys: list[str], forward: tuple[Column, Column], tangent: tuple[Column, Column], speed: Column, slowest: float = 10.0) -> DataFrame:
@@ -126,4 +126,4 @@ def travel_direction(frames: DataFrame, keys: list[str], forward: tuple[Column,
     d = frames.select(*keys, F.when(usable, dot).alias("dot"))
     q = F.percentile("dot", F.array(F.lit(0.01), F.lit(0.5)))
     m = d.groupBy(*keys).agg(F.count("dot").alias("n"), q.alias("q"), F.avg((F.col("dot") > 0).cast("double")).alias("positive"))
-    return m.select(*keys, "n", F.round(F.col("q")[1], 6).alias("median"), F.round(F.col("q")[0], 6).alias("p01"), F.round("positive", 6).alias("positive"), ((F.col("q")[1] > 0) & (F.col("positive") >= 0.95)).alias("same_direction"))
+    return m.select(*keys, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("p01"), "positive", ((F.col("q")[1] > 0) & (F.col("positive") >= 0.95)).alias("same_direction"))

@@ -66,7 +66,7 @@ def timing_diagnostics(frames: DataFrame) -> DataFrame:
         F.count_if("artifact_seed").alias("n_artifact_seeds"),
         F.count_if("active").alias("n_active"),
         F.count_if(F.col("pit_status") != 0).alias("n_pit"),
-        F.round(F.max("time_seconds") - F.min("time_seconds"), 6).alias("span_seconds"),
+        (F.max("time_seconds") - F.min("time_seconds")).alias("span_seconds"),
     )
 
 

@@ -345,7 +345,7 @@ QS = [0.99 * i / 99 for i in range(100)] + [1 - 10 ** -(2.0 + 4.0 * i / 400) for
 _SELECTS["threshold_grid"] = f"SELECT DISTINCT threshold FROM (SELECT unnest(list_concat([round(v, 9) FOR v IN quantile_cont(score, {QS})], [0.0, 1.0])) AS threshold FROM sc)"
 
 HORIZON_P = "n_chars / (n_chars + {0}::DOUBLE) * CASE WHEN doc_id % 7 = 0 THEN {0} / 3000.0::DOUBLE ELSE 1.0 END"
-_SELECTS["performance_evaluation"] = f""", ev_rt AS (SELECT lang, round(avg(y), 9) AS reference FROM pb GROUP BY lang),
+_SELECTS["performance_evaluation"] = f""", ev_rt AS (SELECT lang, avg(y) AS reference FROM pb GROUP BY lang),
 ev_hz AS ({" UNION ALL ".join(f"SELECT {h} AS horizon, lang, doc_id, y, {HORIZON_P.format(f'{h}.0')} AS p FROM pb" for h in (500, 1500, 3000))}),
 ev_sc2 AS (SELECT ev_hz.*, reference, doc_id % 11 <> 0 AS ok, s.scope, CASE WHEN s.scope = 'unit' THEN lang END AS u FROM ev_hz JOIN ev_rt USING (lang), (VALUES ('unit'), ('pooled')) s(scope)),
 ev_ag AS (SELECT horizon, scope, u, count(*) FILTER (WHERE ok) AS n, count(*) FILTER (WHERE NOT ok) AS unresolved, sum(y) FILTER (WHERE ok)::BIGINT AS events, avg((p - y) ** 2) FILTER (WHERE ok) AS b, avg((reference - y) ** 2) FILTER (WHERE ok) AS r,

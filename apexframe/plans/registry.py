@@ -182,7 +182,7 @@ def _states(spark, d):
 
 
 def _robust(spark, d):
-    return V.robust_scaler(tele(spark, d), ["value", "outside_depth_m", "current_lap_time"], F.col("active"))
+    return _rounded(V.robust_scaler(tele(spark, d), ["value", "outside_depth_m", "current_lap_time"], F.col("active")), "center", "scale")
 
 
 def _projection(spark, d):
@@ -376,7 +376,7 @@ def _metadata(spark, d):
 
 def _direction(spark, d):
     turn = F.col("k") / 50.0
-    return E.travel_direction(tele(spark, d), ["circuit"], (F.cos(turn), F.sin(turn)), (F.lit(1.0), F.lit(0.5)), F.col("value"))
+    return _rounded(E.travel_direction(tele(spark, d), ["circuit"], (F.cos(turn), F.sin(turn)), (F.lit(1.0), F.lit(0.5)), F.col("value")), "median", "p01", "positive")
 
 
 def _calibration_line(spark, d):
@@ -401,14 +401,14 @@ def _paired(spark, d):
 
 def _runtime(spark, d):
     log = table(spark, d, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("rows"), F.round("value", 4).alias("seconds"))
-    return E.runtime_summary(log, "event_type", "rows", "seconds")
+    return E.runtime_summary(log, "event_type", "rows", "seconds").withColumns({"seconds": F.round("seconds", 4), "rows_per_second": F.round("rows_per_second", 6)})
 
 
 QUERIES = {
     "tele_frames": lambda s, d: tele(s, d).select(*UNIT, "frame_index", F.round("time_seconds", 6).alias("time_seconds"), "lap_number", "in_corridor", F.round("outside_depth_m", 6).alias("outside_depth_m"), "active", "pit_status", "local_side", "hard_break", "artifact_seed", "continuous_segment_id"),
     "timebase_axis": _axis,  # 15, 17
     "axis_diagnostics": lambda s, d: _rounded(T.axis_diagnostics(_axis_of(s, d)), "median_source_dt", "estimated_source_hz"),  # 16
-    "timing_diagnostics": lambda s, d: T.timing_diagnostics(tele(s, d)),  # 16
+    "timing_diagnostics": lambda s, d: _rounded(T.timing_diagnostics(tele(s, d)), "span_seconds"),  # 16
     "causal_resample": lambda s, d: _rounded(T.causal_resample(tele(s, d), GRID_STEP), "target_time", "source_age"),  # 18
     "source_flags_forward": lambda s, d: T.flags_forward(tele(s, d), "artifact_seed", GRID_STEP),  # 19
     "map_kinematics": _kinematics,  # 21
@@ -439,7 +439,7 @@ QUERIES = {
     "loco_splits": _loco,  # 66
     "cluster_sufficient_stats": _moments,  # 68
     "ridge_fit": _ridge,  # 70, 71
-    "constant_turn_forecast": lambda s, d: R.constant_turn_forecast(_states(s, d), 1.5, 6),  # 61, 76
+    "constant_turn_forecast": lambda s, d: _rounded(R.constant_turn_forecast(_states(s, d), 1.5, 6), "x", "y", "heading"),  # 61, 76
     "transition_residuals": lambda s, d: _rounded(_transitions(s, d), *D.TARGETS),  # 60, 62
     "ridge_loco": lambda s, d: _rounded(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
     "ridge_tuned": lambda s, d: _rounded(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
@@ -451,14 +451,14 @@ QUERIES = {
     "neighborhood_candidates": lambda s, d: _rounded(P.neighborhood_candidates(_mass(s, d)), "score"),  # 81
     "platt_fit": _fitted,  # 85, 87
     "apply_calibrator": _calibrated,  # 89
-    "probability_metrics": lambda s, d: M.probability_metrics(prob(s, d), "lang", 0.8),  # 90, 95
+    "probability_metrics": lambda s, d: _rounded(M.probability_metrics(prob(s, d), "lang", 0.8), "brier", "reference_brier", "skill", "log_score"),  # 90, 95
     "performance_evaluation": _evaluation,  # 95
-    "ece_bins": lambda s, d: M.expected_calibration_error(prob(s, d), "lang"),  # 91
-    "average_precision": lambda s, d: M.average_precision(prob(s, d), "lang"),  # 93
+    "ece_bins": lambda s, d: _rounded(M.expected_calibration_error(prob(s, d), "lang"), "ece"),  # 91
+    "average_precision": lambda s, d: _rounded(M.average_precision(prob(s, d), "lang"), "average_precision"),  # 93
     "monotonicity": lambda s, d: M.monotonicity(_horizons(prob(s, d)), ["p3000", "p1500", "p500"], "lang"),  # 96
-    "reference_prevalence": lambda s, d: M.reference_prevalence(prob(s, d), ["lang"]),  # 52, 88
-    "reliability_bins": lambda s, d: M.reliability_bins(prob(s, d), "lang"),  # 97
-    "reliability_clusters": lambda s, d: M.reliability_bins(prob(s, d), "source", 5),  # 98
+    "reference_prevalence": lambda s, d: M.reference_prevalence(prob(s, d), ["lang"]).withColumn("prevalence", F.round("prevalence", 9)),  # 52, 88
+    "reliability_bins": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "lang"), "mean_probability", "event_frequency"),  # 97
+    "reliability_clusters": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "source", 5), "mean_probability", "event_frequency"),  # 98
     "alert_state_machine": lambda s, d: P.run_alerts(scores(s, d), [0.1], POLICY).select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved"),  # 99, 100
     "proposal_labels": lambda s, d: _rounded(_labels(s, d), "proposal_time", "lead"),  # 50, 51
     "detection_summary": _summary,  # 101
@@ -471,9 +471,9 @@ QUERIES = {
     "l_star_least_favorable": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1), F.col("false_proposals") + F.col("unresolved")),  # 109
     "warning_frontier": _frontier,  # 123
     "cohort_summary": _cohort,  # 125, 129
-    "bootstrap_l_star": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1),  # 113, 114
+    "bootstrap_l_star": lambda s, d: _rounded(L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1), "mean", "low", "high"),  # 113, 114
     "paired_bootstrap": _paired,  # 115
-    "bootstrap_two_stage": lambda s, d: L.bootstrap_l_star(_ledger(s, d), L.two_stage_draws(_units(s, d), DRAWS, "t"), 0.1, 0.1),  # 116
+    "bootstrap_two_stage": lambda s, d: _rounded(L.bootstrap_l_star(_ledger(s, d), L.two_stage_draws(_units(s, d), DRAWS, "t"), 0.1, 0.1), "mean", "low", "high"),  # 116
     "reliability_bootstrap": _reliability_boot,  # 117
     "npz_round_trip": _npz,  # 1, 2, 10
     "pcd_round_trip": _pcd,  # 5
