@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from apexframe.scratch import scratch_path, stored
@@ -89,17 +89,20 @@ def packed_rows(df: DataFrame, **extra: Column) -> DataFrame:
     return df.select(row, *(c.alias(n) for n, c in extra.items()))
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, by: list[str]) -> DataFrame:
+def lookup(rows: DataFrame, table: DataFrame, key: str, count: str, by: list[str], whole: bool = False) -> DataFrame:
     """Left join of ``rows`` with a written table of unique keys, whose column ``count`` says how many of the rows have the key.
 
     A table of at most BROADCAST_ROWS (counted here) is broadcast: the rows stay where they are. Of a larger one, rows that a bitmap
     rules out stay too; keys with over a HOT_KEYS-th of the counted rows, so HOT_KEYS of them at most, are broadcast with a
-    number of parts, and their rows meet the table in parts, by a hash of the columns ``by``.
+    number of parts, and their rows meet the table in parts, by a hash of the columns ``by``. ``whole`` says that the table has the key of every
+    row, so that no bitmap is made.
     """
-    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("rows")).first()
+    size = table.agg(F.count(F.lit(1)).alias("n"), F.sum(count).alias("rows"), F.max(count).alias("most")).first()
     if size.n <= BROADCAST_ROWS:
         return rows.join(F.broadcast(table.drop(count)), key, "left")
     most = max(100_000, (size.rows or 0) // HOT_KEYS)
+    if whole and (size.most or 0) <= most:
+        return rows.join(table.drop(count), key, "left")
     marked = flagged(rows, key, key_filter(table, key), "__maybe")
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in table.schema if f.name not in (key, count)]
     alone = marked.where(~F.col("__maybe") | F.col(key).isNull()).select(*rows.columns, *none)
@@ -128,27 +131,48 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     return stored(single.unionByName(chosen), "distinct-texts"), members
 
 
+def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """(rows with ``name``, their place from 0 by ``order`` among those of equal ``group``; (group, n) for each group).
+
+    No task holds a group: rows are dealt and sorted by ranges of (group, order), written with their running number, and each (group, range)
+    starts where the ranges before it end. That table has a row for each group and for each range a group goes on in. Nulls are first;
+    rows that tie get places in an order that is fixed once written.
+    """
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id())
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+    dealt = dealt.repartitionByRange(parts, *group, *order, "__tie").sortWithinPartitions(*group, *order, "__tie").drop("__tie")
+    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "positions")
+    starts = dealt.groupBy(*group, "__part").agg(F.min("__seq").alias("__from"), F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = stored(starts.withColumn("__before", before), "starts")
+    same = [dealt[g].eqNullSafe(starts[g]) for g in [*group, "__part"]]
+    placed = dealt.join(starts, same).select(*(dealt[c] for c in df.columns), (starts["__before"] + dealt["__seq"] - starts["__from"]).alias(name))
+    return placed, starts.groupBy(*group).agg(F.sum("__n").alias("n"))
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for edges (a, b): alternating large-star and small-star joins; root is the smallest node.
 
     Raises if the rounds don't suffice (they grow with the logarithm of the longest path). A node of any degree is joined in parts (:func:`lookup`).
+    What a round makes is written as tables and read again, each once: a checkpoint keeps the size estimates and constraints of the plan that it
+    cuts, and these multiply over the joins of the rounds until planning stalls.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct().checkpoint()
+    pairs = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "pairs")
     signature = lambda p: tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     state = signature(pairs)
 
     def with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
         if 2 * state[0] <= BROADCAST_ROWS:
             return rows.join(F.broadcast(least.drop("n")), "a")  # two nodes an edge at most
-        return lookup(rows, least.checkpoint(), "a", "n", ["b"])
+        return lookup(rows, least, "a", "n", ["b"], whole=True)
 
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n"))
-        large = with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")), "least")
+        large = stored(with_least(both, least).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct(), "large")
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")), "low")
         small = with_least(large, low).where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().checkpoint()
+        pairs = stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "pairs")
         before, state = state, signature(pairs)
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

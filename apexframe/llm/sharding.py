@@ -66,7 +66,7 @@ def _quotas(asked: dict[tuple[int, int, int], int], load: list[int], cap: int) -
 def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, settle: float = 0.001) -> DataFrame:
     """Rounds of balanced label propagation over cells (hub, shard, n); returns the cells it ends with."""
     spark = cells.sparkSession
-    cells = cells.checkpoint()
+    cells = stored(cells, "cells")
     total = cells.agg(F.sum("n")).first()[0] or 0
     for step in range(rounds if total else 0):
         load = [0] * shards
@@ -74,7 +74,6 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, se
             load[row.shard] = row.n
         # Each group's shards, best first: by documents there, then by a hash that all its cells agree on.
         best = cells.groupBy("hub").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("hub", "shard").alias("tie"), "shard")), asc=False).alias("ranked"))
-        full = [s for s in range(shards) if load[s] >= capacity]
         # Even rounds swap with full shards too; odd ones gather in the best shard that has room, leaving full shards for it.
         full = F.array(*map(F.lit, [s for s in range(shards) if load[s] >= capacity] or [-1]))
         closed = lambda c: F.array_contains(full, c) & F.lit(step % 2 == 1)
@@ -84,7 +83,8 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, se
         leaves = closed(F.col("shard")) & (F.col("goal.n") >= F.col("n")) & (F.col("n") < int(capacity * 0.9))
         joined = joined.withColumn("wants", F.coalesce((F.col("goal.shard") != F.col("shard")) & (ahead | leaves), F.lit(False)))
         joined = joined.withColumn("gain", F.when(F.col("wants"), F.floor(F.log2(F.col("goal.n") - F.col("n") + 1))).cast("int"))
-        joined = joined.select("hub", "shard", "n", F.when(F.col("wants"), F.col("goal.shard")).alias("to"), "gain").checkpoint()
+        joined = joined.select("hub", "shard", "n", F.when(F.col("wants"), F.col("goal.shard")).alias("to"), "gain")
+        joined = stored(joined, "moves")
         asked = {(r.shard, r.to, r.gain): r.n for r in joined.where("to is not null").groupBy("shard", "to", "gain").agg(F.sum("n").alias("n")).collect()}
         if not asked:
             if step % 2:
@@ -98,7 +98,8 @@ def propagate(cells: DataFrame, shards: int, capacity: int, rounds: int = 12, se
         go = F.least("n", F.floor(F.coalesce("share", F.lit(0.0)) * F.col("n") + uniform(F.col("hub"), F.col("shard"), F.lit(step)))).cast("bigint")
         part = part.withColumn("go", F.when(F.col("to").isNull() | F.col("share").isNull(), F.lit(0)).when(F.col("share") >= 1, F.col("n")).otherwise(go))
         halves = F.array(F.struct("hub", "shard", (F.col("n") - F.col("go")).alias("n")), F.struct("hub", F.coalesce("to", "shard").alias("shard"), F.col("go").alias("n")))
-        cells = part.select(F.explode(halves).alias("c")).select("c.*").where("n > 0").groupBy("hub", "shard").agg(F.sum("n").alias("n")).checkpoint()
+        cells = part.select(F.explode(halves).alias("c")).select("c.*").where("n > 0").groupBy("hub", "shard").agg(F.sum("n").alias("n"))
+        cells = stored(cells, "cells")
         if moved < settle * total and step % 2:
             break
     return cells
