@@ -12,6 +12,7 @@ from apexframe.llm.mixing import mix_sources
 from apexframe.llm.near_dup import near_classes
 from apexframe.llm.quality import fit_quality, score_documents
 from apexframe.llm.sharding import shard_documents
+from apexframe.llm.simhash import simhash_components
 from apexframe.llm.substring_dedup import dedup_substrings
 from apexframe.llm.tokens import count_tokens
 from apexframe.llm.warc import warc_round_trip
@@ -66,6 +67,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -77,6 +82,7 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
+    "op11_simhash": op11_simhash,
 }
 
 ORACLES = {
