@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from apexframe.llm.decontaminate import contamination
 from apexframe.llm.exact_dedup import exact_dedup
 from apexframe.llm.html_extract import extract_pages
+from apexframe.llm.merkle import merkle_proofs
 from apexframe.llm.mixing import mix_sources
 from apexframe.llm.near_dup import near_classes
 from apexframe.llm.quality import fit_quality, score_documents
@@ -71,6 +73,11 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return merkle_proofs(table(spark, sf_dir, "documents"), third)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -83,9 +90,57 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_html_extraction": op10_html_extraction,
     "op11_simhash": op11_simhash,
+    "op12_merkle": op12_merkle,
 }
 
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of an ASCII text, bit by bit."""
+    bits = f"list_transform(range(0, 8 * len({text})), lambda k: CASE WHEN k % 8 = 0 THEN ord(substr({text}, k // 8 + 1, 1)) ELSE 0 END)"
+    step = "CASE WHEN xor(a, x) % 2 = 1 THEN xor(xor(a, x) // 2, 3988292384) ELSE xor(a, x) // 2 END"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda a, x: {step}), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(octet_length(encode({value}::VARCHAR)) || ':' || {value}::VARCHAR, '-')"
+
+
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op12_merkle": f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
+         CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field(_LOWERED)}) END AS changed
+  FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM d),
+t AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS digest FROM p
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY lang, level, pos // 8, n),
+s AS (SELECT lang, digest AS subroot, row_number() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS rank, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, rank AS pos, n, subroot AS digest FROM s
+  UNION ALL
+  SELECT level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(digest, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 8, n),
+f AS (SELECT lang, level, pos // 8 AS run, string_agg(digest, '' ORDER BY pos) AS digests FROM t WHERE n > 1 GROUP BY lang, level, pos // 8),
+g AS (SELECT level, pos // 8 AS run, string_agg(digest, '' ORDER BY pos) AS digests FROM u WHERE n > 1 GROUP BY level, pos // 8),
+c AS (
+  SELECT doc_id, lang, leaf, 0 AS level, pos, n, coalesce(changed, leaf) AS fold, '' AS proof FROM p
+  UNION ALL
+  SELECT doc_id, c.lang, leaf, c.level + 1, pos // 8, (n + 7) // 8, sha256(substr(digests, 1, 64 * (pos % 8)) || fold || substr(digests, 64 * (pos % 8) + 65)),
+         proof || substr(digests, 1, 64 * (pos % 8)) || substr(digests, 64 * (pos % 8) + 65)
+  FROM c JOIN f ON c.lang IS NOT DISTINCT FROM f.lang AND c.level = f.level AND c.pos // 8 = f.run WHERE n > 1),
+e AS (
+  SELECT doc_id, leaf, subroot, 0 AS level, rank AS pos, s.n, fold, proof FROM c JOIN s ON c.lang IS NOT DISTINCT FROM s.lang WHERE c.n = 1
+  UNION ALL
+  SELECT doc_id, leaf, subroot, e.level + 1, pos // 8, (n + 7) // 8, sha256(substr(digests, 1, 64 * (pos % 8)) || fold || substr(digests, 64 * (pos % 8) + 65)),
+         proof || substr(digests, 1, 64 * (pos % 8)) || substr(digests, 64 * (pos % 8) + 65)
+  FROM e JOIN g ON e.level = g.level AND e.pos // 8 = g.run WHERE n > 1),
+r AS (SELECT digest AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM e, r WHERE n = 1
+""",
     "op2_exact_dedup": """
 WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
 c AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY body)
