@@ -13,6 +13,7 @@ from apexframe.llm.merkle import merkle_proofs
 from apexframe.llm.mixing import mix_sources
 from apexframe.llm.near_dup import near_classes
 from apexframe.llm.quality import fit_quality, score_documents
+from apexframe.llm.repair import repair_conversations
 from apexframe.llm.sharding import shard_documents
 from apexframe.llm.simhash import simhash_components
 from apexframe.llm.substring_dedup import dedup_substrings
@@ -78,6 +79,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_proofs(table(spark, sf_dir, "documents"), third)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_exact_dedup": op2_exact_dedup,
@@ -91,6 +96,7 @@ QUERIES = {
     "op10_html_extraction": op10_html_extraction,
     "op11_simhash": op11_simhash,
     "op12_merkle": op12_merkle,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -108,7 +114,47 @@ def _field(value: str) -> str:
 
 _LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Every way to insert before a row from a state (0 nothing, 1 system, 2 user, 3 assistant): from, to, cost, letters, lines.
+_INSERTS = """(0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''), (0, 2, 5, 'I', chr(10) || 'user:'), (1, 2, 5, 'I', chr(10) || 'user:'), (3, 2, 5, 'I', chr(10) || 'user:'),
+  (2, 3, 5, 'I', chr(10) || 'assistant:'), (0, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 10, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')"""
+
 ORACLES = {
+    "op13_conversation_repair": rf"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+h AS (SELECT *, {_crc32("key")} % 20 AS kind FROM k),
+m AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM h WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS i FROM m),
+w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, substr(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1, 1) || substr(role, 1, 1) AS pair,
+             NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS unended FROM o),
+r AS (SELECT *, blank OR seen AS must, NOT blank AND NOT seen AND unended AS cut, substr(role, 1, 1) AS initial FROM w),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(seen AND NOT blank) AS duplicate, count_if(cut) AS truncated,
+             count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+ins(q, t, cost, letters, lines) AS (VALUES {_INSERTS}),
+s AS (
+  SELECT conv_id, 0::BIGINT AS i, 0 AS q, 0 AS cost, '' AS audit, '' AS body FROM c
+  UNION ALL
+  SELECT conv_id, i, q, best.cost, best.audit, best.body FROM (
+    SELECT conv_id, i, q, min(struct_pack(cost := cost, audit := audit, body := body)) AS best FROM (
+      SELECT s.conv_id, r.i, e.q, s.cost + ins.cost + e.cost AS cost, s.audit || ins.letters || e.letter AS audit, s.body || ins.lines || e.line AS body
+      FROM s JOIN r ON s.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = s.i + 1 JOIN ins ON ins.q = s.q,
+      LATERAL (
+        SELECT ins.t AS q, 2 AS cost, 'D' AS letter, '' AS line
+        UNION ALL
+        SELECT CASE initial WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE WHEN cut THEN 5 ELSE 0 END, 'K', chr(10) || role || ':' || text
+        WHERE NOT must AND (initial = 's' AND ins.t = 0 OR initial = 'u' AND ins.t <> 2 OR initial = 'a' AND ins.t = 2)
+        UNION ALL
+        SELECT CASE WHEN ins.t = 2 THEN 3 ELSE 2 END, CASE WHEN cut THEN 6 ELSE 1 END, 'R', chr(10) || CASE WHEN ins.t = 2 THEN 'assistant:' ELSE 'user:' END || text WHERE NOT must) e)
+    GROUP BY conv_id, i, q)),
+g AS (SELECT s.conv_id, min(struct_pack(cost := s.cost + ins.cost, audit := audit || letters, body := body || lines)) AS best
+      FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n JOIN ins ON ins.q = s.q WHERE ins.t IN (0, 3) GROUP BY s.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(substr(coalesce(best.body, ''), 2)) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id
+""",
     "op12_merkle": f"""
 WITH RECURSIVE d AS (
   SELECT doc_id, lang, sha256({_field("doc_id")} || {_field("source")} || {_field("lang")} || {_field("n_chars")} || {_field("text")}) AS leaf,
