@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apexframe.operators.calibration import logistic_fits
+
+#: Bounds of a calibration line's slope.
+LINE_SLOPES = (-50.0, 50.0)
+
 
 def bin_of(p: Column, n: int) -> Column:
     """The last bin includes 1."""
@@ -43,12 +48,13 @@ def average_precision(rows: DataFrame, group: str) -> DataFrame:
     return s.groupBy(group).agg(F.sum("hits").cast("long").alias("positives"), F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")).alias("average_precision"))
 
 
-def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, score_ranges: int = 1024) -> DataFrame:
+def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, score_ranges: int = 1024, lines: bool = False) -> DataFrame:
     """Held-out evaluation for each of ``keys`` (such as method and horizon), by ``unit`` and pooled.
 
     ``rows`` are actionable: p, y, reference (the rate known beforehand) and evaluable. Rows that aren't evaluable count only as
     unresolved. Returns scope (unit or pooled), the unit (null when pooled), n, unresolved, events, brier, reference_brier, skill (null
-    without reference error), log_score, ece, average_precision (null without events); scopes with no evaluable row are left out.
+    without reference error), log_score, ece, average_precision (null without events); scopes with no evaluable row are left out. With ``lines`` also the
+    calibration_intercept and calibration_slope of every scope, all fitted at once (null where only one class occurs).
 
     Rows shrink to distinct scores first, and everything follows from those. Precision needs running sums over scores: they
     are taken inside ``score_ranges`` ranges of the score, on top of the totals of the ranges above, so no window holds a scope whole.
@@ -81,10 +87,15 @@ def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, scor
 
     out = out.alias("o").join(ap, [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by])
     n = F.col("n")
-    return out.select(
+    result = out.select(
         *(f"o.{c}" for c in by), "n", "unresolved", F.col("events").cast("long").alias("events"), (F.col("brier") / n).alias("brier"), (F.col("reference_brier") / n).alias("reference_brier"),
         F.when(F.col("reference_brier") > 0, 1 - F.col("brier") / F.col("reference_brier")).alias("skill"), (F.col("log_score") / n).alias("log_score"), (F.col("gap") / n).alias("ece"), "average_precision",
     )
+    if not lines:
+        return result
+    fits = logistic_fits(at.where("n > 0").select(*by, "p", "n", "events"), by, slopes=LINE_SLOPES, one_class="null").alias("l")
+    joined = result.alias("r").join(fits, [F.col(f"r.{c}").eqNullSafe(F.col(f"l.{c}")) for c in by])
+    return joined.select("r.*", F.col("l.intercept").alias("calibration_intercept"), F.col("l.slope").alias("calibration_slope"))
 
 
 def monotonicity(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
@@ -106,29 +117,17 @@ def platt(p: Column, slope: float, intercept: float, clip: float = 1e-9) -> Colu
     return F.when(p > 0, F.least(F.greatest(out, F.lit(clip)), F.lit(1 - clip))).otherwise(0.0)
 
 
-def fit_platt(rows: DataFrame, steps: int = 25, ridge: float = 1e-9, slopes: tuple[float, float] = (0.0, 50.0)) -> tuple[float, float]:
-    """(slope, intercept) by damped Newton steps within ``slopes`` x [-50, 50]; each step is one aggregate over all rows."""
-    c = F.least(F.greatest("p", F.lit(1e-9)), F.lit(1 - 1e-9))
-    d = rows.select(F.log(c / (1 - c)).alias("x"), F.col("y").cast("double").alias("y"))
-    n, k = d.agg(F.count(F.lit(1)), F.sum("y")).first()
-    if not n or k in (0, n):
-        q = ((k or 0) + 0.5) / ((n or 0) + 1)
-        return 0.0, math.log(q / (1 - q))
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        p = 1 / (1 + F.exp(-(F.lit(a) * F.col("x") + F.lit(b))))
-        w = p * (1 - p)
-        g = d.agg(F.sum((p - F.col("y")) * F.col("x")), F.sum(p - F.col("y")), F.sum(w * F.col("x") * F.col("x")), F.sum(w * F.col("x")), F.sum(w)).first()
-        det = (g[2] + ridge) * (g[4] + ridge) - g[3] ** 2
-        da, db = ((g[4] + ridge) * g[0] - g[3] * g[1]) / det, ((g[2] + ridge) * g[1] - g[3] * g[0]) / det
-        a, b = min(slopes[1], max(slopes[0], a - da)), min(50.0, max(-50.0, b - db))
-        if abs(da) + abs(db) < 1e-10:
-            break
-    return a, b
+def _points(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+
+
+def fit_platt(rows: DataFrame) -> tuple[float, float]:
+    """(slope, intercept) of one monotone fit over all rows; see :func:`logistic_fits`."""
+    fit = logistic_fits(_points(rows), []).first()
+    return fit["slope"], fit["intercept"]
 
 
 def calibration_line(rows: DataFrame) -> tuple[float, float]:
     """(intercept, slope) of the logistic line through logit(p), the slope within [-50, 50]; NaN where only one class occurs."""
-    seen = rows.agg(F.count_distinct("y").alias("n")).first()["n"]
-    slope, intercept = fit_platt(rows, slopes=(-50.0, 50.0)) if seen > 1 else (math.nan, math.nan)
-    return intercept, slope
+    fit = logistic_fits(_points(rows), [], slopes=LINE_SLOPES, one_class="null").first()
+    return (math.nan, math.nan) if fit["slope"] is None else (fit["intercept"], fit["slope"])

@@ -365,5 +365,53 @@ _KINDS = {"lap_boundary": "lb", "clock_reset": "cr", "data_gap": "dg", "position
 _SELECTS["axis_diagnostics"] = f"""{_AXIS} SELECT circuit, car_id, count(*) AS sample_count, round(max(cadence), 6) AS median_source_dt, {", ".join(f"count(*) FILTER (WHERE {c}) AS {n}_count" for n, c in _KINDS.items())},
   count(*) FILTER (WHERE brk) - 1 AS hard_break_count, round(1 / max(cadence), 6) AS estimated_source_hz FROM ax3 GROUP BY circuit, car_id"""
 
+
+def newton(name: str, points: str, keys: list[str], least_slope: float, steps: int = 150) -> str:
+    """``name`` (keys, n, events, slope, intercept): the logistic fit of each group of ``points`` (keys, x, n, k), by steps of length one at most; one class: null."""
+    on = " AND ".join(f"w.{k} IS NOT DISTINCT FROM x.{k}" for k in keys)
+    k, wk = ", ".join(keys), ", ".join(f"w.{k}" for k in keys)
+    return f""", {name}g AS (SELECT {k}, sum(n) AS n, sum(k) AS e FROM {points} GROUP BY {k}),
+{name}w AS (
+  SELECT {k}, 0 AS i, 1.0::DOUBLE AS a, ln((e + 0.5) / (n - e + 0.5)) AS b FROM {name}g WHERE e > 0 AND e < n
+  UNION ALL
+  SELECT {k}, i + 1, greatest({least_slope}, least(50.0, a - da * least(1.0, 1 / greatest(abs(da), abs(db), 1e-12)))), greatest(-50.0, least(50.0, b - db * least(1.0, 1 / greatest(abs(da), abs(db), 1e-12)))) FROM (
+    SELECT *, CASE WHEN held THEN 0.0 ELSE (hbb * ga - hab * gb) / (haa * hbb - hab * hab) END AS da, CASE WHEN held THEN gb / hbb ELSE (haa * gb - hab * ga) / (haa * hbb - hab * hab) END AS db FROM (
+      SELECT *, a <= {least_slope} AND ga > 0 OR a >= 50 AND ga < 0 AS held FROM (
+        SELECT {k}, i, a, b, sum((n * q - k) * x) AS ga, sum(n * q - k) AS gb, sum(n * q * (1 - q) * x * x) AS haa, sum(n * q * (1 - q) * x) AS hab, sum(n * q * (1 - q)) AS hbb FROM (
+          SELECT {wk}, i, a, b, x.x, x.n, x.k, 1 / (1 + exp(-(a * x.x + b))) AS q FROM {name}w w JOIN {points} x ON {on} WHERE i < {steps}) GROUP BY {k}, i, a, b)))),
+{name} AS (SELECT g.*, a AS slope, b AS intercept FROM {name}g g LEFT JOIN {name}w w ON {on.replace("x.", "g.")} AND i = {steps})"""
+
+
+_ODDS = "ln(greatest(least(p, 1 - 1e-9), 1e-9) / (1 - greatest(least(p, 1 - 1e-9), 1e-9)))"
+#: Scores of two hazards with truth at each horizon, and the fits of the calibration cars of fold C0.
+CALIBRATORS = _SELECTS["method_scores"].replace("SELECT sc.circuit", ", ms AS (SELECT sc.circuit", 1) + f"""),
+ho(horizon) AS (VALUES (6.0::DOUBLE), (12.0), (24.0)),
+hr AS (SELECT method, horizon, CASE horizon WHEN 6 THEN raw_exit_probability_6p00s WHEN 12 THEN raw_exit_probability_12p00s ELSE raw_exit_probability_24p00s END AS p,
+    coalesce(round(ttn, 6) <= horizon + 1e-12 AND round(ttn, 6) >= -1e-12, FALSE)::INT AS y
+  FROM ms JOIN (SELECT car_id FROM lo WHERE fold_test_circuit = 'C0' AND part = 'calibration') USING (car_id) JOIN nx USING (car_id, frame_index)
+    JOIN (SELECT car_id, frame_index, max(t) OVER (PARTITION BY car_id, seg) - t AS left_time FROM tele) USING (car_id, frame_index), ho
+  WHERE input_valid_causal AND in_corridor AND left_time + 1e-12 >= horizon),
+hp AS (SELECT method, horizon, {_ODDS} AS x, count(*) AS n, sum(y) AS k FROM hr GROUP BY ALL){newton("hf", "hp", ["method", "horizon"], 0.0)},
+hc AS (SELECT method, horizon, n, e, coalesce(slope, 0.0) AS slope, coalesce(intercept, ln((e + 0.5) / (n - e + 0.5))) AS intercept FROM hf)"""
+
+
+def _after(p: str, slope: str = "slope", intercept: str = "intercept") -> str:
+    return f"CASE WHEN {p} > 0 THEN greatest(1e-9, least(1 - 1e-9, 1 / (1 + exp(-({slope} * {_ODDS.replace('(p,', f'({p},')} + {intercept}))))) ELSE 0.0 END"
+
+
+_AFTER = {h: _after(f"raw_exit_probability_{h}p00s", f"s{h}", f"i{h}") for h in (6, 12, 24)}
+_SELECTS |= {
+    "horizon_calibrators": CALIBRATORS + " SELECT method, horizon, n::BIGINT AS n, e::BIGINT AS events, round(slope, 5) AS slope, round(intercept, 5) AS intercept FROM hc",
+    "calibrated_scores": CALIBRATORS + f""", hw AS (SELECT method, {", ".join(f"max(slope) FILTER (WHERE horizon = {h}) AS s{h}, max(intercept) FILTER (WHERE horizon = {h}) AS i{h}" for h in (6, 12, 24))} FROM hc GROUP BY method)
+SELECT circuit, car_id, frame_index, method, {", ".join(f"round({_AFTER[h]}, 6) AS exit_probability_{h}p00s" for h in (6, 12, 24))},
+  round(CASE WHEN raw_exit_probability_24p00s > 0 THEN greatest(0.0, least(1.0, raw_primary_neighborhood_probability * ({_AFTER[24]}) / raw_exit_probability_24p00s)) ELSE 0.0 END, 6) AS proposal_score FROM ms JOIN hw USING (method)""",
+    "calibrated_mass": CALIBRATORS + f""", ht AS (SELECT car_id, frame_index, horizon, sum(mass) AS p FROM hazard GROUP BY ALL),
+hq AS (SELECT car_id, frame_index, ht.horizon, p, {_after("p")} AS q FROM ht JOIN hc ON hc.horizon = ht.horizon AND hc.method = 'hazard')
+SELECT circuit, car_id, frame_index, horizon, side, bin, round(CASE WHEN p > 0 THEN mass * q / p ELSE 0.0 END, 6) AS mass, round(1 - q, 6) AS h_no_exit FROM hazard JOIN hq USING (car_id, frame_index, horizon)""",
+}
+_LINES = _SELECTS["performance_evaluation"].rpartition("\nSELECT ev_ag.horizon")
+_SELECTS["evaluation_lines"] = f"""{_LINES[0]}, el_p AS (SELECT horizon, scope, u, {_ODDS} AS x, sum(n) AS n, sum(h) AS k FROM ev_ps GROUP BY ALL){newton("el", "el_p", ["horizon", "scope", "u"], -50.0)}
+SELECT horizon, scope, u AS lang, n::BIGINT AS n, e::BIGINT AS events, round(intercept, 5) AS calibration_intercept, round(slope, 5) AS calibration_slope FROM el"""
+
 #: A select that begins with a comma goes on with the common table expressions.
 ORACLES = {name: CTES + ("" if sql.startswith(",") else " ") + sql for name, sql in _SELECTS.items()}

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexframe.contracts import attach_partition, join_frames_targets, key_set_difference
+from apexframe.operators import calibration as B
 from apexframe.operators import excursions as X
 from apexframe.operators import features as V
 from apexframe.operators import forecast as C
@@ -384,12 +385,49 @@ def _calibration_line(spark, d):
     return prob(spark, d).agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(round(intercept, 5)).alias("intercept"), F.lit(round(slope, 5)).alias("slope"))
 
 
-def _evaluation(spark, d):
+@once
+def _method_scores(spark, d):
+    return E.score_methods([_compact(spark, d, m) for m in HAZARDS])
+
+
+@once
+def _calibrators(spark, d):
+    """Fits of the calibration cars of fold C0, for both hazards and three horizons."""
+    scored = attach_partition(_method_scores(spark, d), _loco(spark, d), "C0", UNIT)
+    events = X.next_events(tele(spark, d), _events(spark, d)).select(*KEY, "next_event_id", "time_to_next")
+    targets = events.join(V.support_flags(tele(spark, d), list(HORIZON_STEPS)).drop("input_valid_causal"), KEY)
+    return B.fit_horizon_calibrators(scored, targets, KEY, list(HORIZON_STEPS))
+
+
+def _calibrated_scores(spark, d):
+    out = B.apply_horizon_calibrators(_method_scores(spark, d), _calibrators(spark, d), list(HORIZON_STEPS))
+    names = [V.horizon_column("exit_probability", h) for h in HORIZON_STEPS] + ["proposal_score"]
+    return _rounded(out.select(*KEY, "method", *names), *names)
+
+
+def _calibrated_mass(spark, d):
+    rows = _hazard_rows_at(spark, d, HAZARDS["hazard"]).withColumn("method", F.lit("hazard"))
+    mass = _hazard_mass(spark, d).withColumn("method", F.lit("hazard"))
+    after, stay = B.calibrate_mass(mass, rows.select(*KEY, "method", "horizon", "h_no_exit"), _calibrators(spark, d), KEY)
+    return _rounded(after.join(stay, [*KEY, "method", "horizon"]).drop("method"), "mass", "h_no_exit")
+
+
+def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
     rates = M.reference_prevalence(prob(spark, d), ["lang"]).select("lang", F.col("prevalence").alias("reference"))
     stacked = rows.select("lang", "y", (F.col("doc_id") % 11 != 0).alias("evaluable"), F.explode(F.array(*(F.struct(F.lit(h).alias("horizon"), F.col(f"p{h}").alias("p")) for h in (500, 1500, 3000)))).alias("s"))
-    out = M.evaluate(stacked.select("lang", "y", "evaluable", "s.*").join(F.broadcast(rates), "lang"), ["horizon"], "lang")
+    return stacked.select("lang", "y", "evaluable", "s.*").join(F.broadcast(rates), "lang")
+
+
+def _lines(spark, d):
+    out = M.evaluate(_stacked(spark, d), ["horizon"], "lang", lines=True)
+    fitted = {c: F.round(c, 5) for c in ("calibration_intercept", "calibration_slope")}
+    return out.select("horizon", "scope", "lang", "n", "events", *fitted).withColumns(fitted)
+
+
+def _evaluation(spark, d):
+    out = M.evaluate(_stacked(spark, d), ["horizon"], "lang")
     return _rounded(out, "brier", "reference_brier", "skill", "log_score", "ece", "average_precision")
 
 
@@ -484,7 +522,11 @@ QUERIES = {
     "hazard_mass": lambda s, d: _rounded(_hazard_mass(s, d), "mass"),  # 80
     "compact_forecast": _compact,  # 82
     "mass_defects": _mass_defects,  # 82
-    "method_scores": lambda s, d: E.score_methods([_compact(s, d, m) for m in HAZARDS]),  # 83
+    "method_scores": _method_scores,  # 83
+    "horizon_calibrators": lambda s, d: _calibrators(s, d).drop("steps", "converged").withColumns({c: F.round(c, 5) for c in ("slope", "intercept")}),  # 87
+    "calibrated_scores": _calibrated_scores,  # 89
+    "calibrated_mass": _calibrated_mass,  # 86
+    "evaluation_lines": _lines,  # 92, 95
     "calibration_line": _calibration_line,  # 92
     "estimability": _cells,  # 104
     "abstention_reasons": lambda s, d: E.abstention_reasons(scores(s, d), UNIT),  # 105
@@ -500,6 +542,7 @@ QUERIES = {
 #: Queries that use telemetry, events, labels or exposure several times write each once.
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
-    "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames"
+    "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
+    "horizon_calibrators calibrated_scores calibrated_mass"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
