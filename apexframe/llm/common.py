@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from apexframe.ranks import positions
 from apexframe.scratch import scratch_path, stored
 
-__all__ = ["scratch_path", "stored"]
+__all__ = ["positions", "scratch_path", "stored"]
 
 #: Bits of one bitmap row (4 KiB) and of a whole key filter (8 MiB at most, whatever the input).
 ROW_BITS = 32_768
@@ -131,26 +132,6 @@ def distinct_texts(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFra
     return stored(single.unionByName(chosen), "distinct-texts"), members
 
 
-def positions(df: DataFrame, group: list[str], order: list[str], name: str = "pos", total: str = "n") -> DataFrame:
-    """``df`` with ``name``, a row's place from 0 by ``order`` among those of equal ``group``, and ``total``, the rows of its group.
-
-    No task holds a group: rows are dealt and sorted by ranges of (group, order) and written with their running number; each (group, range)
-    starts where the ranges before it end. That table has a row for each group and for each range a group goes on in. Nulls are first;
-    rows that tie get places in an order that is fixed once written.
-    """
-    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
-    dealt = df.withColumn("__tie", F.monotonically_increasing_id())
-    dealt = dealt.repartitionByRange(parts, *group, *order, "__tie").sortWithinPartitions(*group, *order, "__tie").drop("__tie")
-    dealt = stored(dealt.withColumn("__part", F.spark_partition_id()).withColumn("__seq", F.monotonically_increasing_id()), "positions")
-    starts = dealt.groupBy(*group, "__part").agg(F.min("__seq").alias("__from"), F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = starts.withColumn("__before", before).withColumn("__total", F.sum("__n").over(Window.partitionBy(*group)))
-    starts = starts.select(*(F.col(g).alias(f"__{i}") for i, g in enumerate(group)), F.col("__part").alias("__range"), "__from", "__before", "__total")
-    same = [F.col(g).eqNullSafe(F.col(f"__{i}")) for i, g in enumerate(group)]
-    joined = dealt.join(starts, [*same, F.col("__part") == F.col("__range")])
-    return joined.select(*df.columns, (F.col("__before") + F.col("__seq") - F.col("__from")).alias(name), F.col("__total").alias(total))
-
-
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for edges (a, b): alternating large-star and small-star joins; root is the smallest node.
 
