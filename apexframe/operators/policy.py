@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from apexframe.contracts import DataValidationError
 from apexframe.operators.features import circular_distance
 from apexframe.operators.timebase import UNIT
+from apexframe.scratch import stored
 
 PROPOSAL_SCHEMA = "circuit string, car_id string, threshold double, proposal_number long, proposal_time double, predicted_side string, predicted_bin long, n_bins long, resolution_time double, resolution_type string, unresolved boolean"
 
@@ -129,8 +130,20 @@ ROW = ["time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_b
 def run_alerts(scores: DataFrame, thresholds: list[float], config: ProposalConfig) -> DataFrame:
     """Proposals of every car at every threshold.
 
-    Cars are partitioned and sorted once; a task streams its rows and holds one car's state, so a car may have any number of rows.
+    Cars are partitioned and sorted once; a task streams its rows and holds one car's state. Cars too long for one task are spread over
+    many, see :func:`apexframe.operators.alert_ranges.run_long_alerts`; the result is the same.
     """
+    from apexframe.operators import alert_ranges  # it builds on this module
+
+    long = stored(scores.groupBy(*UNIT).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > alert_ranges.RANGE_ROWS).select(*UNIT), "long-cars")
+    if not long.take(1):
+        return _run_whole(scores, thresholds, config)
+    scores = stored(scores.select(*UNIT, "frame_index", *ROW), "scores")
+    short = _run_whole(scores.join(long, UNIT, "left_anti"), thresholds, config)
+    return short.unionByName(alert_ranges.run_long_alerts(scores.join(long, UNIT, "left_semi"), thresholds, config))
+
+
+def _run_whole(scores: DataFrame, thresholds: list[float], config: ProposalConfig) -> DataFrame:
     names = [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexframe.contracts import attach_partition, join_frames_targets, key_set_difference
+from apexframe.operators import alert_ranges as A
 from apexframe.operators import calibration as B
 from apexframe.operators import excursions as X
 from apexframe.operators import features as V
@@ -412,6 +413,10 @@ def _calibrated_mass(spark, d):
     return _rounded(after.join(stay, [*KEY, "method", "horizon"]).drop("method"), "mass", "h_no_exit")
 
 
+def _alerts(found):
+    return found.select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved")
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -497,7 +502,8 @@ QUERIES = {
     "reference_prevalence": lambda s, d: M.reference_prevalence(prob(s, d), ["lang"]).withColumn("prevalence", F.round("prevalence", 9)),  # 52, 88
     "reliability_bins": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "lang"), "mean_probability", "event_frequency"),  # 97
     "reliability_clusters": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "source", 5), "mean_probability", "event_frequency"),  # 98
-    "alert_state_machine": lambda s, d: P.run_alerts(scores(s, d), [0.1], POLICY).select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved"),  # 99, 100
+    "alert_state_machine": lambda s, d: _alerts(P.run_alerts(scores(s, d), [0.1], POLICY)),  # 99, 100
+    "split_alerts": lambda s, d: _alerts(A.run_long_alerts(scores(s, d), [0.1], POLICY, 64)),  # 99
     "proposal_labels": lambda s, d: _rounded(_labels(s, d), "proposal_time", "lead"),  # 50, 51
     "detection_summary": _summary,  # 101
     "operating_points": lambda s, d: _rounded(P.operating_points(_summary(s, d), BUDGETS), "recall", "false_per_hour"),  # 102, 104
@@ -543,6 +549,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass"
+    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
