@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.operators.timebase import UNIT, by_unit, running
+from apexframe.operators.sweeps import covering
+from apexframe.operators.timebase import UNIT, ahead, by_unit, running
 
 
 @dataclass(frozen=True)
@@ -23,12 +24,12 @@ class ExcursionConfig:
 
 
 def artifact_proximity(frames: DataFrame, radius: float) -> DataFrame:
-    """``near_artifact``: an artifact seed lies within the radius, looked up as the nearest seed before and after."""
+    """``near_artifact``: an artifact seed lies within the radius of the row; with the times of the seeds at or before and at or after it."""
     seed = F.when(F.col("artifact_seed"), F.col("time_seconds"))
     before = F.last(seed, ignorenulls=True).over(running(by_unit("time_seconds", "frame_index")))
-    after = F.first(seed, ignorenulls=True).over(by_unit("time_seconds", "frame_index").rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    near = (F.col("time_seconds") - before <= radius + 1e-12) | (after - F.col("time_seconds") <= radius + 1e-12)
-    return frames.withColumn("near_artifact", F.coalesce(near, F.lit(False)))
+    d = frames.withColumns({"seed_before": before, "seed_after": ahead(seed, UNIT, "time_seconds", "frame_index")})
+    near = (F.col("time_seconds") - F.col("seed_before") <= radius + 1e-12) | (F.col("seed_after") - F.col("time_seconds") <= radius + 1e-12)
+    return d.withColumn("near_artifact", F.coalesce(near, F.lit(False)))
 
 
 def _prepared(frames: DataFrame, config: ExcursionConfig) -> DataFrame:
@@ -45,8 +46,9 @@ def _prepared(frames: DataFrame, config: ExcursionConfig) -> DataFrame:
     d = d.withColumn("first_in_segment", F.min("frame_index").over(segment)).withColumn("last_in_segment", F.max("frame_index").over(segment))
     # Clean time before a row: back to the last row that is dirty, or to the row after a break.
     clean = F.col("active") & (F.col("pit_status") == 0) & F.col("in_corridor")
-    ahead = by_unit().rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("last_dirty", F.max(F.when(~clean, F.col("frame_index"))).over(ahead))
+    earlier = by_unit().rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("pit_ahead", ahead(F.when(F.col("pit_status") != 0, F.col("frame_index")), UNIT, "frame_index"))
+    d = d.withColumn("last_dirty", F.max(F.when(~clean, F.col("frame_index"))).over(earlier))
     d = d.withColumn("clean_from", F.greatest("first_in_segment", F.coalesce(F.col("last_dirty") + 1, F.lit(0))))
     return d.drop("last_dirty")
 
@@ -76,21 +78,18 @@ def excursion_candidates(frames: DataFrame, config: ExcursionConfig) -> DataFram
         first("centerline_arclength_wrapped_m").alias("arclength_at_onset"),
         F.first("first_in_segment").alias("segment_first"), F.first("last_in_segment").alias("segment_last"),
         F.first("active_start").alias("active_start"), F.first("active_end").alias("active_end"), first("clean_from").alias("clean_from"), (first("pit_status") != 0).alias("start_in_pit"),
+        first("pit_ahead").alias("pit_ahead"), first("seed_before").alias("seed_before"), first("seed_after").alias("seed_after"),
     )
-    # Span rows (gaps included) by range join inside the car: pit rows and artifacts near the span.
-    inner = d.select(*UNIT, F.col("frame_index").alias("f"), F.col("time_seconds").alias("t"), (F.col("pit_status") != 0).alias("pit"), "artifact_seed")
-    reach = config.artifact + 1e-12
-    close = (F.col("f").between(F.col("start_frame"), F.col("end_frame"))) | (F.col("artifact_seed") & (F.col("t") >= F.col("start_time") - reach) & (F.col("t") <= F.col("end_time") + reach))
-    marks = runs.join(inner.where("pit or artifact_seed"), UNIT).where(close).groupBy(*UNIT, "run").agg(
-        F.bool_or(F.col("pit") & F.col("f").between(F.col("start_frame"), F.col("end_frame"))).alias("pit_overlap"),
-        F.bool_or(F.col("artifact_seed") & (F.col("t") >= F.col("start_time") - reach) & (F.col("t") <= F.col("end_time") + reach)).alias("artifact_near"),
-    )
+    # Whether pit rows lie in the span (gaps included) and artifacts near it: the nearest ones around its first row tell.
+    reach, known = config.artifact + 1e-12, lambda c: F.coalesce(c, F.lit(False))
+    pit = known(F.col("pit_ahead") <= F.col("end_frame"))
+    artifact = known(F.col("seed_before") >= F.col("start_time") - reach) | known(F.col("seed_after") <= F.col("end_time") + reach)
+    runs = runs.withColumns({"pit_overlap": pit, "artifact_near": artifact}).drop("pit_ahead", "seed_before", "seed_after")
     clean = d.select(*UNIT, F.col("frame_index").alias("clean_from"), F.col("time_seconds").alias("clean_time"))
-    e = runs.join(marks, [*UNIT, "run"], "left").join(clean, [*UNIT, "clean_from"], "left")
+    e = runs.join(clean, [*UNIT, "clean_from"], "left")
     e = e.withColumn("duration", F.col("end_time") - F.col("start_time") + F.col("cadence"))
     e = e.withColumn("lead_in", F.when(F.col("start_in_pit"), 0.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.col("start_time") - F.col("clean_time"), F.lit(0.0)))))
     e = e.withColumn("start_truncated", F.col("start_frame") == F.col("segment_first")).withColumn("end_truncated", F.col("end_frame") == F.col("segment_last"))
-    e = e.withColumn("pit_overlap", F.coalesce("pit_overlap", F.lit(False))).withColumn("artifact_near", F.coalesce("artifact_near", F.lit(False)))
     near_edge = (F.col("start_time") - F.col("active_start") + 1e-12 < config.edge) | (F.col("active_end") - F.col("end_time") + 1e-12 < config.edge)
     truncated = lambda c: F.lit(config.exclude_truncated) & F.col(c)
     reason = (
@@ -109,12 +108,13 @@ def excursion_candidates(frames: DataFrame, config: ExcursionConfig) -> DataFram
 
 
 def label_frames(frames: DataFrame, candidates: DataFrame, config: ExcursionConfig) -> DataFrame:
-    """Frames with the candidate that covers them, and whether they count as exposure (range join inside the car)."""
-    d = artifact_proximity(frames, config.artifact)
-    c = candidates.select(*UNIT, F.col("start_frame").alias("s"), F.col("end_frame").alias("e"), "candidate_event_id", "qualified")
-    on = [F.col(f"f.{k}") == F.col(f"c.{k}") for k in UNIT] + [F.col("f.frame_index").between(F.col("c.s"), F.col("c.e"))]
-    joined = d.alias("f").join(c.alias("c"), on, "left")
-    return joined.select(*(F.col(f"f.{k}") for k in [*UNIT, "frame_index"]), "candidate_event_id", F.when(F.col("qualified"), F.col("candidate_event_id")).alias("qualifying_event_id"), F.coalesce(F.col("qualified") & (F.col("frame_index") == F.col("s")), F.lit(False)).alias("onset"), (F.col("active") & (F.col("pit_status") == 0) & ~F.col("near_artifact")).alias("eligible_exposure"))
+    """Frames with the candidate that covers them, and whether they count as exposure; a car's candidates don't overlap."""
+    d = artifact_proximity(frames, config.artifact).select(*UNIT, "frame_index", (F.col("active") & (F.col("pit_status") == 0) & ~F.col("near_artifact")).alias("eligible_exposure"))
+    c = candidates.select(*UNIT, "start_frame", "end_frame", F.struct("candidate_event_id", "qualified").alias("of"))
+    joined = covering(d, c, UNIT, "frame_index", "start_frame", "end_frame", "of")
+    qualified = F.col("of.qualified")
+    onset = F.coalesce(qualified & (F.col("frame_index") == F.col("start_frame")), F.lit(False))
+    return joined.select(*UNIT, "frame_index", F.col("of.candidate_event_id").alias("candidate_event_id"), F.when(qualified, F.col("of.candidate_event_id")).alias("qualifying_event_id"), onset.alias("onset"), "eligible_exposure")
 
 
 def next_events(frames: DataFrame, events: DataFrame) -> DataFrame:
@@ -123,8 +123,7 @@ def next_events(frames: DataFrame, events: DataFrame) -> DataFrame:
     info = F.struct("candidate_event_id", "start_time", "side_at_onset", "segment_bin_at_onset")
     marks = events.where("qualified").select(*keys, F.col("start_time").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("frame_index"), info.alias("e"))
     rows = frames.select(*keys, F.col("time_seconds").alias("at"), F.lit(0).alias("kind"), "frame_index", F.lit(None).cast(marks.schema["e"].dataType).alias("e"))
-    w = Window.partitionBy(*keys).orderBy("at", "kind", "frame_index").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = rows.unionByName(marks).withColumn("next", F.first("e", ignorenulls=True).over(w)).where("kind = 0")
+    found = rows.unionByName(marks).withColumn("next", ahead("e", keys, "at", "kind", "frame_index")).where("kind = 0")
     return found.select(*keys, "frame_index", F.col("next.candidate_event_id").alias("next_event_id"), F.round(F.col("next.start_time") - F.col("at"), 6).alias("time_to_next"), F.col("next.side_at_onset").alias("next_side"), F.col("next.segment_bin_at_onset").alias("next_bin"))
 
 
@@ -133,8 +132,7 @@ def project_events(grid: DataFrame, events: DataFrame) -> DataFrame:
     keys = [*UNIT, "continuous_segment_id"]
     points = grid.select(*keys, F.col("target_time").alias("at"), F.lit(1).alias("kind"), "grid_index", F.lit(None).cast("string").alias("candidate_event_id"), F.col("target_time").alias("p"))
     marks = events.where("qualified").select(*keys, F.col("start_time").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("grid_index"), "candidate_event_id", F.lit(None).cast("double").alias("p"))
-    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    found = points.unionByName(marks).withColumn("goal", F.first("grid_index", ignorenulls=True).over(w)).withColumn("goal_time", F.first("p", ignorenulls=True).over(w))
+    found = points.unionByName(marks).withColumns({"goal": ahead("grid_index", keys, "at", "kind"), "goal_time": ahead("p", keys, "at", "kind")})
     return found.where("kind = 0").select("candidate_event_id", F.col("goal").alias("grid_index"), F.round(F.col("goal_time") - F.col("at"), 6).alias("projection_delay"))
 
 
@@ -149,7 +147,7 @@ def interval_exposure(frames: DataFrame, edge: float, artifact: float) -> DataFr
     valid = F.col("pair") & ~F.col("breaks") & (F.col("t1") > F.col("t0")) & ~F.col("pit")
     safe = (F.col("t0") >= F.col("run_start") + edge - 1e-12) & (F.col("t1") <= F.col("run_end") - edge + 1e-12)
     # The nearest seeds around an interval decide whether any overlaps it (strictly).
-    seeds = frames.withColumn("s", F.when(F.col("artifact_seed"), F.col("time_seconds"))).select(*UNIT, "frame_index", F.last("s", ignorenulls=True).over(running(w)).alias("before"), F.first("s", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    seeds = frames.withColumn("s", F.when(F.col("artifact_seed"), F.col("time_seconds"))).select(*UNIT, "frame_index", F.last("s", ignorenulls=True).over(running(w)).alias("before"), ahead("s", UNIT, "frame_index", strictly=True).alias("after"))
     d = d.join(seeds, [*UNIT, "frame_index"])
     hit = F.coalesce(F.col("t0") < F.col("before") + artifact, F.lit(False)) | F.coalesce(F.col("t1") > F.col("after") - artifact, F.lit(False))
     buffered = valid & safe & ~hit

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from apexframe.contracts import DataValidationError
 from apexframe.operators.features import circular_distance
-from apexframe.operators.timebase import UNIT
+from apexframe.operators.timebase import UNIT, ahead
 from apexframe.scratch import stored
 
 PROPOSAL_SCHEMA = "circuit string, car_id string, threshold double, proposal_number long, proposal_time double, predicted_side string, predicted_bin long, n_bins long, resolution_time double, resolution_type string, unresolved boolean"
@@ -164,13 +164,13 @@ def _run_whole(scores: DataFrame, thresholds: list[float], config: ProposalConfi
 
 
 def label_proposals(proposals: DataFrame, events: DataFrame, horizon: float, tolerance: int = 1) -> DataFrame:
-    """Each proposal with the first qualified event in its observable window (interval join inside the car)."""
-    e = events.where("qualified").select(*UNIT, F.col("start_time").alias("event_time"), "candidate_event_id", "side_at_onset", F.col("segment_bin_at_onset").alias("event_bin"))
+    """Each proposal with the first qualified event in its observable window: the next event of its car, if that comes in time."""
+    info = F.struct(F.col("start_time").alias("event_time"), "candidate_event_id", "side_at_onset", F.col("segment_bin_at_onset").alias("event_bin"))
+    e = events.where("qualified").select(*UNIT, F.col("start_time").alias("at"), F.lit(1).alias("kind"), "candidate_event_id", info.alias("e"))
     p = proposals.withColumn("until", F.least(F.col("proposal_time") + horizon, F.coalesce("resolution_time", F.lit(float("inf")))))
-    on = [F.col(f"p.{k}") == F.col(f"e.{k}") for k in UNIT] + [F.col("event_time") >= F.col("proposal_time") - 1e-12, F.col("event_time") <= F.col("until") + 1e-12]
-    j = p.alias("p").join(e.alias("e"), on, "left").select("p.*", "event_time", "candidate_event_id", "side_at_onset", "event_bin")
-    first = F.row_number().over(Window.partitionBy(*UNIT, "threshold", "proposal_number").orderBy(F.col("event_time").asc_nulls_last(), "candidate_event_id"))
-    j = j.withColumn("nth", first).where("nth = 1")
+    p = p.withColumns({"at": F.col("proposal_time") - 1e-12, "kind": F.lit(0), "candidate_event_id": F.lit(None).cast("string")})
+    j = p.unionByName(e, allowMissingColumns=True).withColumn("next", ahead("e", UNIT, "at", "kind", "candidate_event_id")).where("kind = 0")
+    j = j.withColumn("next", F.when(F.col("next.event_time") <= F.col("until") + 1e-12, F.col("next"))).drop("candidate_event_id", "e").select("*", "next.*")
     matched = F.col("candidate_event_id").isNotNull()
     distance = circular_distance(F.col("predicted_bin"), F.col("event_bin"), F.col("n_bins"))
     j = j.withColumn("correct_side", F.coalesce(F.col("predicted_side") == F.col("side_at_onset"), F.lit(False))).withColumn("within_tolerance", F.coalesce(distance <= tolerance, F.lit(False))).withColumn("exact_segment", F.coalesce(F.col("correct_side") & (distance == 0), F.lit(False)))

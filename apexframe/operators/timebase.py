@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = ["circuit", "car_id"]
@@ -16,6 +16,15 @@ def running(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def ahead(value: Column | str, keys: list[str], *order: str, strictly: bool = False) -> Column:
+    """The first non-null value at or after each row (after it, if ``strictly``) in the order given.
+
+    A running window over the reverse order, which takes a row once; a frame that reaches to the last row is taken anew for every row.
+    """
+    w = Window.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(Window.unboundedPreceding, -1 if strictly else Window.currentRow)
+    return F.last(value, ignorenulls=True).over(w)
+
+
 def segment_ids(frames: DataFrame) -> DataFrame:
     """``continuous_segment_id``: running count of hard breaks, from 0; the first row always breaks."""
     return frames.withColumn("continuous_segment_id", F.sum(F.col("hard_break").cast("long")).over(running(by_unit())) - 1)
@@ -100,6 +109,5 @@ def flags_forward(frames: DataFrame, flag: str, step: float) -> DataFrame:
     keys = [*UNIT, "continuous_segment_id"]
     grid = causal_grid(frames, step).select(*keys, F.col("target_time").alias("at"), F.lit(1).alias("kind"), "grid_index")
     marks = frames.where(F.col(flag)).select(*keys, F.col("time_seconds").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("grid_index"))
-    w = Window.partitionBy(*keys).orderBy("at", "kind", "grid_index").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    mapped = grid.unionByName(marks).withColumn("goal", F.first("grid_index", ignorenulls=True).over(w))
+    mapped = grid.unionByName(marks).withColumn("goal", ahead("grid_index", keys, "at", "kind", "grid_index"))
     return mapped.where("kind = 0 and goal is not null").groupBy(*keys, F.col("goal").alias("grid_index")).agg(F.count(F.lit(1)).alias("n_flags"))
