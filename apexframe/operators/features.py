@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apexframe.contracts import DataValidationError
+from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT, by_unit
 
 SEGMENT = [*UNIT, "continuous_segment_id"]
@@ -47,11 +49,18 @@ def causal_features(frames: DataFrame) -> DataFrame:
 
 def robust_scaler(rows: DataFrame, columns: list[str], fit: Column, guard: float = 1e-12) -> DataFrame:
     """(feature, center, scale) over the rows to fit: median and interquartile range, 1 where that is too small."""
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    wide = rows.where(fit).agg(*(q(c).alias(c) for c in columns))
-    long = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).alias("q")) for c in columns))).alias("x")).select("x.*")
-    iqr = F.col("q")[2] - F.col("q")[0]
-    return long.select("feature", F.col("q")[1].alias("center"), F.when(iqr > guard, iqr).otherwise(1.0).alias("scale"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns))).alias("x")
+    q = exact_quantiles(rows.where(fit).select(each).select("x.*"), ["feature"], "v", [0.25, 0.5, 0.75])
+    iqr = F.col("quantiles")[2] - F.col("quantiles")[0]
+    return q.select("feature", F.col("quantiles")[1].alias("center"), F.when(iqr > guard, iqr).otherwise(1.0).alias("scale"))
+
+
+def robust_transform(rows: DataFrame, scaler: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` with the columns scaled: the distance from the center in scales. A column that wasn't fitted is an error."""
+    known = {r["feature"]: r for r in scaler.where(F.col("feature").isin(columns)).collect()}  # one row for each column
+    if lost := sorted(set(columns) - set(known)):
+        raise DataValidationError(f"no scaling for {lost}")
+    return rows.withColumns({c: (F.col(c) - F.lit(known[c]["center"])) / F.lit(known[c]["scale"]) for c in columns})
 
 
 def residual_pairs(frames: DataFrame, value: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from apexframe.contracts import DataValidationError
 from apexframe.operators.features import circular_distance
+from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT, ahead
 from apexframe.scratch import stored
 
@@ -203,8 +204,8 @@ def detection_summary(labels: DataFrame, events: DataFrame, exposure_hours: Data
 def threshold_grid(scores: DataFrame, column: str, bulk: int = 100, tail: int = 401, low: float = 2.0, high: float = 6.0) -> DataFrame:
     """Distinct candidate thresholds: bulk quantiles, tail quantiles 1 - 10^-x, and 0 and 1."""
     qs = [0.99 * i / (bulk - 1) for i in range(bulk)] + [1 - 10 ** -(low + (high - low) * i / (tail - 1)) for i in range(tail)]
-    found = scores.agg(F.percentile(column, F.array(*map(F.lit, qs))).alias("q"))
-    both = F.concat("q", F.array(F.lit(0.0), F.lit(1.0)))
+    found = exact_quantiles(scores, [], column, qs)
+    both = F.concat("quantiles", F.array(F.lit(0.0), F.lit(1.0)))
     return found.select(F.explode(F.array_distinct(both)).alias("threshold"))
 
 

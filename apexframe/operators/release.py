@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from apexframe.contracts import forbid_future_columns
 from apexframe.operators.features import hazard_bin, horizon_column
 from apexframe.operators.policy import neighborhood_candidates
+from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT
 
 
@@ -124,6 +125,6 @@ def travel_direction(frames: DataFrame, keys: list[str], forward: tuple[Column,
     dot = (forward[0] * tangent[0] + forward[1] * tangent[1]) / F.nullif(length(forward) * length(tangent), F.lit(0.0))
     usable = (speed > slowest) & ~F.isnan(dot) & (F.abs(dot) < float("inf"))
     d = frames.select(*keys, F.when(usable, dot).alias("dot"))
-    q = F.percentile("dot", F.array(F.lit(0.01), F.lit(0.5)))
-    m = d.groupBy(*keys).agg(F.count("dot").alias("n"), q.alias("q"), F.avg((F.col("dot") > 0).cast("double")).alias("positive"))
+    q = exact_quantiles(d, keys, "dot", [0.01, 0.5]).select(*keys, F.col("quantiles").alias("q"))
+    m = d.groupBy(*keys).agg(F.count("dot").alias("n"), F.avg((F.col("dot") > 0).cast("double")).alias("positive")).join(q, keys, "left")
     return m.select(*keys, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("p01"), "positive", ((F.col("q")[1] > 0) & (F.col("positive") >= 0.95)).alias("same_direction"))

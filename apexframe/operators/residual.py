@@ -12,6 +12,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT
 
 #: The state of a car, in this order.
@@ -113,11 +114,13 @@ def solve_ridge(packed, n_inputs: int, n_targets: int, clusters: int, alpha: flo
 
 
 def _quartiles(rows: DataFrame, inputs: list[str], groups: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Median and interquartile range (1 where it is 0) of the inputs over the rows of each condition, in one pass."""
-    cols = [F.percentile(F.when(g, F.col(c)), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{i}_{j}") for i, g in enumerate(groups) for j, c in enumerate(inputs)]
-    row, out = rows.agg(*cols).first(), []
+    """Median and interquartile range (1 where it is 0) of the inputs over the rows of each condition, all at once."""
+    each = F.array(*(F.when(g, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(c).cast("double").alias("v"))) for i, g in enumerate(groups) for j, c in enumerate(inputs)))
+    long = rows.select(F.explode(F.array_compact(each)).alias("x")).select("x.*")
+    got = {(r["i"], r["j"]): r["quantiles"] for r in exact_quantiles(long, ["i", "j"], "v", [0.25, 0.5, 0.75]).collect()}  # one row for each condition and input
+    out = []
     for i in range(len(groups)):
-        q = np.array([row[f"q{i}_{j}"] or [0.0, 0.0, 1.0] for j in range(len(inputs))], float)
+        q = np.array([got.get((i, j), [0.0, 0.0, 1.0]) for j in range(len(inputs))], float)
         out.append((q[:, 1], np.where(q[:, 2] > q[:, 0], q[:, 2] - q[:, 0], 1.0)))
     return out
 

@@ -412,6 +412,7 @@ SELECT circuit, car_id, frame_index, horizon, side, bin, round(CASE WHEN p > 0 T
 _LINES = _SELECTS["performance_evaluation"].rpartition("\nSELECT ev_ag.horizon")
 _SELECTS["evaluation_lines"] = f"""{_LINES[0]}, el_p AS (SELECT horizon, scope, u, {_ODDS} AS x, sum(n) AS n, sum(h) AS k FROM ev_ps GROUP BY ALL){newton("el", "el_p", ["horizon", "scope", "u"], -50.0)}
 SELECT horizon, scope, u AS lang, n::BIGINT AS n, e::BIGINT AS events, round(intercept, 5) AS calibration_intercept, round(slope, 5) AS calibration_slope FROM el"""
+_SELECTS["robust_scaled"] = _SELECTS["robust_scaler"].rpartition(" SELECT feature")[0] + f""" SELECT circuit, car_id, frame_index, {", ".join(f"round(({v} - (SELECT m FROM c WHERE feature = '{n}')) / (SELECT CASE WHEN r > 1e-12 THEN r ELSE 1.0 END FROM c WHERE feature = '{n}'), 6) AS {n}" for n, v in (("value", "value"), ("outside_depth_m", "depth"), ("current_lap_time", "clock")))} FROM tele"""
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

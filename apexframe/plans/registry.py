@@ -187,6 +187,13 @@ def _robust(spark, d):
     return _rounded(V.robust_scaler(tele(spark, d), ["value", "outside_depth_m", "current_lap_time"], F.col("active")), "center", "scale")
 
 
+def _scaled(spark, d):
+    """Frames scaled by the active ones of their table."""
+    names = ["value", "outside_depth_m", "current_lap_time"]
+    t = tele(spark, d)
+    return _rounded(V.robust_transform(t, V.robust_scaler(t, names, F.col("active")), names).select(*KEY, *names), *names)
+
+
 def _projection(spark, d):
     t = tele(spark, d)
     return X.project_events(T.causal_grid(t, GRID_STEP), _events(spark, d))
@@ -475,6 +482,7 @@ QUERIES = {
     "event_projection": _projection,  # 49
     "causal_features": _features,  # 56
     "robust_scaler": _robust,  # 57, 67
+    "robust_scaled": _scaled,  # 57
     "support_flags": lambda s, d: V.support_flags(tele(s, d), [6.0, 24.0]),  # 58
     "residual_pairs": lambda s, d: _rounded(V.residual_pairs(tele(s, d), "outside_depth_m"), "dt", "residual"),  # 59, 62
     "hazard_rows": lambda s, d: V.hazard_rows(tele(s, d), _events(s, d)),  # 63
@@ -549,6 +557,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts"
+    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts robust_scaled"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
