@@ -10,7 +10,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -19,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.contracts import DataValidationError
-from apexframe.operators.policy import PROPOSAL_SCHEMA, ROW, Car, ProposalConfig, Row, Watch, advance
+from apexframe.operators.policy import PROPOSAL_SCHEMA, ROW, Car, ProposalConfig, Row, Watch, advance, coded, decoded
 from apexframe.operators.timebase import UNIT
 from apexframe.ranks import positions
 from apexframe.scratch import stored
@@ -108,7 +107,7 @@ def run_long_alerts(scores: DataFrame, thresholds: list[float], config: Proposal
             out = []
             for threshold in thresholds:
                 for first, (last, opened) in range_function(possible_states(past, threshold, config) if key[-1] else [Watch()], mine, threshold, config).items():
-                    out.append((*key, threshold, _coded(first), _coded(last), opened))
+                    out.append((*key, threshold, coded(first), coded(last), opened))
             yield pd.DataFrame(out, columns=[*_PLACE, "threshold", "first", "last", "opened"])
 
     rows = rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "__pos")
@@ -116,7 +115,7 @@ def run_long_alerts(scores: DataFrame, thresholds: list[float], config: Proposal
 
     def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for key, group in _groups(frames, [*UNIT, "threshold"], ["__range", "first", "last", "opened"]):
-            state, number = _coded(Watch()), 0
+            state, number = coded(Watch()), 0
             for at, function in groupby(group, lambda r: r[0]):
                 step = {first: (last, n) for _, first, last, n in function}
                 if state not in step:
@@ -132,7 +131,7 @@ def run_long_alerts(scores: DataFrame, thresholds: list[float], config: Proposal
         for key, group in _groups(frames, _PLACE, ["starts", "__end", *ROW]):
             begun, ends_here, *_ = next(group)
             car, known = Car(thresholds, config), {s["threshold"]: s for s in begun}
-            car.watches = [_numbered(_decoded(known[t]["state"]), known[t]["number"]) for t in thresholds]
+            car.watches = [_numbered(decoded(known[t]["state"]), known[t]["number"]) for t in thresholds]
             out = [(*key[:-1], *p) for _, _, *row in group for p in car.feed(Row(*row))]
             if ends_here:
                 out += [(*key[:-1], *p) for p in car.finish()]
@@ -146,15 +145,5 @@ def run_long_alerts(scores: DataFrame, thresholds: list[float], config: Proposal
     return both.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "__pos").mapInPandas(replay, PROPOSAL_SCHEMA)
 
 
-def _coded(watch: Watch) -> str:
-    """A state as text; floats come back as they were."""
-    return json.dumps(watch)
-
-
-def _decoded(text: str) -> Watch:
-    phase, number, run, proposal, since = json.loads(text)
-    return Watch(phase, number, run and tuple(run), proposal and tuple(proposal), since)
-
-
 def _numbered(watch: Watch, number: int) -> Watch:
     return watch._replace(number=number, proposal=None if watch.proposal is None else (number, *watch.proposal[1:]))

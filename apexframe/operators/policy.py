@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
@@ -21,9 +22,12 @@ PROPOSAL_SCHEMA = "circuit string, car_id string, threshold double, proposal_num
 
 @dataclass(frozen=True)
 class ProposalConfig:
+    """``timely`` closes a proposal when its horizon ends, as a timer does, before a later row is looked at; else the row decides how it closes."""
+
     horizon: float = 1.5
     persistence: int = 3
     rearm: float = 1.0
+    timely: bool = False
 
 
 class Row(NamedTuple):
@@ -66,8 +70,27 @@ class Watch(NamedTuple):
         return None if self.proposal is None else (*self.proposal, at, kind, unresolved)
 
 
+def coded(watch: Watch) -> str:
+    """A state as text; floats come back as they were."""
+    return json.dumps(watch)
+
+
+def decoded(text: str) -> Watch:
+    phase, number, run, proposal, since = json.loads(text)
+    return Watch(phase, number, run and tuple(run), proposal and tuple(proposal), since)
+
+
+def elapsed(watch: Watch, now: float, config: ProposalConfig) -> tuple[Watch, tuple] | None:
+    """The rest that follows an open proposal whose horizon is over by ``now``, and the proposal; None if there is none."""
+    if watch.phase != "open" or now + 1e-12 < (ends := watch.proposal[1] + config.horizon):
+        return None
+    return Watch("resting", watch.number, rested_since=ends), watch.closed(ends, "horizon_elapsed", False)
+
+
 def advance(watch: Watch, row: Row, threshold: float, config: ProposalConfig) -> tuple[Watch, tuple | None]:
     """The state after ``row``, and the proposal that it closes: a table of (phase, sight)."""
+    if config.timely and (done := elapsed(watch, row.time, config)):
+        return advance(done[0], row, threshold, config)[0], done[1]  # a resting car closes nothing more
     resting = Watch("resting", watch.number)
     idle = Watch("watching", watch.number)
     match watch.phase, row.sight(threshold):

@@ -413,6 +413,29 @@ _LINES = _SELECTS["performance_evaluation"].rpartition("\nSELECT ev_ag.horizon")
 _SELECTS["evaluation_lines"] = f"""{_LINES[0]}, el_p AS (SELECT horizon, scope, u, {_ODDS} AS x, sum(n) AS n, sum(h) AS k FROM ev_ps GROUP BY ALL){newton("el", "el_p", ["horizon", "scope", "u"], -50.0)}
 SELECT horizon, scope, u AS lang, n::BIGINT AS n, e::BIGINT AS events, round(intercept, 5) AS calibration_intercept, round(slope, 5) AS calibration_slope FROM el"""
 _SELECTS["robust_scaled"] = _SELECTS["robust_scaler"].rpartition(" SELECT feature")[0] + f""" SELECT circuit, car_id, frame_index, {", ".join(f"round(({v} - (SELECT m FROM c WHERE feature = '{n}')) / (SELECT CASE WHEN r > 1e-12 THEN r ELSE 1.0 END FROM c WHERE feature = '{n}'), 6) AS {n}" for n, v in (("value", "value"), ("outside_depth_m", "depth"), ("current_lap_time", "clock")))} FROM tele"""
+#: The automaton at threshold 0.1, an open proposal closing at its horizon before the row is looked at; ``silent`` is the time up to which timers have fired.
+TIMELY = """, tm AS (
+  SELECT circuit, car_id, -1::BIGINT AS fi, 0 AS mode, NULL::DOUBLE AS since, NULL::DOUBLE AS ot, NULL::VARCHAR AS os, NULL::BIGINT AS ob, 0::BIGINT AS num,
+    NULL::DOUBLE AS c_t, NULL::VARCHAR AS c_s, NULL::BIGINT AS c_b, NULL::BIGINT AS c_n, NULL::DOUBLE AS c_rt, NULL::VARCHAR AS c_k FROM units
+  UNION ALL
+  SELECT circuit, car_id, nfi,
+    CASE k WHEN 'B' THEN CASE WHEN mode <> 0 OR NOT inside THEN 2 ELSE 0 END WHEN 'O' THEN 2 WHEN 'N' THEN 1 WHEN 'R0' THEN 2 WHEN 'R1' THEN 2 WHEN 'R2' THEN 2 WHEN 'AO' THEN 2 WHEN 'A' THEN 1 ELSE 0 END,
+    CASE k WHEN 'B' THEN CASE WHEN (mode <> 0 OR NOT inside) AND valid AND inside THEN t END WHEN 'R1' THEN t WHEN 'R2' THEN since END,
+    CASE k WHEN 'N' THEN ot WHEN 'A' THEN t END, CASE k WHEN 'N' THEN os WHEN 'A' THEN side END, CASE k WHEN 'N' THEN ob WHEN 'A' THEN bin END, CASE k WHEN 'A' THEN num + 1 ELSE num END,
+    CASE WHEN ended THEN ot END, CASE WHEN ended THEN os END, CASE WHEN ended THEN ob END, CASE WHEN ended THEN num END,
+    CASE WHEN late THEN ot + 30 WHEN ended THEN t END, CASE WHEN late THEN 'horizon_elapsed' WHEN ended AND k = 'B' THEN 'hard_break' WHEN ended THEN 'outside_observed' END
+  FROM (SELECT *, late OR mode = 1 AND k IN ('B', 'O') AS ended FROM (
+    SELECT *, CASE WHEN hb THEN 'B' WHEN mode = 1 AND NOT inside THEN 'O' WHEN mode = 1 THEN 'N' WHEN mode = 2 AND NOT (valid AND inside) THEN 'R0' WHEN mode = 2 AND since IS NULL THEN 'R1' WHEN mode = 2 AND t - since + 1e-12 < 10 THEN 'R2'
+        WHEN NOT inside THEN 'AO' WHEN NOT valid THEN 'AV' WHEN score + 1e-15 < 0.1 THEN 'AS' ELSE 'A' END AS k
+    FROM (SELECT * REPLACE (CASE WHEN late THEN 2 ELSE mode END AS mode, CASE WHEN late THEN ot + 30 ELSE since END AS since) FROM (
+      SELECT tm.circuit, tm.car_id, tm.mode, tm.since, tm.ot, tm.os, tm.ob, tm.num, r.frame_index AS nfi, r.t, r.side, r.bin, r.valid, r.inside, r.hb, r.score, tm.mode = 1 AND r.t + 1e-12 >= tm.ot + 30 AS late
+      FROM tm JOIN sc r ON r.car_id = tm.car_id AND r.frame_index = tm.fi + 1))))),
+ty AS (SELECT circuit, car_id, c_n AS n, c_t AS pt, c_s AS side, c_b AS bin, c_rt AS rt, c_k AS kind FROM tm WHERE c_n IS NOT NULL
+  UNION ALL SELECT tm.circuit, tm.car_id, num, ot, os, ob, CASE WHEN ot + 30 <= {silent} THEN ot + 30 ELSE l.t END, CASE WHEN ot + 30 <= {silent} THEN 'horizon_elapsed' ELSE 'stream_end' END
+  FROM tm JOIN lastf l ON l.car_id = tm.car_id AND l.fi = tm.fi WHERE mode = 1)
+SELECT circuit, car_id, n AS proposal_number, round(pt, 6) AS proposal_time, side AS predicted_side, bin AS predicted_bin, round(rt, 6) AS resolution_time, kind AS resolution_type, kind IN ('hard_break', 'stream_end') AS unresolved FROM ty"""
+_SELECTS["timely_alerts"] = TIMELY.format(silent="-1e9")
+_SELECTS["streamed_alerts"] = TIMELY.format(silent="(SELECT max(t) FROM tele) - 30")
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

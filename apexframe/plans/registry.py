@@ -26,9 +26,11 @@ from apexframe.operators import residual as D
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, materialising, once, prob, scores, table, tele
+from apexframe.scratch import scratch_path
 from apexframe.sources import compact, maps
 from apexframe.sources.integrity import unit_digests
 from apexframe.sources.tables import natural_key
+from apexframe.streaming import timed as S
 
 CONFIG = X.ExcursionConfig(gap_merge=12.0, min_depth=1.0, min_duration=6.0, min_lead_in=0.0, artifact=2.0, edge=12.0, exclude_truncated=False)
 POLICY = P.ProposalConfig(horizon=30.0, persistence=1, rearm=10.0)
@@ -424,6 +426,20 @@ def _alerts(found):
     return found.select(*UNIT, "proposal_number", F.round("proposal_time", 6).alias("proposal_time"), "predicted_side", "predicted_bin", F.round("resolution_time", 6).alias("resolution_time"), "resolution_type", "unresolved")
 
 
+TIMELY = P.ProposalConfig(POLICY.horizon, POLICY.persistence, POLICY.rearm, timely=True)
+
+
+def _streamed(spark, d):
+    """The scores as a stream, all in one batch, until it has nothing more to do; then what it still held."""
+    rows, sink, checkpoint = (scratch_path(spark, n) for n in ("stream-in", "stream-out", "stream-checkpoint"))
+    scores(spark, d).select(*UNIT, "frame_index", *P.ROW).write.parquet(rows)
+    stream = spark.readStream.schema(spark.read.parquet(rows).schema).parquet(rows)
+    query = S.timed_alerts(stream, 0.1, TIMELY).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    closed = spark.read.schema(S.TIMED_SCHEMA).parquet(sink).where("late_time is null").drop("late_time")
+    return _alerts(closed.unionByName(S.drain(spark, checkpoint, 0.1, TIMELY)))
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -511,6 +527,8 @@ QUERIES = {
     "reliability_bins": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "lang"), "mean_probability", "event_frequency"),  # 97
     "reliability_clusters": lambda s, d: _rounded(M.reliability_bins(prob(s, d), "source", 5), "mean_probability", "event_frequency"),  # 98
     "alert_state_machine": lambda s, d: _alerts(P.run_alerts(scores(s, d), [0.1], POLICY)),  # 99, 100
+    "timely_alerts": lambda s, d: _alerts(P.run_alerts(scores(s, d), [0.1], TIMELY)),  # 99
+    "streamed_alerts": _streamed,  # 99, streaming
     "split_alerts": lambda s, d: _alerts(A.run_long_alerts(scores(s, d), [0.1], POLICY, 64)),  # 99
     "proposal_labels": lambda s, d: _rounded(_labels(s, d), "proposal_time", "lead"),  # 50, 51
     "detection_summary": _summary,  # 101
@@ -557,6 +575,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts robust_scaled"
+    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
