@@ -27,9 +27,10 @@ from apexframe.llm.common import lookup, spread, stored
 # HTML elements by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
-DROPPED = frozenset("aside button canvas dialog footer form head header iframe menu nav noscript object select svg template".split()) | RAW
+DROPPED = frozenset("aside button canvas dialog footer head header iframe menu nav noscript object select svg template".split()) | RAW
 CONTAINERS = frozenset("article body div main section td".split())
 SEMANTIC = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 P_SCOPE = "button caption object table td template th".split()
@@ -51,11 +52,15 @@ SEMANTIC_BONUS = 1.5
 
 #: A marked element with that part of the page's plain text may be the article's wrapper, unless the host's pages agree otherwise.
 WRAPS = 0.75
+#: The mark of a form, and the part of its text that must stand in paragraphs if it wraps the article.
+FORM = 3
+PROSE = 0.5
 #: Pages of a host that must have a marked element for them to agree on it.
 VOTERS = 3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>[^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*))>?|<[!?][^>]*>?", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: One attribute, whole: its name, and its value in whatever quotes.
+_ATTRIBUTE = re.compile(r"([^\s/>=\"'][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?|[\"'=/]")
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)"
 
@@ -68,11 +73,12 @@ def _raw_end(tag: str) -> re.Pattern:
 class Node:
     """A container or a marked element: its generalised path as a hash chain, its span of parts, and its plain characters."""
 
-    __slots__ = ("article", "dropped", "end", "first", "inside", "mark", "own", "parent", "path", "plain", "tag", "wraps")
+    __slots__ = ("article", "dropped", "end", "first", "inside", "mark", "own", "parent", "path", "plain", "prose", "tag", "wraps")
 
     def __init__(self, parent: int, path: int, tag: str, mark: int, first: int):
         self.parent, self.path, self.tag, self.mark, self.first, self.end = parent, path, tag, mark, first, first
         self.own = 0  # plain characters in the node itself
+        self.prose = 0  # of those, in paragraphs; summed over the subtree by and by
         self.inside = 0  # in all of its subtree
         self.plain = 0  # in its subtree without what is dropped
         self.article = False  # an article or main stands in it
@@ -82,7 +88,9 @@ class Node:
 @lru_cache(maxsize=20_000)
 def _names(attributes: str) -> tuple[str, int]:
     """Generalised classes of a start tag, and its mark: 0 none, 1 a word in a name, 2 a whole name or a role."""
-    found = {k.lower(): a or b or c for k, a, b, c in _ATTRIBUTE.findall(attributes)}
+    found: dict[str, str] = {}
+    for k, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(k.lower(), a or b or c)  # of attributes of one name the first counts
     named = f"{found.get('class', '')} {found.get('id', '')}"
     plain = re.sub(r"\d+", "", named).lower().split()
     classes = ".".join(sorted({re.sub(r"\d+", "", c) for c in found.get("class", "").split()} - {""}))
@@ -121,7 +129,9 @@ class Page:
                 parts.append(entities.unescape(piece) if "&" in piece else piece)
                 owner.append(node)
                 if not linked:
-                    nodes[node].own += len(piece.strip())
+                    size = len(piece.strip())
+                    nodes[node].own += size
+                    nodes[node].prose += size if places.get("p") else 0
 
         def close(depth: int) -> None:
             nonlocal node, dropped, linked
@@ -174,7 +184,8 @@ class Page:
             if dropped:
                 continue
             classes, mark = _names(m[3]) if m[3] else ("", 0)
-            mark = 0 if tag in ("html", "body", *SEMANTIC) else mark
+            # A heading's anchor says what its section is about; a form is kept only where it wraps the article.
+            mark = 0 if tag in ("html", "body", *SEMANTIC, *HEADINGS) else FORM if tag == "form" else mark
             if mark or tag in CONTAINERS:
                 path = xxhash.xxh3_64_intdigest(f"{nodes[node].path}>{tag}.{classes}") >> 1
                 nodes.append(Node(node, path, tag, mark, len(parts)))
@@ -190,6 +201,7 @@ class Page:
         for v in reversed(nodes[1:]):
             up = nodes[v.parent]
             up.inside += v.inside
+            up.prose += v.prose
             up.article |= v.article or v.tag in SEMANTIC
         total = nodes[0].inside
         # By node: the marked element it stands in (-1: none), articles above it, and articles under no other mark than those around it.
@@ -210,7 +222,7 @@ class Page:
             outer = under[i]
             beside[i] = articles[outer] + (beside[outer] if outer >= 0 else 0)
             # No wrapper stands beside an article with text; a name that as a whole is a mark needs an article inside.
-            may = not v.dropped and beside[i] == above[i] and (v.mark == 1 or v.article)
+            may = not v.dropped and beside[i] == above[i] and self._may_wrap(v)
             v.wraps = may and consensus.get(v.path, v.inside > 0 and v.inside >= WRAPS * total)
             v.dropped |= not v.wraps
         for v in nodes:
@@ -218,11 +230,15 @@ class Page:
         for v in reversed(nodes[1:]):
             nodes[v.parent].plain += v.plain
 
+    @staticmethod
+    def _may_wrap(v: Node) -> bool:
+        return v.mark == 1 or v.article or (v.mark == FORM and v.prose >= PROSE * v.inside > 0)
+
     def marks(self) -> Iterator[tuple[int, int]]:
         """(path, vote) of the marked elements that could wrap an article: positive if it has most of the page's plain text."""
         total = self.nodes[0].inside
         for v in self.nodes[1:]:
-            if v.mark and total and not self.nodes[v.parent].dropped and (v.mark == 1 or v.article):
+            if v.mark and total and not self.nodes[v.parent].dropped and self._may_wrap(v):
                 yield v.path, round(2000 * v.inside / total) - 1000
 
     def best(self) -> tuple[int, float]:
