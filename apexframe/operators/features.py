@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from apexframe.contracts import DataValidationError
 from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT, by_unit
+from apexframe.scratch import stored
 
 SEGMENT = [*UNIT, "continuous_segment_id"]
 
@@ -100,17 +101,22 @@ def loco_splits(units: DataFrame, fraction: float, seed: int, salt: str) -> Data
     """Leave one circuit out: each fold tests its own circuit; the others are ranked by a hash, the first go to calibration.
 
     ``units``: distinct (circuit, car_id). The number for calibration is the rounded (half up)
-    share, at least one and not all.
+    share, at least one and not all. No group is ranked whole: units are counted in 65,536 ranges of the hash, and only those of
+    the range that the cut falls into are ranked to find the last score that is taken.
     """
     folds = units.select(F.col("circuit").alias("fold_test_circuit")).distinct()
     # Folds are few (one for each circuit); each unit gets a row for each fold.
     per_unit = units.join(F.broadcast(folds.agg(F.sort_array(F.collect_set("fold_test_circuit")).alias("folds"))))
     d = per_unit.select(*UNIT, F.explode("folds").alias("fold_test_circuit"))
     score = F.sha2(F.concat(F.lit(f'["{salt}",{seed},"'), "fold_test_circuit", F.lit('","'), "circuit", F.lit('","'), "car_id", F.lit('"]')), 256)
-    d = d.withColumn("split_score", score).withColumn("own", F.col("circuit") == F.col("fold_test_circuit"))
-    w = Window.partitionBy("fold_test_circuit", "own")
-    n = F.count(F.lit(1)).over(w)
-    take = F.greatest(F.lit(1), F.least(n - 1, F.floor(n * F.lit(fraction) + 0.5)))
-    rank = F.row_number().over(w.orderBy("split_score"))
-    part = F.when(F.col("own"), "test").when(rank <= take, "calibration").otherwise("fit")
-    return d.select("fold_test_circuit", *UNIT, part.alias("partition"), "split_score")
+    d = stored(d.withColumn("split_score", score).withColumn("own", F.col("circuit") == F.col("fold_test_circuit")), "splits")
+    rest = d.where("not own").withColumn("range", F.conv(F.substring("split_score", 1, 4), 16, 10).cast("int"))
+    counts = rest.groupBy("fold_test_circuit", "range").agg(F.count(F.lit(1)).alias("m"))
+    w = Window.partitionBy("fold_test_circuit")
+    counts = counts.withColumns({"n": F.sum("m").over(w), "upto": F.sum("m").over(w.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow))})  # the ranges of a fold
+    take = F.greatest(F.lit(1), F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(fraction) + 0.5)))
+    cut = counts.where((F.col("upto") >= take) & (F.col("upto") - F.col("m") < take)).select("fold_test_circuit", "range", (take - F.col("upto") + F.col("m")).alias("left"))
+    near = rest.join(F.broadcast(cut), ["fold_test_circuit", "range"]).withColumn("nth", F.row_number().over(w.orderBy("split_score")))
+    last = near.where("nth = left").select("fold_test_circuit", F.col("split_score").alias("last"))  # one score for each fold
+    part = F.when(F.col("own"), "test").when(F.col("split_score") <= F.col("last"), "calibration").otherwise("fit")
+    return d.join(F.broadcast(last), "fold_test_circuit", "left").select("fold_test_circuit", *UNIT, part.alias("partition"), "split_score")

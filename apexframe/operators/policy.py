@@ -232,11 +232,11 @@ def threshold_grid(scores: DataFrame, column: str, bulk: int = 100, tail: int =
     return found.select(F.explode(F.array_distinct(both)).alias("threshold"))
 
 
-def operating_points(summary: DataFrame, budgets: list[float]) -> DataFrame:
-    """For each lead and budget the threshold of best recall within the budget; ties go to the higher threshold."""
+def operating_points(summary: DataFrame, budgets: list[float], keys: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """For each lead and budget (and ``keys``, such as the method) the threshold of best recall within the budget; ties go to the higher threshold."""
     d = summary.select("*", F.explode(F.array(*map(F.lit, budgets))).alias("budget")).where(F.col("false_per_hour") <= F.col("budget") + 1e-12)
-    w = Window.partitionBy("required_lead", "budget").orderBy(F.col("recall").desc_nulls_last(), F.desc("threshold"))
-    return d.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("required_lead", "budget", "threshold", "recall", "false_per_hour")
+    w = Window.partitionBy(*keys, "required_lead", "budget").orderBy(F.col("recall").desc_nulls_last(), F.desc("threshold"))
+    return d.withColumn("nth", F.row_number().over(w)).where("nth = 1").select(*keys, "required_lead", "budget", "threshold", "recall", "false_per_hour")
 
 
 def neighborhood_candidates(mass: DataFrame, radius: int = 1) -> DataFrame:

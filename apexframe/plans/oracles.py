@@ -436,6 +436,31 @@ ty AS (SELECT circuit, car_id, c_n AS n, c_t AS pt, c_s AS side, c_b AS bin, c_r
 SELECT circuit, car_id, n AS proposal_number, round(pt, 6) AS proposal_time, side AS predicted_side, bin AS predicted_bin, round(rt, 6) AS resolution_time, kind AS resolution_type, kind IN ('hard_break', 'stream_end') AS unresolved FROM ty"""
 _SELECTS["timely_alerts"] = TIMELY.format(silent="-1e9")
 _SELECTS["streamed_alerts"] = TIMELY.format(silent="(SELECT max(t) FROM tele) - 30")
+#: Labels of two methods, cells chosen on calibration cars of fold C0, and the ledger of its test cars.
+HELDOUT = """, l2 AS (SELECT circuit, car_id, 'plain' AS method, threshold, matched_event_id, lead, localized_hit, false_proposal, unresolved_censored FROM lb
+  UNION ALL SELECT circuit, car_id, 'late', threshold, matched_event_id, round(lead - 6, 6), coalesce(localized_hit AND lead - 6 >= -1e-12, FALSE),
+    CASE WHEN matched_event_id IS NOT NULL THEN NOT coalesce(localized_hit AND lead - 6 >= -1e-12, FALSE) ELSE false_proposal END, unresolved_censored FROM lb),
+ca AS (SELECT lo.part, ex.circuit, ex.car_id, ex.prebuffer_seconds AS exposure, coalesce(e.n, 0) AS events FROM lo JOIN ex USING (car_id) LEFT JOIN (SELECT car_id, count(*) FILTER (WHERE reason = '') AS n FROM cd GROUP BY car_id) e USING (car_id) WHERE fold_test_circuit = 'C0'),
+cw AS (SELECT sum(events) AS events, sum(exposure) AS exposure FROM ca WHERE part = 'calibration'),
+cs AS (SELECT m.method, th AS threshold, ld.lead AS required_lead,
+    (SELECT count(DISTINCT matched_event_id) FILTER (WHERE localized_hit AND x.lead >= ld.lead - 1e-12) FROM l2 x SEMI JOIN (SELECT car_id FROM ca WHERE part = 'calibration') c ON c.car_id = x.car_id WHERE x.method = m.method AND x.threshold = th) AS hits,
+    (SELECT count(*) FILTER (WHERE false_proposal) FROM l2 x SEMI JOIN (SELECT car_id FROM ca WHERE part = 'calibration') c ON c.car_id = x.car_id WHERE x.method = m.method AND x.threshold = th) AS f
+  FROM (SELECT DISTINCT method FROM l2) m, th, ld),
+co AS (SELECT method, required_lead, b AS budget, threshold, hits / nullif(events, 0)::DOUBLE AS recall, f / nullif(exposure, 0) AS rate, exposure FROM cs, cw, (VALUES (0.002::DOUBLE), (0.005), (0.02), (0.1)) v(b)),
+cb AS (SELECT method, required_lead, budget, threshold FROM co WHERE rate <= budget + 1e-12 QUALIFY row_number() OVER (PARTITION BY method, required_lead, budget ORDER BY recall DESC NULLS LAST, threshold DESC) = 1),
+oc AS (SELECT DISTINCT co.method, co.required_lead, co.budget, CASE WHEN co.budget * exposure + 1e-12 >= 4 THEN cb.threshold END AS threshold,
+    CASE WHEN NOT co.budget * exposure + 1e-12 >= 4 THEN 'not_estimable' WHEN cb.threshold IS NULL THEN 'no_threshold' ELSE 'active' END AS state
+  FROM co LEFT JOIN cb USING (method, required_lead, budget)),
+hl AS (SELECT ca.circuit, ca.car_id, oc.method, oc.required_lead, oc.budget, oc.threshold, oc.state, ca.events, coalesce(x.hits, 0) AS hits, coalesce(x.f, 0) AS false_proposals, coalesce(x.u, 0) AS unresolved, ca.exposure, oc.state <> 'active' AS abstained
+  FROM (SELECT * FROM ca WHERE part = 'test') ca CROSS JOIN oc LEFT JOIN (
+    SELECT l2.car_id, oc.method, oc.required_lead, oc.budget, count(DISTINCT matched_event_id) FILTER (WHERE localized_hit AND l2.lead >= oc.required_lead - 1e-12) AS hits, count(*) FILTER (WHERE false_proposal) AS f, count(*) FILTER (WHERE unresolved_censored) AS u
+    FROM l2 JOIN oc ON oc.method = l2.method AND oc.threshold = l2.threshold GROUP BY ALL) x ON x.car_id = ca.car_id AND x.method = oc.method AND x.required_lead = oc.required_lead AND x.budget = oc.budget)"""
+_SELECTS |= {
+    "operating_cells": HELDOUT + " SELECT method, required_lead, budget, threshold, state FROM oc",
+    "heldout_ledger": HELDOUT + " SELECT * FROM hl",
+    "heldout_frontier": HELDOUT + """ SELECT method, budget, coalesce(max(required_lead) FILTER (WHERE h >= (0.1 - 1e-12) * e AND e > 0 AND f <= (budget + 1e-12) * x), 0.0) AS l_star
+FROM (SELECT method, budget, required_lead, sum(hits) AS h, sum(events) AS e, sum(false_proposals) AS f, sum(exposure) AS x FROM hl GROUP BY ALL) GROUP BY ALL""",
+}
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

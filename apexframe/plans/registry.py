@@ -19,6 +19,7 @@ from apexframe.operators import geometry as G
 from apexframe.operators import hazard as H
 from apexframe.operators import metrics as M
 from apexframe.operators import models as R
+from apexframe.operators import operating as O
 from apexframe.operators import policy as P
 from apexframe.operators import pooling as L
 from apexframe.operators import release as E
@@ -440,6 +441,41 @@ def _streamed(spark, d):
     return _alerts(closed.unionByName(S.drain(spark, checkpoint, 0.1, TIMELY)))
 
 
+@once
+def _two_methods(spark, d):
+    """Labels of the alerts as they come, and of the same six seconds late."""
+    plain = _labels(spark, d).withColumn("method", F.lit("plain"))
+    late = P.delayed(_labels(spark, d), [6.0]).drop("delay").withColumn("lead", F.round("effective_lead", 6)).drop("effective_lead")
+    late = late.join(_labels(spark, d).select(*UNIT, "threshold", "proposal_number", "matched_event_id"), [*UNIT, "threshold", "proposal_number"]).withColumn("method", F.lit("late"))
+    names = [*UNIT, "method", "threshold", "proposal_number", "matched_event_id", "lead", "localized_hit", "false_proposal", "unresolved_censored"]
+    return plain.select(*names).unionByName(late.select(*names))
+
+
+def _cars(spark, d, partition):
+    """Cars of a partition of fold C0, with events and exposure."""
+    cars = _loco(spark, d).where((F.col("fold_test_circuit") == "C0") & (F.col("partition") == partition)).select(*UNIT)
+    events = _events(spark, d).groupBy(*UNIT).agg(F.count_if("qualified").alias("events"))
+    exposure = _exposure(spark, d).select(*UNIT, F.col("prebuffer_seconds").alias("exposure"))
+    return cars.join(exposure, UNIT).join(events, UNIT, "left").withColumn("events", F.coalesce("events", F.lit(0)))
+
+
+@once
+def _operating_cells(spark, d):
+    """Chosen on the calibration cars of fold C0."""
+    return O.choose_cells(O.threshold_summary(_two_methods(spark, d), _cars(spark, d, "calibration"), LEADS, THRESHOLDS), BUDGETS, 4.0)
+
+
+@once
+def _heldout(spark, d):
+    cells = _operating_cells(spark, d)
+    return O.heldout_ledger(cells, O.seal(cells), _two_methods(spark, d), _cars(spark, d, "test"))
+
+
+def _heldout_frontier(spark, d):
+    ledger = _heldout(spark, d).withColumnRenamed("required_lead", "lead")
+    return L.l_star(ledger, ["method", "budget"], 0.1, F.col("budget"))
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -540,6 +576,9 @@ QUERIES = {
     "l_star": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1)),  # 108, 124
     "l_star_least_favorable": lambda s, d: L.l_star(_ledger(s, d), ["circuit"], 0.1, F.lit(0.1), F.col("false_proposals") + F.col("unresolved")),  # 109
     "warning_frontier": _frontier,  # 123
+    "operating_cells": _operating_cells,  # 104
+    "heldout_ledger": _heldout,  # 105
+    "heldout_frontier": _heldout_frontier,  # 105, 123
     "cohort_summary": _cohort,  # 125, 129
     "bootstrap_l_star": lambda s, d: _rounded(L.bootstrap_l_star(_ledger(s, d), L.hash_draws(_units(s, d), DRAWS, "w"), 0.1, 0.1), "mean", "low", "high"),  # 113, 114
     "paired_bootstrap": _paired,  # 115
@@ -575,6 +614,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled"
+    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled operating_cells heldout_ledger heldout_frontier"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
