@@ -461,6 +461,13 @@ _SELECTS |= {
     "heldout_frontier": HELDOUT + """ SELECT method, budget, coalesce(max(required_lead) FILTER (WHERE h >= (0.1 - 1e-12) * e AND e > 0 AND f <= (budget + 1e-12) * x), 0.0) AS l_star
 FROM (SELECT method, budget, required_lead, sum(hits) AS h, sum(events) AS e, sum(false_proposals) AS f, sum(exposure) AS x FROM hl GROUP BY ALL) GROUP BY ALL""",
 }
+#: Squares of each region: the larger boundary is the outer one.
+MAPS = """, mh AS (SELECT r_name AS circuit, r_regionkey AS key, role, a * (r_regionkey + 1.0::DOUBLE) + b AS h FROM region, (VALUES ('outer', 1.0::DOUBLE, 8.0::DOUBLE), ('inner', 0.5, 4.0), ('center', 0.75, 6.0)) v(role, a, b)),
+mg AS (SELECT circuit, key, role, i::INT AS idx, h, CASE WHEN i IN (0, 3) THEN -h ELSE h END AS ax, CASE WHEN i IN (0, 1) THEN -h ELSE h END AS ay, CASE WHEN i IN (0, 1) THEN h ELSE -h END AS bx, CASE WHEN i IN (1, 2) THEN h ELSE -h END AS by2, 2 * h AS len, 2 * h * i AS start
+  FROM mh, unnest(generate_series(0, 3)) AS g(i))"""
+_LOCATE = _SELECTS["corridor_locate"]
+_SELECTS["circuit_maps"] = MAPS + " SELECT circuit, role, idx, ax, ay, bx, by2 AS by, round(len, 6) AS length, round(start, 6) AS start FROM mg"
+_SELECTS["maps_locate"] = MAPS + _LOCATE.replace("FROM pts, rg)", "FROM pts JOIN mg ON mg.key = pts.id % 5)").replace("SELECT id, inside", "SELECT (SELECT r_name FROM region WHERE r_regionkey = id % 5) AS circuit, id, inside").replace(">= 60", ">= 8 * h.hc").replace("- 60", "- 8 * h.hc").replace("FROM h JOIN n", "FROM (SELECT h.*, 0.75 * (id % 5 + 1) + 6 AS hc FROM h) h JOIN n")
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

@@ -17,6 +17,7 @@ from apexframe.operators import features as V
 from apexframe.operators import forecast as C
 from apexframe.operators import geometry as G
 from apexframe.operators import hazard as H
+from apexframe.operators import map_index as I
 from apexframe.operators import metrics as M
 from apexframe.operators import models as R
 from apexframe.operators import operating as O
@@ -476,6 +477,23 @@ def _heldout_frontier(spark, d):
     return L.l_star(ledger, ["method", "budget"], 0.1, F.col("budget"))
 
 
+def _map_files(spark, d):
+    """(manifest, files): a circuit for each region, as squares whose size goes by its key, each ring a cloud of its own."""
+    r = table(spark, d, "region").select(F.col("r_name").alias("circuit"), (F.col("r_regionkey") + 1.0).alias("n"))
+    rings = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(file).alias("file"), (F.lit(a) * F.col("n") + F.lit(b)).alias("half")) for role, file, a, b in (("boundary", "one", 1.0, 8.0), ("boundary", "two", 0.5, 4.0), ("center", "line", 0.75, 6.0))))
+    corner = F.explode(F.array(*(F.struct(F.lit(i).alias("point"), F.lit(float(x)).alias("sx"), F.lit(float(y)).alias("sy")) for i, (x, y) in enumerate(G.square(1.0))))).alias("c")
+    p = r.select("circuit", F.explode(rings).alias("r")).select("circuit", "r.*", corner).select("circuit", "role", F.concat_ws("/", "circuit", "file").alias("path"), "c.point", (F.col("c.sx") * F.col("half")).alias("x"), (F.col("c.sy") * F.col("half")).alias("y"), F.lit(0.0).alias("z"))
+    files = maps.cloud_text(p, ["circuit", "role", "path"], "point")
+    manifest = files.select("circuit", "role", "path", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    return manifest, files.select("path", "text")
+
+
+def _on_maps(spark, d):
+    names = table(spark, d, "region").select(F.col("r_regionkey").cast("long").alias("key"), F.col("r_name").alias("circuit"))
+    points = _points(spark, d).withColumn("key", F.pmod("id", F.lit(5))).join(F.broadcast(names), "key").select("circuit", "id", "x", "y")
+    return _rounded(I.locate_on_maps(points, I.corridors(*_map_files(spark, d))), "clearance", "outside_depth", "arclength", "arclength_wrapped")
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -517,6 +535,8 @@ QUERIES = {
     "grid_acceleration": _acceleration,  # 20
     "signed_area": lambda s, d: _rounded(G.signed_area(G.rings_of(_points(s, d), "label", "id"), "label"), "area"),  # 22
     "corridor_locate": lambda s, d: _rounded(G.locate(_points(s, d), _rings(s)), "clearance", "outside_depth", "arclength", "arclength_wrapped"),  # 25-27
+    "circuit_maps": lambda s, d: _rounded(I.corridors(*_map_files(s, d)), "length", "start"),  # 6, 23
+    "maps_locate": _on_maps,  # 6, 25-27
     "segment_exit": lambda s, d: _rounded(G.first_exit(_points(s, d).select("id", (F.col("x") * 1.2).alias("x"), (F.col("y") * 1.2).alias("y"), (F.col("x") + F.col("z")).alias("x2"), (F.col("y") + F.col("w")).alias("y2")), _rings(s)), "fraction", "hit_x", "hit_y"),  # 28
     "track_features": lambda s, d: _rounded(G.track_features(_points(s, d), _rings(s).where("role = 'center'")), "offset", "heading", "curvature", "arclength"),  # 29
     "track_reference": lambda s, d: _rounded(G.sample_segment(_points(s, d), _rings(s), (F.col("id") % 4).cast("int")), "offset", "heading", "curvature"),  # 24, 55
