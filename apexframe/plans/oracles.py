@@ -468,6 +468,9 @@ mg AS (SELECT circuit, key, role, i::INT AS idx, h, CASE WHEN i IN (0, 3) THEN -
 _LOCATE = _SELECTS["corridor_locate"]
 _SELECTS["circuit_maps"] = MAPS + " SELECT circuit, role, idx, ax, ay, bx, by2 AS by, round(len, 6) AS length, round(start, 6) AS start FROM mg"
 _SELECTS["maps_locate"] = MAPS + _LOCATE.replace("FROM pts, rg)", "FROM pts JOIN mg ON mg.key = pts.id % 5)").replace("SELECT id, inside", "SELECT (SELECT r_name FROM region WHERE r_regionkey = id % 5) AS circuit, id, inside").replace(">= 60", ">= 8 * h.hc").replace("- 60", "- 8 * h.hc").replace("FROM h JOIN n", "FROM (SELECT h.*, 0.75 * (id % 5 + 1) + 6 AS hc FROM h) h JOIN n")
+_SELECTS["sealed_changes"] = """, su_ AS (SELECT user_id, user_id % 17 AS n, bool_or(event_id % 2 = 0) AS even FROM events GROUP BY user_id)
+SELECT user_id::VARCHAR AS name, CASE WHEN n = 5 THEN 'changed' ELSE 'removed' END AS state FROM su_ WHERE n IN (3, 7) OR n = 5 AND even
+UNION ALL SELECT (user_id + 1000000)::VARCHAR, 'added' FROM su_ WHERE n = 7"""
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

@@ -28,8 +28,8 @@ from apexframe.operators import residual as D
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, materialising, once, prob, scores, table, tele
-from apexframe.scratch import scratch_path
-from apexframe.sources import compact, maps
+from apexframe.scratch import scratch_path, stored
+from apexframe.sources import compact, maps, seals
 from apexframe.sources.integrity import unit_digests
 from apexframe.sources.tables import natural_key
 from apexframe.streaming import timed as S
@@ -494,6 +494,18 @@ def _on_maps(spark, d):
     return _rounded(I.locate_on_maps(points, I.corridors(*_map_files(spark, d))), "clearance", "outside_depth", "arclength", "arclength_wrapped")
 
 
+def _sealed(spark, d):
+    """Users' events sealed, then some users gone, some new and some with one event altered."""
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "props")
+    n = F.pmod("user_id", F.lit(17))
+    later = e.where(n != 3).withColumn("event_type", F.when((n == 5) & (F.pmod("event_id", F.lit(2)) == 0), "altered").otherwise(F.col("event_type")))
+    later = later.withColumn("user_id", F.when(n == 7, F.col("user_id") + 1_000_000).otherwise(F.col("user_id")))
+    items = [stored(unit_digests(x, ["user_id"], ["event_id", "event_type", "props"]).select(F.col("user_id").cast("string").alias("name"), "digest"), "digests") for x in (e, later)]
+    depth = max(1, seals.tree_depth(items[0].count()))
+    trees = [seals.seal_tree(x, depth) for x in items]
+    return seals.changed_items(*items, *trees, depth)
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -627,6 +639,7 @@ QUERIES = {
     "ledger_defects": lambda s, d: E.ledger_defects(_flawed_ledger(s, d), ["lead"]),  # 118
     "runtime_summary": _runtime,  # 126
     "grid_completeness": lambda s, d: E.grid_completeness(_flawed_cells(s, d), "circuit", {"lead": LEADS, "budget": BUDGETS}),  # 132
+    "sealed_changes": _sealed,  # 133, 134, 138
     "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
 }
 
