@@ -471,6 +471,29 @@ _SELECTS["maps_locate"] = MAPS + _LOCATE.replace("FROM pts, rg)", "FROM pts JOIN
 _SELECTS["sealed_changes"] = """, su_ AS (SELECT user_id, user_id % 17 AS n, bool_or(event_id % 2 = 0) AS even FROM events GROUP BY user_id)
 SELECT user_id::VARCHAR AS name, CASE WHEN n = 5 THEN 'changed' ELSE 'removed' END AS state FROM su_ WHERE n IN (3, 7) OR n = 5 AND even
 UNION ALL SELECT (user_id + 1000000)::VARCHAR, 'added' FROM su_ WHERE n = 7"""
+_PLATT = f", pt_x AS (SELECT 1 AS g, {_ODDS} AS x, count(*) AS n, sum(y) AS k FROM pb GROUP BY ALL)"
+_HALF = "vl + (al + r * vt) * 0.05 * 0.5", "vt + (at_ - r * vl) * 0.05 * 0.5"
+_SELECTS |= {
+    "platt_fit": _PLATT + newton("pt_f", "pt_x", ["g"], 0.0) + f" SELECT lang, round(avg({_after('p')}), 6) AS mean_calibrated, round(avg(y), 6) AS rate FROM pb, pt_f GROUP BY lang",
+    "calibration_line": _PLATT + newton("pt_f", "pt_x", ["g"], -50.0) + " SELECT n::BIGINT AS n, round(intercept, 5) AS intercept, round(slope, 5) AS slope FROM pt_f",
+    "transition_residuals": f""", tb AS (SELECT circuit, car_id, seg, frame_index, value / 10 AS vl, depth / 10 AS vt, (k - 50) / 500.0::DOUBLE AS r, depth / 5 AS al, (k - 50) / 50.0::DOUBLE AS at_ FROM tele),
+tn AS (SELECT *, lead(vl) OVER w AS n1, lead(vt) OVER w AS n2, lead(r) OVER w AS n3, lead(al) OVER w AS n4, lead(at_) OVER w AS n5 FROM tb WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index))
+SELECT circuit, car_id, frame_index, 0.05::DOUBLE AS dt, vl AS v_long, vt AS v_lat, r AS yaw_rate, al AS a_long, at_ AS a_lat, round(1e-9 + n1 - (vl + (al + r * ({_HALF[1]})) * 0.05), 6) AS d_v_long, round(1e-9 + n2 - (vt + (at_ - r * ({_HALF[0]})) * 0.05), 6) AS d_v_lat,
+  round(1e-9 + (n3 - r), 6) AS d_yaw_rate, round(1e-9 + (n4 - al), 6) AS d_a_long, round(1e-9 + (n5 - at_), 6) AS d_a_lat FROM tn WHERE n1 IS NOT NULL""",
+    "ridge_fit": """, rc AS (SELECT car_id, avg(x) AS x, avg(dt) AS d, avg(x * x) AS xx, avg(x * dt) AS xd, avg(dt * dt) AS dd, avg(residual) AS y, avg(x * residual) AS xy, avg(dt * residual) AS dy FROM rp GROUP BY car_id),
+rs AS (SELECT count(*)::DOUBLE AS n, sum(x) AS x, sum(d) AS d, sum(xx) + 1 AS xx, sum(xd) AS xd, sum(dd) + 1 AS dd, sum(y) AS y, sum(xy) AS xy, sum(dy) AS dy FROM rc),
+rd AS (SELECT n * (xx * dd - xd * xd) - x * (x * dd - xd * d) + d * (x * xd - xx * d) AS det, y * (xx * dd - xd * xd) - x * (xy * dd - xd * dy) + d * (xy * xd - xx * dy) AS b0,
+  n * (xy * dd - xd * dy) - y * (x * dd - xd * d) + d * (x * dy - xy * d) AS b1, n * (xx * dy - xy * xd) - x * (x * dy - xy * d) + y * (x * xd - xx * d) AS b2 FROM rs)
+SELECT circuit, car_id, frame_index, round((b0 + b1 * x + b2 * dt) / det, 4) AS prediction FROM rp, rd""",
+    "rate_upper": """, ru AS (SELECT circuit, lead, sum(false_proposals)::BIGINT AS n, sum(exposure) AS x FROM lg GROUP BY ALL),
+rb AS (SELECT circuit, lead, n, x, 0 AS i, n::DOUBLE AS lo, n + 20 * sqrt(n + 1) + 20 AS hi FROM ru
+  UNION ALL SELECT circuit, lead, n, x, i + 1, CASE WHEN above THEN mid ELSE lo END, CASE WHEN above THEN hi ELSE mid END FROM (
+    SELECT *, (lo + hi) / 2 AS mid, list_sum(list_transform(range(0, n + 1), lambda j: exp(-(lo + hi) / 2 + j * ln((lo + hi) / 2) - lgamma(j + 1)))) > 0.05 AS above FROM rb WHERE i < 80))
+SELECT circuit, lead, n AS false_proposals, round(x, 6) AS exposure, round(CASE WHEN x > 0 THEN (lo + hi) / 2 / x END, 6) AS rate_upper FROM rb WHERE i = 80""",
+    "manifest_states": """, ml AS (SELECT DISTINCT car_id, split_part(car_id, '_', 2)::BIGINT % 7 AS n FROM units)
+SELECT car_id AS path, CASE n WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'digest' WHEN 4 THEN 'duplicate' ELSE 'ok' END AS state FROM ml, unnest(CASE WHEN n = 4 THEN [0, 1] ELSE [0] END) AS t(again)""",
+    "published_tables": "SELECT c_custkey::BIGINT AS c_custkey, c_acctbal::DOUBLE AS c_acctbal, kind FROM customer, (VALUES ('parquet'), ('csv'), ('jsonl')) v(kind) WHERE c_mktsegment = 'BUILDING'",
+}
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

@@ -30,8 +30,8 @@ from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, materialising, once, prob, scores, table, tele
 from apexframe.scratch import scratch_path, stored
 from apexframe.sources import compact, maps, seals
-from apexframe.sources.integrity import unit_digests
-from apexframe.sources.tables import natural_key
+from apexframe.sources.integrity import unit_digests, validate_manifest
+from apexframe.sources.tables import natural_key, publish, read_table
 from apexframe.streaming import timed as S
 
 CONFIG = X.ExcursionConfig(gap_merge=12.0, min_depth=1.0, min_duration=6.0, min_lead_in=0.0, artifact=2.0, edge=12.0, exclude_truncated=False)
@@ -267,7 +267,7 @@ SEED = 20270927
 
 
 def _transitions(spark, d):
-    """Body states of the telemetry; a frame stands for one 20 Hz step."""
+    """Body states of the telemetry; a frame stands for one 20 Hz step. The query adds a nudge, as many values end in a five where they are rounded."""
     body = {"v_long": F.col("value") / 10, "v_lat": F.col("outside_depth_m") / 10, "yaw_rate": (F.col("k") - 50) / 500.0, "a_long": F.col("outside_depth_m") / 5, "a_lat": (F.col("k") - 50) / 50.0}
     return D.transition_residuals(tele(spark, d).withColumns(body), F.lit(0.05))
 
@@ -506,6 +506,29 @@ def _sealed(spark, d):
     return seals.changed_items(*items, *trees, depth)
 
 
+def _manifest_states(spark, d):
+    """A manifest of a file for each car, some of them gone, altered, of another size or listed twice, against the files."""
+    n = F.element_at(F.split("car_id", "_"), 2).cast("long") % 7
+    files = tele(spark, d).groupBy("car_id").agg(F.array_join(F.array_sort(F.collect_list(F.format_string("%06d %d", "frame_index", "k"))), "\n").alias("text"))
+    listed = files.withColumn("again", F.explode(F.when(n == 4, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    manifest = listed.select(F.col("car_id").alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    changed = F.when(n == 2, F.concat("text", F.lit("x"))).when(n == 3, F.concat(F.substring("text", 1, 1 << 30).substr(F.lit(2), F.length("text")), F.lit("x"))).otherwise(F.col("text"))
+    there = files.where(n != 1).select(F.col("car_id").alias("path"), changed.alias("text"))
+    return validate_manifest(manifest, there.select("path", F.octet_length("text").cast("long").alias("bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha256")))
+
+
+def _published(spark, d):
+    """Customers published in three formats and read back by name, with a filter and some of the columns."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), F.col("c_acctbal").cast("double").alias("c_acctbal"), "c_mktsegment")
+    found = []
+    for kind in ("parquet", "csv", "jsonl"):
+        path = f"{scratch_path(spark, 'published')}.{kind}"
+        publish(rows, path)
+        back = read_table(spark, path, "c_custkey long, c_acctbal double, c_mktsegment string" if kind != "parquet" else None, ["c_custkey", "c_acctbal"], "c_mktsegment = 'BUILDING'")
+        found.append(back.withColumn("kind", F.lit(kind)))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -575,7 +598,7 @@ QUERIES = {
     "cluster_sufficient_stats": _moments,  # 68
     "ridge_fit": _ridge,  # 70, 71
     "constant_turn_forecast": lambda s, d: _rounded(R.constant_turn_forecast(_states(s, d), 1.5, 6), "x", "y", "heading"),  # 61, 76
-    "transition_residuals": lambda s, d: _rounded(_transitions(s, d), *D.TARGETS),  # 60, 62
+    "transition_residuals": lambda s, d: _transitions(s, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in D.TARGETS}),  # 60, 62
     "ridge_loco": lambda s, d: _rounded(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
     "ridge_tuned": lambda s, d: _rounded(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
     "side_hazard": _side_hazard,  # 75
@@ -639,6 +662,8 @@ QUERIES = {
     "ledger_defects": lambda s, d: E.ledger_defects(_flawed_ledger(s, d), ["lead"]),  # 118
     "runtime_summary": _runtime,  # 126
     "grid_completeness": lambda s, d: E.grid_completeness(_flawed_cells(s, d), "circuit", {"lead": LEADS, "budget": BUDGETS}),  # 132
+    "manifest_states": _manifest_states,  # 3
+    "published_tables": _published,  # 7, 8, 9, 11
     "sealed_changes": _sealed,  # 133, 134, 138
     "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
 }
