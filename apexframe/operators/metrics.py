@@ -40,12 +40,41 @@ def expected_calibration_error(rows: DataFrame, group: str, n_bins: int = 10) ->
     return b.groupBy(group).agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.abs(F.col("mp") - F.col("my"))) / F.sum("n")).alias("ece"))
 
 
-def average_precision(rows: DataFrame, group: str) -> DataFrame:
-    """Step average precision at distinct scores; rows of a score are summed first, so the window is over scores."""
-    s = rows.groupBy(group, "p").agg(F.sum("y").alias("hits"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(group).orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    s = s.withColumn("precision", F.sum("hits").over(w) / F.sum("n").over(w))
-    return s.groupBy(group).agg(F.sum("hits").cast("long").alias("positives"), F.try_divide(F.sum(F.col("hits") * F.col("precision")), F.sum("hits")).alias("average_precision"))
+def _precision(at: DataFrame, by: list[str], score_ranges: int) -> DataFrame:
+    """(by, average_precision) from distinct scores (by, p, n, events); null without events.
+
+    Precision needs running sums over scores: they are taken inside ranges of the score, on top of the totals of the ranges above, so
+    no window holds a group whole.
+    """
+    hits = at.select(*by, "p", "n", "events", bin_of(F.col("p"), score_ranges).alias("range"))
+    totals = hits.groupBy(*by, "range").agg(F.sum("n").alias("n_above"), F.sum("events").alias("events_above"))
+    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*by, "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("n_above", "events_above")))
+    inside = Window.partitionBy(*by, "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hits = hits.withColumn("n_to", F.sum("n").over(inside)).withColumn("events_to", F.sum("events").over(inside)).alias("h")
+    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "range"]]
+    hits = hits.join(totals.alias("t"), same).select(*(f"h.{c}" for c in by), "events", ((F.col("events_above") + F.col("events_to")) / (F.col("n_above") + F.col("n_to"))).alias("precision"))
+    return hits.groupBy(*by).agg(F.try_divide(F.sum(F.col("events") * F.col("precision")), F.sum("events")).alias("average_precision"))
+
+
+def average_precision(rows: DataFrame, group: str, score_ranges: int = 1024) -> DataFrame:
+    """Step average precision at distinct scores within [0, 1]; rows of a score are summed first."""
+    at = rows.groupBy(group, "p").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("events"))
+    positives = at.groupBy(group).agg(F.sum("events").cast("long").alias("positives")).alias("a")
+    found = _precision(at, [group], score_ranges).alias("b")
+    return positives.join(found, F.col(f"a.{group}").eqNullSafe(F.col(f"b.{group}"))).select("a.*", "average_precision")
+
+
+def reliability_clusters(rows: DataFrame, units: list[str], n_bins: int = 10) -> DataFrame:
+    """(units, method, horizon, bin, n, probability_sum, events): dense, so that a car without evaluable rows in a bin has zeros there.
+
+    ``rows`` are those of :func:`apexframe.operators.calibration.horizon_rows`; every car, method and horizon among them has all bins.
+    """
+    keys = [*units, "method", "horizon"]
+    sums = rows.where("evaluable").groupBy(*keys, bin_of(F.col("p"), n_bins).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("probability_sum"), F.sum("y").alias("events"))
+    grid = rows.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return grid.join(sums, [*keys, "bin"], "left").select(*keys, "bin", zero("n").alias("n"), zero("probability_sum").alias("probability_sum"), zero("events").cast("long").alias("events"))
 
 
 def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, score_ranges: int = 1024, lines: bool = False) -> DataFrame:
@@ -56,8 +85,7 @@ def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, scor
     without reference error), log_score, ece, average_precision (null without events); scopes with no evaluable row are left out. With ``lines`` also the
     calibration_intercept and calibration_slope of every scope, all fitted at once (null where only one class occurs).
 
-    Rows shrink to distinct scores first, and everything follows from those. Precision needs running sums over scores: they
-    are taken inside ``score_ranges`` ranges of the score, on top of the totals of the ranges above, so no window holds a scope whole.
+    Rows shrink to distinct scores first, and everything follows from those.
     """
     ok, q = F.col("evaluable"), F.least(F.greatest("p", F.lit(1e-12)), F.lit(1 - 1e-12))
     square = lambda c: F.sum(F.when(ok, F.pow(F.col(c) - F.col("y"), 2)))
@@ -75,15 +103,7 @@ def evaluate(rows: DataFrame, keys: list[str], unit: str, n_bins: int = 10, scor
     gap = F.coalesce(F.abs(F.col("expected") - F.col("events")), F.lit(0.0))
     out = bins.groupBy(*by).agg(*(F.sum(c).alias(c) for c in sums), F.sum(gap).alias("gap")).where("n > 0")
 
-    hits = at.where("n > 0").select(*by, "p", "n", "events", bin_of(F.col("p"), score_ranges).alias("range"))
-    totals = hits.groupBy(*by, "range").agg(F.sum("n").alias("n_above"), F.sum("events").alias("events_above"))
-    above = Window.partitionBy(*by).orderBy(F.desc("range")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*by, "range", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("n_above", "events_above")))
-    inside = Window.partitionBy(*by, "range").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hits = hits.withColumn("n_to", F.sum("n").over(inside)).withColumn("events_to", F.sum("events").over(inside)).alias("h")
-    same = [F.col(f"h.{c}").eqNullSafe(F.col(f"t.{c}")) for c in [*by, "range"]]
-    hits = hits.join(totals.alias("t"), same).select(*(f"h.{c}" for c in by), "events", ((F.col("events_above") + F.col("events_to")) / (F.col("n_above") + F.col("n_to"))).alias("precision"))
-    ap = hits.groupBy(*by).agg(F.try_divide(F.sum(F.col("events") * F.col("precision")), F.sum("events")).alias("average_precision")).alias("a")
+    ap = _precision(at.where("n > 0"), by, score_ranges).alias("a")
 
     out = out.alias("o").join(ap, [F.col(f"o.{c}").eqNullSafe(F.col(f"a.{c}")) for c in by])
     n = F.col("n")

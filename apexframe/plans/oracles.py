@@ -409,6 +409,14 @@ SELECT circuit, car_id, frame_index, method, {", ".join(f"round({_AFTER[h]}, 6)
 hq AS (SELECT car_id, frame_index, ht.horizon, p, {_after("p")} AS q FROM ht JOIN hc ON hc.horizon = ht.horizon AND hc.method = 'hazard')
 SELECT circuit, car_id, frame_index, horizon, side, bin, round(CASE WHEN p > 0 THEN mass * q / p ELSE 0.0 END, 6) AS mass, round(1 - q, 6) AS h_no_exit FROM hazard JOIN hq USING (car_id, frame_index, horizon)""",
 }
+_SELECTS["car_reliability"] = CALIBRATORS + f""", rh AS (SELECT ms.circuit, car_id, ms.method, ho.horizon, {_after("q", "slope", "intercept")} AS p, coalesce(round(ttn, 6) <= ho.horizon + 1e-12 AND round(ttn, 6) >= -1e-12, FALSE)::INT AS y,
+    input_valid_causal AND in_corridor AND left_time + 1e-12 >= ho.horizon AS ok
+  FROM (SELECT *, unnest([6.0::DOUBLE, 12.0, 24.0]) AS horizon, unnest([raw_exit_probability_6p00s, raw_exit_probability_12p00s, raw_exit_probability_24p00s]) AS q FROM ms WHERE circuit = 'C0') ms
+    JOIN ho ON ho.horizon = ms.horizon JOIN hc ON hc.method = ms.method AND hc.horizon = ms.horizon JOIN nx USING (car_id, frame_index)
+    JOIN (SELECT car_id, frame_index, max(t) OVER (PARTITION BY car_id, seg) - t AS left_time FROM tele) USING (car_id, frame_index)),
+rg_ AS (SELECT DISTINCT circuit, car_id, method, horizon, b::INT AS bin FROM rh, unnest(range(0, 10)) AS g(b)),
+ra AS (SELECT car_id, method, horizon, least(CAST(floor(p * 10) AS INT), 9) AS bin, count(*) AS n, sum(p) AS s, sum(y) AS e FROM rh WHERE ok GROUP BY ALL)
+SELECT circuit, car_id, method, horizon, bin, coalesce(n, 0) AS n, round(coalesce(s, 0.0), 6) AS probability_sum, coalesce(e, 0)::BIGINT AS events FROM rg_ LEFT JOIN ra USING (car_id, method, horizon, bin)"""
 _LINES = _SELECTS["performance_evaluation"].rpartition("\nSELECT ev_ag.horizon")
 _SELECTS["evaluation_lines"] = f"""{_LINES[0]}, el_p AS (SELECT horizon, scope, u, {_ODDS} AS x, sum(n) AS n, sum(h) AS k FROM ev_ps GROUP BY ALL){newton("el", "el_p", ["horizon", "scope", "u"], -50.0)}
 SELECT horizon, scope, u AS lang, n::BIGINT AS n, e::BIGINT AS events, round(intercept, 5) AS calibration_intercept, round(slope, 5) AS calibration_slope FROM el"""

@@ -406,9 +406,19 @@ def _method_scores(spark, d):
 def _calibrators(spark, d):
     """Fits of the calibration cars of fold C0, for both hazards and three horizons."""
     scored = attach_partition(_method_scores(spark, d), _loco(spark, d), "C0", UNIT)
+    return B.fit_horizon_calibrators(scored, _targets(spark, d), KEY, list(HORIZON_STEPS))
+
+
+def _targets(spark, d):
     events = X.next_events(tele(spark, d), _events(spark, d)).select(*KEY, "next_event_id", "time_to_next")
-    targets = events.join(V.support_flags(tele(spark, d), list(HORIZON_STEPS)).drop("input_valid_causal"), KEY)
-    return B.fit_horizon_calibrators(scored, targets, KEY, list(HORIZON_STEPS))
+    return events.join(V.support_flags(tele(spark, d), list(HORIZON_STEPS)).drop("input_valid_causal"), KEY)
+
+
+def _car_reliability(spark, d):
+    """Cars of the test circuit C0, at the calibrated probabilities of both methods."""
+    scored = B.apply_horizon_calibrators(_method_scores(spark, d).where("circuit = 'C0'"), _calibrators(spark, d), list(HORIZON_STEPS))
+    rows = B.horizon_rows(scored, _targets(spark, d), KEY, list(HORIZON_STEPS), "exit_probability")
+    return _rounded(M.reliability_clusters(rows, UNIT), "probability_sum")
 
 
 def _calibrated_scores(spark, d):
@@ -652,6 +662,7 @@ QUERIES = {
     "horizon_calibrators": lambda s, d: _calibrators(s, d).drop("steps", "converged").withColumns({c: F.round(c, 5) for c in ("slope", "intercept")}),  # 87
     "calibrated_scores": _calibrated_scores,  # 89
     "calibrated_mass": _calibrated_mass,  # 86
+    "car_reliability": _car_reliability,  # 98
     "evaluation_lines": _lines,  # 92, 95
     "calibration_line": _calibration_line,  # 92
     "estimability": _cells,  # 104
@@ -672,6 +683,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled operating_cells heldout_ledger heldout_frontier"
+    "horizon_calibrators calibrated_scores calibrated_mass car_reliability alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled operating_cells heldout_ledger heldout_frontier"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}
