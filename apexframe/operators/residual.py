@@ -6,12 +6,14 @@ row of moments for each circuit or each draw, however many frames and cars there
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from apexframe.contracts import require_columns
 from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT
 
@@ -27,11 +29,11 @@ def midpoint_velocity(v_long, v_lat, rate, a_long, a_lat, dt):
     return v_long + (a_long + rate * half_lat) * dt, v_lat + (a_lat - rate * half_long) * dt, half_long, half_lat
 
 
-def transition_residuals(frames: DataFrame, dt: Column, order: str = "frame_index", keys: list[str] = UNIT, breaks: str = "continuous_segment_id") -> DataFrame:
+def transition_residuals(frames: DataFrame, dt: Column, order: str = "frame_index", keys: list[str] = UNIT, breaks: str = "continuous_segment_id", also: Sequence[str] = ()) -> DataFrame:
     """What the next frame of the same segment has beyond constant acceleration and turn rate.
 
     ``frames`` carries the body state (v_long, v_lat, yaw_rate, a_long, a_lat); ``dt`` may use lead columns
-    through :func:`step_of`. Last rows of a segment and rows with a null in either frame have no transition.
+    through :func:`step_of`. Last rows of a segment and rows with a null in either frame have no transition. Columns named in ``also`` are kept.
     """
     w = Window.partitionBy(*keys, breaks).orderBy(order)
     body = STATE[2:4] + STATE[5:]
@@ -40,10 +42,40 @@ def transition_residuals(frames: DataFrame, dt: Column, order: str = "frame_inde
         d = d.withColumn(f"next_{c}", F.lead(c).over(w))
     v_long, v_lat, _, _ = midpoint_velocity(*(F.col(c) for c in body), F.col("dt"))
     expected = [v_long, v_lat, F.col("yaw_rate"), F.col("a_long"), F.col("a_lat")]
-    d = d.select(*keys, order, "dt", *body, *((F.col(f"next_{c}") - e).alias(t) for t, c, e in zip(TARGETS, body, expected, strict=True)))
+    d = d.select(*keys, order, *also, "dt", *body, *((F.col(f"next_{c}") - e).alias(t) for t, c, e in zip(TARGETS, body, expected, strict=True)))
     return d.dropna(subset=["dt", *body, *TARGETS])
 
 
+#: The inputs of the residual model besides the step's length, in this order.
+DESIGN = ["v_long", "v_lat", "yaw_rate", "a_long", "a_lat", "heading_error", "offset", "curvature"]
+
+
+def residual_design(features: DataFrame, dt: Column, name: str = "design") -> DataFrame:
+    """``features`` with the inputs of the residual model as one array: DESIGN, then the step's length.
+
+    Features that aren't finite, and steps that aren't finite and positive, are an error.
+    """
+    require_columns(features, DESIGN)
+    finite = lambda c: ~F.isnan(c) & (F.abs(c) < float("inf"))
+    values = F.array(*(F.col(c).cast("double") for c in DESIGN), dt.cast("double"))
+    good = F.forall(values, lambda v: F.coalesce(finite(v), F.lit(False))) & (dt > 0)
+    return features.withColumn(name, F.when(F.coalesce(good, F.lit(False)), values).otherwise(F.raise_error(F.lit("a design needs finite features and a positive step")).cast("array<double>")))
+
+
+def training_pairs(features: DataFrame) -> DataFrame:
+    """(car, frame, dt, design, targets) of consecutive frames of a segment that are both valid and inside, some time apart.
+
+    ``features`` has DESIGN, time_seconds, input_valid_causal, in_corridor and continuous_segment_id; the targets are what the next frame has
+    beyond the constant-turn step.
+    """
+    w = Window.partitionBy(*UNIT, "continuous_segment_id").orderBy("frame_index")
+    usable = F.col("input_valid_causal") & F.col("in_corridor")
+    d = features.withColumns({"step": F.lead("time_seconds").over(w) - F.col("time_seconds"), "usable": usable, "next_usable": F.lead(usable).over(w)})
+    pairs = transition_residuals(d, F.col("step"), also=["usable", "next_usable", *(c for c in DESIGN if c not in STATE)])
+    pairs = pairs.where("usable and next_usable and dt > 0 and dt < double('Infinity')")
+    return residual_design(pairs, F.col("dt")).select(*UNIT, "frame_index", "dt", "design", F.array(*TARGETS).alias("targets"))
+
+
 def moments(rows: DataFrame, inputs: list[str], targets: list[str], keys: list[str] = UNIT) -> DataFrame:
     """(keys, n, moments): means of all products of z = (1, inputs, targets), upper triangle by rows."""
     z = [F.lit(1.0), *(F.col(c).cast("double") for c in [*inputs, *targets])]

@@ -502,6 +502,11 @@ SELECT circuit, lead, n AS false_proposals, round(x, 6) AS exposure, round(CASE
 SELECT car_id AS path, CASE n WHEN 1 THEN 'missing' WHEN 2 THEN 'size' WHEN 3 THEN 'digest' WHEN 4 THEN 'duplicate' ELSE 'ok' END AS state FROM ml, unnest(CASE WHEN n = 4 THEN [0, 1] ELSE [0] END) AS t(again)""",
     "published_tables": "SELECT c_custkey::BIGINT AS c_custkey, c_acctbal::DOUBLE AS c_acctbal, kind FROM customer, (VALUES ('parquet'), ('csv'), ('jsonl')) v(kind) WHERE c_mktsegment = 'BUILDING'",
 }
+_SELECTS["residual_training_pairs"] = f""", tb AS (SELECT circuit, car_id, seg, frame_index, t, value, k, arc, active AND pit = 0 AND in_corridor AS ok, value / 10 AS vl, depth / 10 AS vt, (k - 50) / 500.0::DOUBLE AS r, depth / 5 AS al, (k - 50) / 50.0::DOUBLE AS at_ FROM tele),
+tn AS (SELECT *, lead(t) OVER w - t AS dt, lead(ok) OVER w AS okn, lead(vl) OVER w AS n1, lead(vt) OVER w AS n2, lead(r) OVER w AS n3, lead(al) OVER w AS n4, lead(at_) OVER w AS n5 FROM tb WINDOW w AS (PARTITION BY car_id, seg ORDER BY frame_index))
+SELECT circuit, car_id, frame_index, {", ".join(f"round({v}, 6) AS x{i}" for i, v in enumerate(["vl", "vt", "r", "al", "at_", "k / 20.0::DOUBLE", "arc / 100", "value / 1000", "dt"]))},
+  round(1e-9 + (n1 - (vl + (al + r * ({_HALF[1].replace("0.05", "dt")})) * dt)), 6) AS d_v_long, round(1e-9 + (n2 - (vt + (at_ - r * ({_HALF[0].replace("0.05", "dt")})) * dt)), 6) AS d_v_lat,
+  round(1e-9 + (n3 - r), 6) AS d_yaw_rate, round(1e-9 + (n4 - al), 6) AS d_a_long, round(1e-9 + (n5 - at_), 6) AS d_a_lat FROM tn WHERE ok AND okn AND dt > 0"""
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

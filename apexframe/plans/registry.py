@@ -272,6 +272,16 @@ def _transitions(spark, d):
     return D.transition_residuals(tele(spark, d).withColumns(body), F.lit(0.05))
 
 
+def _training_pairs(spark, d):
+    """Pairs of the telemetry, with bodies as in the transitions; design and targets as columns of their own."""
+    t = tele(spark, d).withColumns({"v_long": F.col("value") / 10, "v_lat": F.col("outside_depth_m") / 10, "yaw_rate": (F.col("k") - 50) / 500.0, "a_long": F.col("outside_depth_m") / 5, "a_lat": (F.col("k") - 50) / 50.0,
+                                    "heading_error": F.col("k") / 20.0, "offset": F.col("centerline_arclength_wrapped_m") / 100, "curvature": F.col("value") / 1000, "input_valid_causal": F.col("active") & (F.col("pit_status") == 0)})
+    pairs = D.training_pairs(t)
+    design = {f"x{i}": F.round(F.col("design")[i], 6) for i in range(len(D.DESIGN) + 1)}
+    targets = {c: F.round(F.col("targets")[i] + 1e-9, 6) for i, c in enumerate(D.TARGETS)}
+    return pairs.withColumns(design | targets).select(*KEY, *design, *targets)
+
+
 def _bayesian_mean(spark, d):
     """Spread of the bootstrapped coefficients, by input and target."""
     m = D.fit_bayesian(_transitions(spark, d), BODY, 1.0, 256, SEED)
@@ -609,6 +619,7 @@ QUERIES = {
     "ridge_fit": _ridge,  # 70, 71
     "constant_turn_forecast": lambda s, d: _rounded(R.constant_turn_forecast(_states(s, d), 1.5, 6), "x", "y", "heading"),  # 61, 76
     "transition_residuals": lambda s, d: _transitions(s, d).withColumns({c: F.round(F.col(c) + 1e-9, 6) for c in D.TARGETS}),  # 60, 62
+    "residual_training_pairs": _training_pairs,  # 59, 60, 62
     "ridge_loco": lambda s, d: _rounded(D.select_ridge(_transitions(s, d), BODY, ALPHAS), "nll", "mean_nll"),  # 73
     "ridge_tuned": lambda s, d: _rounded(D.tune_ridge(_transitions(s, d), F.pmod(F.xxhash64(*UNIT), F.lit(5)) > 0, BODY, ALPHAS), "mse"),  # 74
     "side_hazard": _side_hazard,  # 75

@@ -156,3 +156,17 @@ def test_hazard_has_no_gradient_left(spark):
     assert np.abs(grad).max() < 1e-8
     out = H.horizon_probabilities(H.step_probabilities(d, ["a", "b"], w), {1.5: 30}).first()
     assert out["h_no_exit"] + out["h_left"] + out["h_right"] == pytest.approx(1)
+
+
+def test_training_pairs_need_two_good_frames_in_a_row(spark):
+    rows = [("c", "k", i, 0, float(t), ok, True, 10.0 + i, 0.5, 0.1, 0.2, 0.3, 0.0, 1.0, 0.01) for i, (t, ok) in enumerate([(0, True), (1, True), (2, False), (3, True), (3, True), (5, True)])]
+    names = "circuit string, car_id string, frame_index long, continuous_segment_id long, time_seconds double, input_valid_causal boolean, in_corridor boolean, " + ", ".join(f"{c} double" for c in D.DESIGN)
+    frames = spark.createDataFrame(rows, names)
+    got = {r.frame_index: r for r in D.training_pairs(frames).collect()}
+    assert set(got) == {0, 4} and got[0].design == [10.0, 0.5, 0.1, 0.2, 0.3, 0.0, 1.0, 0.01, 1.0] and got[4].dt == 2.0
+    half_lat = 0.5 + (0.3 - 0.1 * 10.0) * 0.5
+    assert got[0].targets[0] == pytest.approx(11.0 - (10.0 + (0.2 + 0.1 * half_lat))) and got[0].targets[2] == 0
+    with pytest.raises(PySparkException):
+        D.residual_design(frames, F.lit(0.0)).collect()
+    with pytest.raises(PySparkException):
+        D.residual_design(frames.withColumn("offset", F.lit(float("nan"))), F.lit(1.0)).collect()
