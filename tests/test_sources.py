@@ -7,6 +7,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from apexframe import scratch
 from apexframe.contracts import DataValidationError
 from apexframe.sources import compact, maps, tables
 
@@ -118,3 +119,11 @@ def test_natural_order(spark):
     names = ["car_10", "car_9", "zoo", "bus_1", "car_"]
     d = spark.createDataFrame([(n,) for n in names], "n string").orderBy(tables.natural_key(F.col("n")))
     assert [r.n for r in d.collect()] == ["bus_1", "car_9", "car_10", "car_", "zoo"]
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    kept = scratch.stored(spark.range(3), "t")
+    assert kept.count() == 3 and scratch.clear(spark) and not scratch.clear(spark)
+    with pytest.raises(Exception):  # noqa: B017
+        kept.count()
+    assert scratch.stored(spark.range(2), "t").count() == 2
