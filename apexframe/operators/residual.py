@@ -6,8 +6,10 @@ row of moments for each circuit or each draw, however many frames and cars there
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -145,6 +147,43 @@ def solve_ridge(packed, n_inputs: int, n_targets: int, clusters: int, alpha: flo
     return b, (vectors * np.maximum(values, 0)) @ vectors.T + 1e-9 * np.eye(n_targets)
 
 
+def _linear(model: ResidualModel, beta: Callable[[int, int], Column], target: int) -> Column:
+    """Target number ``target`` of the inputs at coefficients ``beta(input, target)`` on unscaled inputs, the intercept being input 0."""
+    z = [F.lit(1.0), *(F.col(c).cast("double") for c in model.inputs)]
+    return reduce(lambda a, b: a + b, (beta(i, target) * x for i, x in enumerate(z)))
+
+
+def predict_mean(rows: DataFrame, model: ResidualModel, targets: list[str] = TARGETS, prefix: str = "mean_") -> DataFrame:
+    """``rows`` with the residual that the draws give on average, a column for each target; nulls where an input is null."""
+    beta = _scaling(model.center, model.scale) @ model.coefficients.mean(0)
+    return rows.withColumns({f"{prefix}{t}": _linear(model, lambda i, j: F.lit(float(beta[i, j])), k) for k, t in enumerate(targets)})
+
+
+def _normal(*key) -> Column:
+    """A standard normal number that depends on the key alone."""
+    angle = F.pmod(F.xxhash64(F.lit("angle"), *key), F.lit(1 << 52)).cast("double") / float(1 << 52)
+    return F.sqrt(2 * _exponential(F.lit("radius"), *key)) * F.cos(2 * math.pi * angle)
+
+
+def sample_residuals(rows: DataFrame, model: ResidualModel, keys: list[str], draws: int, seed: int, targets: list[str] = TARGETS) -> DataFrame:
+    """A row for each of ``rows`` and draw: residuals of the draw's coefficients and noise of its covariance, a column for each target.
+
+    Draws beyond the model's begin again with its first. Numbers come from hashes of (seed, keys, draw, target), so they don't depend on how rows are
+    partitioned and a lost task draws them alike. The model's draws are broadcast: a small matrix each.
+    """
+    t, size = _scaling(model.center, model.scale), len(model.coefficients)
+    roots = []
+    for c in model.covariance:
+        values, vectors = np.linalg.eigh((c + c.T) / 2)
+        roots.append(vectors * np.sqrt(np.maximum(values, 0)))
+    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __root array<array<double>>")
+    d = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
+    d = d.withColumn("__noise", F.array(*(_normal(F.lit(seed), *keys, "draw", F.lit(k)) for k in range(len(targets)))))
+    noise = lambda k: reduce(lambda a, b: a + b, (F.col("__root")[k][j] * F.col("__noise")[j] for j in range(len(targets))))
+    out = {name: _linear(model, lambda i, j: F.col("__beta")[i][j], k) + noise(k) for k, name in enumerate(targets)}
+    return d.select(*keys, "draw", *(c.alias(n) for n, c in out.items()))
+
+
 def _quartiles(rows: DataFrame, inputs: list[str], groups: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Median and interquartile range (1 where it is 0) of the inputs over the rows of each condition, all at once."""
     each = F.array(*(F.when(g, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(c).cast("double").alias("v"))) for i, g in enumerate(groups) for j, c in enumerate(inputs)))

@@ -290,6 +290,14 @@ def _bayesian_mean(spark, d):
     return _rounded(spark.createDataFrame(rows, "input string, target string, mean double, spread double"), "mean", "spread")
 
 
+def _residual_samples(spark, d):
+    """Four draws of the residuals of every transition, beside their mean."""
+    rows = _transitions(spark, d)
+    model = D.fit_bayesian(rows, BODY, 1.0, 64, SEED)
+    means = D.predict_mean(rows, model).select(*KEY, *(f"mean_{t}" for t in D.TARGETS))
+    return _rounded(D.sample_residuals(rows, model, KEY, 4, SEED).join(means, KEY), *D.TARGETS, *(f"mean_{t}" for t in D.TARGETS))
+
+
 def _side_hazard(spark, d):
     key = [*UNIT, "frame_index"]
     t = tele(spark, d).select(*key, (F.col("value") / 100).alias("level"), (F.col("k") / 100.0).alias("place"))
@@ -626,6 +634,7 @@ QUERIES = {
     "constant_velocity_exits": lambda s, d: _exits(s, d, False),  # 76
     "constant_turn_exits": lambda s, d: _exits(s, d, True),  # 76
     "bayesian_residual": _bayesian_mean,  # 69, 72
+    "residual_samples": _residual_samples,  # 71, 72
     "rate_upper": _rate_upper,  # 94
     "neighborhood_candidates": lambda s, d: _rounded(P.neighborhood_candidates(_mass(s, d)), "score"),  # 81
     "platt_fit": _fitted,  # 85, 87

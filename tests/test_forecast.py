@@ -170,3 +170,20 @@ def test_training_pairs_need_two_good_frames_in_a_row(spark):
         D.residual_design(frames, F.lit(0.0)).collect()
     with pytest.raises(PySparkException):
         D.residual_design(frames.withColumn("offset", F.lit(float("nan"))), F.lit(1.0)).collect()
+
+
+def test_means_and_samples_of_residuals(spark):
+    rng = np.random.default_rng(3)
+    model = D.ResidualModel(("a", "b"), np.array([1.0, -2.0]), np.array([2.0, 0.5]), rng.normal(size=(3, 3, 2)), np.stack([np.array([[0.04, 0.01], [0.01, 0.09]])] * 3))
+    rows = spark.createDataFrame([(i, float(i % 7), float(i % 3)) for i in range(400)], "id long, a double, b double")
+    x = np.array([(1.0, (r.a - 1) / 2, (r.b + 2) / 0.5) for r in rows.collect()])
+    got = D.predict_mean(rows, model, ["s", "t"]).orderBy("id").toPandas()
+    assert got[["mean_s", "mean_t"]].to_numpy() == pytest.approx(x @ model.coefficients.mean(0))
+    sampled = D.sample_residuals(rows, model, ["id"], 6, 5, ["s", "t"])
+    again = D.sample_residuals(rows.repartition(5), model, ["id"], 6, 5, ["s", "t"])
+    assert sorted(map(tuple, sampled.collect())) == sorted(map(tuple, again.collect()))
+    d = sampled.orderBy("draw", "id").toPandas()
+    left = d[["s", "t"]].to_numpy() - np.concatenate([x @ model.coefficients[k % 3] for k in range(6)])
+    assert np.cov(left.T) == pytest.approx(model.covariance[0], abs=0.012) and np.abs(left.mean(0)).max() < 0.025
+    calm = D.sample_residuals(rows, model.twin(), ["id"], 1, 5, ["s", "t"]).orderBy("id").toPandas()
+    assert calm[["s", "t"]].to_numpy() == pytest.approx(x @ model.coefficients.mean(0))
