@@ -90,11 +90,11 @@ def circular_distance(a: Column, b: Column, n: Column) -> Column:
     return F.least(d, n - d)
 
 
-def hazard_bin(arclength: Column, speed: Column, horizon: float, track: float, width: float) -> Column:
+def hazard_bin(arclength: Column, speed: Column, horizon: float, track: float | Column, width: float) -> Column:
     """The bin half a horizon ahead on a closed track."""
-    bins = math.ceil(track / width)
+    bins = F.ceil(F.lit(track) / width)
     ahead = F.pmod(arclength + F.greatest(speed, F.lit(0.0)) * (horizon / 2), F.lit(track))
-    return F.pmod(F.floor(ahead / width), F.lit(bins)).cast("long")
+    return F.pmod(F.floor(ahead / width), bins).cast("long")
 
 
 def loco_splits(units: DataFrame, fraction: float, seed: int, salt: str) -> DataFrame:

@@ -42,17 +42,26 @@ def constant_paths(states: DataFrame, horizon: float, turns: bool, dt: float = S
     return d.select("id", "step", (F.col("x2") - F.col("mx")).alias("x"), (F.col("y2") - F.col("my")).alias("y"), "x2", "y2")
 
 
-def path_exits(states: DataFrame, paths: DataFrame, segments: DataFrame, horizons: list[float], segment: float, dt: float = STEP) -> DataFrame:
-    """(id, horizon, side, bin, exit_time): where each state has left by the horizon; side ``none`` and nulls where it hasn't.
+def first_exits(paths: DataFrame, segments: DataFrame, segment: float, dt: float = STEP) -> DataFrame:
+    """(id, exit_time, exit_side, exit_bin): where each path of moves (id, step, x, y, x2, y2) first leaves; paths that stay are left out.
 
-    The side and the bin (of ``segment`` metres along the centre line) are those of the exit point. States without a path have null in all but the horizon.
+    The side and the bin (of ``segment`` metres along the centre line) are those of the exit point. If the segments have circuits, so have the paths.
     """
-    moves = paths.withColumn("id", F.struct("id", "step"))
-    found = first_exit(moves, segments).select(F.col("id.id").alias("id"), ((F.col("id.step") - 1 + F.col("fraction")) * dt).alias("exit_time"), F.col("hit_x").alias("x"), F.col("hit_y").alias("y"))
-    first = found.groupBy("id").agg(F.min(F.struct("exit_time", "x", "y")).alias("e")).select("id", "e.*")
+    of = ["circuit"] if "circuit" in segments.columns else []
+    moves = paths.withColumn("id", F.struct("id", "step", *of))
+    found = first_exit(moves, segments).select(F.col("id.id").alias("id"), *(F.col(f"id.{c}").alias(c) for c in of), ((F.col("id.step") - 1 + F.col("fraction")) * dt).alias("exit_time"), F.col("hit_x").alias("x"), F.col("hit_y").alias("y"))
+    first = found.groupBy("id", *of).agg(F.min(F.struct("exit_time", "x", "y")).alias("e")).select("id", *of, "e.*")
     placed = locate(first.withColumn("id", F.struct("id", "exit_time")), segments)
     side = F.when(F.col("local_side") == "center", "unknown").otherwise(F.col("local_side"))
-    exits = placed.select(F.col("id.id").alias("id"), F.col("id.exit_time").alias("exit_time"), side.alias("exit_side"), F.floor(F.col("arclength_wrapped") / segment).alias("exit_bin"))
+    return placed.select(F.col("id.id").alias("id"), F.col("id.exit_time").alias("exit_time"), side.alias("exit_side"), F.floor(F.col("arclength_wrapped") / segment).alias("exit_bin"))
+
+
+def path_exits(states: DataFrame, paths: DataFrame, segments: DataFrame, horizons: list[float], segment: float, dt: float = STEP) -> DataFrame:
+    """(id, horizon, side, bin, exit_time): where each state has left by the horizon; side ``none`` and nulls where it hasn't.
+
+    The side and the bin are those of :func:`first_exits`. States without a path have null in all but the horizon.
+    """
+    exits = first_exits(paths, segments, segment, dt)
     has_path = paths.select("id").distinct().withColumn("moves", F.lit(True))
     d = states.select("id").join(has_path, "id", "left").join(exits, "id", "left").select("*", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
     gone = F.col("exit_time") <= F.col("horizon") + 1e-12

@@ -48,7 +48,7 @@ def corridor_roles(segments: DataFrame, key: str = "role") -> DataFrame:
 
 def tangents(segments: DataFrame) -> DataFrame:
     """The sides with unit tangent, heading, and curvature: the turn to the next side over the mean of both lengths."""
-    w = Window.partitionBy("role").orderBy("idx")
+    w = Window.partitionBy(*(c for c in ("circuit", "role") if c in segments.columns)).orderBy("idx")
     following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
     d = segments.withColumns({"tx": (F.col("bx") - F.col("ax")) / F.col("length"), "ty": (F.col("by") - F.col("ay")) / F.col("length")})
     d = d.withColumn("heading", F.atan2("ty", "tx"))
@@ -61,10 +61,17 @@ def tangents(segments: DataFrame) -> DataFrame:
 
 
 def _with_map(points: DataFrame, segments: DataFrame, *roles: str) -> DataFrame:
-    """The rows with the map's sides as one array column for each role: the map is one row, so nothing is shuffled and no row multiplies."""
+    """The rows with the map's sides as one array column for each role: the map is one row, so nothing is shuffled and no row multiplies.
+
+    Segments with a circuit are a row for each circuit, and the points carry theirs; one without a map is an error.
+    """
     side = F.struct("idx", "ax", "ay", "bx", "by", "length", "start", *(c for c in ("tx", "ty", "heading", "curvature") if c in segments.columns))
-    one = segments.agg(*(F.array_sort(F.collect_list(F.when(F.col("role") == r, side))).alias(f"__{r}") for r in roles))
-    return points.join(F.broadcast(one))
+    sides = [F.array_sort(F.collect_list(F.when(F.col("role") == r, side))).alias(f"__{r}") for r in roles]
+    if "circuit" not in segments.columns:
+        return points.join(F.broadcast(segments.agg(*sides)))
+    d = points.join(F.broadcast(segments.groupBy("circuit").agg(*sides)), "circuit", "left")
+    told = F.raise_error(F.lit("a circuit has no map"))
+    return d.withColumns({f"__{r}": F.coalesce(f"__{r}", told.cast(d.schema[f"__{r}"].dataType)) for r in roles})
 
 
 def _along(s: Column, x: Column, y: Column) -> Column:
@@ -155,6 +162,13 @@ def _hits(sides: Column, x: Column, y: Column, x2: Column, y2: Column) -> Column
     return F.flatten(F.transform(sides, of))
 
 
+def _beside(sides: Column, x: Column, y: Column, x2: Column, y2: Column) -> Column:
+    """Whether the move's box touches that of a side, with room to spare; a move that touches none meets none."""
+    room = 1e-6 * (1 + F.greatest(F.abs(x), F.abs(y), F.abs(x2), F.abs(y2)))
+    apart = lambda a, b, c, d: (F.greatest(a, b) + room < F.least(c, d)) | (F.greatest(c, d) + room < F.least(a, b))
+    return F.exists(sides, lambda s: ~apart(x, x2, s.ax, s.bx) & ~apart(y, y2, s.ay, s.by))
+
+
 def first_exit(moves: DataFrame, segments: DataFrame, tolerance: float = 1e-7) -> DataFrame:
     """Where the moves (id, x, y, x2, y2) that start in the corridor and aren't wholly covered by it first meet its boundary: fraction and point.
 
@@ -163,6 +177,7 @@ def first_exit(moves: DataFrame, segments: DataFrame, tolerance: float = 1e-7) -
     """
     x, y, x2, y2 = (F.col(c) for c in ("x", "y", "x2", "y2"))
     d = _with_map(moves, segments, "outer", "inner")
+    d = d.where(_beside(F.col("__outer"), x, y, x2, y2) | _beside(F.col("__inner"), x, y, x2, y2))
     d = d.where(_covered(F.col("__outer"), F.col("__inner"), x, y, tolerance) & ((x != x2) | (y != y2)))
     d = d.withColumn("hits", F.array_sort(F.array_distinct(F.transform(F.concat(_hits(F.col("__outer"), x, y, x2, y2), _hits(F.col("__inner"), x, y, x2, y2)), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))))))
     cuts = F.array_sort(F.array_distinct(F.concat("hits", F.array(F.lit(0.0), F.lit(1.0)))))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from apexframe.contracts import DataValidationError
+from apexframe.contracts import DataValidationError, join_matched
 from apexframe.operators.features import circular_distance
 from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT, ahead
@@ -206,6 +206,19 @@ def label_proposals(proposals: DataFrame, events: DataFrame, horizon: float, tol
     )
 
 
+def with_exact_bin(labels: DataFrame, proposals: DataFrame, events: DataFrame) -> DataFrame:
+    """Labels with the side and bin of the matched event and whether the proposal named that very bin, whatever its side; false and nulls without a match.
+
+    Every label needs its proposal, and every matched id exactly one qualified event; anything else is an error.
+    """
+    known = events.where("qualified").select(F.col("candidate_event_id").alias("matched_event_id"), F.col("side_at_onset").alias("matched_side_at_onset"), F.col("segment_bin_at_onset").alias("matched_segment_bin"))
+    key = [*UNIT, "threshold", "proposal_number"]
+    d = join_matched(labels, proposals.select(*key, "predicted_bin"), key)
+    found = join_matched(d.where("matched_event_id is not null"), known, ["matched_event_id"], many=True)
+    d = found.unionByName(d.where("matched_event_id is null"), allowMissingColumns=True)
+    return d.withColumn("exact_bin", F.coalesce(F.col("predicted_bin") == F.col("matched_segment_bin"), F.lit(False))).drop("predicted_bin")
+
+
 def delayed(labels: DataFrame, delays: list[float]) -> DataFrame:
     """Labels under added latency: a hit whose lead no longer suffices turns false; unresolved ones stay."""
     d = labels.select("*", F.explode(F.array(*map(F.lit, delays))).alias("delay"))

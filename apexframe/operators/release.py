@@ -14,7 +14,7 @@ from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT
 
 
-def hazard_mass(rows: DataFrame, keys: list[str], arclength: str, speed: str, horizons: list[float], track: float, width: float, scale: float = 1.0) -> DataFrame:
+def hazard_mass(rows: DataFrame, keys: list[str], arclength: str, speed: str, horizons: list[float], track: float | Column, width: float, scale: float = 1.0) -> DataFrame:
     """(keys, horizon, side, bin, mass): each side's whole mass at the bin reached half a horizon ahead.
 
     ``rows`` are those of :func:`apexframe.operators.hazard.horizon_probabilities`; ``scale`` turns a horizon into the speed's unit of time.
@@ -24,7 +24,7 @@ def hazard_mass(rows: DataFrame, keys: list[str], arclength: str, speed: str, ho
     return rows.select(*keys, "horizon", bins.alias("bin"), F.explode(both).alias("x")).select(*keys, "horizon", "x.side", "bin", "x.mass")
 
 
-def compact_forecast(mass: DataFrame, keys: DataFrame, on: list[str], horizons: list[float], primary: float, n_bins: int, method: str, radius: int = 1) -> DataFrame:
+def compact_forecast(mass: DataFrame, keys: DataFrame, on: list[str], horizons: list[float], primary: float, n_bins: int | Column, method: str, radius: int = 1) -> DataFrame:
     """Score keys with the exit probability at each horizon and the best neighbourhood at the primary one.
 
     A key without mass has probability 0 and no candidate. A column that tells the future is an error.
@@ -116,6 +116,48 @@ def runtime_summary(log: DataFrame, stage: str, rows: str, seconds: str) -> Data
     return d.select(stage, "entries", "rows", "seconds", F.try_divide("rows", "seconds").alias("rows_per_second"))
 
 
+def kinematic_diagnostics(frames: DataFrame, keys: list[str], velocity: list[Column], forward: list[Column], acceleration: list[Column], derived: list[Column], fastest: float = 10.0, strongest: float = 0.5) -> DataFrame:
+    """How well directions and accelerations of the frames agree, a row for each key.
+
+    Alignment: the cosine between velocity and forward axis where both are finite, the speed is above ``fastest`` and the axis isn't zero. Error: the length
+    of acceleration minus derived acceleration where both are finite; their cosine where both are longer than ``strongest``. Quantiles are exact;
+    a key without usable rows has counts of zero and nulls.
+    """
+    dot = lambda a, b: reduce(lambda x, y: x + y, (i * j for i, j in zip(a, b, strict=True)))
+    norm = lambda a: F.sqrt(dot(a, a))
+    finite = lambda *vectors: reduce(lambda x, y: x & y, (c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for v in vectors for c in v))
+    cosine = lambda a, b: dot(a, b) / (norm(a) * norm(b))
+    usable = finite(acceleration, derived)
+    gap = [a - b for a, b in zip(acceleration, derived, strict=True)]
+    measures = {
+        "alignment": F.when(finite(velocity, forward) & (norm(velocity) > fastest) & (norm(forward) > 0), cosine(velocity, forward)),
+        "error": F.when(usable, norm(gap)),
+        "cosine": F.when(usable & (norm(acceleration) > strongest) & (norm(derived) > strongest), cosine(acceleration, derived)),
+    }
+    long = frames.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), c.alias("v")) for m, c in measures.items()))).alias("x")).select(*keys, "x.*")
+    q = exact_quantiles(long, [*keys, "measure"], "v", [0.01, 0.5, 0.95])
+    of = lambda m, c: F.max(F.when(F.col("measure") == m, c))
+    found = q.groupBy(*keys).agg(
+        *(of(m, F.col("n")).alias(f"{m}_count") for m in measures), of("alignment", F.col("quantiles")[1]).alias("alignment_median"), of("alignment", F.col("quantiles")[0]).alias("alignment_p01"),
+        of("error", F.col("quantiles")[1]).alias("error_median"), of("error", F.col("quantiles")[2]).alias("error_p95"), of("cosine", F.col("quantiles")[1]).alias("cosine_median"),
+    )
+    return frames.select(*keys).distinct().join(found, keys, "left").fillna(0, [f"{m}_count" for m in measures])
+
+
+def segment_bins(segments: DataFrame, width: float = 25.0) -> DataFrame:
+    """(circuit, track_length, sides, n_bins, bin, low, high): the bins of each circuit's centre line; the last one ends where the lap does.
+
+    A lap within a hundred-thousandth of a whole number of bins has no sliver as its last bin.
+    """
+    lap = segments.where("role = 'center'").groupBy("circuit").agg(F.sum("length").alias("track_length"), F.count(F.lit(1)).alias("sides"))
+    last = F.ceil(F.col("track_length") / width) - 1
+    sliver = F.abs(F.col("track_length") - last * width) <= 1e-8 + 1e-5 * F.col("track_length")
+    d = lap.withColumn("n_bins", F.greatest(F.lit(1), F.when(sliver, last).otherwise(last + 1)).cast("int"))
+    d = d.select("*", F.explode(F.sequence(F.lit(0), F.col("n_bins") - 1)).alias("bin"))
+    high = F.when((F.col("bin") == F.col("n_bins") - 1) & ~sliver, F.col("track_length")).otherwise((F.col("bin") + 1) * width)
+    return d.select("*", (F.col("bin") * width).alias("low"), high.alias("high"))
+
+
 def travel_direction(frames: DataFrame, keys: list[str], forward: tuple[Column, Column], tangent: tuple[Column, Column], speed: Column, slowest: float = 10.0) -> DataFrame:
     """Whether cars move along the map's order of points: the median, 1st percentile and positive share of heading times tangent.
 

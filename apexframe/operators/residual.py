@@ -165,19 +165,23 @@ def _normal(*key) -> Column:
     return F.sqrt(2 * _exponential(F.lit("radius"), *key)) * F.cos(2 * math.pi * angle)
 
 
+def with_draws(rows: DataFrame, model: ResidualModel, draws: int) -> DataFrame:
+    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``) and a root of its covariance (``__root``)."""
+    t, size, roots = _scaling(model.center, model.scale), len(model.coefficients), []
+    for c in model.covariance:
+        values, vectors = np.linalg.eigh((c + c.T) / 2)
+        roots.append(vectors * np.sqrt(np.maximum(values, 0)))
+    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __root array<array<double>>")
+    return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
+
+
 def sample_residuals(rows: DataFrame, model: ResidualModel, keys: list[str], draws: int, seed: int, targets: list[str] = TARGETS) -> DataFrame:
     """A row for each of ``rows`` and draw: residuals of the draw's coefficients and noise of its covariance, a column for each target.
 
     Draws beyond the model's begin again with its first. Numbers come from hashes of (seed, keys, draw, target), so they don't depend on how rows are
     partitioned and a lost task draws them alike. The model's draws are broadcast: a small matrix each.
     """
-    t, size = _scaling(model.center, model.scale), len(model.coefficients)
-    roots = []
-    for c in model.covariance:
-        values, vectors = np.linalg.eigh((c + c.T) / 2)
-        roots.append(vectors * np.sqrt(np.maximum(values, 0)))
-    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __root array<array<double>>")
-    d = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
+    d = with_draws(rows, model, draws)
     d = d.withColumn("__noise", F.array(*(_normal(F.lit(seed), *keys, "draw", F.lit(k)) for k in range(len(targets)))))
     noise = lambda k: reduce(lambda a, b: a + b, (F.col("__root")[k][j] * F.col("__noise")[j] for j in range(len(targets))))
     out = {name: _linear(model, lambda i, j: F.col("__beta")[i][j], k) + noise(k) for k, name in enumerate(targets)}
@@ -235,18 +239,25 @@ def select_ridge(rows: DataFrame, inputs: list[str], alphas: list[float], target
     return rows.sparkSession.createDataFrame([(a, c, x, means[a], a == float(best)) for a, c, x in out], "alpha double, validation_circuit string, nll double, mean_nll double, selected boolean")
 
 
-def tune_ridge(rows: DataFrame, fit: Column, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS) -> DataFrame:
-    """(alpha, mse, selected): unweighted ridge on the rows in ``fit``, squared error on the others; ties go to the smaller alpha."""
+def fit_tuned(rows: DataFrame, fit: Column, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS) -> tuple[ResidualModel, float, dict[float, float]]:
+    """Unweighted ridge on the rows in ``fit``, without noise, at the alpha of the least squared error on the others (ties: the smaller); that alpha; and all errors."""
     size, k, p = 1 + len(inputs) + len(targets), len(inputs), len(targets)
     d = rows.withColumn("in_fit", F.coalesce(fit, F.lit(False)))
     got = {r["in_fit"]: r for r in moments(d, inputs, targets, ["in_fit"]).collect()}
     if len(got) < 2:
         raise ValueError("tuning needs rows to fit on and rows to validate on")
     center, scale = _quartiles(d, inputs, [F.col("in_fit")])[0]
-    v, t, mse = _square(got[False]["moments"], size), _scaling(center, scale), {}
+    v, t, mse, fits = _square(got[False]["moments"], size), _scaling(center, scale), {}, {}
     for alpha in alphas:
-        b = t @ solve_ridge(got[True]["moments"], k, p, got[True]["n"], alpha, center, scale)[0]
+        fits[alpha] = solve_ridge(got[True]["moments"], k, p, got[True]["n"], alpha, center, scale)[0]
+        b = t @ fits[alpha]
         m = v[: k + 1, k + 1 :]
         mse[alpha] = float(np.trace(v[k + 1 :, k + 1 :] - b.T @ m - m.T @ b + b.T @ v[: k + 1, : k + 1] @ b) / p)
     best = min(alphas, key=lambda a: (mse[a], a))
+    return ResidualModel(tuple(inputs), center, scale, fits[best][None], np.zeros((1, p, p))), float(best), mse
+
+
+def tune_ridge(rows: DataFrame, fit: Column, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS) -> DataFrame:
+    """(alpha, mse, selected) of :func:`fit_tuned`."""
+    _, best, mse = fit_tuned(rows, fit, inputs, alphas, targets)
     return rows.sparkSession.createDataFrame([(float(a), e, a == best) for a, e in mse.items()], "alpha double, mse double, selected boolean")

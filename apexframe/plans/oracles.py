@@ -507,6 +507,24 @@ tn AS (SELECT *, lead(t) OVER w - t AS dt, lead(ok) OVER w AS okn, lead(vl) OVER
 SELECT circuit, car_id, frame_index, {", ".join(f"round({v}, 6) AS x{i}" for i, v in enumerate(["vl", "vt", "r", "al", "at_", "k / 20.0::DOUBLE", "arc / 100", "value / 1000", "dt"]))},
   round(1e-9 + (n1 - (vl + (al + r * ({_HALF[1].replace("0.05", "dt")})) * dt)), 6) AS d_v_long, round(1e-9 + (n2 - (vt + (at_ - r * ({_HALF[0].replace("0.05", "dt")})) * dt)), 6) AS d_v_lat,
   round(1e-9 + (n3 - r), 6) AS d_yaw_rate, round(1e-9 + (n4 - al), 6) AS d_a_long, round(1e-9 + (n5 - at_), 6) AS d_a_lat FROM tn WHERE ok AND okn AND dt > 0"""
+_ROLLOUT = [[0.01, -0.02, 0.005, 0.1, -0.1], [-0.01, 0.002, 0.001, -0.05, 0.02], [0.005, -0.01, 0.0, 0.02, -0.03], [0.02, 0.01, -0.02, -0.1, 0.05]]
+_MORE = [" + ".join(f"{_ROLLOUT[i][k]}::DOUBLE * {z}" for i, z in enumerate(("1", "vl", "vt", "r"))) for k in range(5)]
+_SELECTS["residual_rollout"] = f""", ro AS (SELECT id, 0 AS step, x, y, abs(z) AS vl, 0.0::DOUBLE AS vt, w AS yaw, z / 20 AS r, e5 * 10 AS al, e6 * 10 AS at_ FROM pts
+  UNION ALL SELECT id, step + 1, x + (({_HALF[0]}) * cos(yaw + r * 0.025::DOUBLE) - ({_HALF[1]}) * sin(yaw + r * 0.025::DOUBLE)) * 0.05::DOUBLE, y + (({_HALF[0]}) * sin(yaw + r * 0.025::DOUBLE) + ({_HALF[1]}) * cos(yaw + r * 0.025::DOUBLE)) * 0.05::DOUBLE,
+    vl + (al + r * ({_HALF[1]})) * 0.05::DOUBLE + {_MORE[0]}, vt + (at_ - r * ({_HALF[0]})) * 0.05::DOUBLE + {_MORE[1]}, yaw + r * 0.05::DOUBLE, r + {_MORE[2]}, al + {_MORE[3]}, at_ + {_MORE[4]} FROM ro WHERE step < 10)
+SELECT id, step, round(x, 6) AS x2, round(y, 6) AS y2 FROM ro WHERE step > 0"""
+_SELECTS["kinematic_diagnostics"] = """, kd AS (SELECT circuit, value AS v, k / 50.0::DOUBLE AS k, lead(value) OVER (PARTITION BY car_id ORDER BY frame_index) AS n FROM tele),
+ke AS (SELECT circuit, CASE WHEN sqrt(v * v + v / 2 * v / 2) > 10 THEN (v * cos(k) + v / 2 * sin(k)) / sqrt(v * v + v / 2 * v / 2) END AS a, sqrt((v / 50 - n / 50) ** 2 + (k - 1) ** 2 + 0.01) AS e,
+  CASE WHEN sqrt((v / 50) ** 2 + k ** 2 + 0.01) > 0.5 AND sqrt((n / 50) ** 2 + 1) > 0.5 THEN (v / 50 * n / 50 + k) / (sqrt((v / 50) ** 2 + k ** 2 + 0.01) * sqrt((n / 50) ** 2 + 1)) END AS c FROM kd)
+SELECT circuit, count(a) AS alignment_count, count(e) AS error_count, count(c) AS cosine_count, round(median(a), 6) AS alignment_median, round(quantile_cont(a, 0.01), 6) AS alignment_p01,
+  round(median(e), 6) AS error_median, round(quantile_cont(e, 0.95), 6) AS error_p95, round(median(c), 6) AS cosine_median FROM ke GROUP BY circuit"""
+_SELECTS["map_bins"] = MAPS + """, ml_ AS (SELECT circuit, sum(len) AS lap, count(*) AS sides FROM mg WHERE role = 'center' GROUP BY circuit), mb AS (SELECT *, ceil(lap / 25)::INT AS n FROM ml_)
+SELECT circuit, round(lap, 6) AS track_length, sides, n AS n_bins, b::INT AS bin, b * 25.0::DOUBLE AS low, round(least(lap, (b + 1) * 25.0::DOUBLE), 6) AS high FROM mb, unnest(generate_series(0, n - 1)) AS g(b)"""
+_SELECTS["source_provenance"] = r""", pv AS (SELECT o_custkey::BIGINT AS unit, string_agg('["gr\u00f6\u00dfe/' || o_orderkey || '","' || o_orderkey || '\"x\"",' || o_orderkey || ',"' || sha256(o_orderkey::VARCHAR) || '"]', ',' ORDER BY 'größe/' || o_orderkey) AS t FROM orders GROUP BY 1)
+SELECT unit, 'set@r1:dir_' || (unit % 5) AS source_session_id, 'r1' AS revision, sha256('[' || t || ']') AS source_unit_sha256 FROM pv"""
+_SELECTS["significant_digits"] = "SELECT event_id, printf('%.9g', value * pow(10.0::DOUBLE, event_id % 21 - 8) * CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS value FROM events"
+_SELECTS["exact_bins"] = """, eb AS (SELECT lb.circuit, lb.car_id, threshold, proposal_number, matched_event_id, q.side AS es, q.bin % 3 AS ebin, pp.bin AS pb FROM lb JOIN pp ON pp.car_id = lb.car_id AND pp.th = lb.threshold AND pp.n = lb.proposal_number LEFT JOIN q ON q.id = lb.matched_event_id)
+SELECT circuit, car_id, threshold, proposal_number, matched_event_id, es AS matched_side_at_onset, ebin AS matched_segment_bin, coalesce(pb = ebin, FALSE) AS exact_bin FROM eb"""
 _SELECTS["split_alerts"] = _SELECTS["alert_state_machine"]
 
 #: A select that begins with a comma goes on with the common table expressions.

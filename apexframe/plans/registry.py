@@ -25,13 +25,14 @@ from apexframe.operators import policy as P
 from apexframe.operators import pooling as L
 from apexframe.operators import release as E
 from apexframe.operators import residual as D
+from apexframe.operators import rollout as Q
 from apexframe.operators import timebase as T
 from apexframe.plans.oracles import ORACLES
 from apexframe.plans.surrogate import N_BINS, materialising, once, prob, scores, table, tele
 from apexframe.scratch import scratch_path, stored
 from apexframe.sources import compact, maps, seals
-from apexframe.sources.integrity import unit_digests, validate_manifest
-from apexframe.sources.tables import natural_key, publish, read_table
+from apexframe.sources.integrity import source_provenance, unit_digests, validate_manifest
+from apexframe.sources.tables import natural_key, publish, read_table, significant_columns
 from apexframe.streaming import timed as S
 
 CONFIG = X.ExcursionConfig(gap_merge=12.0, min_depth=1.0, min_duration=6.0, min_lead_in=0.0, artifact=2.0, edge=12.0, exclude_truncated=False)
@@ -557,6 +558,85 @@ def _published(spark, d):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+#: Coefficients of a residual model (intercept and BODY, by target); a fitted one has no SQL twin.
+ROLLOUT = [[0.01, -0.02, 0.005, 0.1, -0.1], [-0.01, 0.002, 0.001, -0.05, 0.02], [0.005, -0.01, 0.0, 0.02, -0.03], [0.02, 0.01, -0.02, -0.1, 0.05]]
+
+
+def _at_points(spark, d):
+    """Points as states of cars on the circuits of the map files, with what models and scores need."""
+    p = _points(spark, d)
+    return p.select(F.concat(F.lit("C"), F.pmod("id", F.lit(4)).cast("string")).alias("circuit"), F.concat(F.lit("car_"), "label").alias("car_id"), F.col("id").alias("frame_index"), "id", "x", "y", F.abs("z").alias("v_long"), F.lit(0.0).alias("v_lat"),
+                    F.col("w").alias("yaw"), (F.col("z") / 20).alias("yaw_rate"), (F.col("e5") * 10).alias("a_long"), (F.col("e6") * 10).alias("a_lat"), (F.abs("z") / 10).alias("level"), (F.pmod("id", F.lit(100)) / 100.0).alias("place"))
+
+
+def _rollout(spark, d):
+    model = D.ResidualModel(tuple(BODY), np.zeros(3), np.ones(3), np.array([ROLLOUT]), np.zeros((1, 5, 5)))
+    paths = Q.residual_paths(_at_points(spark, d).drop("circuit"), model, ["id"], 0.5)
+    return _rounded(paths.select(F.col("id.id").alias("id"), "step", "x2", "y2"), "x2", "y2")
+
+
+def _track_frames(spark, d):
+    return tele(spark, d).withColumns({"v_long": F.col("value") / 10, "v_lat": F.col("outside_depth_m") / 10, "yaw_rate": (F.col("k") - 50) / 500.0, "a_long": F.col("outside_depth_m") / 5, "a_lat": (F.col("k") - 50) / 50.0,
+                                       "heading_error": F.col("k") / 20.0 - 2.5, "offset": F.col("centerline_arclength_wrapped_m") / 100 - 5, "curvature": F.col("value") / 1000})
+
+
+def _fold_models(spark, d, draws=32):
+    """Models of fold C0, from the cars of the other circuits."""
+    split = _loco(spark, d)
+    rows = D.transition_residuals(_track_frames(spark, d), F.lit(0.05), also=Q.TRACK)
+    t = tele(spark, d).select(*KEY, (F.col("value") / 100).alias("level"), (F.col("k") / 100.0).alias("place"))
+    hazard = V.hazard_rows(tele(spark, d), _events(spark, d)).join(t, KEY)
+    rows, hazard = (stored(attach_partition(x, split, "C0", UNIT), "fold-rows") for x in (rows, hazard))
+    return Q.fit_fold(rows, hazard, [*BODY, *Q.TRACK], ["level", "place"], ALPHAS, draws, SEED, 0.01)
+
+
+def _circuit_rings(spark, d):
+    """The rings of the map files, with circuits named as the telemetry's."""
+    names = table(spark, d, "region").select(F.col("r_name").alias("name"), F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("of"))
+    return stored(I.corridors(*_map_files(spark, d)).join(F.broadcast(names), F.col("circuit") == F.col("name")).drop("circuit", "name").withColumnRenamed("of", "circuit"), "rings")
+
+
+def _fold_scores(spark, d):
+    """Six methods at the points, by the models of fold C0; 32 draws."""
+    rings, points = _circuit_rings(spark, d), _at_points(spark, d)
+    placed = G.locate(points.select("id", "circuit", "x", "y"), rings).select("id", "in_corridor", "arclength_wrapped")
+    track = G.track_features(points.select("id", "circuit", "x", "y"), rings.where("role = 'center'")).select("id", "offset", "heading", "curvature")
+    error = F.pmod(F.col("yaw") - F.col("heading") + np.pi, F.lit(2 * np.pi)) - np.pi
+    rows = points.join(placed, "id").join(track, "id").withColumns({"heading_error": error, "input_valid_causal": F.lit(True), "hard_break": F.lit(False)}).drop("id", "heading")
+    out = Q.score_fold(stored(rows, "fold-states"), _fold_models(spark, d), rings, [0.25, 0.5, 1.0], 2.5, KEY, 32, SEED)
+    return _rounded(out, *(c for c in out.columns if c.startswith("raw_")))
+
+
+def _kinematic_diagnostics(spark, d):
+    c, k = F.col("value"), F.col("k") / 50.0
+    t = tele(spark, d).withColumn("next", F.lead("value").over(Window.partitionBy(*UNIT).orderBy("frame_index")))
+    out = E.kinematic_diagnostics(t, ["circuit"], [c, c / 2], [F.cos(k), F.sin(k)], [c / 50, k, F.lit(0.1)], [F.col("next") / 50, F.lit(1.0), F.lit(0.0)])
+    return _rounded(out, *(x for x in out.columns if not x.endswith("_count") and x != "circuit"))
+
+
+def _provenance(spark, d):
+    """Files of each customer: its orders, as a manifest would list them."""
+    o = table(spark, d, "orders")
+    name = F.concat(F.lit("größe/"), F.col("o_orderkey").cast("string"))
+    m = o.select(F.col("o_custkey").cast("long").alias("unit"), F.lit("set").alias("dataset"), F.lit("r1").alias("revision"), F.concat(F.lit("dir_"), F.pmod("o_custkey", F.lit(5)).cast("string")).alias("circuit_directory"),
+                 name.alias("upstream_path"), F.concat(F.col("o_orderkey").cast("string"), F.lit('"x"')).alias("filename"), F.col("o_orderkey").cast("long").alias("bytes"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("sha256"))
+    return source_provenance(m, ["unit"])
+
+
+def _csv_digits(spark, d):
+    """Values of the events over many powers of ten, with nine significant digits."""
+    e = table(spark, d, "events").select("event_id", (F.col("value") * F.pow(F.lit(10.0), F.pmod("event_id", F.lit(21)) - 8) * F.when(F.pmod("event_id", F.lit(2)) == 0, 1).otherwise(-1)).alias("value"))
+    path = f"{scratch_path(spark, 'digits')}.csv"
+    publish(significant_columns(e), path)
+    return read_table(spark, path, "event_id long, value string")
+
+
+def _exact_bins(spark, d):
+    alerts = P.run_alerts(scores(spark, d), THRESHOLDS, POLICY)
+    out = P.with_exact_bin(_labels(spark, d), alerts, _events_binned(spark, d))
+    return out.select(*UNIT, "threshold", "proposal_number", "matched_event_id", "matched_side_at_onset", "matched_segment_bin", "exact_bin")
+
+
 def _stacked(spark, d):
     """Three horizons against the language's own rate; every eleventh document is unresolved."""
     rows = _horizons(prob(spark, d))
@@ -696,6 +776,13 @@ QUERIES = {
     "manifest_states": _manifest_states,  # 3
     "published_tables": _published,  # 7, 8, 9, 11
     "sealed_changes": _sealed,  # 133, 134, 138
+    "residual_rollout": _rollout,  # 71, 83
+    "fold_scores": _fold_scores,  # 83, 84
+    "exact_bins": _exact_bins,  # 51
+    "kinematic_diagnostics": _kinematic_diagnostics,  # 30
+    "map_bins": lambda s, d: _rounded(E.segment_bins(I.corridors(*_map_files(s, d))), "track_length", "low", "high"),  # 30
+    "source_provenance": _provenance,  # 13
+    "significant_digits": _csv_digits,  # 9
     "content_hashes": lambda s, d: unit_digests(table(s, d, "events"), ["user_id"], ["event_id", "event_type", "props"]),  # 12, 13
 }
 
@@ -703,6 +790,6 @@ QUERIES = {
 SEVERAL = (
     "proposal_labels detection_summary operating_points synthetic_delay car_contributions pooled_metrics l_star l_star_least_favorable warning_frontier cohort_summary paired_bootstrap bootstrap_l_star bootstrap_two_stage "
     "compare_derived closest_active_threshold delay_l_star ledger_defects rate_upper frame_target_join partition_attach exposure_join events_semi_join key_set_check event_projection side_hazard next_event_targets excursion_frames "
-    "horizon_calibrators calibrated_scores calibrated_mass car_reliability alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled operating_cells heldout_ledger heldout_frontier"
+    "horizon_calibrators calibrated_scores calibrated_mass car_reliability alert_state_machine split_alerts timely_alerts streamed_alerts robust_scaled operating_cells heldout_ledger heldout_frontier fold_scores exact_bins"
 ).split()
 QUERIES |= {name: materialising(QUERIES[name]) for name in SEVERAL}

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,6 +23,38 @@ def validate_manifest(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return j.select("path", state.alias("state"))
 
 
+def _json_text(text: Column) -> Column:
+    """A JSON string in printable ASCII: other characters as \\uXXXX, those beyond the basic plane as two."""
+    code = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
+    short = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def of(c: Column) -> Column:
+        n = F.ascii(c)
+        plain = F.when((n >= 32) & (n <= 126), c).when(n < 65536, code(n))
+        out = plain.otherwise(F.concat(code(F.floor((n - 65536) / 1024) + 55296), code((n - 65536) % 1024 + 56320)))
+        for k, v in short.items():
+            out = F.when(c == k, F.lit(v)).otherwise(out)
+        return out
+
+    return F.concat(F.lit('"'), F.array_join(F.transform(F.split(text, ""), of), ""), F.lit('"'))
+
+
+def source_provenance(manifest: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, source_session_id, revision, source_unit_sha256) of each unit's manifest rows.
+
+    The session is ``dataset@revision:circuit_directory``; a unit whose rows differ in one of these is an error. The digest is that of the
+    sorted JSON list of [upstream_path, filename, bytes, sha256], in ASCII and without spaces. A unit has a few files.
+    """
+    same = ["dataset", "revision", "circuit_directory"]
+    record = F.struct("upstream_path", "filename", F.col("bytes").cast("long").alias("bytes"), "sha256")
+    d = manifest.groupBy(*keys).agg(*(F.min(c).alias(c) for c in same), *(F.max(c).alias(f"_{c}") for c in same), F.count_if(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in same))).alias("nulls"), F.array_sort(F.collect_list(record)).alias("records"))
+    whole = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{c}") for c in same)) & (F.col("nulls") == 0)
+    line = lambda r: F.concat(F.lit("["), _json_text(r["upstream_path"]), F.lit(","), _json_text(r["filename"]), F.lit(","), r["bytes"].cast("string"), F.lit(","), _json_text(r["sha256"]), F.lit("]"))
+    text = F.concat(F.lit("["), F.array_join(F.transform("records", line), ","), F.lit("]"))
+    session = F.when(whole, F.concat("dataset", F.lit("@"), "revision", F.lit(":"), "circuit_directory")).otherwise(F.raise_error(F.lit("a unit's provenance is inconsistent")).cast("string"))
+    return d.select(*keys, session.alias("source_session_id"), "revision", F.sha2(text.cast("binary"), 256).alias("source_unit_sha256"))
+
+
 def unit_digests(rows: DataFrame, keys: list[str], record: list[str]) -> DataFrame:
     """An identity of each unit's rows that doesn't depend on their order: how many, and the 256-bit digests summed in four lanes of 64 bits.
 

@@ -58,6 +58,30 @@ def publish(rows: DataFrame, path: str) -> None:
         raise DataValidationError(f"already published: {path}")
 
 
+def significant(value: Column, digits: int = 9) -> Column:
+    """A number as text with that many significant digits, shortest form: fixed from 0.0001 on while the whole part fits, else with an exponent.
+
+    Null and NaN are null, zero keeps its sign. Halves are rounded up in the number's shortest decimal form.
+    """
+    v = value.cast("double")
+    parts = F.split(F.format_string(f"%.{digits - 1}e", F.abs(v)), "e")
+    number, e = F.replace(parts[0], F.lit("."), F.lit("")), parts[1].cast("int")
+    cut = lambda s: F.regexp_replace(s, "0+$", "")
+    after = lambda whole, rest: F.when(rest == "", whole).otherwise(F.concat(whole, F.lit("."), rest))
+    large = after(number.substr(F.lit(1), e + 1), cut(number.substr(e + 2, F.lit(digits))))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), cut(number))
+    power = F.concat(F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), F.greatest(F.lit(2), F.length(F.abs(e).cast("string"))), F.lit("0")))
+    scientific = F.concat(after(number.substr(F.lit(1), F.lit(1)), cut(number.substr(F.lit(2), F.lit(digits)))), power)
+    size = F.when(v == 0, "0").when(F.abs(v) == float("inf"), "inf").when((e >= 0) & (e < digits), large).when((e < 0) & (e >= -4), small).otherwise(scientific)
+    sign = F.when((v < 0) | F.startswith(v.cast("string"), F.lit("-")), "-").otherwise("")
+    return F.when(v.isNotNull() & ~F.isnan(v), F.concat(sign, size))
+
+
+def significant_columns(rows: DataFrame, digits: int = 9) -> DataFrame:
+    """``rows`` for a CSV sink: floating-point columns as text of :func:`significant`."""
+    return rows.select(*(significant(F.col(f"`{f.name}`"), digits).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in rows.schema))
+
+
 def natural_key(name: Column) -> Column:
     """Sorts ``car_9`` before ``car_10``: the text before the last number, the number, then the name."""
     number = F.regexp_extract(name, r"_(\d+)$", 1)
