@@ -166,12 +166,12 @@ def _normal(*key) -> Column:
 
 
 def with_draws(rows: DataFrame, model: ResidualModel, draws: int) -> DataFrame:
-    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``) and a root of its covariance (``__root``)."""
+    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``; ``__by_target`` turned) and a root of its covariance (``__root``)."""
     t, size, roots = _scaling(model.center, model.scale), len(model.coefficients), []
     for c in model.covariance:
         values, vectors = np.linalg.eigh((c + c.T) / 2)
         roots.append(vectors * np.sqrt(np.maximum(values, 0)))
-    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __root array<array<double>>")
+    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), (t @ model.coefficients[d]).T.tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __by_target array<array<double>>, __root array<array<double>>")
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
 
 

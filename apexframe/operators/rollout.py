@@ -37,6 +37,10 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
+
+
 def _wrapped(angle: Column) -> Column:
     return F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi
 
@@ -72,22 +76,25 @@ def residual_paths(states: DataFrame, model: ResidualModel, keys: list[str], hor
         d = _with_map(d, tangents(segments.where("role = 'center'")), "center")
     d = with_draws(d, model, draws)
     center = F.col("__center") if follows else None
-    n = len(TARGETS)
 
     def move(s: Column, step: Column) -> Column:
         v_long, v_lat, half_long, half_lat = midpoint_velocity(s["v_long"], s["v_lat"], s["yaw_rate"], s["a_long"], s["a_lat"], F.lit(dt))
         middle = s["yaw"] + s["yaw_rate"] * (dt / 2)
         x, y = s["x"] + (half_long * F.cos(middle) - half_lat * F.sin(middle)) * dt, s["y"] + (half_long * F.sin(middle) + half_lat * F.cos(middle)) * dt
-        noise = F.array(*(_normal(F.lit(seed), *keys, "draw", step, F.lit(k)) for k in range(n))) if noisy else F.array(F.lit(0.0))
 
-        def settle(both: Column) -> Column:
-            z, e = both["z"], both["e"]
-            mean = [reduce(lambda a, b: a + b, (F.col("__beta")[i][k] * z[i] for i in range(1 + len(model.inputs)))) for k in range(n)]
-            more = [m + reduce(lambda a, b: a + b, (F.col("__root")[k][j] * e[j] for j in range(n))) for k, m in enumerate(mean)] if noisy else mean
-            after = {"x": x, "y": y, "v_long": v_long + more[0], "v_lat": v_lat + more[1], "yaw": _wrapped(s["yaw"] + s["yaw_rate"] * dt), "yaw_rate": s["yaw_rate"] + more[2], "a_long": s["a_long"] + more[3], "a_lat": s["a_lat"] + more[4]}
-            return F.struct(*(after[c].alias(c) for c in STATE), F.concat(s["path"], F.array(F.struct(x.alias("x"), y.alias("y")))).alias("path"))
+        def residual(z: Column) -> Column:
+            mean = F.transform("__by_target", lambda b: _dot(b, z))
+            if not noisy:
+                return mean
+            each = F.transform(F.sequence(F.lit(0), F.lit(len(TARGETS) - 1)), lambda k: _normal(F.lit(seed), *keys, "draw", step, k))
+            return F.zip_with(mean, _let(each, lambda e: F.transform("__root", lambda b: _dot(b, e))), lambda a, b: a + b)
+
+        def settle(to: Column) -> Column:
+            more = to["more"]
+            after = {"x": to["x"], "y": to["y"], "v_long": v_long + more[0], "v_lat": v_lat + more[1], "yaw": _wrapped(s["yaw"] + s["yaw_rate"] * dt), "yaw_rate": s["yaw_rate"] + more[2], "a_long": s["a_long"] + more[3], "a_lat": s["a_lat"] + more[4]}
+            return F.struct(*(after[c].alias(c) for c in STATE), F.concat(s["path"], F.array(F.struct(to["x"].alias("x"), to["y"].alias("y")))).alias("path"))
 
-        return _let(F.struct(_inputs(model, s, center, dt).alias("z"), noise.alias("e")), settle)
+        return _let(F.struct(x.alias("x"), y.alias("y"), _let(_inputs(model, s, center, dt), residual).alias("more")), settle)
 
     first = F.struct(*(F.col(c).cast("double").alias(c) for c in STATE), F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("path"))
     path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, move, lambda s: s["path"])
