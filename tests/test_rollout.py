@@ -133,14 +133,16 @@ def test_fold_models_see_fit_cars_only(spark):
         fit(d.where("partition = 'fit'"))
 
 
-def test_scores_of_all_methods(spark):
+def test_scores_of_methods(spark):
     """Every method scores every row; probabilities rise with the horizon; exits of the plain path decide the deterministic twin."""
-    models = Q.fit_fold(_fold(spark), _fold(spark), list(INPUTS), ["v_long", "fuel"], [1.0], 8, 3)
+    bayesian = _model(4, 0.01)
+    models = Q.FoldModels(1.0, bayesian, bayesian.twin(), _model(), 1.0, np.full((3, 2), -0.5), ("v_long", "fuel"))
+    methods = ["deterministic", "bayesian", "hazard"]
     maps, states = _maps(spark), _states(spark)
     placed = G.locate(states.select(F.col("frame_index").alias("id"), "circuit", "x", "y"), maps).select(F.col("id").alias("frame_index"), "in_corridor", "arclength_wrapped")
     rows = states.join(placed, "frame_index").withColumns({"input_valid_causal": F.lit(True), "hard_break": F.lit(False), "heading_error": F.lit(0.0), "offset": F.lit(0.0), "curvature": F.lit(0.0)})
-    out = Q.score_fold(rows, models, maps, [0.25, 0.5, 1.0], 2.5, KEYS, 8, 3).cache()
-    assert out.count() == 6 * 40 and out.select(*KEYS, "method").distinct().count() == 240 and Q.outcome_order(out, [0.25, 0.5, 1.0]).count() == 0
+    out = Q.score_fold(rows, models, maps, [0.5, 1.0], 2.5, KEYS, 8, 3, methods).cache()
+    assert out.count() == 120 and out.select(*KEYS, "method").distinct().count() == 120 and Q.outcome_order(out, [0.5, 1.0]).count() == 0
     assert {(r.circuit, r.n_bins) for r in out.select("circuit", "n_bins").distinct().collect()} == {("A", 24), ("B", 32)}
     got = {(r.method, r.frame_index): r for r in out.collect()}
     inside = lambda x, y, s: max(abs(x), abs(y)) <= 10 * s + 1e-7 and max(abs(x), abs(y)) >= 5 * s - 1e-7
@@ -158,4 +160,4 @@ def test_scores_of_all_methods(spark):
     with pytest.raises(DataValidationError):
         Q.score_fold(rows, models, maps, [1.0], 2.5, KEYS, methods=["guess"])
     with pytest.raises(PySparkException):
-        Q.score_fold(rows, models, maps.where("circuit = 'A'"), [1.0], 2.5, KEYS, methods=["deterministic"]).collect()
+        Q.score_fold(rows, models, maps.where("circuit = 'A'"), [1.0], 2.5, KEYS, methods=["constant_turn"]).collect()
