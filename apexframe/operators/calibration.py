@@ -34,7 +34,8 @@ def _within(value: Column, bounds: tuple[float, float]) -> Column:
 def _newton_step(state: DataFrame, slopes: tuple[float, float], tolerance: float) -> DataFrame:
     """The next (slope, intercept) of each row of sums at the present ones.
 
-    A parameter at a bound that its gradient pushes against stays there, and the other one steps alone. A step that raised
+    A parameter at a bound that its gradient pushes against stays there, and the other one steps alone. Where a bound cuts the step of one, the other's
+    step is solved anew for the shorter one; else it could point uphill, and be halved to nothing far from the best fit. A step that raised
     the loss goes half the way back to where it started (``base_slope``, ``base_intercept``).
     """
     a, b = F.col("slope"), F.col("intercept")
@@ -45,9 +46,13 @@ def _newton_step(state: DataFrame, slopes: tuple[float, float], tolerance: float
     det = haa * hbb - hab * hab
     da = F.when(held_a, 0.0).when(held_b, F.col("ga") / haa).otherwise((hbb * F.col("ga") - hab * F.col("gb")) / det)
     db = F.when(held_b, 0.0).when(held_a, F.col("gb") / hbb).otherwise((haa * F.col("gb") - hab * F.col("ga")) / det)
+    a_in, b_in = _within(a - da, slopes), _within(b - db, INTERCEPTS)
+    cut_a, cut_b = ~held_a & (a_in != a - da), ~held_b & (b_in != b - db)
+    b_in = F.when(cut_a & ~held_b, _within(b - (F.col("gb") + hab * (a_in - a)) / hbb, INTERCEPTS)).otherwise(b_in)
+    a_in = F.when(cut_b & ~cut_a & ~held_a, _within(a - (F.col("ga") + hab * (b_in - b)) / haa, slopes)).otherwise(a_in)
     fine = F.col("loss") <= F.col("base_loss") + 1e-12 * (1 + F.abs("loss"))
     free = F.when(held_a, 0.0).otherwise(F.abs("ga")) + F.when(held_b, 0.0).otherwise(F.abs("gb"))  # what is left of the gradient
-    d = state.withColumn("fine", fine).withColumns({"a1": F.when(fine, _within(a - da, slopes)).otherwise((a + F.col("base_slope")) / 2), "b1": F.when(fine, _within(b - db, INTERCEPTS)).otherwise((b + F.col("base_intercept")) / 2)})
+    d = state.withColumn("fine", fine).withColumns({"a1": F.when(fine, a_in).otherwise((a + F.col("base_slope")) / 2), "b1": F.when(fine, b_in).otherwise((b + F.col("base_intercept")) / 2)})
     near = F.abs(F.col("a1") - F.when(F.col("fine"), a).otherwise(F.col("base_slope"))) + F.abs(F.col("b1") - F.when(F.col("fine"), b).otherwise(F.col("base_intercept")))
     return d.withColumns(
         {

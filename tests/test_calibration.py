@@ -60,6 +60,24 @@ def test_fits_of_all_groups_at_once(spark, monkeypatch, part, low):
     assert got["falling"].slope == 0 if low == 0 else got["falling"].slope < -0.5
 
 
+def test_steps_that_a_bound_cuts_still_go_downhill(spark):
+    """Scores of a narrow range that say little: steps overshoot the bound of the slope. The gradient at the fit must be that of the best one."""
+    rng, rows, points = np.random.default_rng(1), [], {}
+    for g in range(40):
+        x = rng.uniform(-2.2, -1.2, 60)
+        k = rng.binomial(50, 1 / (1 + np.exp(-(rng.normal(0, 0.3) * x + rng.uniform(-4, 1))))).astype(float)
+        p = 1 / (1 + np.exp(-x))
+        points[g] = np.log(p / (1 - p)), k
+        rows += [(g, float(a), 50, float(b)) for a, b in zip(p, k, strict=True)]
+    got = B.logistic_fits(spark.createDataFrame(rows, "g int, p double, n long, events double"), ["g"]).collect()
+    assert len(got) == 40 and all(r.converged for r in got) and {r.slope > 0 for r in got} == {True, False}
+    for r in got:
+        x, k = points[r.g]
+        left = 50 / (1 + np.exp(-(r.slope * x + r.intercept))) - k
+        assert abs(left.sum()) < 1e-5, r
+        assert abs((left * x).sum()) < 1e-5 if r.slope > 0 else (left * x).sum() >= 0, r
+
+
 def test_one_class_has_no_line_and_no_rows_have_no_fit(spark):
     points = spark.createDataFrame([("a", 0.2, 1, 1.0)], "g string, p double, n long, events double")
     only = B.logistic_fits(points, ["g"], one_class="null").first()
