@@ -32,6 +32,21 @@ def _numbered(units: DataFrame) -> DataFrame:
     return units.select("circuit", "car_id").distinct().select("circuit", "car_id", (F.row_number().over(w.orderBy("car_id")) - 1).cast("long").alias("place"), F.count(F.lit(1)).over(w).alias("cars"))
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt by circuit and place, not coalesced: each is small but stands for all draws. Circuits alone are too few to share the work by."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "circuit", "place")
+
+
+def _weights(drawn: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(draw, circuit, car_id, weight): how often each place was drawn, with its car.
+
+    Rows are dealt by circuit and place once, for the count and the join. The hint is needed: Spark takes exploded rows for as few as they were before, and would
+    broadcast them.
+    """
+    counted = _spread(drawn).groupBy("draw", "circuit", "place").agg(F.count(F.lit(1)).alias("weight"))
+    return counted.hint("merge").join(numbered.select("circuit", "place", "car_id"), ["circuit", "place"]).select("draw", "circuit", "car_id", "weight")
+
+
 def hash_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
     """Weights of cars drawn with replacement inside their circuit, by a hash of (seed, draw, circuit, place).
 
@@ -39,10 +54,9 @@ def hash_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
     car's number, and numbers become cars by a join.
     """
     numbered = _numbered(units)
-    places = numbered.select("circuit", "place", "cars", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    places = _spread(numbered).select("circuit", "place", "cars", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     drawn = places.select("draw", "circuit", (_number(F.lit(seed), "draw", "circuit", "place") % F.col("cars")).alias("place"))
-    counted = drawn.groupBy("draw", "circuit", "place").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.join(numbered.select("circuit", "place", "car_id"), ["circuit", "place"]).select("draw", "circuit", "car_id", "weight")
+    return _weights(drawn, numbered)
 
 
 def two_stage_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
@@ -53,15 +67,14 @@ def two_stage_draws(units: DataFrame, draws: int, seed: str) -> DataFrame:
     slots = circuits.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     picked = slots.select("draw", "slot", (_number(F.lit(seed), F.lit("c"), "draw", "slot") % F.col("n")).alias("number"))
     picked = picked.join(circuits.select(F.col("slot").alias("number"), "circuit"), "number").select("draw", "slot", "circuit")
-    places = picked.join(numbered.select("circuit", "place", "cars"), "circuit")
+    places = _spread(numbered.select("circuit", "place", "cars")).join(F.broadcast(picked), "circuit")  # a row for each draw and slot
     drawn = places.select("draw", "circuit", (_number(F.lit(seed), "draw", "slot", "circuit", "place") % F.col("cars")).alias("place"))
-    counted = drawn.groupBy("draw", "circuit", "place").agg(F.count(F.lit(1)).alias("weight"))
-    return counted.join(numbered.select("circuit", "place", "car_id"), ["circuit", "place"]).select("draw", "circuit", "car_id", "weight")
+    return _weights(drawn, numbered)
 
 
 def bootstrap_l_star(ledger: DataFrame, weights: DataFrame, recall: float, budget: float) -> DataFrame:
     """L* of every draw, then mean and 2.5 / 97.5 percentiles; one join and two aggregates."""
-    w = ledger.join(weights, ["circuit", "car_id"])
+    w = ledger.join(weights.hint("merge"), ["circuit", "car_id"])
     scaled = w.select("draw", "lead", *((F.col(m) * F.col("weight")).alias(m) for m in MEASURES))
     each = l_star(scaled, ["draw"], recall, F.lit(budget))
     q = F.percentile("l_star", F.array(F.lit(0.025), F.lit(0.975)))
@@ -75,7 +88,7 @@ def paired_bootstrap(ledger: DataFrame, weights: DataFrame, method: str, first:
     for each. Returns draws, the mean of the difference, the share of draws in which the first is longer, and 2.5 / 97.5
     percentiles of first, second and difference. A draw without a row of one method counts as 0 for it.
     """
-    two = ledger.where(F.col(method).isin(first, second)).join(weights, ["circuit", "car_id"])
+    two = ledger.where(F.col(method).isin(first, second)).join(weights.hint("merge"), ["circuit", "car_id"])
     scaled = two.select("draw", method, "lead", *((F.col(m) * F.col("weight")).alias(m) for m in MEASURES))
     of = lambda v: F.coalesce(F.max(F.when(F.col(method) == F.lit(v), F.col("l_star"))), F.lit(0.0))
     each = l_star(scaled, ["draw", method], recall, F.lit(budget)).groupBy("draw").agg(of(first).alias("first"), of(second).alias("second"))

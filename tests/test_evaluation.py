@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -90,3 +92,15 @@ def test_paired_draws_share_their_cars(spark):
     assert got.draws == 40 and got.delta_mean == pytest.approx((a - b).mean()) and got.first_longer == pytest.approx((a > b).mean())
     for name, v in (("first", a), ("second", b), ("delta", a - b)):
         assert [got[f"{name}_low"], got[f"{name}_high"]] == pytest.approx(np.quantile(v, [0.025, 0.975]).tolist())
+
+
+def test_draws_are_spread_and_never_broadcast(spark):
+    """One circuit of many cars: draws are counted in many tasks, and the weights, whose size Spark can't tell, aren't broadcast to the ledger."""
+    units = spark.range(64).select(F.concat(F.lit("c"), (F.col("id") % 1).cast("string")).alias("circuit"), F.format_string("k%d", "id").alias("car_id"))
+    ledger = units.select("*", F.lit(1.0).alias("lead"), *(F.lit(1).alias(m) for m in L.MEASURES), F.lit(0.0).alias("delay"))
+    for weights in (L.hash_draws(units, 20, "s"), L.two_stage_draws(units, 20, "s")):
+        assert weights.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert weights.groupBy("draw").agg(F.sum("weight").alias("n")).select("n").distinct().collect() == [(64,)]
+        for out in (L.bootstrap_l_star(ledger, weights, 0.5, 1.0), L.paired_bootstrap(ledger, weights, "delay", 0.0, 6.0, 0.5, 1.0)):
+            joins = re.findall(r"(\w+Join) \[[^]]*(?:place|car_id)#", out._jdf.queryExecution().executedPlan().toString())
+            assert joins == ["SortMergeJoin"] * 2  # by car, and by place
