@@ -147,6 +147,8 @@ class Car:
         return [(t, *w.closed(self.time, "stream_end", True)) for t, w in zip(self.thresholds, self.watches, strict=True) if w.proposal is not None]
 
 
+#: Cells of mass that a task takes, about.
+PART_CELLS = 250_000
 #: Columns of a score row in the order of :class:`Row`.
 ROW = ["time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_bins", "input_valid_causal", "in_corridor", "hard_break"]
 
@@ -255,9 +257,12 @@ def operating_points(summary: DataFrame, budgets: list[float], keys: tuple[str,
 def neighborhood_candidates(mass: DataFrame, radius: int = 1) -> DataFrame:
     """The best side and bin by mass within a circular radius; ties go left, then to the low bin.
 
-    ``mass``: (row, side, bin, n_bins, mass) in long form; side unknown is no candidate.
+    ``mass``: (row, side, bin, n_bins, mass) in long form; side unknown is no candidate. It is written and counted, then dealt by row into parts of about
+    ``PART_CELLS``, so that a task's sums don't grow with the table; they and the choice need no further shuffle.
     """
-    d = mass.where(F.col("side") != "unknown").select("row", "side", "n_bins", "mass", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("o"), "bin")
+    cells = stored(mass.where(F.col("side") != "unknown").select("row", "side", "bin", "n_bins", "mass"), "mass-cells")
+    parts = max(int(mass.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-cells.count() // PART_CELLS))
+    d = cells.repartition(parts, "row").select("row", "side", "n_bins", "mass", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("o"), "bin")
     d = d.groupBy("row", "side", F.pmod(F.col("bin") + F.col("o"), F.col("n_bins")).alias("bin")).agg(F.round(F.sum("mass"), 9).alias("score"))  # so that sums tie whatever their order
     w = Window.partitionBy("row").orderBy(F.desc("score"), "side", "bin")
     return d.withColumn("nth", F.row_number().over(w)).where("nth = 1").drop("nth")

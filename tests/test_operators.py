@@ -139,6 +139,15 @@ def test_neighborhood_wraps_and_prefers_left(spark):
     assert (r.side, r.bin, r.score) == ("left", 0, 0.6)
 
 
+def test_neighborhoods_take_parts_by_the_number_of_cells(spark, monkeypatch):
+    """More cells mean more parts, not larger ones; the choice doesn't depend on them."""
+    m = spark.range(400).select(F.expr("id div 4").alias("row"), F.expr("if(id % 4 < 2, 'left', 'right')").alias("side"), F.expr("(id * 7) % 5").alias("bin"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 100).alias("mass")).withColumn("n_bins", F.lit(5).cast("long"))
+    whole = sorted(map(tuple, P.neighborhood_candidates(m).collect()))
+    monkeypatch.setattr(P, "PART_CELLS", 10, raising=False)
+    assert P.neighborhood_candidates(m).rdd.getNumPartitions() == 40
+    assert sorted(map(tuple, P.neighborhood_candidates(m).collect())) == whole and len(whole) == 100
+
+
 def test_ece_and_metrics(spark):
     d = spark.createDataFrame([("g", 0.0, 0.1), ("g", 0.0, 0.2), ("g", 1.0, 0.7), ("g", 1.0, 0.9)], "g string, y double, p double")
     assert M.expected_calibration_error(d, "g", 2).first().ece == pytest.approx(0.175)
