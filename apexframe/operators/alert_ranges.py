@@ -10,8 +10,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import groupby
+from collections.abc import Callable, Iterator
+from itertools import groupby, islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +25,8 @@ from apexframe.scratch import stored
 
 #: Rows of a range, two at least.
 RANGE_ROWS = 100_000
+#: Rows of a frame that a task hands back.
+FRAME_ROWS = 10_000
 _PLACE = [*UNIT, "__range"]
 
 
@@ -98,51 +100,63 @@ def run_long_alerts(scores: DataFrame, thresholds: list[float], config: Proposal
     own = placed.withColumn("__past", F.lit(False))
     rows = own.drop("__n").unionByName(context.withColumn("__range", F.col("__for")).withColumn("__past", F.lit(True)).drop("__for", "low", "__n"))
 
-    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for key, group in _groups(frames, _PLACE, ["__past", *ROW]):
             past, mine = [], []
             for old, *row in group:
                 (past if old else mine).append(Row(*row))
             _in_order(mine, past[-1] if past else None)
-            out = []
             for threshold in thresholds:
                 for first, (last, opened) in range_function(possible_states(past, threshold, config) if key[-1] else [Watch()], mine, threshold, config).items():
-                    out.append((*key, threshold, coded(first), coded(last), opened))
-            yield pd.DataFrame(out, columns=[*_PLACE, "threshold", "first", "last", "opened"])
+                    yield *key, threshold, coded(first), coded(last), opened
 
-    rows = rows.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "__pos")
-    table = stored(rows.mapInPandas(tables, "circuit string, car_id string, __range long, threshold double, first string, last string, opened long"), "alert-functions")
+    # Ranges are dealt to as many tasks as the session has partitions, as Python's share of the work is large where the bytes are few.
+    parts = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE, "__pos")
+    table = stored(_mapped(rows, tables, "circuit string, car_id string, __range long, threshold double, first string, last string, opened long"), "alert-functions")
 
-    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def compose(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for key, group in _groups(frames, [*UNIT, "threshold"], ["__range", "first", "last", "opened"]):
             state, number = coded(Watch()), 0
             for at, function in groupby(group, lambda r: r[0]):
                 step = {first: (last, n) for _, first, last, n in function}
                 if state not in step:
                     raise AssertionError(f"range {at} of {key} can't start in {state}")
-                yield pd.DataFrame([(*key[:-1], at, key[-1], state, number)], columns=[*_PLACE, "threshold", "state", "number"])
+                yield *key[:-1], at, key[-1], state, number
                 state, number = step[state][0], number + step[state][1]
 
-    starts = table.repartition(*UNIT, "threshold").sortWithinPartitions(*UNIT, "threshold", "__range").mapInPandas(compose, "circuit string, car_id string, __range long, threshold double, state string, number long")
+    starts = table.repartition(parts, *UNIT, "threshold").sortWithinPartitions(*UNIT, "threshold", "__range")
+    starts = _mapped(starts, compose, "circuit string, car_id string, __range long, threshold double, state string, number long")
     starts = starts.groupBy(*_PLACE).agg(F.collect_list(F.struct("threshold", "state", "number")).alias("starts"))  # a state for each threshold
-    names = [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
 
-    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def replay(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for key, group in _groups(frames, _PLACE, ["starts", "__end", *ROW]):
             begun, ends_here, *_ = next(group)
             car, known = Car(thresholds, config), {s["threshold"]: s for s in begun}
             car.watches = [_numbered(decoded(known[t]["state"]), known[t]["number"]) for t in thresholds]
-            out = [(*key[:-1], *p) for _, _, *row in group for p in car.feed(Row(*row))]
+            for _, _, *row in group:
+                yield from ((*key[:-1], *p) for p in car.feed(Row(*row)))
             if ends_here:
-                out += [(*key[:-1], *p) for p in car.finish()]
-            yield pd.DataFrame(out, columns=names)
+                yield from ((*key[:-1], *p) for p in car.finish())
 
     blank = {"time_seconds": F.lit(0.0), "proposal_score": F.lit(0.0), "predicted_side": F.lit("")} | {c: F.lit(False) for c in ROW[5:]}
     last_range = (F.col("__end") + 1 == F.col("__n")).alias("__end")
     begins = starts.join(ends.select(*_PLACE, last_range), _PLACE).withColumns(blank | {"frame_index": F.lit(-1), "__pos": F.lit(-1), "predicted_bin": F.lit(0), "n_bins": F.lit(0)})
     mine = own.drop("__past", "__n").withColumns({"starts": F.lit(None).cast(begins.schema["starts"].dataType), "__end": F.lit(False)})
     both = mine.unionByName(begins.select(*(F.col(c).cast(mine.schema[c].dataType) for c in mine.columns)))
-    return both.repartition(*_PLACE).sortWithinPartitions(*_PLACE, "__pos").mapInPandas(replay, PROPOSAL_SCHEMA)
+    return _mapped(both.repartition(parts, *_PLACE).sortWithinPartitions(*_PLACE, "__pos"), replay, PROPOSAL_SCHEMA)
+
+
+def _mapped(rows: DataFrame, each: Callable[[Iterator[pd.DataFrame]], Iterator[tuple]], schema: str) -> DataFrame:
+    """The rows that ``each`` makes of a task's frames, in frames of FRAME_ROWS; one for each short range would cost far more than its rows."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = each(frames)
+        while batch := list(islice(found, FRAME_ROWS)):
+            yield pd.DataFrame(batch, columns=names)
+
+    return rows.mapInPandas(run, schema)
 
 
 def _numbered(watch: Watch, number: int) -> Watch:

@@ -42,15 +42,17 @@ class Row(NamedTuple):
     inside: bool
     broken: bool
 
-    def sight(self, threshold: float) -> str:
-        """What the row shows, the gravest first."""
+    def grave(self) -> str | None:
+        """What the row shows whatever the threshold, the gravest first; None if it is loud or quiet."""
         if self.broken:
             return "break"
         if not self.inside:
             return "outside"
-        if not self.valid:
-            return "blind"
-        return "loud" if self.score + 1e-15 >= threshold else "quiet"
+        return None if self.valid else "blind"
+
+    def sight(self, threshold: float) -> str:
+        """What the row shows at a threshold."""
+        return self.grave() or ("loud" if self.score + 1e-15 >= threshold else "quiet")
 
 
 class Watch(NamedTuple):
@@ -88,39 +90,41 @@ def elapsed(watch: Watch, now: float, config: ProposalConfig) -> tuple[Watch, tu
 
 
 def advance(watch: Watch, row: Row, threshold: float, config: ProposalConfig) -> tuple[Watch, tuple | None]:
-    """The state after ``row``, and the proposal that it closes: a table of (phase, sight)."""
-    if config.timely and (done := elapsed(watch, row.time, config)):
-        return advance(done[0], row, threshold, config)[0], done[1]  # a resting car closes nothing more
-    resting = Watch("resting", watch.number)
-    idle = Watch("watching", watch.number)
-    match watch.phase, row.sight(threshold):
-        case phase, "break":
-            stays = phase == "watching" and row.inside
-            after = idle if stays else resting._replace(rested_since=row.time if row.inside and row.valid else None)
-            return after, watch.closed(row.time, "hard_break", True)
-        case "open", "outside":
-            return resting, watch.closed(row.time, "outside_observed", False)
-        case "open", _:
-            ends = watch.proposal[1] + config.horizon
-            if row.time + 1e-12 < ends:
-                return watch, None
-            return resting._replace(rested_since=ends), watch.closed(ends, "horizon_elapsed", False)
-        case _, "outside":
-            return resting, None
-        case "resting", "blind":
-            return resting, None
-        case "resting", _ if watch.rested_since is None:
-            return resting._replace(rested_since=row.time), None
-        case "resting", _ if row.time - watch.rested_since + 1e-12 < config.rearm:
+    """The state after ``row``, and the proposal that it closes."""
+    return _after(watch, row, row.sight(threshold), config)
+
+
+def _after(watch: Watch, row: Row, sight: str, config: ProposalConfig) -> tuple[Watch, tuple | None]:
+    """:func:`advance` by what the row shows. Most rows change nothing, so a state is made only where it differs."""
+    phase, number = watch.phase, watch.number
+    if phase == "open" and config.timely and (done := elapsed(watch, row.time, config)):
+        return _after(done[0], row, sight, config)[0], done[1]  # a resting car closes nothing more
+    if sight == "break":
+        stays = phase == "watching" and row.inside
+        after = Watch("watching", number) if stays else Watch("resting", number, rested_since=row.time if row.inside and row.valid else None)
+        return after, watch.closed(row.time, "hard_break", True)
+    if phase == "open":
+        if sight == "outside":
+            return Watch("resting", number), watch.closed(row.time, "outside_observed", False)
+        ends = watch.proposal[1] + config.horizon
+        if row.time + 1e-12 < ends:
+            return watch, None
+        return Watch("resting", number, rested_since=ends), watch.closed(ends, "horizon_elapsed", False)
+    if sight == "outside" or (sight == "blind" and phase == "resting"):
+        return watch if phase == "resting" and watch.rested_since is None else Watch("resting", number), None
+    if phase == "resting":
+        if watch.rested_since is None:
+            return Watch("resting", number, rested_since=row.time), None
+        if row.time - watch.rested_since + 1e-12 < config.rearm:
             return watch, None
-        case _, "blind" | "quiet":
-            return idle, None
+    if sight != "loud":
+        return watch if phase == "watching" and watch.run is None else Watch("watching", number), None
     # Loud, while watching or at the end of a rest.
     place = (row.side, row.bin)
     length = 1 + (watch.run[2] if watch.run is not None and watch.run[:2] == place else 0)
     if length < config.persistence:
-        return idle._replace(run=(*place, length)), None
-    return Watch("open", watch.number + 1, proposal=(watch.number + 1, row.time, *place, row.bins)), None
+        return Watch("watching", number, (*place, length)), None
+    return Watch("open", number + 1, proposal=(number + 1, row.time, *place, row.bins)), None
 
 
 class Car:
@@ -135,9 +139,9 @@ class Car:
         """Proposals that the row closes, each after its threshold."""
         if self.time is not None and not row.time > self.time:
             raise DataValidationError("rows of a car must come in strictly increasing time")
-        self.time, out = row.time, []
+        self.time, out, grave, score = row.time, [], row.grave(), row.score + 1e-15
         for i, threshold in enumerate(self.thresholds):
-            self.watches[i], done = advance(self.watches[i], row, threshold, self.config)
+            self.watches[i], done = _after(self.watches[i], row, grave or ("loud" if score >= threshold else "quiet"), self.config)
             if done is not None:
                 out.append((threshold, *done))
         return out

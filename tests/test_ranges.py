@@ -69,3 +69,12 @@ def test_time_must_rise_across_ranges_too(spark, monkeypatch):
     with pytest.raises(Exception, match="strictly increasing"):
         run_alerts(spark.createDataFrame(d, SCHEMA), [0.5], CONFIG).collect()
     assert issubclass(DataValidationError, ValueError) and Watch() == Watch("watching")
+
+
+def test_short_ranges_share_frames():
+    class Rows:
+        def mapInPandas(self, run, schema):  # noqa: N802
+            return list(run(iter([])))
+
+    got = alert_ranges._mapped(Rows(), lambda frames: ((str(i), i) for i in range(25_000)), "a string, b long")
+    assert [len(f) for f in got] == [10_000, 10_000, 5_000] and list(got[2].columns) == ["a", "b"] and got[2].b.iloc[-1] == 24_999
