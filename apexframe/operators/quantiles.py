@@ -1,8 +1,8 @@
 """Exact quantiles of any number of groups and probabilities at once, by narrowing ranges of values.
 
-The ranks that the quantiles need are known from a count. A pass cuts each range that still holds a wanted rank into BINS by value (by the logarithm
+Equal values are one point with their number, so what follows grows with the distinct values. The ranks that the quantiles need are known from a count. A pass cuts each range that still holds a wanted rank into BINS by value (by the logarithm
 of the distance from its least value in every other pass, for what clusters there), counts them in one combined aggregate, and keeps the bins that hold wanted
-ranks. A bin of one value is done; when all others are small, each is ordered by itself. No task ever holds a group.
+ranks. A bin of one value is done; when all others have few points, each is ordered by itself. No task ever holds a group.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from apexframe.operators.sweeps import covering
 from apexframe.scratch import stored
 
 BINS = 1024
-#: Rows that may be ordered in one task.
+#: Points that may be ordered in one task.
 LOCAL_ROWS = 100_000
 #: After so many passes what is left is ordered whatever its size; each second one narrows a range BINS times at least.
 MOST_PASSES = 40
@@ -34,16 +34,20 @@ def _bin(passes: int) -> Column:
     return F.least(F.floor(share * BINS), F.lit(BINS - 1)).cast("int")
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float], count: str | None = None) -> DataFrame:
     """(keys, n, quantiles) with an array of the quantiles in the order of ``probabilities``, interpolated between neighbours as ``percentile`` does.
 
-    Null values don't count, values that aren't finite are an error; null keys are keys; keys without a value are left out.
+    Null values don't count, values that aren't finite are an error; null keys are keys; keys without a value are left out. A row stands for as many values as
+    its ``count`` says, one without such a column.
     """
     v = F.col(value).cast("double")
     finite = F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.raise_error(F.lit("quantiles need finite values")).cast("double")).otherwise(v)
-    points = rows.where(F.col(value).isNotNull()).select(*keys, finite.alias("v"))
+    weight = F.lit(1) if count is None else F.col(count)
+    points = rows.where(F.col(value).isNotNull() & (weight > 0)).select(*keys, finite.alias("v"), weight.cast("long").alias("w"))
+    points = points.groupBy(*keys, "v").agg(F.sum("w").alias("w"))
     points = stored(points.withColumn("below", F.lit(0).cast("long")), "quantile-points")
-    spans = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("count"), F.min("v").alias("lo"), F.max("v").alias("hi")).withColumn("below", F.lit(0).cast("long"))
+    span = [F.sum("w").alias("count"), F.count(F.lit(1)).alias("points"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    spans = points.groupBy(*keys).agg(*span).withColumn("below", F.lit(0).cast("long"))
     spans = stored(spans.where("count > 0"), "quantile-spans")
     sizes = spans.select(*keys, F.col("count").alias("n"))
     at = sizes.select(*keys, "n", F.posexplode(F.array(*(F.lit(float(p)) for p in probabilities))).alias("place", "p")).withColumn("at", F.col("p") * (F.col("n") - 1))
@@ -56,24 +60,25 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
         single = spans.where("lo = hi")
         known.append(_ranks_in(wanted, single, keys).select(*keys, "rank", F.col("of.lo").alias("v")))
         spans = spans.where("lo < hi")
-        most = spans.agg(F.max("count")).first()[0]
+        most = spans.agg(F.max("points")).first()[0]
         if most is None:
             break
         held = points.alias("p").join(spans.alias("s"), [*_nulls_alike("p", "s", keys), F.col("p.below") == F.col("s.below")]).select("p.*", "s.lo", "s.hi")
         if most <= LOCAL_ROWS or passes == MOST_PASSES:
-            w = Window.partitionBy(*keys, "below").orderBy("v")
-            ranked = held.select(*keys, "v", (F.col("below") + F.row_number().over(w) - 1).alias("rank"))
-            known.append(ranked.alias("r").join(wanted.alias("w"), [*_nulls_alike("r", "w", keys), F.col("r.rank") == F.col("w.rank")]).select(*(f"w.{k}" for k in keys), "w.rank", "r.v"))
+            upto = F.sum("w").over(Window.partitionBy(*keys, "below").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+            ranked = held.select(*keys, F.col("below").alias("of_span"), (F.col("below") + upto - F.col("w")).alias("below"), F.col("w").alias("count"), F.col("v").alias("lo"), F.col("v").alias("hi"))
+            dealt = _ranks_in(wanted, spans, keys).select(*keys, "rank", F.col("from").alias("of_span"))
+            known.append(_ranks_in(dealt, ranked, [*keys, "of_span"]).select(*keys, "rank", F.col("of.lo").alias("v")))
             break
         binned = held.withColumn("bin", _bin(passes))
-        counts = binned.groupBy(*keys, "below", "bin").agg(F.count(F.lit(1)).alias("count"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counts = binned.groupBy(*keys, "below", "bin").agg(*span)
         up = Window.partitionBy(*keys, "below").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # BINS at most
         counts = stored(counts.withColumn("start", F.col("below") + F.coalesce(F.sum("count").over(up), F.lit(0))), "quantile-bins")
         hit = _ranks_in(wanted, counts.withColumn("below", F.col("start")), keys).select(*keys, F.col("from").alias("start")).distinct()
         kept = stored(counts.alias("c").join(hit.alias("h"), [*_nulls_alike("c", "h", keys), F.col("c.start") == F.col("h.start")]).select("c.*"), "quantile-kept")
         inside = binned.alias("b").join(kept.alias("k"), [*_nulls_alike("b", "k", keys), F.col("b.below") == F.col("k.below"), F.col("b.bin") == F.col("k.bin")])
-        points = stored(inside.where("k.lo < k.hi").select(*(f"b.{k}" for k in keys), "b.v", F.col("k.start").alias("below")), "quantile-points")
-        spans = kept.select(*keys, "count", "lo", "hi", F.col("start").alias("below"))
+        points = stored(inside.where("k.lo < k.hi").select(*(f"b.{k}" for k in keys), "b.v", "b.w", F.col("k.start").alias("below")), "quantile-points")
+        spans = kept.select(*keys, "count", "points", "lo", "hi", F.col("start").alias("below"))
         passes += 1
     found = reduce(DataFrame.unionByName, known)
     at = at.withColumns({"low": F.floor("at").cast("long"), "high": F.ceil("at").cast("long")})

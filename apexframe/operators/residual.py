@@ -165,34 +165,53 @@ def _normal(*key) -> Column:
     return F.sqrt(2 * _exponential(F.lit("radius"), *key)) * F.cos(2 * math.pi * angle)
 
 
-def with_draws(rows: DataFrame, model: ResidualModel, draws: int) -> DataFrame:
-    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``; ``__by_target`` turned) and a root of its covariance (``__root``)."""
-    t, size, roots = _scaling(model.center, model.scale), len(model.coefficients), []
-    for c in model.covariance:
+def _draws_of(model: ResidualModel) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each draw's coefficients on unscaled inputs, and a root of its covariance."""
+    t, out = _scaling(model.center, model.scale), []
+    for b, c in zip(model.coefficients, model.covariance, strict=True):
         values, vectors = np.linalg.eigh((c + c.T) / 2)
-        roots.append(vectors * np.sqrt(np.maximum(values, 0)))
-    table = rows.sparkSession.createDataFrame([(d, (t @ model.coefficients[d]).tolist(), (t @ model.coefficients[d]).T.tolist(), roots[d].tolist()) for d in range(size)], "__of int, __beta array<array<double>>, __by_target array<array<double>>, __root array<array<double>>")
+        out.append((t @ b, vectors * np.sqrt(np.maximum(values, 0))))
+    return out
+
+
+def _each_draw(rows: DataFrame, draws: int, table: DataFrame, size: int) -> DataFrame:
+    """A row for each of ``rows`` and draw, with the columns of ``table`` for the model's draw (``__of``)."""
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
 
 
-def sample_residuals(rows: DataFrame, model: ResidualModel, keys: list[str], draws: int, seed: int, targets: list[str] = TARGETS) -> DataFrame:
+def with_draws(rows: DataFrame, model: ResidualModel, draws: int) -> DataFrame:
+    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``; ``__by_target`` turned) and a root of its covariance (``__root``)."""
+    of = _draws_of(model)
+    table = rows.sparkSession.createDataFrame([(d, b.tolist(), b.T.tolist(), root.tolist()) for d, (b, root) in enumerate(of)], "__of int, __beta array<array<double>>, __by_target array<array<double>>, __root array<array<double>>")
+    return _each_draw(rows, draws, table, len(of))
+
+
+def sample_residuals(rows: DataFrame, model: ResidualModel, keys: list[str], draws: int, seed: int, targets: list[str] = TARGETS, also: Sequence[str] = ()) -> DataFrame:
     """A row for each of ``rows`` and draw: residuals of the draw's coefficients and noise of its covariance, a column for each target.
 
     Draws beyond the model's begin again with its first. Numbers come from hashes of (seed, keys, draw, target), so they don't depend on how rows are
-    partitioned and a lost task draws them alike. The model's draws are broadcast: a small matrix each.
+    partitioned and a lost task draws them alike. The model's draws are broadcast: a small matrix each. Columns named in ``also`` are kept.
     """
-    d = with_draws(rows, model, draws)
-    d = d.withColumn("__noise", F.array(*(_normal(F.lit(seed), *keys, "draw", F.lit(k)) for k in range(len(targets)))))
-    noise = lambda k: reduce(lambda a, b: a + b, (F.col("__root")[k][j] * F.col("__noise")[j] for j in range(len(targets))))
-    out = {name: _linear(model, lambda i, j: F.col("__beta")[i][j], k) + noise(k) for k, name in enumerate(targets)}
-    return d.select(*keys, "draw", *(c.alias(n) for n, c in out.items()))
+    # Plain columns and no arrays: taking out so many elements makes code too long for Java to compile, and an array of noise is made anew for each.
+    of, k, p = _draws_of(model), 1 + len(model.inputs), len(targets)
+    names = [f"__b_{i}_{j}" for i in range(k) for j in range(p)] + [f"__r_{i}_{j}" for i in range(p) for j in range(p)]
+    table = rows.sparkSession.createDataFrame([(d, *map(float, np.r_[b.ravel(), root.ravel()])) for d, (b, root) in enumerate(of)], "__of int not null, " + ", ".join(f"{n} double not null" for n in names))
+    d = _each_draw(rows, draws, table, len(of)).withColumns({f"__noise_{j}": _normal(F.lit(seed), *keys, "draw", F.lit(j)) for j in range(p)})
+    noise = lambda t: reduce(lambda a, b: a + b, (F.col(f"__r_{t}_{j}") * F.col(f"__noise_{j}") for j in range(p)))
+    out = {name: _linear(model, lambda i, j: F.col(f"__b_{i}_{j}"), t) + noise(t) for t, name in enumerate(targets)}
+    return d.select(*keys, "draw", *(c.alias(n) for n, c in out.items()), *also)
 
 
 def _quartiles(rows: DataFrame, inputs: list[str], groups: list[Column]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Median and interquartile range (1 where it is 0) of the inputs over the rows of each condition, all at once."""
-    each = F.array(*(F.when(g, F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(c).cast("double").alias("v"))) for i, g in enumerate(groups) for j, c in enumerate(inputs)))
-    long = rows.select(F.explode(F.array_compact(each)).alias("x")).select("x.*")
-    got = {(r["i"], r["j"]): r["quantiles"] for r in exact_quantiles(long, ["i", "j"], "v", [0.25, 0.5, 0.75]).collect()}  # one row for each condition and input
+    """Median and interquartile range (1 where it is 0) of the inputs over the rows of each condition, all at once.
+
+    Values are counted before they are dealt to conditions, so a row isn't copied for each of them.
+    """
+    within = F.array_compact(F.array(*(F.when(g, F.lit(i)) for i, g in enumerate(groups))))
+    each = F.array(*(F.struct(F.lit(j).alias("j"), F.col(c).cast("double").alias("v")) for j, c in enumerate(inputs)))
+    counted = rows.select(within.alias("within"), F.explode(each).alias("x")).groupBy("within", "x.j", "x.v").agg(F.count(F.lit(1)).alias("times"))
+    long = counted.select(F.explode("within").alias("i"), "j", "v", "times")
+    got = {(r["i"], r["j"]): r["quantiles"] for r in exact_quantiles(long, ["i", "j"], "v", [0.25, 0.5, 0.75], "times").collect()}  # one row for each condition and input
     out = []
     for i in range(len(groups)):
         q = np.array([got.get((i, j), [0.0, 0.0, 1.0]) for j in range(len(inputs))], float)

@@ -23,6 +23,7 @@ from apexframe.operators.hazard import fit_side_hazard, horizon_probabilities, s
 from apexframe.operators.release import compact_forecast, hazard_mass, score_methods
 from apexframe.operators.residual import STATE, TARGETS, ResidualModel, _normal, _quartiles, _scaling, fit_bayesian, fit_tuned, midpoint_velocity, select_ridge, with_draws
 from apexframe.operators.timebase import UNIT
+from apexframe.scratch import stored
 
 #: Inputs that follow the place on the centre line during a forecast.
 TRACK = ["heading_error", "offset", "curvature"]
@@ -174,7 +175,8 @@ def score_fold(rows: DataFrame, models: FoldModels, segments: DataFrame, horizon
         return exit_mass(first_exits(residual_paths(rows, model, keys, max(horizons), segments, n, seed, dt), segments, segment, dt), keys, horizons, n)
 
     flags = rows.select(*keys, "input_valid_causal", "in_corridor", "hard_break")
-    return score_methods([compact_forecast(mass(m), flags, keys, horizons, max(horizons), n_bins, m) for m in methods])
+    # The mass is read for the probabilities and again for the neighbourhoods: written, no path is rolled out twice.
+    return score_methods([compact_forecast(stored(mass(m), f"mass-{m}"), flags, keys, horizons, max(horizons), n_bins, m) for m in methods])
 
 
 def outcome_order(scores: DataFrame, horizons: list[float]) -> DataFrame:

@@ -54,3 +54,13 @@ def test_scaling_uses_fit_rows_alone(spark):
     assert sorted(r.x for r in robust_transform(rows, scaler, ["x", "c"]).collect()) == [(i - 4) / 4 for i in range(20)]
     with pytest.raises(DataValidationError):
         robust_transform(rows, scaler.where("feature = 'x'"), ["x", "c"])
+
+
+def test_equal_values_are_one_point(spark, monkeypatch):
+    monkeypatch.setattr(Q, "LOCAL_ROWS", 10)
+    monkeypatch.setattr(Q, "_bin", lambda passes: pytest.fail("three values need no pass"))
+    rows = spark.range(3000).selectExpr("cast(id % 3 as double) AS v", "1 + id % 2 AS times")
+    assert Q.exact_quantiles(rows, [], "v", [0.25, 0.5, 1.0]).first()[:] == (3000, [0.0, 1.0, 2.0])
+    values = np.repeat([0.0, 5.0, 5.0, 9.0], [1, 2, 3, 4])
+    few = spark.createDataFrame([("a", 9.0, 4), ("a", 0.0, 1), ("a", 5.0, 2), ("a", 5.0, 3), ("a", 7.0, 0)], "g string, v double, times int")
+    assert Q.exact_quantiles(few, ["g"], "v", [0.1, 0.5, 0.55, 0.9], "times").first().quantiles == pytest.approx(np.quantile(values, [0.1, 0.5, 0.55, 0.9]).tolist())
