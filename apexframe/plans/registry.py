@@ -61,9 +61,14 @@ def _rounded(rows: DataFrame, *cols: str) -> DataFrame:
     return rows.withColumns({c: F.round(c, 6) for c in cols})
 
 
+@once
+def _proposals(spark, d):
+    return P.run_alerts(scores(spark, d), THRESHOLDS, POLICY)
+
+
 @once
 def _labels(spark, d):
-    return P.label_proposals(P.run_alerts(scores(spark, d), THRESHOLDS, POLICY), _events_binned(spark, d), POLICY.horizon)
+    return P.label_proposals(_proposals(spark, d), _events_binned(spark, d), POLICY.horizon)
 
 
 @once
@@ -632,8 +637,7 @@ def _csv_digits(spark, d):
 
 
 def _exact_bins(spark, d):
-    alerts = P.run_alerts(scores(spark, d), THRESHOLDS, POLICY)
-    out = P.with_exact_bin(_labels(spark, d), alerts, _events_binned(spark, d))
+    out = P.with_exact_bin(_labels(spark, d), _proposals(spark, d), _events_binned(spark, d))
     return out.select(*UNIT, "threshold", "proposal_number", "matched_event_id", "matched_side_at_onset", "matched_segment_bin", "exact_bin")
 
 

@@ -5,9 +5,11 @@ import pandas as pd
 import pytest
 
 from apexframe.contracts import DataValidationError
-from apexframe.operators import alert_ranges
+from apexframe.operators import alert_ranges, policy
 from apexframe.operators.alert_ranges import possible_states, range_function
 from apexframe.operators.policy import Car, ProposalConfig, Row, Watch, run_alerts
+from apexframe.plans import registry
+from twins import DATA
 
 CONFIG = ProposalConfig(horizon=1.5, persistence=3, rearm=1.0)
 SCHEMA = "circuit string, car_id string, frame_index long, time_seconds double, proposal_score double, predicted_side string, predicted_bin long, n_bins long, input_valid_causal boolean, in_corridor boolean, hard_break boolean"
@@ -78,3 +80,9 @@ def test_short_ranges_share_frames():
 
     got = alert_ranges._mapped(Rows(), lambda frames: ((str(i), i) for i in range(25_000)), "a string, b long")
     assert [len(f) for f in got] == [10_000, 10_000, 5_000] and list(got[2].columns) == ["a", "b"] and got[2].b.iloc[-1] == 24_999
+
+
+def test_alerts_of_exact_bins_are_made_once(spark, monkeypatch):
+    made, run = [], policy.run_alerts
+    monkeypatch.setattr(policy, "run_alerts", lambda *a: (made.append(1), run(*a))[1])
+    assert registry.QUERIES["exact_bins"](spark, DATA).count() > 0 and len(made) == 1
