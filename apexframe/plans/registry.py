@@ -298,10 +298,10 @@ def _bayesian_mean(spark, d):
 
 def _residual_samples(spark, d):
     """Four draws of the residuals of every transition, beside their mean."""
-    rows = _transitions(spark, d)
+    rows = stored(_transitions(spark, d).dropna(subset=KEY), "transitions")
     model = D.fit_bayesian(rows, BODY, 1.0, 64, SEED)
-    means = D.predict_mean(rows, model).select(*KEY, *(f"mean_{t}" for t in D.TARGETS))
-    return _rounded(D.sample_residuals(rows, model, KEY, 4, SEED).join(means, KEY), *D.TARGETS, *(f"mean_{t}" for t in D.TARGETS))
+    means = [f"mean_{t}" for t in D.TARGETS]
+    return _rounded(D.sample_residuals(D.predict_mean(rows, model), model, KEY, 4, SEED, also=means), *D.TARGETS, *means)
 
 
 def _side_hazard(spark, d):

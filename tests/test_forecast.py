@@ -187,3 +187,18 @@ def test_means_and_samples_of_residuals(spark):
     assert np.cov(left.T) == pytest.approx(model.covariance[0], abs=0.012) and np.abs(left.mean(0)).max() < 0.025
     calm = D.sample_residuals(rows, model.twin(), ["id"], 1, 5, ["s", "t"]).orderBy("id").toPandas()
     assert calm[["s", "t"]].to_numpy() == pytest.approx(x @ model.coefficients.mean(0))
+
+
+def test_samples_keep_columns_and_their_code_is_compiled(spark):
+    rng = np.random.default_rng(4)
+    roots = rng.normal(size=(3, 5, 5))
+    model = D.ResidualModel(("a",), np.zeros(1), np.ones(1), rng.normal(size=(3, 2, 5)), roots @ roots.transpose(0, 2, 1))
+    rows = spark.range(4).selectExpr("id", "double(id) AS a", "concat('n', id) AS name")
+    out = D.sample_residuals(rows, model, ["id"], 5, 1, also=["name"])
+    assert out.columns == ["id", "draw", *D.TARGETS, "name"] and out.count() == 20
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        code = D.sample_residuals(rows, model, ["id"], 5, 1)._jdf.queryExecution().debug().codegenToSeq()
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000  # Java interprets longer methods
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
