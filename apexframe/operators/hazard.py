@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from apexframe.scratch import stored
+
 #: Classes of a step; the first one is the reference class.
 CLASSES = ["no_exit", "left", "right"]
 
@@ -40,10 +42,11 @@ def horizon_probabilities(rows: DataFrame, steps: dict[float, int]) -> DataFrame
 def fit_side_hazard(rows: DataFrame, inputs: list[str], label: str = "label", l2: float = 1.0, iterations: int = 30, tolerance: float = 1e-9) -> np.ndarray:
     """Coefficients (1 + inputs, left and right) of the mean log loss plus l2 / 2 times the squared non-intercepts.
 
-    Each Newton step is one aggregate; a step that raises the loss is halved. Rows with a null input or another label don't count.
+    Each Newton step is one aggregate over label and inputs, which are written once, so that no step makes the rows anew; a step that raises the loss
+    is halved. Rows with a null input or another label don't count.
     """
     k = 1 + len(inputs)
-    d = rows.where(F.col(label).isin(*CLASSES)).dropna(subset=inputs).select(F.col(label).alias("_label"), *inputs)
+    d = stored(rows.where(F.col(label).isin(*CLASSES)).dropna(subset=inputs).select(F.col(label).alias("_label"), *inputs), "hazard-fit")
     z = [F.lit(1.0), *(F.col(c).cast("double") for c in inputs)]
     p, y = [F.col("p_left"), F.col("p_right")], [(F.col("_label") == c).cast("double") for c in CLASSES[1:]]
     hit = F.when(F.col("_label") == "left", F.col("p_left")).when(F.col("_label") == "right", F.col("p_right")).otherwise(F.col("p_no_exit"))

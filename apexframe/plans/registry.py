@@ -307,7 +307,7 @@ def _residual_samples(spark, d):
 def _side_hazard(spark, d):
     key = [*UNIT, "frame_index"]
     t = tele(spark, d).select(*key, (F.col("value") / 100).alias("level"), (F.col("k") / 100.0).alias("place"))
-    rows = V.hazard_rows(tele(spark, d), _events(spark, d)).join(t, key)
+    rows = stored(V.hazard_rows(tele(spark, d), _events(spark, d)).join(t, key), "hazard-rows")
     w = H.fit_side_hazard(rows, ["level", "place"], l2=0.01)
     out = H.horizon_probabilities(H.step_probabilities(rows, ["level", "place"], w), {6.0: 1, 24.0: 4})
     return _rounded(out.select(*key, "label", "horizon", "h_no_exit", "h_left", "h_right"), "h_no_exit", "h_left", "h_right")

@@ -202,3 +202,10 @@ def test_samples_keep_columns_and_their_code_is_compiled(spark):
         assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) < 8000  # Java interprets longer methods
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_newton_steps_read_rows_that_are_written(spark, monkeypatch):
+    seen, plain = [], H.step_probabilities
+    monkeypatch.setattr(H, "step_probabilities", lambda rows, *more: (seen.append(rows.inputFiles()), plain(rows, *more))[1])
+    H.fit_side_hazard(spark.createDataFrame([(0.0, "left"), (1.0, "no_exit"), (2.0, "right"), (0.5, "no_exit")], "a double, label string"), ["a"], l2=0.1)
+    assert len(seen) > 1 and all(seen)
