@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from apexframe.operators.sweeps import covering
@@ -32,25 +33,51 @@ def artifact_proximity(frames: DataFrame, radius: float) -> DataFrame:
     return d.withColumn("near_artifact", F.coalesce(near, F.lit(False)))
 
 
-def _prepared(frames: DataFrame, config: ExcursionConfig) -> DataFrame:
-    w = by_unit()
-    d = frames.withColumn("dt", F.col("time_seconds") - F.lag("time_seconds").over(w))
-    cadence = d.groupBy(*UNIT).agg(F.percentile(F.when(F.col("dt") > 0, F.col("dt")), F.lit(0.5)).alias("cadence"))
-    d = artifact_proximity(d.join(cadence, UNIT), config.artifact)
-    d = d.withColumn("outside", ~F.col("in_corridor") & F.col("active"))
+def _kept(mark: Column, value: Column, w: Window) -> Column:
+    """``value`` of the last marked row so far, nulls too; a table of many runs needs no window (and sort) of its own for each kind of run."""
+    return F.last(F.when(mark, F.struct(value.alias("value"))), ignorenulls=True).over(running(w))["value"]
+
+
+def _known(frames: DataFrame) -> DataFrame:
+    return frames.where(reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in UNIT)))
+
+
+def _prepared(frames: DataFrame) -> DataFrame:
+    """Frames of known cars with what a run's first and last row tell, from one sort backwards and one forwards.
+
+    A car's time must not fall and the rows of a segment must follow each other, as its frames go on.
+    """
+    back, w = Window.partitionBy(*UNIT).orderBy(F.desc("frame_index")), by_unit()
+    following, before = (lambda c: F.lag(c).over(back)), (lambda c: F.lead(c).over(back))
+    d = _known(frames).withColumns(
+        {
+            **{f"next_{n}": following(c) for n, c in (("frame", "frame_index"), ("time", "time_seconds"), ("segment", "continuous_segment_id"), ("active", "active"))},
+            **{f"last_{n}": before(c) for n, c in (("frame", "frame_index"), ("time", "time_seconds"), ("segment", "continuous_segment_id"), ("active", "active"))},
+            "pit_ahead": ahead(F.when(F.col("pit_status") != 0, F.col("frame_index")), UNIT, "frame_index"),
+            "seed_after": ahead(F.when(F.col("artifact_seed"), F.col("time_seconds")), UNIT, "frame_index"),
+        }
+    )
     # Runs of active rows, not split at breaks.
-    d = d.withColumn("active_run", F.sum((~F.col("active") | (F.coalesce(F.lag("active").over(w), F.lit(False)) != F.col("active"))).cast("int")).over(running(w)))
-    run = Window.partitionBy(*UNIT, "active_run")
-    d = d.withColumn("active_start", F.min("time_seconds").over(run)).withColumn("active_end", F.max("time_seconds").over(run))
-    segment = Window.partitionBy(*UNIT, "continuous_segment_id")
-    d = d.withColumn("first_in_segment", F.min("frame_index").over(segment)).withColumn("last_in_segment", F.max("frame_index").over(segment))
+    begins = lambda last, now: F.coalesce(~F.col(now) | (F.coalesce(last, F.lit(False)) != F.col(now)), F.lit(False))
+    first, final, same = F.col("last_frame").isNull(), F.col("next_frame").isNull(), F.col("continuous_segment_id").eqNullSafe
+    d = d.withColumn("active_end", _kept(final | begins("active", "next_active"), F.col("time_seconds"), back))
     # Clean time before a row: back to the last row that is dirty, or to the row after a break.
     clean = F.col("active") & (F.col("pit_status") == 0) & F.col("in_corridor")
-    earlier = by_unit().rowsBetween(Window.unboundedPreceding, -1)
-    d = d.withColumn("pit_ahead", ahead(F.when(F.col("pit_status") != 0, F.col("frame_index")), UNIT, "frame_index"))
-    d = d.withColumn("last_dirty", F.max(F.when(~clean, F.col("frame_index"))).over(earlier))
-    d = d.withColumn("clean_from", F.greatest("first_in_segment", F.coalesce(F.col("last_dirty") + 1, F.lit(0))))
-    return d.drop("last_dirty")
+    dirty = F.when(~clean, F.struct("frame_index", "next_frame", "next_time"))
+    dt = F.col("time_seconds") - F.col("last_time")
+    whole, earlier = (w.rowsBetween(Window.unboundedPreceding, end) for end in (Window.unboundedFollowing, -1))
+    d = d.withColumns(
+        {
+            "cadence": F.percentile(F.when(dt > 0, dt), F.lit(0.5)).over(whole),
+            "active_start": _kept(first | begins("last_active", "active") | F.col("last_time").isNull(), F.col("time_seconds"), w),
+            "segment_first": F.last(F.when(first | ~same(F.col("last_segment")), F.struct("frame_index", "time_seconds")), ignorenulls=True).over(running(w)),
+            "seed_before": F.last(F.when(F.col("artifact_seed"), F.col("time_seconds")), ignorenulls=True).over(running(w)),
+            "last_dirty": F.last(dirty, ignorenulls=True).over(earlier),
+        }
+    )
+    d = d.withColumn("clean_from", F.greatest("segment_first.frame_index", F.coalesce(F.col("last_dirty.frame_index") + 1, F.lit(0))))
+    clean_time = F.when(F.col("clean_from") == F.col("segment_first.frame_index"), F.col("segment_first.time_seconds")).when(F.col("clean_from") == F.col("last_dirty.next_frame"), F.col("last_dirty.next_time"))
+    return d.withColumns({"clean_time": clean_time, "segment_first": F.col("segment_first.frame_index"), "segment_ends": final | ~same(F.col("next_segment")), "outside": ~F.col("in_corridor") & F.col("active")})
 
 
 def _spans(prepared: DataFrame, config: ExcursionConfig) -> DataFrame:
@@ -64,32 +91,30 @@ def _spans(prepared: DataFrame, config: ExcursionConfig) -> DataFrame:
 
 
 def excursion_candidates(frames: DataFrame, config: ExcursionConfig) -> DataFrame:
-    """One row for each candidate, qualified or with the first reason against it; all windows share the car's partitioning."""
-    d = _prepared(frames, config)
-    rows = _spans(d, config)
-    first = lambda c: F.min_by(c, "frame_index")
-    last = lambda c: F.max_by(c, "frame_index")
+    """One row for each candidate, qualified or with the first reason against it; all windows share the car's partitioning, and no frame is joined back.
+
+    A car's time must not fall and the rows of a segment must follow each other, as its frames go on.
+    """
+    rows = _spans(_prepared(frames), config)
+    begun = {
+        "start_time": "time_seconds", "side_at_onset": "local_side", "arclength_at_onset": "centerline_arclength_wrapped_m", "cadence": "cadence", "segment_first": "segment_first",
+        "active_start": "active_start", "active_end": "active_end", "clean_time": "clean_time", "pit_ahead": "pit_ahead", "seed_before": "seed_before", "seed_after": "seed_after",
+    }
+    begun = F.struct(*(F.col(c).alias(n) for n, c in begun.items()), (F.col("pit_status") != 0).alias("start_in_pit"))
+    ended = F.struct(F.col("time_seconds").alias("end_time"), F.col("segment_ends").alias("end_truncated"))
     runs = rows.groupBy(*UNIT, "continuous_segment_id", "run").agg(
-        F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"),
-        first("time_seconds").alias("start_time"), last("time_seconds").alias("end_time"),
-        F.first("cadence").alias("cadence"), F.max("outside_depth_m").alias("max_depth"),
-        F.max_by("frame_index", F.struct("outside_depth_m", -F.col("frame_index"))).alias("max_depth_frame"),
-        F.count(F.lit(1)).alias("n_outside"), first("local_side").alias("side_at_onset"),
-        first("centerline_arclength_wrapped_m").alias("arclength_at_onset"),
-        F.first("first_in_segment").alias("segment_first"), F.first("last_in_segment").alias("segment_last"),
-        F.first("active_start").alias("active_start"), F.first("active_end").alias("active_end"), first("clean_from").alias("clean_from"), (first("pit_status") != 0).alias("start_in_pit"),
-        first("pit_ahead").alias("pit_ahead"), first("seed_before").alias("seed_before"), first("seed_after").alias("seed_after"),
+        F.min("frame_index").alias("start_frame"), F.max("frame_index").alias("end_frame"), F.min_by(begun, "frame_index").alias("begun"), F.max_by(ended, "frame_index").alias("ended"),
+        F.max(F.struct(F.col("outside_depth_m").alias("depth"), (-F.col("frame_index")).alias("frame"))).alias("deepest"), F.count(F.lit(1)).alias("n_outside"),
     )
+    runs = runs.select(*UNIT, "continuous_segment_id", "run", "start_frame", "end_frame", "n_outside", "begun.*", "ended.*", F.col("deepest.depth").alias("max_depth"), (-F.col("deepest.frame")).alias("max_depth_frame"))
     # Whether pit rows lie in the span (gaps included) and artifacts near it: the nearest ones around its first row tell.
     reach, known = config.artifact + 1e-12, lambda c: F.coalesce(c, F.lit(False))
     pit = known(F.col("pit_ahead") <= F.col("end_frame"))
     artifact = known(F.col("seed_before") >= F.col("start_time") - reach) | known(F.col("seed_after") <= F.col("end_time") + reach)
-    runs = runs.withColumns({"pit_overlap": pit, "artifact_near": artifact}).drop("pit_ahead", "seed_before", "seed_after")
-    clean = d.select(*UNIT, F.col("frame_index").alias("clean_from"), F.col("time_seconds").alias("clean_time"))
-    e = runs.join(clean, [*UNIT, "clean_from"], "left")
+    e = runs.withColumns({"pit_overlap": pit, "artifact_near": artifact})
     e = e.withColumn("duration", F.col("end_time") - F.col("start_time") + F.col("cadence"))
     e = e.withColumn("lead_in", F.when(F.col("start_in_pit"), 0.0).otherwise(F.greatest(F.lit(0.0), F.coalesce(F.col("start_time") - F.col("clean_time"), F.lit(0.0)))))
-    e = e.withColumn("start_truncated", F.col("start_frame") == F.col("segment_first")).withColumn("end_truncated", F.col("end_frame") == F.col("segment_last"))
+    e = e.withColumn("start_truncated", F.col("start_frame") == F.col("segment_first"))
     near_edge = (F.col("start_time") - F.col("active_start") + 1e-12 < config.edge) | (F.col("active_end") - F.col("end_time") + 1e-12 < config.edge)
     truncated = lambda c: F.lit(config.exclude_truncated) & F.col(c)
     reason = (
@@ -137,18 +162,26 @@ def project_events(grid: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def interval_exposure(frames: DataFrame, edge: float, artifact: float) -> DataFrame:
-    """Seconds of valid driving for each car: before buffers, and without run edges and artifact surroundings."""
-    w = by_unit()
-    d = frames.select(*UNIT, "frame_index", F.col("time_seconds").alias("t0"), F.lead("time_seconds").over(w).alias("t1"), (F.col("active") & F.lead("active").over(w)).alias("pair"), F.lead("hard_break").over(w).alias("breaks"), ((F.col("pit_status") != 0) | (F.lead("pit_status").over(w) != 0)).alias("pit"), "artifact_seed")
-    d = d.where("t1 is not null")
-    d = d.withColumn("run", F.sum((~F.col("pair") | ~F.coalesce(F.lag("pair").over(w), F.lit(False))).cast("int")).over(running(w)))
-    run = Window.partitionBy(*UNIT, "run")
-    d = d.withColumn("run_start", F.min("t0").over(run)).withColumn("run_end", F.max("t1").over(run))
+    """Seconds of valid driving for each known car: before buffers, and without run edges and artifact surroundings; one sort backwards and one forwards.
+
+    A car's time must not fall as its frames go on.
+    """
+    back, w = Window.partitionBy(*UNIT).orderBy(F.desc("frame_index")), by_unit()
+    following = lambda c, n=1: F.lag(c, n).over(back)
+    seed = F.when(F.col("artifact_seed"), F.col("time_seconds"))
+    d = _known(frames).select(
+        *UNIT, "frame_index", F.col("time_seconds").alias("t0"), following("time_seconds").alias("t1"), following("time_seconds", 2).alias("t2"), F.lead("time_seconds").over(back).alias("last_t0"),
+        (F.col("active") & following("active")).alias("pair"), (following("active") & following("active", 2)).alias("next_pair"), (F.lead("active").over(back) & F.col("active")).alias("last_pair"),
+        following("hard_break").alias("breaks"), ((F.col("pit_status") != 0) | (following("pit_status") != 0)).alias("pit"), seed.alias("seed"), ahead(seed, UNIT, "frame_index", strictly=True).alias("after"),
+    )
+    # Runs of pairs; a run's end is met first, as rows come backwards. A row whose next one has no time is no interval.
+    begins = lambda last, now: F.coalesce(~F.col(now) | ~F.coalesce(last, F.lit(False)), F.lit(False))
+    d = d.withColumn("run_end", _kept(F.col("t2").isNull() | begins("pair", "next_pair"), F.col("t1"), back)).where("t1 is not null")
+    last_pair = F.when(F.col("t0").isNotNull(), F.col("last_pair"))
+    # The nearest seeds around an interval decide whether any overlaps it (strictly).
+    d = d.withColumns({"run_start": _kept(F.col("last_t0").isNull() | begins(last_pair, "pair"), F.col("t0"), w), "before": F.last("seed", ignorenulls=True).over(running(w))})
     valid = F.col("pair") & ~F.col("breaks") & (F.col("t1") > F.col("t0")) & ~F.col("pit")
     safe = (F.col("t0") >= F.col("run_start") + edge - 1e-12) & (F.col("t1") <= F.col("run_end") - edge + 1e-12)
-    # The nearest seeds around an interval decide whether any overlaps it (strictly).
-    seeds = frames.withColumn("s", F.when(F.col("artifact_seed"), F.col("time_seconds"))).select(*UNIT, "frame_index", F.last("s", ignorenulls=True).over(running(w)).alias("before"), ahead("s", UNIT, "frame_index", strictly=True).alias("after"))
-    d = d.join(seeds, [*UNIT, "frame_index"])
     hit = F.coalesce(F.col("t0") < F.col("before") + artifact, F.lit(False)) | F.coalesce(F.col("t1") > F.col("after") - artifact, F.lit(False))
     buffered = valid & safe & ~hit
     span = F.col("t1") - F.col("t0")

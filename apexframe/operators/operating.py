@@ -9,12 +9,19 @@ from apexframe.contracts import DataValidationError, require_columns
 from apexframe.operators.policy import operating_points
 from apexframe.operators.release import estimable
 from apexframe.operators.timebase import UNIT
+from apexframe.scratch import stored
 
 CELL = ["method", "required_lead", "budget"]
 
 
+def _by_event(labels: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, matched_event_id, best_lead, false_proposals, unresolved): the longest lead of an event's hits, so that it counts once whatever the lead required."""
+    hit = F.when(F.col("localized_hit") & F.col("matched_event_id").isNotNull(), F.col("lead"))
+    return labels.groupBy(*keys, "matched_event_id").agg(F.max(hit).alias("best_lead"), F.count_if("false_proposal").alias("false_proposals"), F.count_if("unresolved_censored").alias("unresolved"))
+
+
 def _timely(need: str):
-    return F.when(F.col("localized_hit") & (F.col("lead") >= F.col(need) - 1e-12), F.col("matched_event_id"))
+    return F.col("best_lead") >= F.col(need) - 1e-12
 
 
 def threshold_summary(labels: DataFrame, cars: DataFrame, leads: list[float], thresholds: list[float]) -> DataFrame:
@@ -23,8 +30,9 @@ def threshold_summary(labels: DataFrame, cars: DataFrame, leads: list[float], th
     ``labels`` are those of :func:`apexframe.operators.policy.label_proposals` with their method, ``cars`` have events and exposure. Dense: a
     threshold without proposals has none.
     """
-    mine = labels.join(cars.select(*UNIT), UNIT, "left_semi").select("*", F.explode(F.array(*map(F.lit, leads))).alias("required_lead"))
-    found = mine.groupBy("method", "threshold", "required_lead").agg(F.count_distinct(_timely("required_lead")).alias("hits"), F.count_if("false_proposal").alias("false_proposals"))
+    mine = labels.join(cars.select(*UNIT), UNIT, "left_semi")
+    each = _by_event(mine, ["method", "threshold"]).select("*", F.explode(F.array(*map(F.lit, leads))).alias("required_lead"))
+    found = each.groupBy("method", "threshold", "required_lead").agg(F.count_if(_timely("required_lead")).alias("hits"), F.sum("false_proposals").alias("false_proposals"))
     grid = labels.select("method").distinct().select("method", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).select("*", F.explode(F.array(*map(F.lit, leads))).alias("required_lead"))
     whole = cars.agg(F.coalesce(F.sum("events"), F.lit(0)).alias("events"), F.coalesce(F.sum("exposure"), F.lit(0.0)).alias("exposure"))  # one row
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -38,6 +46,7 @@ def choose_cells(summary: DataFrame, budgets: list[float], minimum: float = 1.0)
 
     ``not_estimable``: the exposure doesn't allow ``minimum`` false alerts within the budget; ``no_threshold``: none keeps the budget.
     """
+    summary = stored(summary, "summary")  # a row for each method, threshold and lead
     cells = summary.groupBy("method", "required_lead").agg(F.max("exposure").alias("exposure")).select("*", F.explode(F.array(*map(F.lit, budgets))).alias("budget"))
     best = operating_points(summary, budgets, ["method"]).select(*CELL, F.col("threshold").alias("best"))
     d = cells.join(best, CELL, "left")
@@ -63,8 +72,9 @@ def heldout_ledger(cells: DataFrame, sealed: str, labels: DataFrame, cars: DataF
     if cells.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n")).where("n > 1").take(1):
         raise DataValidationError("a cell occurs more than once")
     few = F.broadcast(cells)  # methods x leads x budgets
-    mine = labels.join(cars.select(*UNIT), UNIT, "left_semi").join(few, ["method", "threshold"])
-    found = mine.groupBy(*UNIT, *CELL).agg(F.count_distinct(_timely("required_lead")).alias("hits"), F.count_if("false_proposal").alias("false_proposals"), F.count_if("unresolved_censored").alias("unresolved"))
+    mine = labels.join(F.broadcast(cells.select("method", "threshold").distinct()), ["method", "threshold"], "left_semi").join(cars.select(*UNIT), UNIT, "left_semi")
+    each = _by_event(mine, [*UNIT, "method", "threshold"]).join(few, ["method", "threshold"])
+    found = each.groupBy(*UNIT, *CELL).agg(F.count_if(_timely("required_lead")).alias("hits"), F.sum("false_proposals").alias("false_proposals"), F.sum("unresolved").alias("unresolved"))
     listed = cells.agg(F.collect_list(F.struct(*CELL, "threshold", "state")).alias("cells"))
     dense = cars.select(*UNIT, "events", "exposure").join(F.broadcast(listed)).select(*UNIT, "events", "exposure", F.explode("cells").alias("c")).select(*UNIT, "c.*", "events", "exposure")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)

@@ -160,7 +160,7 @@ ROW = ["time_seconds", "proposal_score", "predicted_side", "predicted_bin", "n_b
 def run_alerts(scores: DataFrame, thresholds: list[float], config: ProposalConfig) -> DataFrame:
     """Proposals of every car at every threshold.
 
-    Cars are partitioned and sorted once; a task streams its rows and holds one car's state. Cars too long for one task are spread over
+    Cars are partitioned and sorted once; a task takes some 200,000 rows of whole cars at a time, see :mod:`apexframe.operators.alert_lanes`. Cars too long for one task are spread over
     many, see :func:`apexframe.operators.alert_ranges.run_long_alerts`; the result is the same.
     """
     from apexframe.operators import alert_ranges  # it builds on this module
@@ -174,22 +174,14 @@ def run_alerts(scores: DataFrame, thresholds: list[float], config: ProposalConfi
 
 
 def _run_whole(scores: DataFrame, thresholds: list[float], config: ProposalConfig) -> DataFrame:
-    names = [c.split()[0] for c in PROPOSAL_SCHEMA.split(", ")]
+    from apexframe.operators import alert_lanes  # it builds on this module
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, car = None, Car(thresholds, config)
-        for pdf in batches:
-            out = []
-            for circuit, car_id, *row in pdf[[*UNIT, *ROW]].itertuples(index=False, name=None):
-                if (circuit, car_id) != key:
-                    out += [(*key, *p) for p in car.finish()] if key else []
-                    key, car = (circuit, car_id), Car(thresholds, config)
-                out += [(*key, *p) for p in car.feed(Row(*row))]
-            yield pd.DataFrame(out, columns=names)
-        if key:
-            yield pd.DataFrame([(*key, *p) for p in car.finish()], columns=names)
-
-    rows = scores.select(*UNIT, "frame_index", *ROW).repartition(*UNIT).sortWithinPartitions(*UNIT, "frame_index")
+        for rows, begins in alert_lanes.chunks(batches):
+            yield alert_lanes.replay(rows, begins, thresholds, config)
+
+    rows = scores.select("frame_index", *alert_lanes.COLUMNS[:-1], alert_lanes.sight())
+    rows = rows.repartition(*UNIT).sortWithinPartitions(*UNIT, "frame_index").select(*alert_lanes.COLUMNS)
     return rows.mapInPandas(replay, PROPOSAL_SCHEMA)
 
 
@@ -225,12 +217,12 @@ def with_exact_bin(labels: DataFrame, proposals: DataFrame, events: DataFrame) -
     return d.withColumn("exact_bin", F.coalesce(F.col("predicted_bin") == F.col("matched_segment_bin"), F.lit(False))).drop("predicted_bin")
 
 
-def delayed(labels: DataFrame, delays: list[float]) -> DataFrame:
-    """Labels under added latency: a hit whose lead no longer suffices turns false; unresolved ones stay."""
+def delayed(labels: DataFrame, delays: list[float], keep: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """Labels under added latency, with the columns ``keep``: a hit whose lead no longer suffices turns false; unresolved ones stay."""
     d = labels.select("*", F.explode(F.array(*map(F.lit, delays))).alias("delay"))
     left = F.col("lead") - F.col("delay")
     hit = F.col("localized_hit") & (left >= -1e-12)
-    return d.select(*UNIT, "threshold", "proposal_number", "delay", left.alias("effective_lead"), F.coalesce(hit, F.lit(False)).alias("localized_hit"), "unresolved_censored", F.when(F.col("matched_event_id").isNotNull(), ~F.coalesce(hit, F.lit(False))).otherwise(F.col("false_proposal")).alias("false_proposal"))
+    return d.select(*UNIT, "threshold", "proposal_number", *keep, "delay", left.alias("effective_lead"), F.coalesce(hit, F.lit(False)).alias("localized_hit"), "unresolved_censored", F.when(F.col("matched_event_id").isNotNull(), ~F.coalesce(hit, F.lit(False))).otherwise(F.col("false_proposal")).alias("false_proposal"))
 
 
 def detection_summary(labels: DataFrame, events: DataFrame, exposure_hours: DataFrame, leads: list[float]) -> DataFrame:

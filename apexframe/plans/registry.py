@@ -480,20 +480,24 @@ def _streamed(spark, d):
 def _two_methods(spark, d):
     """Labels of the alerts as they come, and of the same six seconds late."""
     plain = _labels(spark, d).withColumn("method", F.lit("plain"))
-    late = P.delayed(_labels(spark, d), [6.0]).drop("delay").withColumn("lead", F.round("effective_lead", 6)).drop("effective_lead")
-    late = late.join(_labels(spark, d).select(*UNIT, "threshold", "proposal_number", "matched_event_id"), [*UNIT, "threshold", "proposal_number"]).withColumn("method", F.lit("late"))
+    late = P.delayed(_labels(spark, d), [6.0], ["matched_event_id"]).withColumn("lead", F.round("effective_lead", 6)).withColumn("method", F.lit("late"))
     names = [*UNIT, "method", "threshold", "proposal_number", "matched_event_id", "lead", "localized_hit", "false_proposal", "unresolved_censored"]
     return plain.select(*names).unionByName(late.select(*names))
 
 
-def _cars(spark, d, partition):
-    """Cars of a partition of fold C0, with events and exposure."""
-    cars = _loco(spark, d).where((F.col("fold_test_circuit") == "C0") & (F.col("partition") == partition)).select(*UNIT)
+@once
+def _fold_cars(spark, d):
+    """Cars of fold C0 with their partition, events and exposure."""
+    cars = _loco(spark, d).where("fold_test_circuit = 'C0'").select(*UNIT, "partition")
     events = _events(spark, d).groupBy(*UNIT).agg(F.count_if("qualified").alias("events"))
     exposure = _exposure(spark, d).select(*UNIT, F.col("prebuffer_seconds").alias("exposure"))
     return cars.join(exposure, UNIT).join(events, UNIT, "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
+def _cars(spark, d, partition):
+    return _fold_cars(spark, d).where(F.col("partition") == partition).drop("partition")
+
+
 @once
 def _operating_cells(spark, d):
     """Chosen on the calibration cars of fold C0."""

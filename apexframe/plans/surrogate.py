@@ -9,7 +9,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from apexframe.operators.timebase import segment_ids
+from apexframe.operators.timebase import running
 from apexframe.scratch import stored
 
 LAP = 24.0
@@ -57,26 +57,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @once
 def tele(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames of cars (users) on circuits (user_id % 4); see each column's rule below."""
+    """Frames of cars (users) on circuits (user_id % 4); see each column's rule below.
+
+    All windows are those of a user by time, one shuffle and one sort; a user's circuit and car follow from the id.
+    """
     e = table(spark, sf_dir, "events")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    by_user = Window.partitionBy("user_id")
-    w = by_user.orderBy("ts", "event_id")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     d = e.select("user_id", "ts", "event_id", "value", "event_type", us.alias("us"), F.get_json_object("props", "$.k").cast("long").alias("k"))
-    d = d.withColumn("t", (F.col("us") - F.min("us").over(by_user)) / F.lit(3.6e9)).withColumn("frame_index", F.row_number().over(w).cast("long") - 1)
-    d = d.withColumn("lap_number", F.floor(F.col("t") / LAP).cast("long")).withColumn("active", F.col("event_type") != "error")
-    d = d.select(
+    d = d.withColumn("active", F.col("event_type") != "error")
+    d = d.withColumns({"first_us": F.min("us").over(whole), "frame_index": F.row_number().over(w).cast("long") - 1, "us_before": F.lag("us").over(w), "active_before": F.lag("active").over(w)})
+    t, before = ((F.col(c) - F.col("first_us")) / F.lit(3.6e9) for c in ("us", "us_before"))
+    lap = lambda c: F.floor(F.col(c) / LAP).cast("long")
+    d = d.withColumns({"t": t, "t_before": before}).withColumns({"lap_number": lap("t"), "lap_before": lap("t_before")})
+    d = d.withColumn("hard_break", F.col("t_before").isNull() | (F.col("t") - F.col("t_before") > 24) | (F.col("active") != F.col("active_before")))
+    d = d.withColumn("continuous_segment_id", F.sum(F.col("hard_break").cast("long")).over(running(w)) - 1)  # as segment_ids has it
+    return d.select(
         F.concat(F.lit("C"), (F.col("user_id") % 4).cast("string")).alias("circuit"), F.concat(F.lit("car_"), F.col("user_id").cast("string")).alias("car_id"),
         "frame_index", F.col("t").alias("time_seconds"), "lap_number", (F.col("t") - LAP * F.col("lap_number")).alias("current_lap_time"), F.lit(LAP).alias("last_lap_time"),
         (F.col("value") < 60).alias("in_corridor"), (F.greatest(F.col("value") - 60, F.lit(0.0)) / 10).alias("outside_depth_m"), "active",
         F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("pit_status"), F.when(F.col("k") % 2 == 0, "left").otherwise("right").alias("local_side"),
         (F.col("k") * 10.0).alias("centerline_arclength_wrapped_m"), "value", "k", "user_id",
+        "hard_break", (F.col("hard_break") | F.coalesce(F.col("lap_number") != F.col("lap_before"), F.lit(False))).alias("artifact_seed"), "continuous_segment_id",
     )
-    car = Window.partitionBy("circuit", "car_id").orderBy("frame_index")
-    before = lambda c: F.lag(c).over(car)
-    broken = before("time_seconds").isNull() | (F.col("time_seconds") - before("time_seconds") > 24) | (F.col("active") != before("active"))
-    d = d.withColumn("hard_break", broken).withColumn("artifact_seed", F.col("hard_break") | F.coalesce(F.col("lap_number") != before("lap_number"), F.lit(False)))
-    return segment_ids(d)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
