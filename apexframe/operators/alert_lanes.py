@@ -145,8 +145,9 @@ def replay(rows: pd.DataFrame, begins: np.ndarray, thresholds: list[float], conf
             run = (side[r], bins[r], int(run_lengths[i, lane])) if r >= 0 else None
             proposal = (number, time[o], side[o], bins[o], size[o]) if phases[i, lane] == _OPEN else None
             car.watches[i] = Watch(_PHASES[phases[i, lane]], number, run, proposal, rest_since[i, lane] if rests[i, lane] else None)
-        closed = [p for r in range(first + step, last) for p in car.feed(Row(time[r], score[r], side[r], bins[r], size[r], valid[r], inside[r], grave[r] == _BREAK))]
-        alone += [(*rows.loc[first, UNIT], *p) for p in closed + car.finish()]
+        left = zip(*(a[first + step : last].tolist() for a in (time, score, side, bins, size, valid, inside, grave == _BREAK)), strict=True)
+        closed, key = [p for row in left for p in car.feed(Row(*row))], tuple(rows.loc[first, UNIT])
+        alone += [(*key, *p) for p in closed + car.finish()]
     return _proposals(rows, thresholds, found, alone)
 
 
