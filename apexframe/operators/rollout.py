@@ -1,27 +1,28 @@
 """Forecasts by fitted residual models, rolled out in columns, and the models and scores of one fold.
 
-A state moves through its steps inside one expression, so a forecast needs no shuffle before its exits are counted. Draws of a model are rows beside each
-other: their number is a parameter, not a size of the data, and they are counted before anything is shuffled by row.
+States are dealt once; a task moves many of them, with all draws of a model beside each other, step by step in arrays, and hands on the moves that may touch
+a boundary, so a forecast needs no further shuffle before its exits are counted. The number of draws is a parameter, not a size of the data.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from apexframe.contracts import DataValidationError, require_columns
 from apexframe.operators.features import horizon_column
 from apexframe.operators.forecast import STEP, constant_paths, first_exits
-from apexframe.operators.geometry import _nearest, _with_map, tangents
+from apexframe.operators.geometry import tangents
 from apexframe.operators.hazard import fit_side_hazard, horizon_probabilities, step_probabilities
 from apexframe.operators.release import compact_forecast, hazard_mass, score_methods
-from apexframe.operators.residual import STATE, TARGETS, ResidualModel, _normal, _quartiles, _scaling, fit_bayesian, fit_tuned, midpoint_velocity, select_ridge, with_draws
+from apexframe.operators.residual import STATE, TARGETS, ResidualModel, _draws_of, _quartiles, _scaling, fit_bayesian, fit_tuned, midpoint_velocity, select_ridge
 from apexframe.operators.timebase import UNIT
 from apexframe.scratch import stored
 
@@ -33,75 +34,139 @@ MOST_SIDES = 100_000
 METHODS = ["bayesian", "deterministic", "tuned", "constant_velocity", "constant_turn", "hazard"]
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)``, with the value computed once."""
-    return F.transform(F.array(value), then)[0]
-
-
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda total, v: total + v)
-
-
-def _wrapped(angle: Column) -> Column:
-    return F.pmod(angle + math.pi, F.lit(2 * math.pi)) - math.pi
-
-
-def _inputs(model: ResidualModel, s: Column, center: Column | None, dt: float) -> Column:
-    """(1, inputs) of the model at state ``s``; inputs that are neither of the state nor of the track stay as they were at first."""
-    def of(track: Column | None) -> Column:
-        side = None if track is None else track["side"]
-        known = {c: s[c] for c in STATE} | {"dt": F.lit(dt)}
-        if side is not None:
-            known |= {"heading_error": _wrapped(s["yaw"] - side["heading"]), "offset": side["tx"] * (s["y"] - side["ay"]) - side["ty"] * (s["x"] - side["ax"]), "curvature": side["curvature"]}
-        return F.array(F.lit(1.0), *(known.get(c, F.col(c).cast("double")) for c in model.inputs))
-
-    return of(None) if center is None else _let(_nearest(center, s["x"], s["y"]), of)
-
-
-def residual_paths(states: DataFrame, model: ResidualModel, keys: list[str], horizon: float, segments: DataFrame | None = None, draws: int = 1, seed: int = 0, dt: float = STEP) -> DataFrame:
+#: The numbers of XXH64, as in Spark's ``xxhash64``.
+_P1, _P2, _P3, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+#: Paths that take their steps together; their arrays stay in the processor's cache.
+TOGETHER = 1 << 13
+
+
+def _wrapped(angle: np.ndarray) -> np.ndarray:
+    turn = np.fmod(angle + math.pi, 2 * math.pi)
+    return np.where(turn < 0, np.fmod(turn + 2 * math.pi, 2 * math.pi), turn) - math.pi
+
+
+def _hash_on(number, before: np.ndarray) -> np.ndarray:
+    """``xxhash64`` of what gave ``before`` and an int more."""
+    h = (before + _P5 + np.uint64(4)) ^ (np.asarray(number).astype(np.uint64) * _P1)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * _P2 + _P3
+    h ^= h >> np.uint64(33)
+    h *= _P2
+    h ^= h >> np.uint64(29)
+    h *= _P3
+    h ^= h >> np.uint64(32)
+    return h
+
+
+def _normals(angle: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Standard normal numbers of two hashes, as :func:`apexframe.operators.residual._normal` has them."""
+    share = lambda h, more: ((h & np.uint64((1 << 52) - 1)).astype(float) + more) / float(1 << 52)
+    return np.sqrt(2 * -np.log(share(radius, 0.5))) * np.cos(2 * math.pi * share(angle, 0.0))
+
+
+def _nearest_side(sides: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The place in ``sides`` of the nearest one; ties, to nine digits, go to the lower side."""
+    best, place = np.full(x.shape, np.inf), np.zeros(x.shape, np.int64)
+    for i, s in enumerate(sides):
+        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+        u = np.maximum(0.0, np.minimum(1.0, ((x - s["ax"]) * dx + (y - s["ay"]) * dy) / (s["length"] * s["length"])))
+        gap = np.round(np.hypot(x - s["ax"] - u * dx, y - s["ay"] - u * dy), 9)
+        nearer = gap < best
+        best[nearer], place[nearer] = gap[nearer], i
+    return place
+
+
+def _beside(sides: np.ndarray, x: np.ndarray, y: np.ndarray, x2: np.ndarray, y2: np.ndarray) -> np.ndarray:
+    """Whether a move's box may touch that of a side, as in :func:`apexframe.operators.geometry.first_exit`."""
+    room = 1e-6 * (1 + np.maximum(np.maximum(np.abs(x), np.abs(y)), np.maximum(np.abs(x2), np.abs(y2))))
+    low_x, high_x, low_y, high_y = np.minimum(x, x2) - 2 * room, np.maximum(x, x2) + 2 * room, np.minimum(y, y2) - 2 * room, np.maximum(y, y2) + 2 * room
+    touches = np.zeros(x.shape, bool)
+    for s in sides:
+        apart = (high_x < min(s["ax"], s["bx"])) | (max(s["ax"], s["bx"]) < low_x) | (high_y < min(s["ay"], s["by"])) | (max(s["ay"], s["by"]) < low_y)
+        touches |= ~apart
+    return touches
+
+
+def _sides(segments: DataFrame, roles: list[str]) -> dict[str | None, np.ndarray]:
+    """The sides of these roles as arrays, for each circuit (None: the segments have none); more than MOST_SIDES are an error."""
+    names = [f.name for f in segments.schema if f.name not in ("circuit", "role")]
+    rows = segments.where(F.col("role").isin(roles)).select(*(["circuit"] if "circuit" in segments.columns else []), *names).orderBy("idx").limit(MOST_SIDES + 1).collect()
+    if len(rows) > MOST_SIDES:
+        raise DataValidationError(f"more than {MOST_SIDES} sides are too many to fold over; index the maps instead")
+    kinds = np.dtype([(n, float) for n in names])
+    found: dict[str | None, list[tuple]] = {}
+    for r in rows:
+        found.setdefault(r["circuit"] if "circuit" in r else None, []).append(tuple(r[n] for n in names))
+    return {c: np.array(v, kinds) for c, v in found.items()}
+
+
+def residual_paths(states: DataFrame, model: ResidualModel, keys: list[str], horizon: float, segments: DataFrame | None = None, draws: int = 1, seed: int = 0, dt: float = STEP, beside: bool = False) -> DataFrame:
     """(id, step, x, y, x2, y2) and the circuit, if the states have one: the moves of each state and draw, ``id`` being a struct of the keys and the draw.
 
     ``states`` has the keys, STATE and the model's inputs. A step goes by constant acceleration and turn rate, to which the model's residual at the step's
     first state is added, with noise of the draw's covariance; the noise depends on (seed, keys, draw, step) alone. With the map's ``segments`` the inputs of
-    TRACK follow the nearest side of the centre line. States with a null in STATE or in an input that stays are left out.
+    TRACK follow the nearest side of the centre line, and ``beside`` keeps only moves that may touch a boundary, without which none leaves. States with
+    a null in STATE or in an input that stays are left out. Many paths take a step together, in arrays; Spark deals the states.
     """
     steps, noisy = round(horizon / dt), bool(np.abs(model.covariance).max() > 0)
     of = ["circuit"] if "circuit" in states.columns else []
     follows = segments is not None and bool(set(TRACK) & set(model.inputs))
-    moving = {*STATE, "dt", *(TRACK if follows else [])}
-    still = [c for c in model.inputs if c not in moving]
+    still = [c for c in model.inputs if c not in {*STATE, "dt", *(TRACK if follows else [])}]
     d = states.select(*dict.fromkeys([*keys, *of, *STATE, *still])).dropna(subset=[*STATE, *still])
     # Each narrow row becomes draws times steps of work, so the rows are spread first, however few files they come from.
     d = d.repartition(int(states.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    if follows:
-        d = _with_map(d, tangents(segments.where("role = 'center'")), "center")
-    d = with_draws(d, model, draws)
-    center = F.col("__center") if follows else None
-
-    def move(s: Column, step: Column) -> Column:
-        v_long, v_lat, half_long, half_lat = midpoint_velocity(s["v_long"], s["v_lat"], s["yaw_rate"], s["a_long"], s["a_lat"], F.lit(dt))
-        middle = s["yaw"] + s["yaw_rate"] * (dt / 2)
-        x, y = s["x"] + (half_long * F.cos(middle) - half_lat * F.sin(middle)) * dt, s["y"] + (half_long * F.sin(middle) + half_lat * F.cos(middle)) * dt
-
-        def residual(z: Column) -> Column:
-            mean = F.transform("__by_target", lambda b: _dot(b, z))
-            if not noisy:
-                return mean
-            each = F.transform(F.sequence(F.lit(0), F.lit(len(TARGETS) - 1)), lambda k: _normal(F.lit(seed), *keys, "draw", step, k))
-            return F.zip_with(mean, _let(each, lambda e: F.transform("__root", lambda b: _dot(b, e))), lambda a, b: a + b)
-
-        def settle(to: Column) -> Column:
-            more = to["more"]
-            after = {"x": to["x"], "y": to["y"], "v_long": v_long + more[0], "v_lat": v_lat + more[1], "yaw": _wrapped(s["yaw"] + s["yaw_rate"] * dt), "yaw_rate": s["yaw_rate"] + more[2], "a_long": s["a_long"] + more[3], "a_lat": s["a_lat"] + more[4]}
-            return F.struct(*(after[c].alias(c) for c in STATE), F.concat(s["path"], F.array(F.struct(to["x"].alias("x"), to["y"].alias("y")))).alias("path"))
-
-        return _let(F.struct(x.alias("x"), y.alias("y"), _let(_inputs(model, s, center, dt), residual).alias("more")), settle)
-
-    first = F.struct(*(F.col(c).cast("double").alias(c) for c in STATE), F.array(F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))).alias("path"))
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, move, lambda s: s["path"])
-    d = d.select(F.struct(*keys, "draw").alias("id"), *of, path.alias("path"))
-    moves = F.zip_with(F.slice("path", 1, steps), F.slice("path", 2, steps), lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), b["x"].alias("x2"), b["y"].alias("y2")))
-    return d.select("id", *of, F.posexplode(moves).alias("step", "m")).select("id", *of, (F.col("step") + 1).alias("step"), "m.*")
+    names, moved = [f"key_{i}" for i in range(len(keys))], ["x", "y", "x2", "y2"]
+    begun = [F.xxhash64(F.lit(kind), F.lit(seed), *keys).alias(f"hash_{kind}") for kind in ("angle", "radius")]
+    d = d.select(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), *(F.col(c).alias("of_circuit") for c in of), *begun, *(F.col(c).cast("double").alias(f"in_{c}") for c in dict.fromkeys([*STATE, *still])))
+    passed = [*names, *(["of_circuit"] if of else [])]
+    center = _sides(tangents(segments.where("role = 'center'")), ["center"]) if follows else None
+    edges = _sides(segments, ["outer", "inner"]) if beside else None
+    by_circuit = segments is not None and "circuit" in segments.columns
+    coefficients = [_draws_of(model)[i % len(model.coefficients)] for i in range(draws)]
+    beta, root = np.stack([b for b, _ in coefficients], -1), np.stack([r for _, r in coefficients], -1)  # the draw is the last axis
+
+    def walk(s: dict[str, np.ndarray], hashes: list[np.ndarray], line: np.ndarray | None, ring: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """(state, draw, step, x, y, x2, y2) of the moves of some states, each state a row and each draw a column."""
+        hashes = [_hash_on(np.arange(draws), h[:, None]) for h in hashes]
+        first, s = s, {c: np.broadcast_to(s[c][:, None], (len(s[c]), draws)) for c in s}
+        for step in range(1, steps + 1):
+            known = {**{c: first[c][:, None] for c in still}, **{c: s[c] for c in STATE}, "dt": dt}
+            if line is not None:
+                side = line[_nearest_side(line, s["x"], s["y"])]
+                known |= {"heading_error": _wrapped(s["yaw"] - side["heading"]), "offset": side["tx"] * (s["y"] - side["ay"]) - side["ty"] * (s["x"] - side["ax"]), "curvature": side["curvature"]}
+            z = [1.0, *(known[c] for c in model.inputs)]
+            more = [sum((beta[i, t] * v for i, v in enumerate(z)), 0.0) for t in range(len(TARGETS))]
+            if noisy:
+                angle, radius = (_hash_on(step, h) for h in hashes)
+                e = [_normals(_hash_on(k, angle), _hash_on(k, radius)) for k in range(len(TARGETS))]
+                more = [m + sum((root[t, k] * v for k, v in enumerate(e)), 0.0) for t, m in enumerate(more)]
+            v_long, v_lat, half_long, half_lat = midpoint_velocity(s["v_long"], s["v_lat"], s["yaw_rate"], s["a_long"], s["a_lat"], dt)
+            middle = s["yaw"] + s["yaw_rate"] * (dt / 2)
+            cos, sin = np.cos(middle), np.sin(middle)
+            x, y, x2, y2 = s["x"], s["y"], s["x"] + (half_long * cos - half_lat * sin) * dt, s["y"] + (half_long * sin + half_lat * cos) * dt
+            row, draw = np.nonzero(np.ones(x.shape, bool) if ring is None else _beside(ring, x, y, x2, y2))
+            yield row, draw, np.full(len(row), step), x[row, draw], y[row, draw], x2[row, draw], y2[row, draw]
+            s = {"x": x2, "y": y2, "v_long": v_long + more[0], "v_lat": v_lat + more[1], "yaw": _wrapped(s["yaw"] + s["yaw_rate"] * dt), "yaw_rate": s["yaw_rate"] + more[2], "a_long": s["a_long"] + more[3], "a_lat": s["a_lat"] + more[4]}
+
+    def roll(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))
+            circuits = np.array(column("of_circuit").to_pylist() if by_circuit else [None] * batch.num_rows, object)
+            values = {c: column(f"in_{c}").to_numpy(zero_copy_only=False) for c in dict.fromkeys([*STATE, *still])}
+            hashes = [column(f"hash_{kind}").to_numpy(zero_copy_only=False).view(np.uint64) for kind in ("angle", "radius")]
+            for circuit in dict.fromkeys(circuits.tolist()):
+                if any(sides is not None and circuit not in sides for sides in (center, edges)):
+                    raise DataValidationError("a circuit has no map")
+                line, ring = (None if sides is None else sides[circuit] for sides in (center, edges))
+                own, size = np.flatnonzero([c == circuit for c in circuits]), max(1, TOGETHER // draws)
+                for some in (own[i : i + size] for i in range(0, len(own), size)):
+                    with np.errstate(all="ignore"):  # a state may run off to infinity
+                        moves = [np.concatenate(m) for m in zip(*walk({c: v[some] for c, v in values.items()}, [h[some] for h in hashes], line, ring), strict=True)]
+                    at = pa.array(some[moves[0]])
+                    yield pa.RecordBatch.from_arrays([*(column(c).take(at) for c in passed), *(pa.array(m.astype(np.int32)) for m in moves[1:3]), *(pa.array(m) for m in moves[3:])], [*passed, "draw", "step", *moved])
+
+    kinds = [f"{c} {d.schema[c].dataType.simpleString()}" for c in passed] + ["draw int", "step int", *(f"{c} double" for c in moved)]
+    d = d.mapInArrow(roll, ", ".join(kinds))
+    return d.select(F.struct(*(F.col(n).alias(k) for k, n in zip(keys, names, strict=True)), "draw").alias("id"), *(F.col("of_circuit").alias(c) for c in of), "step", *moved)
 
 
 def exit_mass(exits: DataFrame, keys: list[str], horizons: list[float], draws: int = 1) -> DataFrame:
@@ -172,7 +237,7 @@ def score_fold(rows: DataFrame, models: FoldModels, segments: DataFrame, horizon
             return exit_mass(first_exits(paths, segments, segment, dt), keys, horizons)
         model = {"bayesian": models.bayesian, "deterministic": models.twin, "tuned": models.tuned}[method]
         n = draws if method == "bayesian" else 1
-        return exit_mass(first_exits(residual_paths(rows, model, keys, max(horizons), segments, n, seed, dt), segments, segment, dt), keys, horizons, n)
+        return exit_mass(first_exits(residual_paths(rows, model, keys, max(horizons), segments, n, seed, dt, beside=True), segments, segment, dt), keys, horizons, n)
 
     flags = rows.select(*keys, "input_valid_causal", "in_corridor", "hard_break")
     # The mass is read for the probabilities and again for the neighbourhoods: written, no path is rolled out twice.
