@@ -7,6 +7,7 @@ and each point folds over its sides: no point is multiplied, and nothing is shuf
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -74,6 +75,11 @@ def _with_map(points: DataFrame, segments: DataFrame, *roles: str) -> DataFrame:
     return d.withColumns({f"__{r}": F.coalesce(f"__{r}", told.cast(d.schema[f"__{r}"].dataType)) for r in roles})
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)``, with the value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _along(s: Column, x: Column, y: Column) -> Column:
     """Place of the nearest point of side ``s``, 0 to 1."""
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - s.ax) * (s.bx - s.ax) + (y - s.ay) * (s.by - s.ay)) / (s.length * s.length)))
@@ -179,11 +185,19 @@ def first_exit(moves: DataFrame, segments: DataFrame, tolerance: float = 1e-7) -
     d = _with_map(moves, segments, "outer", "inner")
     d = d.where(_beside(F.col("__outer"), x, y, x2, y2) | _beside(F.col("__inner"), x, y, x2, y2))
     d = d.where(_covered(F.col("__outer"), F.col("__inner"), x, y, tolerance) & ((x != x2) | (y != y2)))
-    d = d.withColumn("hits", F.array_sort(F.array_distinct(F.transform(F.concat(_hits(F.col("__outer"), x, y, x2, y2), _hits(F.col("__inner"), x, y, x2, y2)), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))))))
-    cuts = F.array_sort(F.array_distinct(F.concat("hits", F.array(F.lit(0.0), F.lit(1.0)))))
-    middles = F.zip_with(F.slice(cuts, F.lit(1), F.size(cuts) - 1), F.slice(cuts, F.lit(2), F.size(cuts) - 1), lambda a, b: (a + b) / 2)
-    outside = F.exists("middles", lambda t: ~_covered(F.col("__outer"), F.col("__inner"), x + t * (x2 - x), y + t * (y2 - y), tolerance))
-    d = d.withColumn("middles", middles).where(F.size("hits") > 0).where(outside).withColumn("t", F.element_at("hits", 1))
+    hits = F.array_sort(F.array_distinct(F.transform(F.concat(_hits(F.col("__outer"), x, y, x2, y2), _hits(F.col("__inner"), x, y, x2, y2)), lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)))))
+
+    def outside(t: Column) -> Column:
+        at = F.struct((x + t * (x2 - x)).alias("x"), (y + t * (y2 - y)).alias("y"))
+        return _let(at, lambda p: ~_covered(F.col("__outer"), F.col("__inner"), p["x"], p["y"], tolerance))
+
+    def leaves(h: Column) -> Column:
+        cuts = F.array_sort(F.array_distinct(F.concat(h, F.array(F.lit(0.0), F.lit(1.0)))))
+        middles = _let(cuts, lambda c: F.zip_with(F.slice(c, F.lit(1), F.size(c) - 1), F.slice(c, F.lit(2), F.size(c) - 1), lambda a, b: (a + b) / 2))
+        return F.when((F.size(h) > 0) & F.exists(middles, outside), F.element_at(h, 1))
+
+    # Exploded, not filtered: a filter would go below the columns it reads, and the hits would be made again for each of their uses.
+    d = d.select("id", "x", "y", "x2", "y2", F.explode(F.array_compact(F.transform(F.array(hits), leaves))).alias("t"))
     return d.select("id", F.col("t").alias("fraction"), (x + F.col("t") * (x2 - x)).alias("hit_x"), (y + F.col("t") * (y2 - y)).alias("hit_y"))
 
 

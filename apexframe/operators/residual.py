@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from apexframe.contracts import require_columns
 from apexframe.operators.quantiles import exact_quantiles
 from apexframe.operators.timebase import UNIT
+from apexframe.scratch import stored
 
 #: The state of a car, in this order.
 STATE = ["x", "y", "v_long", "v_lat", "yaw", "yaw_rate", "a_long", "a_lat"]
@@ -179,13 +180,6 @@ def _each_draw(rows: DataFrame, draws: int, table: DataFrame, size: int) -> Data
     return rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("__of", (F.col("draw") % size).cast("int")).join(F.broadcast(table), "__of")
 
 
-def with_draws(rows: DataFrame, model: ResidualModel, draws: int) -> DataFrame:
-    """A row for each of ``rows`` and draw, with the draw's coefficients on unscaled inputs (``__beta``; ``__by_target`` turned) and a root of its covariance (``__root``)."""
-    of = _draws_of(model)
-    table = rows.sparkSession.createDataFrame([(d, b.tolist(), b.T.tolist(), root.tolist()) for d, (b, root) in enumerate(of)], "__of int, __beta array<array<double>>, __by_target array<array<double>>, __root array<array<double>>")
-    return _each_draw(rows, draws, table, len(of))
-
-
 def sample_residuals(rows: DataFrame, model: ResidualModel, keys: list[str], draws: int, seed: int, targets: list[str] = TARGETS, also: Sequence[str] = ()) -> DataFrame:
     """A row for each of ``rows`` and draw: residuals of the draw's coefficients and noise of its covariance, a column for each target.
 
@@ -219,28 +213,40 @@ def _quartiles(rows: DataFrame, inputs: list[str], groups: list[Column]) -> list
     return out
 
 
-def fit_bayesian(rows: DataFrame, inputs: list[str], alpha: float, draws: int = 256, seed: int = 20270927, targets: list[str] = TARGETS) -> ResidualModel:
+#: What several fits of the same rows share: moments of each car, scalings of the rows by the circuit left out (None: none).
+Shared = tuple[DataFrame, dict[str | None, tuple[np.ndarray, np.ndarray]]]
+
+
+def shared_by_fits(rows: DataFrame, inputs: list[str], targets: list[str] = TARGETS) -> Shared:
+    """The moments, written, and all scalings in one pass over the rows. Circuits are tracks on a map: their number doesn't grow with the rows."""
+    per_car = stored(moments(rows, inputs, targets), "car-moments")
+    left_out = [None, *sorted(r.circuit for r in per_car.select("circuit").distinct().collect() if r.circuit is not None)]
+    return per_car, dict(zip(left_out, _quartiles(rows, inputs, [F.lit(True) if c is None else F.col("circuit") != c for c in left_out]), strict=True))
+
+
+def fit_bayesian(rows: DataFrame, inputs: list[str], alpha: float, draws: int = 256, seed: int = 20270927, targets: list[str] = TARGETS, shared: Shared | None = None) -> ResidualModel:
     """Residual dynamics with one ridge solution for each draw of the cluster bootstrap."""
-    center, scale = _quartiles(rows, inputs, [F.lit(True)])[0]
-    got = bayesian_bootstrap(moments(rows, inputs, targets), 1 + len(inputs) + len(targets), draws, seed).orderBy("draw").collect()  # one row a draw
+    per_car, (center, scale) = (moments(rows, inputs, targets), _quartiles(rows, inputs, [F.lit(True)])[0]) if shared is None else (shared[0], shared[1][None])
+    got = bayesian_bootstrap(per_car, 1 + len(inputs) + len(targets), draws, seed).orderBy("draw").collect()  # one row a draw
     if not got:
         raise ValueError("no transitions to fit on")
     fits = [solve_ridge(r["moments"], len(inputs), len(targets), r["clusters"], alpha, center, scale) for r in got]
     return ResidualModel(tuple(inputs), center, scale, np.stack([b for b, _ in fits]), np.stack([c for _, c in fits]))
 
 
-def select_ridge(rows: DataFrame, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS) -> DataFrame:
+def select_ridge(rows: DataFrame, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS, shared: Shared | None = None) -> DataFrame:
     """(alpha, validation_circuit, nll, mean_nll, selected): Gaussian loss on each circuit left out of the fit.
 
     Cars weigh alike within circuits and circuits alike in the fit; the loss is the mean over the left-out rows. The smallest mean
     loss wins, ties go to the smaller alpha. Circuits are tracks on a map: their number doesn't grow with the rows.
     """
     size, k, p = 1 + len(inputs) + len(targets), len(inputs), len(targets)
-    per_car = moments(rows, inputs, targets)
+    per_car = moments(rows, inputs, targets) if shared is None else shared[0]
     found = per_car.groupBy("circuit").agg(F.count(F.lit(1)).alias("cars"), _weighted(F.lit(1.0), size).alias("equal"), _weighted(F.col("n"), size).alias("by_row")).orderBy("circuit").collect()
     if len(found) < 2:
         raise ValueError("leaving one circuit out needs two")
-    scalings, out = _quartiles(rows, inputs, [F.col("circuit") != r["circuit"] for r in found]), []
+    scalings = _quartiles(rows, inputs, [F.col("circuit") != r["circuit"] for r in found]) if shared is None else [shared[1][r["circuit"]] for r in found]
+    out = []
     for held, (center, scale) in zip(found, scalings, strict=True):
         fit = [r for r in found if r is not held]
         mean, v, t = np.mean([r["equal"] for r in fit], axis=0), _square(held["by_row"], size), _scaling(center, scale)
@@ -258,14 +264,14 @@ def select_ridge(rows: DataFrame, inputs: list[str], alphas: list[float], target
     return rows.sparkSession.createDataFrame([(a, c, x, means[a], a == float(best)) for a, c, x in out], "alpha double, validation_circuit string, nll double, mean_nll double, selected boolean")
 
 
-def fit_tuned(rows: DataFrame, fit: Column, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS) -> tuple[ResidualModel, float, dict[float, float]]:
+def fit_tuned(rows: DataFrame, fit: Column, inputs: list[str], alphas: list[float], targets: list[str] = TARGETS, scaling: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[ResidualModel, float, dict[float, float]]:
     """Unweighted ridge on the rows in ``fit``, without noise, at the alpha of the least squared error on the others (ties: the smaller); that alpha; and all errors."""
     size, k, p = 1 + len(inputs) + len(targets), len(inputs), len(targets)
     d = rows.withColumn("in_fit", F.coalesce(fit, F.lit(False)))
     got = {r["in_fit"]: r for r in moments(d, inputs, targets, ["in_fit"]).collect()}
     if len(got) < 2:
         raise ValueError("tuning needs rows to fit on and rows to validate on")
-    center, scale = _quartiles(d, inputs, [F.col("in_fit")])[0]
+    center, scale = _quartiles(d, inputs, [F.col("in_fit")])[0] if scaling is None else scaling
     v, t, mse, fits = _square(got[False]["moments"], size), _scaling(center, scale), {}, {}
     for alpha in alphas:
         fits[alpha] = solve_ridge(got[True]["moments"], k, p, got[True]["n"], alpha, center, scale)[0]

@@ -22,7 +22,7 @@ from apexframe.operators.forecast import STEP, constant_paths, first_exits
 from apexframe.operators.geometry import tangents
 from apexframe.operators.hazard import fit_side_hazard, horizon_probabilities, step_probabilities
 from apexframe.operators.release import compact_forecast, hazard_mass, score_methods
-from apexframe.operators.residual import STATE, TARGETS, ResidualModel, _draws_of, _quartiles, _scaling, fit_bayesian, fit_tuned, midpoint_velocity, select_ridge
+from apexframe.operators.residual import STATE, TARGETS, ResidualModel, _draws_of, _quartiles, _scaling, fit_bayesian, fit_tuned, midpoint_velocity, select_ridge, shared_by_fits
 from apexframe.operators.timebase import UNIT
 from apexframe.scratch import stored
 
@@ -200,9 +200,10 @@ def fit_fold(transitions: DataFrame, hazard_rows: DataFrame, inputs: list[str],
     if there != {"fit", "calibration"}:
         raise DataValidationError(f"a fold needs fit and calibration rows, not only {sorted(there)}")
     fit = transitions.where("partition = 'fit'")
-    alpha = next(r.alpha for r in select_ridge(fit, inputs, alphas).where("selected").collect())  # the same alpha for each circuit
-    bayesian = fit_bayesian(fit, inputs, alpha, draws, seed)
-    tuned, tuned_alpha, _ = fit_tuned(transitions.where("partition in ('fit', 'calibration')"), F.col("partition") == "fit", inputs, alphas)
+    shared = shared_by_fits(fit, inputs)
+    alpha = next(r.alpha for r in select_ridge(fit, inputs, alphas, shared=shared).where("selected").collect())  # the same alpha for each circuit
+    bayesian = fit_bayesian(fit, inputs, alpha, draws, seed, shared=shared)
+    tuned, tuned_alpha, _ = fit_tuned(transitions.where("partition in ('fit', 'calibration')"), F.col("partition") == "fit", inputs, alphas, scaling=shared[1][None])
     rows = hazard_rows.where("partition = 'fit'").dropna(subset=hazard_inputs)
     center, scale = _quartiles(rows, hazard_inputs, [F.lit(True)])[0]
     scaled = rows.select("label", *((F.col(c) - float(m)) / float(s) for c, m, s in zip(hazard_inputs, center, scale, strict=True))).toDF("label", *hazard_inputs)

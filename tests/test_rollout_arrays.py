@@ -31,3 +31,16 @@ def test_moves_beside_a_boundary_are_all_that_leave(spark):
     assert exits[0] and exits[0] == exits[1]
     with pytest.raises(PySparkException):
         Q.residual_paths(states, model, KEYS, 0.1, maps.where("circuit = 'A'")).collect()
+
+
+def test_shared_moments_and_scalings_give_the_same_fits(spark):
+    """One pass over the rows serves the choice of alpha and both fits."""
+    rng = np.random.default_rng(8)
+    rows = [(f"C{i % 3}", f"car_{i % 12}", *map(float, rng.normal(size=2 + len(D.TARGETS)))) for i in range(240)]
+    d = spark.createDataFrame(rows, "circuit string, car_id string, a double, b double, " + ", ".join(f"{t} double" for t in D.TARGETS))
+    shared = D.shared_by_fits(d, ["a", "b"])
+    assert set(shared[1]) == {None, "C0", "C1", "C2"}
+    ridge = [sorted(map(tuple, D.select_ridge(d, ["a", "b"], [0.1, 1.0], shared=s).collect())) for s in (None, shared)]
+    models = [D.fit_bayesian(d, ["a", "b"], 1.0, 8, 1, shared=s) for s in (None, shared)]
+    assert [r[:2] + r[4:] for r in ridge[0]] == [r[:2] + r[4:] for r in ridge[1]] and np.allclose([r[2:4] for r in ridge[0]], [r[2:4] for r in ridge[1]])
+    assert (models[0].center == models[1].center).all() and (models[0].scale == models[1].scale).all() and np.allclose(models[0].coefficients, models[1].coefficients)
